@@ -57,7 +57,7 @@ def persist(df: DataFrame, label: str) -> DataFrame:
 
 def scan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a plan's input in bytes: file sizes, no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def remainder(doc_id, modulus: int):

@@ -8,10 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import fm_index
+from gaugeworks.llm import bpe, dac, fm_index
 from gaugeworks.llm.common import table
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """Where the public tokenizer file lies; it is never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    return bpe.digest_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document, those inside benchmark windows, and the items hit."""
     found = fm_index.find_contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -22,8 +34,15 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents' ids written in directly addressable codes and read back."""
+    return dac.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), end_id=2)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op8_decontamination": op8_decontamination,
+    "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
