@@ -56,8 +56,10 @@ def persist(df: DataFrame, label: str) -> DataFrame:
 
 
 def scan_bytes(df: DataFrame) -> int:
-    """The optimizer's estimate of a plan's input in bytes: file sizes, no job."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    """The optimizer's estimate of a plan's input in bytes: file sizes, no job.  Where
+    the plan doesn't know (rows that don't come from files), 16 MB a partition."""
+    known = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return known if known < 1 << 60 else df.rdd.getNumPartitions() << 24
 
 
 def remainder(doc_id, modulus: int):
