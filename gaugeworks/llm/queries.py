@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, dac, fm_index
+from gaugeworks.llm import bpe, chosen_path, dac, fm_index
 from gaugeworks.llm.common import table
 
 
@@ -19,6 +19,11 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's class under Jaccard similarity of five-word n-grams, and its links."""
+    return chosen_path.similar_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     return bpe.digest_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
@@ -40,6 +45,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": op2_jaccard_join,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op8_decontamination": op8_decontamination,
     "op10_token_files": op10_token_files,
