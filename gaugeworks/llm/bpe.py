@@ -9,7 +9,7 @@ that build the two.  Following the stored tokens back from the end gives the ids
 Nothing is merged step by step, and time is linear in the piece.
 
 The tokenizer file's content is broadcast (a few MB, checked); each Python worker
-builds the automaton once and remembers the chunks it has encoded, within a bound.
+builds the automaton once and remembers the ids of chunks (words) within a bound.
 The work is one scan without a shuffle.
 """
 
@@ -17,14 +17,14 @@ from __future__ import annotations
 
 import hashlib
 import json
-from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from gaugeworks.llm.chunks import MOST_CHUNKS, MOST_PIECES, SPACE, Splitter, chunks_of
+from gaugeworks.llm.chunks import SPACE, ChunkTable, Splitter, encoded
 from gaugeworks.llm.common import tune
 
 #: The largest tokenizer file that is broadcast, in bytes.
@@ -32,6 +32,8 @@ MOST_BYTES = 64 << 20
 #: The pattern that cuts a chunk into pieces (a fixed value of byte-level BPE).
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 NEVER = 1 << 60
+#: Pairs of tokens whose compatibility a worker remembers before it starts anew.
+MOST_PAIRS = 1_000_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -60,8 +62,7 @@ class PrefixEncoder:
         self.compatible: dict[int, bool] = {}
         self._spines: tuple[dict, dict] = ({}, {})
         self._automaton(list(self.bytes_of.items()))
-        self._remembered: dict[str, bytes] = {}
-        self._pieces: dict[str, array] = {}
+        self.table = ChunkTable(self._learn)
 
     def _automaton(self, entries: list[tuple[int, bytes]]) -> None:
         """States of the trie; ``step`` gets missing transitions when they're used."""
@@ -131,7 +132,7 @@ class PrefixEncoder:
                 m = merge.get((u, v))
                 if m is not None and m < hidden_u and m <= hidden_v:
                     known = False
-        if len(self.compatible) > 4 * MOST_CHUNKS:
+        if len(self.compatible) > MOST_PAIRS:
             self.compatible.clear()
         self.compatible[a << 20 | b] = known
         return known
@@ -160,35 +161,27 @@ class PrefixEncoder:
             place -= sizes[place]
         return out[::-1]
 
-    def chunk(self, text: str) -> bytes:
-        """The ids of a chunk as native unsigned 32-bit integers, remembered."""
-        found = array("I")
-        for part in PIECE.findall(text):
-            ids = self._pieces.get(part)
-            if ids is None:
-                ids = self.piece(part.encode())
-                if len(self._pieces) >= MOST_PIECES:
-                    self._pieces.clear()
-                self._pieces[part] = ids = array("I", ids)
-            found += ids
-        found = found.tobytes()
-        if len(self._remembered) >= MOST_CHUNKS:
-            self._remembered.clear()
-        self._remembered[text] = found
-        return found
+    def stretch(self, text: str) -> list[int]:
+        """The ids of a text without added tokens."""
+        return [n for p in PIECE.findall(text) for n in self.piece(p.encode())]
+
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.stretch(c.decode()) for c in chunks]
+        size = np.array([len(x) for x in found])
+        return np.fromiter((n for x in found for n in x), np.uint32, int(size.sum())), size
 
-    def encode(self, text: str | None) -> array:
+    def encode(self, text: str | None) -> list[int]:
         """The ids of a whole text; none for null."""
-        out = array("I")
-        known = self._remembered.get
-        for part in self.splitter.segments(text or ""):
-            if part in self.splitter.added:
-                out.append(self.splitter.added[part])
-            else:
-                out.frombytes(b"".join([known(c) or self.chunk(c) for c in chunks_of(part)]))
-        return out
+        added = self.splitter.added
+        return [n for part in self.splitter.segments(text or "") for n in ([added[part]] if part in added else self.stretch(part))]
+
+    def encode_all(self, texts: pa.Array) -> Iterator[list[int]]:
+        """The ids of each text of a column, chunk by chunk with a memory."""
+        for _, _, ids, size in encoded(texts, self.table, self.splitter, lambda t: np.array(self.encode(t), np.uint32)):
+            for part in np.split(ids, np.cumsum(size)[:-1]):
+                yield part.tolist()
 
-    def decode(self, ids: array | list[int]) -> str:
+    def decode(self, ids: list[int]) -> str:
         """The text of ids, added tokens included; broken UTF-8 as U+FFFD."""
         table = self.bytes_of
         return b"".join([table[n] for n in ids]).decode("utf-8", "replace")
@@ -236,8 +229,7 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", ids_
     names = [f.name for f in others]
 
     def make(batch, texts, encoder):
-        ids = [encoder.encode(t.as_py()) for t in texts]
-        return [*names, ids_col], [*(batch.column(n) for n in names), pa.array(ids, pa.list_(pa.int32()))]
+        return [*names, ids_col], [*(batch.column(n) for n in names), pa.array(list(encoder.encode_all(texts)), pa.list_(pa.int32()))]
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"`{ids_col}` array<int>"])
     return _mapped(docs, path, text_col, schema, make)
@@ -263,8 +255,7 @@ def digest_documents(docs: DataFrame, path: str, *, id_col: str = "doc_id", text
     def make(batch, texts, encoder):
         digits = _digits(encoder)
         n, ids_hash, text_hash = [], [], []
-        for text in texts:
-            ids = encoder.encode(text.as_py()).tolist()
+        for ids in encoder.encode_all(texts):
             n.append(len(ids))
             ids_hash.append(hashlib.sha256(",".join([digits[k] for k in ids]).encode()).hexdigest())
             text_hash.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())

@@ -1,29 +1,39 @@
-"""Cutting texts into chunks that byte-level BPE encodes independently.
+r"""Cutting texts into chunks that byte-level BPE encodes independently, and a compact
+memory of the chunks' ids.
 
-The tokenizer first splits at its added tokens, then by a fixed pattern.  A run of
-non-space characters with the one space before it is a union of whole pieces of
-that pattern, and so is every other run of white space; so the ids of a text are
-the joined ids of such chunks, and a chunk seen before need not be encoded again.
+The tokenizer first splits at its added tokens, then by a fixed pattern.  These cuts
+always lie between pieces of that pattern: at the start of a run of white space,
+before its last character if the run goes on to a word, after that character unless
+it is a space, and between an ASCII letter and a sign that follows it.  So the ids of
+a text are the joined ids of its chunks.  A batch is cut as bytes; each distinct
+chunk, told by a 64-bit hash, is encoded once and its ids are looked up from then on.
+
+Texts that hold an added token, or white space outside ASCII, are rare and take a
+slower way of the caller's.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable, Iterator
 
-#: White space as the pattern's \s means it (fixed values: Unicode White_Space).
-SPACE = r"\t-\r \x85\xa0  -     　"
-#: The same cut twice: Python's \s is faster, but takes in four control characters.
-_EXACT = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-_FAST = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_CONTROLS = "\x1c\x1d\x1e\x1f"
-#: Chunks and pieces a worker remembers before it starts anew: bounds its memory.
-MOST_CHUNKS, MOST_PIECES = 250_000, 400_000
+import numpy as np
+import pyarrow as pa
 
+from gaugeworks.llm.common import byte_class, hash_runs, slices
 
-def chunks_of(text: str) -> list[str]:
-    """The chunks of a stretch without added tokens; joined they give it back."""
-    return (_EXACT if any(c in text for c in _CONTROLS) else _FAST).findall(text)
+#: White space as the pattern's \s means it (fixed values: Unicode White_Space).
+SPACE = r"\t-\r \x85\xa0  -     　"
+#: Signs after a letter; any set of ASCII signs but the apostrophe would do.
+SIGNS = byte_class((0x21, 0x26), (0x28, 0x2F), (0x3A, 0x40), (0x5B, 0x5F), (0x7B, 0x7E))
+LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A))
+BLANKS = byte_class((0x09, 0x0D), (0x20, 0x20))
+#: Bytes that start white space outside ASCII or are controls that need the slower way.
+_ODD = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_ODD_TEXT = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+#: Chunks a worker remembers before it starts anew: about 25 bytes each.
+MOST_CHUNKS = 2_000_000
 
 
 class Splitter:
@@ -39,3 +49,102 @@ class Splitter:
     def segments(self, text: str) -> list[str]:
         """Ordinary stretches and added tokens in turn."""
         return [text] if self.pattern is None or not any(x in text for x in self.added) else [x for x in self.pattern.split(text) if x]
+
+
+def chunk_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the chunks of a slice of texts start; they cover every byte."""
+    n = len(data)
+    blank = BLANKS[data]
+    begins, ends = np.zeros(n + 1, bool), np.zeros(n + 1, bool)
+    begins[offsets], ends[offsets] = True, True
+    cut = begins[:n].copy()
+    before = np.zeros(n, bool)
+    before[1:] = blank[:-1]
+    cut |= blank & ~before
+    last = np.zeros(n, bool)
+    last[:-1] = blank[:-1] & ~blank[1:] & ~ends[1:n]
+    cut |= last
+    joins = np.zeros(n, bool)
+    joins[1:] = blank[:-1] & (data[:-1] != 0x20)
+    cut |= joins & ~blank
+    follows = np.zeros(n, bool)
+    follows[1:] = LETTERS[data[:-1]]
+    cut |= follows & SIGNS[data]
+    return np.flatnonzero(cut)
+
+
+class ChunkTable:
+    """Ids of chunks by hash: sorted hashes, and where in one pool the ids lie.
+    ``learn`` encodes new chunks: (bytes of each) -> (ids of all, ids of each)."""
+
+    def __init__(self, learn: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
+        self.learn = learn
+        self._clear()
+
+    def _clear(self) -> None:
+        self.hashes, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+
+    def _add(self, hashes: np.ndarray, chunks: list[bytes]) -> None:
+        if len(self.hashes) + len(hashes) > MOST_CHUNKS and len(self.hashes):
+            self._clear()
+        ids, size = self.learn(chunks)
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool[: self.used], np.zeros(max(len(ids), self.used), np.uint32)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        where = np.searchsorted(self.hashes, hashes)
+        self.at = np.insert(self.at, where, self.used + np.cumsum(size) - size)
+        self.size = np.insert(self.size, where, size)
+        self.hashes = np.insert(self.hashes, where, hashes)
+        self.used += len(ids)
+
+    def _places(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return at, self.hashes[at] == hashes
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts of a slice, number of ids of each)."""
+        docs = len(offsets) - 1
+        if not len(data):
+            return np.zeros(0, np.uint32), np.zeros(docs, np.int64)
+        starts = chunk_starts(data, offsets)
+        stops = np.append(starts[1:], len(data))
+        hashes = hash_runs(data, np.ones(len(data), bool), starts, stops)
+        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        at, known = self._places(unique)
+        if not known.all():
+            raw, new = data.tobytes(), first[~known]
+            if len(self.hashes) + len(new) > MOST_CHUNKS:  # all of them anew
+                self._clear()
+                known[:], new = False, first
+            self._add(unique[~known], [raw[a:b] for a, b in zip(starts[new].tolist(), stops[new].tolist(), strict=True)])
+            at, _ = self._places(unique)
+        begin, size = self.at[at][inverse], self.size[at][inverse]
+        total = np.cumsum(size)
+        ids = self.pool[np.repeat(begin - total + size, size) + np.arange(int(total[-1]))]
+        bounds = np.concatenate([[0], total])[np.searchsorted(starts, offsets)]
+        return ids, np.diff(bounds)
+
+
+def encoded(column: pa.Array, table: ChunkTable, splitter: Splitter, slow: Callable[[str], np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Encode a text column in runs of rows: (first row, end row, ids, ids of each
+    row).  ``slow`` encodes a text that chunks don't suit."""
+    for lo, hi, data, offsets in slices(column):
+        raw = data.tobytes()
+        odd = []
+        if any(x in raw for x in (*_ODD, *(a.encode() for a in splitter.added))):
+            texts = column.slice(lo, hi - lo).to_pylist()
+            odd = [k for k, t in enumerate(texts) if t and (_ODD_TEXT.search(t) or any(a in t for a in splitter.added))]
+        if not odd:
+            yield lo, hi, *table.encode(data, offsets)
+            continue
+        keep = np.ones(len(offsets) - 1, bool)
+        keep[odd] = False
+        spans = np.diff(offsets)
+        ids, size = table.encode(data[np.repeat(keep, spans)], np.concatenate([[0], np.cumsum(spans * keep)]))
+        parts = np.split(ids, np.cumsum(size)[:-1])
+        for k in odd:
+            parts[k] = slow(texts[k])
+        yield lo, hi, np.concatenate(parts), np.array([len(p) for p in parts])

@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.bpe import read_spec
-from gaugeworks.llm.chunks import MOST_CHUNKS, Splitter, chunks_of
+from gaugeworks.llm.chunks import ChunkTable, Splitter, encoded
 from gaugeworks.llm.common import scan_bytes, shared_path, tune
 
 MAGIC = b"DAC1"
-#: Ids of a segment before it is closed, and input bytes of a range.
-SEGMENT_IDS, RANGE_BYTES = 1 << 20, 16 << 20
+#: Ids of a segment before it is closed, input bytes of a range.
+SEGMENT_IDS, RANGE_BYTES = 1 << 20, 8 << 20
 #: Bitmap bits for each entry of a rank directory.
 BLOCK = 512
 
@@ -121,33 +121,37 @@ class Segment:
 
 
 class LibraryEncoder:
-    """Whole texts through the tokenizers library, chunk by chunk: a chunk's ids don't
-    depend on its neighbours, so each distinct chunk is encoded once and remembered."""
+    """Whole texts through the tokenizers library: each distinct chunk is encoded once.
+    New chunks go to the library in one text, a line each: a line end before a chunk
+    is a piece of its own, so its id parts the chunks' ids again."""
 
     def __init__(self, spec: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.splitter, self.library, self.known = Splitter(spec), Tokenizer.from_str(spec), {}
+        self.splitter, self.library, self.table = Splitter(spec), Tokenizer.from_str(spec), ChunkTable(self._learn)
         self.library.no_truncation()
         self.library.no_padding()
+        (self.line_end,) = self.text("\n").tolist()
 
-    def __call__(self, text: str | None) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        out, known = [], self.known
-        for part in self.splitter.segments(text or ""):
-            if part in self.splitter.added:
-                out.append(struct.pack("<I", self.splitter.added[part]))
-                continue
-            chunks = chunks_of(part)
-            if missing := [c for c in set(chunks) if c not in known]:
-                if len(known) + len(missing) > MOST_CHUNKS:
-                    known.clear()
-                    missing = list(set(chunks))
-                for c, x in zip(missing, self.library.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                    known[c] = np.array(x.ids, "<u4").tobytes()
-            out += [known[c] for c in chunks]
-        return b"".join(out)
+    def text(self, text: str) -> np.ndarray:
+        """The ids of one text as the library gives them."""
+        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        words = [c for c in chunks if not c.isspace()]
+        ids = self.text(b"\n".join([b"", *words]).decode())
+        ends = ids == self.line_end
+        ids, size = ids[~ends], np.diff(np.append(np.flatnonzero(ends), len(ids))) - 1
+        if len(words) == len(chunks):
+            return ids, size
+        found = iter(np.split(ids, np.cumsum(size)[:-1]) if words else ())
+        parts = [self.text(c.decode()) if c.isspace() else next(found) for c in chunks]
+        return np.concatenate(parts), np.array([len(p) for p in parts])
+
+    def __call__(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(first row, end row, ids, ids of each row) for runs of rows."""
+        return encoded(texts, self.table, self.splitter, self.text)
 
 
 _ENCODERS: dict[str, LibraryEncoder] = {}
@@ -174,21 +178,22 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id_
     ranges = max(1, -(-scan_bytes(rows) // RANGE_BYTES))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_text = encoder_of(spec.value)
-        part, seq, end = TaskContext.get().partitionId(), 0, struct.pack("<I", end_id)
+        encode_texts = encoder_of(spec.value)
+        part, seq = TaskContext.get().partitionId(), 0
         names, sizes, data, n = [], [], [], 0
 
         def closed() -> pa.RecordBatch:
-            image = segment(names, sizes, np.frombuffer(b"".join(data), "<u4"))
+            image = segment(names, sizes, np.concatenate(data))
             return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "n_docs": pa.array([len(names)], pa.int64()), "n_tokens": pa.array([n], pa.int64()), "image": pa.array([image], pa.binary())})
 
         for batch in batches:
-            for d, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = encode_text(text.as_py()) + end
-                names.append(d.as_py())
-                sizes.append(len(ids) // 4)
-                data.append(ids)
-                n += sizes[-1]
+            for lo, hi, ids, size in encode_texts(batch.column(1)):
+                ended = np.full(len(ids) + hi - lo, end_id, np.uint32)
+                ended[np.arange(len(ids)) + np.repeat(np.arange(hi - lo), size)] = ids
+                names += batch.column(0).slice(lo, hi - lo).to_pylist()
+                sizes += (size + 1).tolist()
+                data.append(ended)
+                n += len(ended)
                 if n >= SEGMENT_IDS:
                     yield closed()
                     seq += 1
@@ -197,7 +202,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id_
             yield closed()
 
     ordered = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(work, "part int, seq int, n_docs bigint, n_tokens bigint, image binary").write.parquet(path)
+    ordered.mapInArrow(work, "part int, seq int, n_docs bigint, n_tokens bigint, image binary").write.option("parquet.block.size", 16 << 20).parquet(path)
     return path
 
 
