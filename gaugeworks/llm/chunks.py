@@ -32,8 +32,8 @@ BLANKS = byte_class((0x09, 0x0D), (0x20, 0x20))
 #: Bytes that start white space outside ASCII or are controls that need the slower way.
 _ODD = (b"\x1c", b"\x1d", b"\x1e", b"\x1f", b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _ODD_TEXT = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
-#: Chunks a worker remembers before it starts anew: about 25 bytes each.
-MOST_CHUNKS = 2_000_000
+#: Chunks a worker remembers before it starts anew (about 25 bytes each), and text bytes it cuts at a time.
+MOST_CHUNKS, STEP_BYTES = 1_000_000, 1 << 19
 
 
 class Splitter:
@@ -131,7 +131,7 @@ class ChunkTable:
 def encoded(column: pa.Array, table: ChunkTable, splitter: Splitter, slow: Callable[[str], np.ndarray]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Encode a text column in runs of rows: (first row, end row, ids, ids of each
     row).  ``slow`` encodes a text that chunks don't suit."""
-    for lo, hi, data, offsets in slices(column):
+    for lo, hi, data, offsets in slices(column, STEP_BYTES):
         raw = data.tobytes()
         odd = []
         if any(x in raw for x in (*_ODD, *(a.encode() for a in splitter.added))):

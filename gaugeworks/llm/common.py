@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a scanning step holds as work arrays at a time.
 SLICE_BYTES = 1 << 21
 #: Arrow batches sent to Python workers: at most so many bytes and rows.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 4000
+BATCH_BYTES, BATCH_ROWS = 4 << 20, 4000
 
 
 def tune(spark: SparkSession) -> None:
