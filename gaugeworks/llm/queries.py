@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, chosen_path, dac, fm_index
-from gaugeworks.llm.common import table
+from gaugeworks.llm import bpe, chosen_path, dac, fm_index, mil, toxicity
+from gaugeworks.llm.common import remainder, table
+from gaugeworks.llm.training import labelled_sample
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -19,6 +20,30 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
+    """Learned from labels of documents whose remainder by 3 isn't 1."""
+    allowed = remainder(F.col("doc_id"), 3) != 1
+    return toxicity.train(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", allowed, toxicity.PER_CLASS))
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> mil.Model | None:
+    """Learned from labels of documents whose remainder by 4 isn't 2."""
+    allowed = remainder(F.col("doc_id"), 4) != 2
+    return mil.train(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", allowed, mil.PER_CLASS))
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    scored = toxicity.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), toxicity_model(spark, sf_dir))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document."""
+    scored = mil.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's class under Jaccard similarity of five-word n-grams, and its links."""
     return chosen_path.similar_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -45,7 +70,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
+    "op4_quality": op4_quality,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op8_decontamination": op8_decontamination,
     "op10_token_files": op10_token_files,
