@@ -1,7 +1,7 @@
 """Toxicity by Levenshtein automata over a lexicon trie, with context windows.
 
 A lexicon is learned from a bounded sample of labelled documents: words, and stems of
-words, that toxic documents have and clean ones lack.  It is held as a trie.  Running
+words, that toxic documents have and clean ones lack, each with its log odds.  It is held as a trie.  Running
 the trie together with the Levenshtein automaton of every entry gives one
 non-deterministic automaton, made deterministic as words ask for states; so a word
 costs one step a character however large the lexicon is, and misspelled entries are
@@ -9,7 +9,7 @@ found with the number of edits.
 
 Each hit is judged in a window of words around it: inside quotation marks or beside a
 word of reporting it counts as a quotation, else as abuse.  A logistic model over the
-counts of abusive and quoted, exact and misspelled hits gives the score.
+evidence of abusive and quoted, exact and misspelled hits gives the score.
 
 Scoring is one scan without a shuffle.  The lexicon (at most ``MOST_ENTRIES`` entries)
 and the model are the only things sent to workers.
@@ -33,8 +33,9 @@ from gaugeworks.llm.training import fit_logistic, sigmoid
 #: The largest number of labelled documents of each class and of lexicon entries.
 PER_CLASS, MOST_ENTRIES = 4000, 2000
 #: Of an entry: letters at least, the share of incidences (classes weighing the same)
-#: that toxic documents have at least, and how many entries may qualify by chance.
-LEAST_LETTERS, LEAST_SHARE, BY_CHANCE = 4, 0.95, 0.5
+#: that toxic documents have at least (of a stem's: more), and how many entries may
+#: qualify by chance.
+LEAST_LETTERS, LEAST_SHARE, STEM_SHARE, BY_CHANCE = 4, 0.95, 0.995, 0.5
 WINDOW = 6
 #: Quotation marks, and words of reporting in four languages.
 QUOTES = "\"“”„‟«»‹›‘’"
@@ -54,10 +55,11 @@ def edits_allowed(entry: str, stem: bool) -> int:
 class Automaton:
     """The lexicon trie run together with its entries' Levenshtein automata."""
 
-    def __init__(self, words: list[str], stems: list[str]):
+    def __init__(self, entries: list[tuple[str, bool]]):
         self.children: list[dict[str, int]] = [{}]
         self.limit, self.whole, self.stem = [0], [-1], [-1]  # most edits at or below; edits allowed for an entry here
-        for entry, is_stem in [*((w, False) for w in words), *((s, True) for s in stems)]:
+        self.entry = [-1]
+        for number, (entry, is_stem) in enumerate(entries):
             allowed, node = edits_allowed(entry, is_stem), 0
             self.limit[0] = max(self.limit[0], allowed)
             for c in entry:
@@ -67,9 +69,11 @@ class Automaton:
                     self.limit.append(0)
                     self.whole.append(-1)
                     self.stem.append(-1)
+                    self.entry.append(-1)
                 node = self.children[node][c]
                 self.limit[node] = max(self.limit[node], allowed)
             (self.stem if is_stem else self.whole)[node] = allowed
+            self.entry[node] = number
         self.letters = {c for below in self.children for c in below}
         self._start_over()
 
@@ -77,7 +81,7 @@ class Automaton:
         self.states: list[frozenset[tuple[int, int]]] = []
         self.number: dict[frozenset[tuple[int, int]], int] = {}
         self.steps: dict[tuple[int, str], int] = {}
-        self.ends: list[int] = []  # edits of the best entry if the word ends here, or -1
+        self.ends: list[int] = []  # 4 * entry + edits of the best entry if the word ends here, or -1
         self.start = self._state({(0, 0)})
 
     def _state(self, places: set[tuple[int, int]]) -> int:
@@ -95,8 +99,8 @@ class Automaton:
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
-            fits = [e for n, e in key if max(self.whole[n], self.stem[n]) >= e]
-            self.ends.append(min(fits, default=-1))
+            fits = [(e, self.entry[n]) for n, e in key if max(self.whole[n], self.stem[n]) >= e]
+            self.ends.append(4 * min(fits)[1] + min(fits)[0] if fits else -1)
         return self.number[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -112,8 +116,8 @@ class Automaton:
                     places.add((child, cost))
         return self._state(places)
 
-    def edits(self, word: str) -> int:
-        """Edits between a word and the nearest entry within its limit, or -1."""
+    def match(self, word: str) -> int:
+        """4 * entry + edits of the nearest entry within its limit, or -1."""
         if len(self.steps) > 500_000:
             self._start_over()
         state, steps = self.start, self.steps
@@ -130,37 +134,40 @@ class Automaton:
 
 @dataclass
 class Lexicon:
-    """Entries and the weights of the score."""
+    """Entries, what each tells, and the weights of the score."""
 
-    words: list[str]
-    stems: list[str]
+    entries: list[tuple[str, bool]]  # and whether it is a stem
+    odds: list[float]  # log odds that an incidence of an entry is in a toxic document
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
 
-#: Where the weights start: of the features in the order of ``FEATURES``, and the constant.
-FEATURES = ("abusive", "quoted", "misspelled", "misspelled_quoted", "any_abuse")
-PRIOR = np.array([1.5, 0.5, 1.0, 0.25, 3.0, -3.0])
+#: Evidence (log odds summed over hits) by kind of hit, and the strongest abusive hit's;
+#: where their weights and the constant start.
+FEATURES = ("abusive", "quoted", "misspelled", "misspelled_quoted", "strongest")
+PRIOR = np.array([0.5, 0.1, 0.3, 0.05, 0.5, -3.0])
+#: Evidence of one kind counts up to this.
+MOST_EVIDENCE = 20.0
 
 
 class Scanner:
     """Finds hits in texts with one lexicon; one for each worker."""
 
     def __init__(self, lexicon: Lexicon):
-        self.automaton = Automaton(lexicon.words, lexicon.stems)
-        self.hashes, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int8)
+        self.automaton, self.odds = Automaton(lexicon.entries), lexicon.odds
+        self.hashes, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def verdicts(self, hashes: np.ndarray, first: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Edits of each distinct word of a slice, or -1; new words run through the automaton."""
+        """Matches of the distinct words of a slice; new words run through the automaton."""
         at = np.minimum(np.searchsorted(self.hashes, hashes), max(0, len(self.hashes) - 1))
         new = self.hashes[at] != hashes if len(self.hashes) else np.ones(len(hashes), bool)
         if new.any():
             if len(self.hashes) + new.sum() > MOST_WORDS:
                 self.hashes, self.codes, new = self.hashes[:0], self.codes[:0], np.ones(len(hashes), bool)
             k = first[new]
-            edits = self.automaton.edits
-            found = [edits(raw[a:b].decode("utf-8", "replace").strip(STRIP).lower()) for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)]
+            match = self.automaton.match
+            found = [match(raw[a:b].decode("utf-8", "replace").strip(STRIP).lower()) for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)]
             where = np.searchsorted(self.hashes, hashes[new])
-            self.hashes, self.codes = np.insert(self.hashes, where, hashes[new]), np.insert(self.codes, where, np.array(found, np.int8))
+            self.hashes, self.codes = np.insert(self.hashes, where, hashes[new]), np.insert(self.codes, where, np.array(found, np.int32))
             at = np.searchsorted(self.hashes, hashes)
         return self.codes[at]
 
@@ -174,16 +181,17 @@ class Scanner:
                 continue
             raw = data.tobytes()
             hashes, first, inverse = np.unique(hash_runs(data, member, starts, ends), return_index=True, return_inverse=True)
-            edits = self.verdicts(hashes, first, raw, starts, ends)[inverse]
+            code = self.verdicts(hashes, first, raw, starts, ends)[inverse]
             bounds = np.searchsorted(doc, np.arange(hi - lo + 1))
-            for k in np.flatnonzero(edits >= 0).tolist():
+            for k in np.flatnonzero(code >= 0).tolist():
                 d = int(doc[k])
                 left, right = max(int(bounds[d]), k - WINDOW), min(int(bounds[d + 1]), k + WINDOW + 1) - 1
                 quoted = self.is_quoted(raw[starts[left] : starts[k]], raw[starts[k] : ends[k]], raw[ends[k] : ends[right]])
-                out[lo + d, 2 * int(edits[k] > 0) + quoted] += 1
-        out[:, 4] = out[:, 0] > 0
-        out[:, :4] = np.log1p(out[:, :4])
-        return out
+                kind, odds = 2 * int(code[k] & 3 > 0) + quoted, self.odds[code[k] >> 2]
+                out[lo + d, kind] += odds
+                if kind == 0:
+                    out[lo + d, 4] = max(out[lo + d, 4], odds)
+        return np.minimum(out, MOST_EVIDENCE)
 
     @staticmethod
     def is_quoted(before: bytes, word: bytes, after: bytes) -> int:
@@ -200,15 +208,15 @@ _SCANNERS: dict[tuple, Scanner] = {}
 
 
 def scanner_of(lexicon: Lexicon) -> Scanner:
-    key = (tuple(lexicon.words), tuple(lexicon.stems))
+    key = (tuple(lexicon.entries), tuple(lexicon.odds))
     if key not in _SCANNERS:
         _SCANNERS.clear()
         _SCANNERS[key] = Scanner(lexicon)
     return _SCANNERS[key]
 
 
-def learn_entries(sample: DataFrame) -> tuple[list[str], list[str]]:
-    """(words, stems) that tell toxic from clean documents of (doc_id, text, y).
+def learn_entries(sample: DataFrame) -> Lexicon:
+    """The words and stems that tell toxic from clean documents of (doc_id, text, y).
 
     Copies would count a document's every word many times over, so of texts with the
     same smallest five-word n-gram one is kept.  Words are counted by documents; counts
@@ -222,28 +230,42 @@ def learn_entries(sample: DataFrame) -> tuple[list[str], list[str]]:
     docs = sample.select("y", words.alias("w")).where("size(w) > 0").withColumn("gram", grams).dropDuplicates(["gram"])
     n_clean, n_toxic = docs.agg(F.sum(1 - F.col("y")), F.sum("y")).first()
     if not n_clean or not n_toxic:
-        return [], []
+        return Lexicon([], [])
     seen = docs.select("y", F.explode(F.array_distinct("w")).alias("w")).where(F.length("w") >= LEAST_LETTERS)
     seen = seen.groupBy("w").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
     seen = persist(seen, "words")
     n, toxic, clean = seen.agg(F.sum(F.length("w") - LEAST_LETTERS + 1), F.sum("toxic"), F.sum("clean")).first()
     if not toxic or not clean:
-        return [], []
+        return Lexicon([], [])
     least = max(3, math.ceil(math.log(BY_CHANCE / n) / math.log(toxic / (toxic + clean))))
     parts = seen.select("w", "toxic", "clean", F.explode(F.expr(f"transform(sequence({LEAST_LETTERS}, length(w)), n -> left(w, n))")).alias("p"))
     parts = parts.groupBy("p").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum(F.when(F.col("p") == F.col("w"), F.col("toxic")).otherwise(0)).alias("whole"))
     share = F.col("toxic") / n_toxic / (F.col("toxic") / n_toxic + F.col("clean") / n_clean)
-    kept = parts.where((F.col("toxic") >= least) & (share >= LEAST_SHARE)).orderBy(F.desc("toxic"), "p").limit(20 * MOST_ENTRIES).collect()
-    count, whole = {r.p: r.toxic for r in kept}, {r.p: r.whole for r in kept}
+    kept = parts.where((F.col("toxic") >= least) & (share >= LEAST_SHARE)).withColumn("share", share).orderBy(F.desc("toxic"), "p").limit(20 * MOST_ENTRIES).collect()
+    rows = {r.p: r for r in kept}
     longer: dict[str, list[str]] = {}
-    for p in count:
+    for p in rows:
         longer.setdefault(p[:-1], []).append(p)
-    out: tuple[list[str], list[str]] = ([], [])
-    for p in sorted((p for p in count if p[:-1] not in count), key=lambda p: (-count[p], p))[:MOST_ENTRIES]:
-        top = count[p]
-        while (more := max(longer.get(p, ()), key=lambda q: (count[q], q), default=None)) and count[more] >= 0.98 * top:
+    out = Lexicon([], [])
+
+    def add(p: str, is_stem: bool) -> None:
+        out.entries.append((p, is_stem))
+        out.odds.append(max(0.5, math.log((rows[p].toxic + 0.5) / n_toxic) - math.log((rows[p].clean + 0.5) / n_clean)))
+
+    todo = sorted((p for p in rows if p[:-1] not in rows), key=lambda p: (rows[p].toxic, p))
+    while todo and len(out.entries) < MOST_ENTRIES:
+        p = todo.pop()
+        top = rows[p].toxic
+        while (more := max(longer.get(p, ()), key=lambda q: (rows[q].toxic, q), default=None)) and rows[more].toxic >= 0.98 * top:
             p = more
-        out[whole[p] < 0.9 * top].append(p)
+        if rows[p].whole >= 0.9 * rows[p].toxic:
+            add(p, False)
+        elif rows[p].share >= STEM_SHARE:
+            add(p, True)
+        else:  # too many clean words go on from here: try the longer prefixes
+            todo += longer.get(p, ())
+            if rows[p].whole >= least:
+                add(p, False)
     return out
 
 
@@ -265,9 +287,9 @@ def train(sample: DataFrame) -> Lexicon:
     """Learn entries and weights from a bounded sample (doc_id, text, y).  Without
     documents of both labels the lexicon is empty and every text scores alike."""
     tune(sample.sparkSession)
-    lexicon = Lexicon(*learn_entries(sample))
+    lexicon = learn_entries(sample)
     rows = score_features(sample, lexicon, "doc_id", "text", ["y"]).select("y", *FEATURES).collect()
-    if rows and lexicon.words + lexicon.stems:
+    if rows and lexicon.entries:
         data = np.array(rows, float)
         lexicon.weights = fit_logistic(data[:, 1:], data[:, 0], PRIOR, 0.2)
         lexicon.weights[:-1] = np.maximum(lexicon.weights[:-1], 0)  # a hit never speaks for a text
@@ -275,8 +297,8 @@ def train(sample: DataFrame) -> Lexicon:
 
 
 def score_documents(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document row: its id and ``score`` (0 to 1), with the logarithms of
-    the counts in ``FEATURES``.  Null and empty texts have no hits and get the score of
+    """One row per document row: its id and ``score`` (0 to 1), with the evidence
+    in ``FEATURES``.  Null and empty texts have no hits and get the score of
     a text without hits.  Repeated rows score alike; an empty table gives none."""
     tune(docs.sparkSession)
     return score_features(docs, lexicon, id_col, text_col, [id_col])

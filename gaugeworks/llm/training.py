@@ -37,12 +37,19 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: floa
     x = np.column_stack([x, np.ones(len(x))])
     w = prior.astype(float).copy()
     share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((share * (np.logaddexp(0, z) - y * z)).sum() + strength / 2 * ((w - prior) ** 2).sum())
+
     for _ in range(rounds):
         p = sigmoid(x @ w)
         gradient = x.T @ (share * (p - y)) + strength * (w - prior)
         hessian = (x * (share * p * (1 - p))[:, None]).T @ x + strength * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        step, size, now = np.linalg.solve(hessian, gradient), 1.0, loss(w)
+        while size > 1e-6 and loss(w - size * step) > now:
+            size /= 2
+        w = w - size * step
+        if np.abs(size * step).max() < 1e-6:
             break
     return w
