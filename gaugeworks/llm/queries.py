@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, chosen_path, dac, fm_index, mil, toxicity
+from gaugeworks.llm import bpe, chosen_path, codewords, dac, fm_index, mil, toxicity, urls
 from gaugeworks.llm.common import remainder, table
 from gaugeworks.llm.training import labelled_sample
 
@@ -54,6 +54,22 @@ def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = codewords.train(docs.where(remainder(F.col("doc_id"), 5) != 0))
+    return codewords.identify(docs, model).select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+#: (verdict, host and path) of the registered query.
+URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's URL."""
+    return urls.judge(table(spark, sf_dir, "pages", "page_id", "url"), URL_RULES)
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document, those inside benchmark windows, and the items hit."""
     found = fm_index.find_contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
@@ -74,6 +90,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_jaccard_join": op2_jaccard_join,
     "op4_quality": op4_quality,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
+    "op6_language": op6_language,
+    "op7_url_filter": op7_url_filter,
     "op8_decontamination": op8_decontamination,
     "op10_token_files": op10_token_files,
 }
