@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, chosen_path, codewords, dac, fm_index, mil, toxicity, urls
+from gaugeworks.llm import bpe, chosen_path, codewords, dac, fm_index, mil, prefix_forest, toxicity, urls
 from gaugeworks.llm.common import remainder, table
 from gaugeworks.llm.training import labelled_sample
 
@@ -80,6 +80,11 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth."""
+    return prefix_forest.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents' ids written in directly addressable codes and read back."""
     return dac.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), end_id=2)
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language": op6_language,
     "op7_url_filter": op7_url_filter,
     "op8_decontamination": op8_decontamination,
+    "op9_nearest": op9_nearest,
     "op10_token_files": op10_token_files,
 }
 
