@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bpe, chosen_path, codewords, dac, fm_index, mil, prefix_forest, toxicity, urls
+from gaugeworks.llm import bloom_lm, bpe, chosen_path, codewords, dac, fm_index, mil, prefix_forest, toxicity, urls
 from gaugeworks.llm.common import remainder, table
 from gaugeworks.llm.training import labelled_sample
 
@@ -49,6 +49,12 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen_path.similar_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and bigram log probabilities of every document."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("train", remainder(F.col("doc_id"), 10) != 0)
+    return bloom_lm.score_corpus(docs, train_col="train").select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     return bpe.digest_documents(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path())
@@ -93,6 +99,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_lm_score": op3_lm_score,
     "op4_quality": op4_quality,
     "op5_bpe_roundtrip": op5_bpe_roundtrip,
     "op6_language": op6_language,
