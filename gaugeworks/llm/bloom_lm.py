@@ -54,7 +54,7 @@ class LogFrequencyFilter:
                 np.bitwise_or.at(self.bits, slot >> np.uint64(3), np.uint8(1) << (slot & np.uint64(7)).astype(np.uint8))
 
     def _slots(self, keys: np.ndarray, q: int):
-        first = mix(keys + np.uint64(q) * np.uint64(0x9E3779B97F4A7C15))
+        first = mix(keys + np.uint64(q * 0x9E3779B97F4A7C15 & 2**64 - 1))
         step = mix(first) | np.uint64(1)
         for k in range(HASHES):
             yield (first + np.uint64(k) * step) % np.uint64(self.size)

@@ -90,9 +90,11 @@ def minima(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def features(docs: DataFrame, size: int, threshold: float) -> DataFrame:
-    """id, two 64-bit signatures of the set, its n-grams, root keys and sketch."""
+    """id, hash of the text, two 64-bit signatures of the set, its n-grams, root keys and sketch."""
     choices = root_choices(threshold)
 
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where = np.array([p for _, p in choices])
         salt = mix(np.array([run * 1000 + p + 1 for run, p in choices], np.uint64))
@@ -110,13 +112,13 @@ def features(docs: DataFrame, size: int, threshold: float) -> DataFrame:
                     for k, x in enumerate((grams, mix(grams + np.uint64(1)))):
                         signs[k, full] = np.add.reduceat(x, at[:-1][full])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(signs[0].view(np.int64)), pa.array(signs[1].view(np.int64)), pa.array(n.astype(np.int64)),
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(signs[0].view(np.int64)), pa.array(signs[1].view(np.int64)), pa.array(n.astype(np.int64)),
                      pa.ListArray.from_arrays(pa.array(np.arange(hi - lo + 1, dtype=np.int32) * len(choices)), pa.array(keys.ravel().view(np.int64))),
                      pa.array([x.tobytes() for x in sketch], pa.binary())],
-                    names=["doc_id", "sign_a", "sign_b", "n", "keys", "sketch"],
+                    names=["doc_id", "text_hash", "sign_a", "sign_b", "n", "keys", "sketch"],
                 )
 
-    return docs.mapInArrow(work, "doc_id bigint, sign_a bigint, sign_b bigint, n bigint, keys array<bigint>, sketch binary")
+    return docs.mapInArrow(work, "doc_id bigint, text_hash bigint, sign_a bigint, sign_b bigint, n bigint, keys array<bigint>, sketch binary")
 
 
 def alike(sketches: np.ndarray, least: int) -> np.ndarray:
@@ -289,7 +291,7 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     """One row per document row: ``doc_id``, ``class_id`` (the smallest id among the
     documents that links connect), ``copy_id`` (the smallest id with the same n-gram
     set), ``n_links`` (other documents with a Jaccard similarity of ``threshold`` or
-    more, copies included).
+    more, copies included), and ``text_hash`` (to tell rows of one id apart).
 
     Null and empty texts and texts without words link to nothing and are their own
     class; so are rows with a null id.  An id that repeats over different texts gets a
@@ -311,5 +313,16 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     roots = roots.join(roots.groupBy("root").agg(F.min("rep").alias("class_id")), "root").select("cls", "class_id")
     of = classes.select("cls", "rep", "copies").join(links, "cls", "left").join(roots, "cls", "left")
     of = of.select(F.col("cls").alias("sign_a"), "rep", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("class_id", "rep").alias("root"))
-    out = known.select("doc_id", F.when(F.expr("n > 0 and doc_id is not null"), F.col("sign_a")).alias("sign_a")).join(of, "sign_a", "left")
-    return out.select("doc_id", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+    out = known.select("doc_id", "text_hash", F.when(F.expr("n > 0 and doc_id is not null"), F.col("sign_a")).alias("sign_a")).join(of, "sign_a", "left")
+    return out.select("doc_id", "text_hash", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
+
+
+def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with one row of each class of similar documents: the one with the
+    smallest id.  All columns stay; rows with a null id all stay."""
+    classes = persist(similar_documents(docs, **options), "similar").where("doc_id is not null")
+    kept = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
+    rows = docs.withColumn("_hash", F.xxhash64("text"))
+    same = (rows["doc_id"] == kept["doc_id"]) & (rows["_hash"] == kept["text_hash"])
+    one = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
+    return one.unionByName(rows.where("doc_id is null")).drop("_hash")

@@ -20,16 +20,18 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.Lexicon:
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> toxicity.Lexicon:
     """Learned from labels of documents whose remainder by 3 isn't 1."""
     allowed = remainder(F.col("doc_id"), 3) != 1
-    return toxicity.train(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", allowed, toxicity.PER_CLASS))
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    return toxicity.train(labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", allowed, toxicity.PER_CLASS))
 
 
-def quality_model(spark: SparkSession, sf_dir: str) -> mil.Model | None:
+def quality_model(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> mil.Model | None:
     """Learned from labels of documents whose remainder by 4 isn't 2."""
     allowed = remainder(F.col("doc_id"), 4) != 2
-    return mil.train(labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", allowed, mil.PER_CLASS))
+    docs = table(spark, sf_dir, "documents") if docs is None else docs
+    return mil.train(labelled_sample(docs, table(spark, sf_dir, "labels"), "quality", allowed, mil.PER_CLASS))
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +48,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's class under Jaccard similarity of five-word n-grams, and its links."""
-    return chosen_path.similar_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return chosen_path.similar_documents(table(spark, sf_dir, "documents", "doc_id", "text")).drop("text_hash")
 
 
 def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
