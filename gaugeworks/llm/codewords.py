@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import LOWER, byte_class, persist, slices, tune
 
-#: Documents of each language that are learned from, bytes taken in of one at most in
-#: training, and languages at most (the most frequent).
-PER_LANGUAGE, TRAIN_BYTES, MOST_LANGUAGES = 1500, 20_000, 500
+#: Documents that are learned from in all (dealt evenly to the languages, four at least),
+#: bytes taken in of one at most in training, and languages at most (the most frequent).
+MOST_DOCUMENTS, TRAIN_BYTES, MOST_LANGUAGES = 2000, 20_000, 500
 BITS, SLOTS, ROUNDS = 15, 1 << 13, 60
 UNDETERMINED = "und"
 _LETTER = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
@@ -100,15 +100,16 @@ class Model:
 def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
     """Learn from a bounded sample of rows with a language; None if there is none.
 
-    The sample's n-gram shares are computed on the workers and gathered (PER_LANGUAGE
-    vectors a language); averaged gradient descent on the logistic loss of each bit.
+    The sample's n-gram shares are computed on the workers and gathered (about
+    MOST_DOCUMENTS vectors); full-batch gradient descent on the logistic loss of each bit.
     """
     tune(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("t is not null and l is not null and t <> ''")
     sizes = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
     if not sizes:
         return None
-    wanted = {r["l"]: min(1.0, 1.2 * PER_LANGUAGE / r["count"]) for r in sizes}
+    each = max(4, MOST_DOCUMENTS // len(sizes))
+    wanted = {r["l"]: min(1.0, (1.2 * each + 30) / r["count"]) for r in sizes}
     share = F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair])[F.col("l")]
     some = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 20)) < share * (1 << 20))
 
@@ -128,18 +129,19 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     code = codewords(len(languages))
     x, y = [], []
     for number, language in enumerate(languages):
-        bags = [r.x for r in found.where(F.col("l") == language).orderBy(F.xxhash64("id"), "id").limit(max(20, min(PER_LANGUAGE, 6000 // len(languages)))).select("x").toLocalIterator()]
-        x += [np.frombuffer(b, np.float16).astype(np.float32) for b in bags]
+        bags = [r.x for r in found.where(F.col("l") == language).orderBy(F.xxhash64("id"), "id").limit(each).select("x").collect()]
+        x += [np.frombuffer(b, np.float16) for b in bags]
         y += [number] * len(bags)
-    return Model(languages, code, fit(np.stack(x), np.array(y), code))
+    return Model(languages, code, fit(np.stack(x).astype(np.float32), np.array(y), code))
 
 
 def fit(x: np.ndarray, y: np.ndarray, code: np.ndarray) -> np.ndarray:
     """All bits' logistic regressions at once (Adam on the mean loss, classes weighing
     the same); the weights take texts' n-gram shares."""
-    scale = 1 / (x.std(axis=0) + 1e-3)
     mean = x.mean(axis=0)
-    x = (x - mean) * scale
+    x -= mean
+    scale = 1 / (np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + 1e-3)
+    x *= scale
     target = (code[y] > 0).astype(np.float32)
     weight = (1 / np.bincount(y, minlength=len(code))[y] / len(code)).astype(np.float32)[:, None]
     w, b = np.zeros((x.shape[1], code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
