@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Marks deleted rather than spaced, and words written together or apart.
@@ -129,6 +130,42 @@ def edits(ref: Column, hyp: Column) -> Column:
     return F.struct(last["m"].alias("n_match"), last["s"].alias("n_sub"), last["d"].alias("n_del"), last["i"].alias("n_ins"))
 
 
+def _backtrace(ref: list[str], hyp: list[str]) -> list[tuple[str, str | None, str | None]]:
+    """Edits in order, from the cost matrix; seen from the end a match comes before a
+    substitution, a deletion and an insertion of equal cost."""
+    import numpy as np
+
+    n, m = len(ref), len(hyp)
+    cost = np.zeros((n + 1, m + 1), int)
+    cost[:, 0], cost[0] = range(n + 1), range(m + 1)
+    for i in range(1, n + 1):
+        for j in range(1, m + 1):
+            cost[i, j] = min(cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+    out, i, j = [], n, m
+    while i or j:
+        if i and j and cost[i, j] == cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
+            out.append(("match" if ref[i - 1] == hyp[j - 1] else "sub", ref[i - 1], hyp[j - 1]))
+            i, j = i - 1, j - 1
+        elif i and cost[i, j] == cost[i - 1, j] + 1:
+            out.append(("del", ref[i - 1], None))
+            i -= 1
+        else:
+            out.append(("ins", None, hyp[j - 1]))
+            j -= 1
+    return out[::-1]
+
+
+def edit_lists(rows: DataFrame, ref: str, hyp: str, name: str = "edits") -> DataFrame:
+    """``rows`` with the full list of edits between two token arrays, in Arrow batches."""
+    kind = "array<struct<op:string,ref:string,hyp:string>>"
+
+    @F.pandas_udf(kind)
+    def align(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([[{"op": o, "ref": r, "hyp": h} for o, r, h in _backtrace(list(x), list(y))] for x, y in zip(a, b, strict=True)])
+
+    return rows.withColumn(name, align(F.col(ref), F.col(hyp)))
+
+
 def wer(counts: Column, n_ref: Column) -> Column:
     """Errors a reference word; without one 1 if anything was heard, else 0."""
     errors = counts["n_sub"] + counts["n_del"] + counts["n_ins"]

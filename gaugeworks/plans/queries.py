@@ -613,3 +613,174 @@ def signal_frames(spark, d):
     """Spectral features of frames, by clip."""
     e = read(spark, d, "embeddings", "vec_id", "embedding")
     return signal.summaries(signal.frames_of(e, "vec_id", "embedding", 640), "vec_id")
+
+
+# ------------------------------------------------------- words, windows, checks, sources
+
+
+@query(f"WITH n AS (SELECT lang, len(string_split(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS a, {_NORM.format(x='text')} AS t FROM documents) SELECT lang, count(*) AS n, round(avg(a - CASE WHEN t = '' THEN 0 ELSE len(string_split(t, ' ')) END), 9) AS shift FROM n GROUP BY 1")
+def normalization_shift(spark, d):
+    """What normalization does to the number of tokens, by language."""
+    t = read(spark, d, "documents", "lang", "text")
+    raw = F.size(F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " "))
+    return t.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(raw - F.size(text.normalize(F.col("text")))), 9).alias("shift"))
+
+
+_X = rf"""x0 AS (SELECT conv_id, turn, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ')[1:40] END AS t FROM (SELECT conv_id, turn, {_NORM.format(x='text')} AS t FROM conversations)),
+x AS (SELECT * FROM (SELECT conv_id, turn, t AS ref, lead(t) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM x0) WHERE hyp IS NOT NULL)"""
+
+
+@query(f"WITH {_X} SELECT conv_id, turn, len(hyp) AS n_words, len(list_filter(hyp, lambda w: NOT list_contains(ref, w))) AS n_foreign FROM x")
+def foreign_words(spark, d):
+    """Words of each answer that its turn lacks; repeats count."""
+    x = exchanges(spark, d)
+    return x.select("conv_id", "turn", F.size("hyp").cast("long").alias("n_words"), F.size(F.filter("hyp", lambda w: ~F.array_contains(F.col("ref"), w))).cast("long").alias("n_foreign"))
+
+
+def exchange_edits(spark, d):
+    x = text.edit_lists(exchanges(spark, d).withColumn("clip_id", F.concat_ws("-", "conv_id", "turn")), "ref", "hyp")
+    return x
+
+
+@query()
+def word_inventory(spark, d):
+    """Destroyed words, their chances and their commonest confusions."""
+    x = exchange_edits(spark, d)
+    chances = x.select(F.explode("ref").alias("word")).groupBy("word").agg(F.count("*").alias("n_chances"))
+    return edits.word_inventory(x.select(F.explode("edits").alias("e")).select("e.*"), chances)
+
+
+@query()
+def insertion_origins(spark, d):
+    """Inserted words by conversation and in all, foreign or from the turn itself."""
+    x = exchange_edits(spark, d)
+    own = x.select("clip_id", F.explode("ref").alias("word"))
+    return edits.insertions(x.select("clip_id", "conv_id", F.explode("edits").alias("e")).select("clip_id", "conv_id", "e.op", "e.hyp"), own, ["conv_id"])
+
+
+@query("SELECT vec_id, round(list_aggregate(embedding::DOUBLE[], 'avg'), 6) AS mean, round(list_aggregate(embedding::DOUBLE[], 'quantile_cont', 0.5), 9) AS median, round(list_aggregate(embedding::DOUBLE[], 'quantile_cont', 0.1), 9) AS p10, list_aggregate(embedding::DOUBLE[], 'min') AS min, list_aggregate(embedding::DOUBLE[], 'max') AS max FROM embeddings")
+def array_aggregates(spark, d):
+    """Aggregates of an array column, quantiles by linear interpolation."""
+    e = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.col("embedding").cast("array<double>").alias("a"))
+    x = calibration.row_aggregates("a")
+    return e.select("vec_id", F.round(x["mean"], 6).alias("mean"), F.round(x["median"], 9).alias("median"), F.round(x["p10"], 9).alias("p10"), x["min"].alias("min"), x["max"].alias("max"))
+
+
+@query("WITH m AS (SELECT lang, median(n_chars) AS med FROM documents GROUP BY 1) SELECT doc_id, round(n_chars / med, 9) AS ratio FROM documents JOIN m USING (lang) WHERE n_chars > 4 * med OR n_chars < med / 4")
+def corpus_gate(spark, d):
+    """Documents whose length is far from their language's median."""
+    x = read(spark, d, "documents", "doc_id", "lang", "n_chars")
+    med = x.groupBy("lang").agg(F.median("n_chars").alias("med"))
+    return x.join(med, "lang").where((F.col("n_chars") > 4 * F.col("med")) | (F.col("n_chars") < F.col("med") / 4)).select("doc_id", F.round(F.col("n_chars") / F.col("med"), 9).alias("ratio"))
+
+
+@query(f"WITH {C_SQL}, q AS (SELECT quantile_cont(snr_db, 1 / 3.0::DOUBLE) AS a, quantile_cont(snr_db, 2 / 3.0::DOUBLE) AS b FROM c) SELECT model, round(avg(wer) FILTER (snr_db <= a), 9) AS low, round(avg(wer) FILTER (snr_db >= b), 9) AS high, count(*) FILTER (snr_db <= a OR snr_db >= b) AS n FROM c, q GROUP BY 1")
+def tercile_contrast(spark, d):
+    """Mean error in the lower and the upper third of a continuous factor."""
+    c = conditions(spark, d)
+    low, high = edits.terciles(c, "snr_db")
+    return c.groupBy("model").agg(F.round(F.avg(F.when(low, F.col("wer"))), 9).alias("low"), F.round(F.avg(F.when(high, F.col("wer"))), 9).alias("high"), F.count_if(low | high).alias("n"))
+
+
+_E = Window.partitionBy("user_id").orderBy("ts", "event_id")
+
+
+@query("SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS best FROM events")
+def running_best(spark, d):
+    """The least value so far, by user."""
+    return read(spark, d, "events", "event_id", "user_id", "ts", "value").select("event_id", F.min("value").over(_E.rowsBetween(Window.unboundedPreceding, 0)).alias("best"))
+
+
+@query("WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT user_id, min(k) FILTER (value <= 5) AS n_to_target FROM n GROUP BY 1")
+def first_reaching(spark, d):
+    """How many events it takes each user to reach a target; NULL if never."""
+    n = read(spark, d, "events", "event_id", "user_id", "ts", "value").withColumn("k", F.row_number().over(_E).cast("long"))
+    return n.groupBy("user_id").agg(F.min(F.when(F.col("value") <= 5, F.col("k"))).alias("n_to_target"))
+
+
+@query("WITH s AS (SELECT user_id, ts, event_id, sign(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS s FROM events), f AS (SELECT user_id, s <> lag(s) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS f FROM s WHERE s <> 0) SELECT user_id, count(*) FILTER (f) AS n_sign_flips FROM f GROUP BY 1")
+def direction_changes(spark, d):
+    """How often each user's values change direction."""
+    e = read(spark, d, "events", "event_id", "user_id", "ts", "value").withColumn("at", F.struct("ts", "event_id"))
+    return sensitivity.monotonicity(e, ["user_id"], "at", "value")
+
+
+@query("SELECT p_partkey FROM part ANTI JOIN lineitem ON p_partkey = l_partkey")
+def missing_references(spark, d):
+    """Dimension rows that no fact refers to."""
+    return read(spark, d, "part", "p_partkey").join(read(spark, d, "lineitem", "l_partkey").withColumnRenamed("l_partkey", "p_partkey"), "p_partkey", "left_anti")
+
+
+@query("SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem WHERE l_linenumber % 2 = 1 EXCEPT SELECT l_partkey, l_suppkey FROM lineitem WHERE l_linenumber % 2 = 0")
+def lost_cells(spark, d):
+    """Cells of a prior table that a new one lacks: what the shrink guard refuses."""
+    x = read(spark, d, "lineitem", "l_partkey", "l_suppkey", "l_linenumber").select(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), (F.col("l_linenumber") % 2).alias("k"))
+    return x.where("k = 1").select("p", "s").distinct().join(x.where("k = 0").select("p", "s"), ["p", "s"], "left_anti")
+
+
+@query(f"WITH {M_SQL} SELECT model, count(*) FILTER (NOT failed AND mean_conf IS NOT NULL) AS n_spoke, count(*) FILTER (NOT failed AND n_ref - n_del + n_ins <= 0) AS n_silent, count(*) FILTER (NOT failed AND (mean_conf IS NULL) <> (n_ref - n_del + n_ins <= 0)) AS n_disagree FROM m GROUP BY 1")
+def spoke_census(spark, d):
+    """Rows that spoke and rows that were silent, and where the two notions differ."""
+    m = S.usable(measurements(spark, d))
+    return m.groupBy("model").agg(F.count_if(S.spoke()).alias("n_spoke"), F.count_if(S.is_silent()).alias("n_silent"), F.count_if(S.spoke() == S.is_silent()).alias("n_disagree"))
+
+
+@query(f"""WITH {M_SQL}, v AS (SELECT model, CASE k WHEN 0 THEN 'mean_conf' ELSE 'n_words' END AS score_name, CASE k WHEN 0 THEN mean_conf ELSE (n_ref - n_del + n_ins)::DOUBLE END AS s, (wer < 0.3)::INT AS good FROM m, range(2) r(k) WHERE NOT failed AND mean_conf IS NOT NULL),
+a AS (SELECT model, score_name, good, rank() OVER (PARTITION BY model, score_name ORDER BY s) + (count(*) OVER (PARTITION BY model, score_name, s) - 1) / 2.0 AS r FROM v)
+SELECT model, score_name, sum(good)::BIGINT AS n_good, sum(1 - good)::BIGINT AS n_bad, round((sum(r * good) - sum(good) * (sum(good) + 1) / 2.0) / nullif(sum(good) * sum(1 - good), 0), 9) AS auroc FROM a GROUP BY 1, 2""")
+def separation(spark, d):
+    """How well each aggregate of confidence tells good rows from bad, and a control."""
+    m = S.usable(measurements(spark, d)).where("mean_conf is not null").withColumn("n_words", S.n_hyp().cast("double"))
+    parts = F.explode(F.array(*[F.struct(F.lit(n).alias("score_name"), F.col(n).alias("s")) for n in ("mean_conf", "n_words")]))
+    x = m.select("model", "wer", parts.alias("p")).select("model", "wer", "p.*")
+    return ranking.auroc(x, ["model", "score_name"], "s", F.col("wer") < S.WER_HI).select("model", "score_name", "n_good", "n_bad", *r9("auroc"))
+
+
+@query(f"WITH {G_SQL} SELECT model, count(*) FILTER (mean_conf IS NOT NULL AND wer_spoke >= 0.3 AND conf_pct >= 0.6) AS n_macro, count(*) FILTER (mean_conf IS NOT NULL AND wer_micro_spoke >= 0.3 AND conf_pct >= 0.6) AS n_micro FROM g GROUP BY 1")
+def estimand_probe(spark, d):
+    """Dead zones under two estimands of the same error."""
+    g = gaps(spark, d)
+    return g.groupBy("model").agg(F.count_if(taxonomy.flag("wer_spoke")).alias("n_macro"), F.count_if(taxonomy.flag("wer_micro_spoke")).alias("n_micro"))
+
+
+@query(r"""WITH p AS (SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}_]+', ' ', 'g')) AS t, trim(regexp_replace(lower(p_brand), '[^\p{L}\p{N}_]+', ' ', 'g')) AS b, string_split(trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}_]+', ' ', 'g')), ' ')[1] AS w FROM part)
+SELECT p_partkey, 2 AS n_slots, (1 + contains(' ' || t || ' ', ' ' || b || ' ')::INT)::INT AS n_hit, NOT contains(' ' || t || ' ', ' ' || b || ' ') AS critical_failure FROM p""")
+def task_results(spark, d):
+    """Entities that must survive in a transcript, by slot."""
+    p = read(spark, d, "part", "p_partkey", "p_name", "p_brand")
+    slots = F.create_map(F.lit("name"), text.normalize(F.col("p_name"))[0], F.lit("brand"), F.col("p_brand"))
+    x = p.select("p_partkey", text.task_result(F.col("p_name"), slots, F.array(F.lit("brand"))).alias("r"))
+    return x.select("p_partkey", "r.n_slots", "r.n_hit", "r.critical_failure")
+
+
+@query("SELECT l_linenumber, round(avg(ln(p / (1 - p))), 9) AS mean_logit, count(*) AS n FROM (SELECT l_linenumber, least(greatest(l_discount * 10, 0.000001), 0.999999) AS p FROM lineitem) GROUP BY 1")
+def mean_logits(spark, d):
+    """Clipped logits, averaged."""
+    x = read(spark, d, "lineitem", "l_linenumber", "l_discount")
+    return x.groupBy("l_linenumber").agg(F.round(F.avg(numeric.logit(F.col("l_discount") * 10)), 9).alias("mean_logit"), F.count("*").alias("n"))
+
+
+@query("SELECT s_suppkey, ['none', 'g726', 'opus-lowrate'][least(greatest(floor(s_acctbal / 3000), 0), 2)::INT + 1] AS level FROM supplier")
+def decoded_levels(spark, d):
+    """Levels of sampled numbers, held within the list."""
+    return read(spark, d, "supplier", "s_suppkey", "s_acctbal").select("s_suppkey", numeric.decode_level(F.col("s_acctbal") / 3000, ["none", "g726", "opus-lowrate"]).alias("level"))
+
+
+@query("SELECT o_orderkey, o_orderstatus AS transcript, round((o_orderkey % 10 / 10.0 + 0.5) / 2, 9) AS mean_conf FROM orders")
+def parsed_answers(spark, d):
+    """Recognizer answers in JSON read to the common contract."""
+    from gaugeworks.sources import adapters
+
+    o = read(spark, d, "orders", "o_orderkey", "o_orderstatus")
+    wire = F.format_string('{"text": "%s", "result": [{"word": "a", "conf": %.1f}, {"word": "b", "conf": 0.5}]}', "o_orderstatus", (F.col("o_orderkey") % 10) / 10)
+    return adapters.parse(o.withColumn("wire", wire), "word_results").select("o_orderkey", "transcript", *r9("mean_conf"))
+
+
+@query()
+def active_curves(spark, d):
+    """Learning curves of a planted failure contour: median best error by arm."""
+    from gaugeworks.operators import active
+
+    oracle = lambda p: float(1 / (1 + 2.718281828 ** (-8 * (p[0] + 0.5 * p[1] - 0.7))))
+    c = active.curves(spark, oracle, 2, [1, 2, 3], n_seed=5, budget=11)
+    return active.seed_band(active.best_so_far(c)).select("arm", "n_evals", *r9("median", "low", "high"), "n_seeds")
