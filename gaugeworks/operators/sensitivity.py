@@ -79,8 +79,8 @@ def dips(cells: DataFrame, factors: list[str], axis: str, up: bool = True) -> Da
 
 def reversals(cells: DataFrame, factor: str, moderator: str, eps: float = 0.02) -> DataFrame:
     """Whether a factor's effect changes sign between the ends of a moderator."""
-    m = cells.groupBy(factor, moderator).agg(F.avg("y").alias("m"))
-    by = m.groupBy(moderator).agg((F.max_by("m", factor) - F.min_by("m", factor)).alias("effect"))
+    m = cells.groupBy(factor, moderator).agg(F.avg("y").alias("_m"))
+    by = m.groupBy(moderator).agg((F.max_by("_m", factor) - F.min_by("_m", factor)).alias("effect"))
     out = by.agg(F.min_by("effect", moderator).alias("effect_first"), F.max_by("effect", moderator).alias("effect_last"))
     a, b = F.col("effect_first"), F.col("effect_last")
     return out.select(F.lit(factor).alias("factor"), F.lit(moderator).alias("moderator"), "*", ((a * b < 0) & (F.abs(a) > eps) & (F.abs(b) > eps)).alias("reverses"))

@@ -7,13 +7,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
+from gaugeworks.session import ship
 
 #: Factor spaces of the view: ranges of continuous factors, None for categorical ones.
 SPACE = {"rt60": (0.2, 1.0), "snr_db": (0.0, 20.0), "codec": None, "mic_rolloff": (0.0, 1.0)}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = ship(spark).read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
 
