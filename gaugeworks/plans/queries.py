@@ -682,19 +682,20 @@ def tercile_contrast(spark, d):
     return c.groupBy("model").agg(F.round(F.avg(F.when(low, F.col("wer"))), 9).alias("low"), F.round(F.avg(F.when(high, F.col("wer"))), 9).alias("high"), F.count_if(low | high).alias("n"))
 
 
-_E = Window.partitionBy("user_id").orderBy("ts", "event_id")
+def by_user():
+    return Window.partitionBy("user_id").orderBy("ts", "event_id")
 
 
 @query("SELECT event_id, min(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS best FROM events")
 def running_best(spark, d):
     """The least value so far, by user."""
-    return read(spark, d, "events", "event_id", "user_id", "ts", "value").select("event_id", F.min("value").over(_E.rowsBetween(Window.unboundedPreceding, 0)).alias("best"))
+    return read(spark, d, "events", "event_id", "user_id", "ts", "value").select("event_id", F.min("value").over(by_user().rowsBetween(Window.unboundedPreceding, 0)).alias("best"))
 
 
 @query("WITH n AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT user_id, min(k) FILTER (value <= 5) AS n_to_target FROM n GROUP BY 1")
 def first_reaching(spark, d):
     """How many events it takes each user to reach a target; NULL if never."""
-    n = read(spark, d, "events", "event_id", "user_id", "ts", "value").withColumn("k", F.row_number().over(_E).cast("long"))
+    n = read(spark, d, "events", "event_id", "user_id", "ts", "value").withColumn("k", F.row_number().over(by_user()).cast("long"))
     return n.groupBy("user_id").agg(F.min(F.when(F.col("value") <= 5, F.col("k"))).alias("n_to_target"))
 
 
