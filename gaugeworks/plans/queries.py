@@ -309,12 +309,12 @@ def deletion_blindness(spark, d):
     return edits.deletion_blindness(measurements(spark, d), "model").select("model", "n_ref", "n_sub", "n_del", "n_ins", *r9("blind_share", "visible_ceiling"))
 
 
-@query(f"""WITH {M_SQL}, a AS (SELECT model, condition_name, avg(wer) AS w FROM m WHERE NOT failed GROUP BY 1, 2) SELECT model, condition_name, arg_min(clip_id, row(abs(wer - w), clip_id)) AS clip_id FROM m JOIN a USING (model, condition_name) WHERE NOT failed GROUP BY 1, 2""")
+@query(f"""WITH {M_SQL}, a AS (SELECT model, condition_name, avg(wer) AS w FROM m WHERE NOT failed GROUP BY 1, 2) SELECT model, condition_name, arg_min(clip_id, row(round(abs(wer - w), 9), clip_id)) AS clip_id FROM m JOIN a USING (model, condition_name) WHERE NOT failed GROUP BY 1, 2""")
 def exemplars(spark, d):
     """The clip of each condition whose error is nearest the condition's mean."""
     m = S.usable(measurements(spark, d))
     mean = m.groupBy("model", "condition_name").agg(F.avg("wer").alias("w"))
-    return m.join(mean, ["model", "condition_name"]).groupBy("model", "condition_name").agg(F.min_by("clip_id", F.struct(F.abs(F.col("wer") - F.col("w")), "clip_id")).alias("clip_id"))
+    return m.join(mean, ["model", "condition_name"]).groupBy("model", "condition_name").agg(F.min_by("clip_id", F.struct(F.round(F.abs(F.col("wer") - F.col("w")), 9), "clip_id")).alias("clip_id"))
 
 
 @query(f"WITH {M_SQL} SELECT model, round(avg(wer) FILTER (codec = 'none'), 9) AS none, round(avg(wer) FILTER (codec = 'g726'), 9) AS g726 FROM m WHERE NOT failed GROUP BY 1")
