@@ -21,11 +21,13 @@ def arm_intersection(rows: DataFrame, models: list[str] | None = None, min_commo
     if len(present) < 2:
         raise S.RaggedArmsError("fewer than two models")
     cells = ok.groupBy("clip_id", "condition_name").agg(F.count_distinct("model").alias("m"), F.count("*").alias("n"))
-    if cells.where("n > m").limit(1).collect():
-        raise S.DuplicateCellError("a cell has several rows of one model")
-    common = cells.where(F.col("m") == len(present)).select("clip_id", "condition_name")
-    if (n := common.agg(F.count_distinct("clip_id")).first()[0]) < min_common_clips:
-        raise S.ThinOverlapError(f"{n} clips are common to all models")
+    full = F.col("m") == len(present)
+    repeated, clips = cells.agg(F.count_if(F.col("n") > F.col("m")), F.count_distinct(F.when(full, F.col("clip_id")))).first()
+    if repeated:
+        raise S.DuplicateCellError(f"{repeated} cells have several rows of one model")
+    if clips < min_common_clips:
+        raise S.ThinOverlapError(f"{clips} clips are common to all models")
+    common = cells.where(full).select("clip_id", "condition_name")
     return ok.join(common, ["clip_id", "condition_name"], "left_semi")
 
 

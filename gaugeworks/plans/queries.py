@@ -394,7 +394,9 @@ def operating_points(spark, d):
 def temperature(spark, d):
     """The temperature that calibrates each model's confidence best."""
     m = measurements(spark, d).withColumn("good", (F.col("wer") < S.WER_HI).cast("int"))
-    rows = [(a, calibration.fit_temperature(m.where(F.col("model") == a), "mean_conf", "good")) for a in ("arm_a", "arm_n", "arm_r")]
+    counts = calibration.confidence_counts(m, ["model"], "mean_conf", "good").cache()
+    rows = [(a, calibration.temperature_of_counts(counts.where(F.col("model") == a), "mean_conf")) for a in ("arm_a", "arm_n", "arm_r")]
+    counts.unpersist()
     return spark.createDataFrame(rows, "model string, temperature double")
 
 
