@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from gaugeworks.llm.chunks import SPACE, ChunkTable, Splitter, encoded
-from gaugeworks.llm.common import tune
+from gaugeworks.llm.common import tune, worker_kept
 
 #: The largest tokenizer file that is broadcast, in bytes.
 MOST_BYTES = 64 << 20
@@ -33,7 +33,7 @@ MOST_BYTES = 64 << 20
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 NEVER = 1 << 60
 #: Pairs of tokens whose compatibility a worker remembers before it starts anew.
-MOST_PAIRS = 1_000_000
+MOST_PAIRS = 300_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -181,21 +181,23 @@ class PrefixEncoder:
             for part in np.split(ids, np.cumsum(size)[:-1]):
                 yield part.tolist()
 
+    def encode_column(self, texts: pa.Array) -> pa.ListArray:
+        """The ids of each text of a column as one list array, without Python numbers."""
+        parts, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+        for _, _, ids, size in encoded(texts, self.table, self.splitter, lambda t: np.array(self.encode(t), np.uint32)):
+            parts.append(ids.astype(np.int32))
+            sizes.append(size)
+        return pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(sizes)).astype(np.int32)), pa.array(np.concatenate(parts)))
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, added tokens included; broken UTF-8 as U+FFFD."""
         table = self.bytes_of
         return b"".join([table[n] for n in ids]).decode("utf-8", "replace")
 
 
-_ENCODERS: dict[str, PrefixEncoder] = {}
-
-
 def encoder_of(spec: str) -> PrefixEncoder:
-    """One encoder for each tokenizer and worker."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PrefixEncoder(spec)
-    return _ENCODERS[key]
+    """The worker's encoder for a tokenizer."""
+    return worker_kept(("bpe", spec), lambda: PrefixEncoder(spec))
 
 
 def read_spec(path: str) -> str:
@@ -229,7 +231,7 @@ def encode_documents(docs: DataFrame, path: str, *, text_col: str = "text", ids_
     names = [f.name for f in others]
 
     def make(batch, texts, encoder):
-        return [*names, ids_col], [*(batch.column(n) for n in names), pa.array(list(encoder.encode_all(texts)), pa.list_(pa.int32()))]
+        return [*names, ids_col], [*(batch.column(n) for n in names), encoder.encode_column(texts)]
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in others), f"`{ids_col}` array<int>"])
     return _mapped(docs, path, text_col, schema, make)

@@ -57,6 +57,18 @@ def persist(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_KEPT: dict = {}
+
+
+def worker_kept(key, make):
+    """What a Python worker keeps from one task to the next: the thing of one key at a
+    time, so that stages of other operators don't add up in its memory."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def scan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a plan's input in bytes: file sizes, no job.  Where
     the plan doesn't know (rows that don't come from files), 16 MB a partition."""

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.bpe import read_spec
 from gaugeworks.llm.chunks import ChunkTable, Splitter, encoded
-from gaugeworks.llm.common import scan_bytes, shared_path, tune
+from gaugeworks.llm.common import scan_bytes, shared_path, tune, worker_kept
 
 MAGIC = b"DAC1"
 #: Ids of a segment before it is closed, input bytes of a range.
@@ -154,14 +154,9 @@ class LibraryEncoder:
         return encoded(texts, self.table, self.splitter, self.text)
 
 
-_ENCODERS: dict[str, LibraryEncoder] = {}
-
-
 def encoder_of(spec: str) -> LibraryEncoder:
-    """One encoder for each tokenizer and worker."""
-    if spec not in _ENCODERS:
-        _ENCODERS[spec] = LibraryEncoder(spec)
-    return _ENCODERS[spec]
+    """The worker's encoder for a tokenizer."""
+    return worker_kept(("library", spec), lambda: LibraryEncoder(spec))
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> str:

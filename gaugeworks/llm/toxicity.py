@@ -5,7 +5,8 @@ words, that toxic documents have and clean ones lack, each with its log odds.  I
 the trie together with the Levenshtein automaton of every entry gives one
 non-deterministic automaton, made deterministic as words ask for states; so a word
 costs one step a character however large the lexicon is, and misspelled entries are
-found with the number of edits.
+found with the number of edits.  Words that clean documents use, though they lie near an
+entry, are learned as exceptions.
 
 Each hit is judged in a window of words around it: inside quotation marks or beside a
 word of reporting it counts as a quotation, else as abuse.  A logistic model over the
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.chunks import BLANKS
-from gaugeworks.llm.common import hash_runs, persist, runs, slices, tune
+from gaugeworks.llm.common import hash_runs, persist, runs, slices, tune, worker_kept
 from gaugeworks.llm.training import fit_logistic, sigmoid
 
 #: The largest number of labelled documents of each class and of lexicon entries.
@@ -138,22 +139,24 @@ class Lexicon:
 
     entries: list[tuple[str, bool]]  # and whether it is a stem
     odds: list[float]  # log odds that an incidence of an entry is in a toxic document
+    exceptions: frozenset[str] = frozenset()  # words near an entry that clean documents use
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
 
 
-#: Evidence (log odds summed over hits) by kind of hit, and the strongest abusive hit's;
-#: where their weights and the constant start.
-FEATURES = ("abusive", "quoted", "misspelled", "misspelled_quoted", "strongest")
-PRIOR = np.array([0.5, 0.1, 0.3, 0.05, 0.5, -3.0])
-#: Evidence of one kind counts up to this.
-MOST_EVIDENCE = 20.0
+#: Evidence (log odds summed over hits, a misspelled one counting less) of abusive and of
+#: quoted hits, the strongest abusive hit's, and how many hits are misspelled (reported,
+#: not weighed); where their weights and the constant start.
+FEATURES = ("abusive", "quoted", "strongest", "misspelled")
+PRIOR = np.array([0.5, 0.1, 0.5, 0.0, -3.0])
+#: Evidence of one kind counts up to this; a misspelled hit counts for so much of an exact one.
+MOST_EVIDENCE, MISSPELLED = 20.0, 0.75
 
 
 class Scanner:
     """Finds hits in texts with one lexicon; one for each worker."""
 
     def __init__(self, lexicon: Lexicon):
-        self.automaton, self.odds = Automaton(lexicon.entries), lexicon.odds
+        self.automaton, self.odds, self.exceptions = Automaton(lexicon.entries), lexicon.odds, lexicon.exceptions
         self.hashes, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def verdicts(self, hashes: np.ndarray, first: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -164,13 +167,17 @@ class Scanner:
             if len(self.hashes) + new.sum() > MOST_WORDS:
                 self.hashes, self.codes, new = self.hashes[:0], self.codes[:0], np.ones(len(hashes), bool)
             k = first[new]
-            match = self.automaton.match
-            found = [match(raw[a:b].decode("utf-8", "replace").strip(STRIP).lower()) for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)]
+            found = [self.match(raw[a:b].decode("utf-8", "replace").strip(STRIP).lower()) for a, b in zip(starts[k].tolist(), ends[k].tolist(), strict=True)]
             where = np.searchsorted(self.hashes, hashes[new])
             self.hashes, self.codes = np.insert(self.hashes, where, hashes[new]), np.insert(self.codes, where, np.array(found, np.int32))
             at = np.searchsorted(self.hashes, hashes)
         return self.codes[at]
 
+    def match(self, word: str) -> int:
+        """As the automaton's, without the exceptions."""
+        found = self.automaton.match(word)
+        return -1 if found >= 0 and found & 3 and word in self.exceptions else found
+
     def features(self, column: pa.Array) -> np.ndarray:
         """FEATURES of each text."""
         out = np.zeros((len(column), len(FEATURES)))
@@ -187,10 +194,12 @@ class Scanner:
                 d = int(doc[k])
                 left, right = max(int(bounds[d]), k - WINDOW), min(int(bounds[d + 1]), k + WINDOW + 1) - 1
                 quoted = self.is_quoted(raw[starts[left] : starts[k]], raw[starts[k] : ends[k]], raw[ends[k] : ends[right]])
-                kind, odds = 2 * int(code[k] & 3 > 0) + quoted, self.odds[code[k] >> 2]
-                out[lo + d, kind] += odds
-                if kind == 0:
-                    out[lo + d, 4] = max(out[lo + d, 4], odds)
+                wrong = int(code[k] & 3 > 0)
+                odds = self.odds[code[k] >> 2] * (MISSPELLED if wrong else 1)
+                out[lo + d, quoted] += odds
+                out[lo + d, 3] += wrong
+                if not quoted:
+                    out[lo + d, 2] = max(out[lo + d, 2], odds)
         return np.minimum(out, MOST_EVIDENCE)
 
     @staticmethod
@@ -204,15 +213,9 @@ class Scanner:
         return int(any(q in before for q in QUOTES) and any(q in after for q in QUOTES))
 
 
-_SCANNERS: dict[tuple, Scanner] = {}
-
-
 def scanner_of(lexicon: Lexicon) -> Scanner:
-    key = (tuple(lexicon.entries), tuple(lexicon.odds))
-    if key not in _SCANNERS:
-        _SCANNERS.clear()
-        _SCANNERS[key] = Scanner(lexicon)
-    return _SCANNERS[key]
+    """The worker's scanner for a lexicon."""
+    return worker_kept(("toxicity", tuple(lexicon.entries), tuple(lexicon.odds), lexicon.exceptions), lambda: Scanner(lexicon))
 
 
 def learn_entries(sample: DataFrame) -> Lexicon:
@@ -269,6 +272,22 @@ def learn_entries(sample: DataFrame) -> Lexicon:
     return out
 
 
+def near_words(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
+    """Words of the sample's clean documents that lie near an entry without being one: at
+    most ten an entry allowed, the most frequent."""
+    shared = sample.sparkSession.sparkContext.broadcast(lexicon)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = scanner_of(shared.value)
+        for batch in batches:
+            words = {w.strip(STRIP).lower() for t in batch.column(0).to_pylist() for w in set(t.split())}
+            near = [w for w in words if (m := scanner.match(w)) >= 0 and m & 3]
+            yield pa.RecordBatch.from_pydict({"word": pa.array(near, pa.string())})
+
+    found = sample.where("y = 0").select("text").mapInArrow(work, "word string").groupBy("word").count()
+    return frozenset(r.word for r in found.orderBy(F.desc("count"), "word").limit(10 * MOST_ENTRIES).collect())
+
+
 def score_features(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -288,6 +307,8 @@ def train(sample: DataFrame) -> Lexicon:
     documents of both labels the lexicon is empty and every text scores alike."""
     tune(sample.sparkSession)
     lexicon = learn_entries(sample)
+    if lexicon.entries:
+        lexicon.exceptions = near_words(sample, lexicon)
     rows = score_features(sample, lexicon, "doc_id", "text", ["y"]).select("y", *FEATURES).collect()
     if rows and lexicon.entries:
         data = np.array(rows, float)

@@ -48,8 +48,21 @@ def test_automaton_equals_edit_distance():
 def test_quotation_is_told_from_abuse():
     scanner = toxicity.Scanner(toxicity.Lexicon([("idiot", False)], [5.0]))
     x = scanner.features(pa.array(["you idiot stop", 'he wrote the word "idiot" here', "she said idiot once", "idi0t", None, ""]))
-    assert x[0].tolist() == [5, 0, 0, 0, 5] and x[1].tolist() == [0, 5, 0, 0, 0] and x[2].tolist() == [0, 5, 0, 0, 0] and x[3].tolist() == [0, 0, 5, 0, 0]
+    assert x[0].tolist() == [5, 0, 5, 0] and x[1].tolist() == [0, 5, 0, 0] and x[2].tolist() == [0, 5, 0, 0] and x[3].tolist() == [3.75, 0, 3.75, 1]
     assert not x[4:].any()
+    scanner = toxicity.Scanner(toxicity.Lexicon([("idiot", False)], [5.0], frozenset(["idi0t"])))
+    assert scanner.features(pa.array(["idi0t", "idlot"]))[:, 0].tolist() == [0, 3.75]
+
+
+def test_near_words_of_clean_documents_are_exceptions(spark):
+    rng = np.random.default_rng(1)
+    words = [f"{a}{b}{c}ver" for a in "bcdf" for b in "aeiou" for c in "lmnr"]
+    text = lambda extra: " ".join([*rng.choice(words, 30), extra, *rng.choice(words, 30)])
+    rows = [(k, text("moron" if k % 2 else "oron"), k % 2) for k in range(400)]
+    lexicon = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    assert [e for e, _ in lexicon.entries] == ["moron"] and lexicon.exceptions == {"oron"}
+    docs = spark.createDataFrame([(1, text("moron")), (2, text("oron")), (3, text("mor0n")), (4, text("x"))], "doc_id long, text string")
+    assert {r.doc_id: r.score >= 0.7 for r in toxicity.score_documents(docs, lexicon).collect()} == {1: True, 2: False, 3: True, 4: False}
 
 
 def measured(spark, query, label, modulus, remainder):
