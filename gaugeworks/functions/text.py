@@ -209,3 +209,26 @@ def redact(text: Column, terms: list[str], mark: str = "[redacted]") -> Column:
 def room_name(path: Column) -> Column:
     """File name without folders, ending and a trailing number."""
     return F.regexp_replace(F.regexp_extract(path, r"([^/]*?)(\.[A-Za-z0-9]+)?$", 1), r"[_-]?\d+$", "")
+
+
+#: Number words that cross-model scoring writes as digits.
+NUMBER_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+
+
+def cross_model_tokens(text: Column) -> Column:
+    """Tokens that compare models of different writing habits: as ``normalize``, letters
+    parted from digits, digit runs into digits, number words below ten as digits.  Larger
+    numbers in words are left as they are."""
+    t = F.array_join(normalize(text), " ")
+    t = F.regexp_replace(t, r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=\p{N})(?=\p{N})", " ")
+    words = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    digits = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
+    return F.transform(words, lambda w: F.coalesce(F.try_element_at(digits, w), w))
+
+
+def claim(words: Column, certain: float = 0.9, fair: float = 0.6) -> Column:
+    """The strongest claim that wrong words (array of struct with ``conf``) bear out: one
+    of them certain, their average high, some confidence, or none."""
+    conf = F.filter(F.transform(words, lambda w: w["conf"]), lambda c: c.isNotNull())
+    mean = F.aggregate(conf, F.lit(0.0), lambda s, c: s + c) / F.size(conf)
+    return F.when(F.coalesce(F.size(conf), F.lit(0)) == 0, "none").when(F.array_max(conf) >= certain, "exact").when(mean >= fair, "average").otherwise("hedged")

@@ -170,3 +170,31 @@ def permutation_rank(score: Callable[[tuple[int, ...]], float], n: int) -> tuple
     own = scores[tuple(range(n))]
     rank = sum(s <= own for s in scores.values())
     return rank, rank / len(scores)
+
+
+def acquisition_concentration(points: DataFrame) -> DataFrame:
+    """The share of each run's points (seed, arm, y) near the contour; medians by arm."""
+    near = points.groupBy("seed", "arm").agg(F.avg((F.abs(F.col("y") - CONTOUR) <= BAND).cast("int")).alias("share"))
+    return near.groupBy("arm").agg(F.median("share").alias("median_share"), F.count("*").alias("n_seeds"))
+
+
+def propose_dips(gp: GaussianProcess, levels: list[list[float]], axis: int, top: int = 5) -> list[tuple[tuple[float, ...], float]]:
+    """Cells of a grid where the surrogate has an interior minimum along an axis: more
+    degradation, less error.  Deepest first, with depth; these are proposals only."""
+    grid = np.array(list(product(*levels)))
+    mean = gp.predict(grid)[0].reshape([len(v) for v in levels])
+    mean = np.moveaxis(mean, axis, 0)
+    depth = np.minimum(mean[:-2], mean[2:]) - mean[1:-1]
+    full = np.moveaxis(np.pad(depth, [(1, 1)] + [(0, 0)] * (depth.ndim - 1), constant_values=-np.inf), 0, axis).ravel()
+    return [(tuple(grid[k].tolist()), float(full[k])) for k in np.argsort(-full, kind="stable")[:top] if full[k] > 0]
+
+
+def confirm_dips(proposed: list[tuple[tuple[float, ...], float]], levels: list[list[float]], axis: int, oracle: Callable[[tuple[float, ...]], float], eps: float = 0.02) -> list[tuple[tuple[float, ...], str]]:
+    """CONFIRMED where the measured neighbours lie above the cell by more than ``eps``, else
+    REFUTED."""
+    out = []
+    for cell, _ in proposed:
+        k = levels[axis].index(cell[axis])
+        beside = [oracle((*cell[:axis], levels[axis][j], *cell[axis + 1 :])) for j in (k - 1, k + 1)]
+        out.append((cell, "CONFIRMED" if min(beside) - oracle(cell) > eps else "REFUTED"))
+    return out

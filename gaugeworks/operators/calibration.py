@@ -153,3 +153,18 @@ def row_aggregates(confidences: str) -> dict[str, Column]:
 
     mean = F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / n
     return {k: F.when(n > 0, x) for k, x in {"mean": mean, "median": quantile(0.5), "p25": quantile(0.25), "p10": quantile(0.1), "min": F.get(a, F.lit(0)), "max": F.get(a, n - 1)}.items()} | {"n_words": n}
+
+
+def redundancy(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
+    """Whether two confidences are one: the share of equal values and their correlation."""
+    from gaugeworks.operators.ranking import correlation
+
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    return both.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.abs(F.col(a) - F.col(b)) <= 1e-12).cast("int")).alias("share_equal"), correlation(F.col(a), F.col(b)).alias("r"))
+
+
+def alignment_census(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose words and confidences are equally many, and why the others aren't: words
+    that normalization split, or that it dropped or joined."""
+    words, confs = F.size(F.filter("edits", lambda e: e["hyp"].isNotNull())), F.size("word_confidences")
+    return S.usable(rows).groupBy(*keys).agg(F.count("*").alias("n"), F.count_if(words == confs).alias("n_aligned"), F.count_if(words > confs).alias("n_split"), F.count_if(words < confs).alias("n_dropped"))

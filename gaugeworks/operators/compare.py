@@ -102,3 +102,16 @@ def paired_difference(rows: DataFrame, first: str, second: str) -> DataFrame:
     a = S.usable(rows).where(F.col("condition_name") == first).select("model", "clip_id", F.col("wer").alias("wer_a"))
     b = S.usable(rows).where(F.col("condition_name") == second).select("model", "clip_id", F.col("wer").alias("wer_b"))
     return a.join(b, ["model", "clip_id"]).withColumn("difference", F.col("wer_a") - F.col("wer_b"))
+
+
+def resolve_assets(conditions: DataFrame, rooms: DataFrame, noises: DataFrame) -> DataFrame:
+    """The room and noise that deliver each condition: the room of the nearest measured
+    reverberation (rooms: rir_key, rt60), and one of the noises of the type by a hash of
+    the condition's name (noises: noise_key, noise_type).  What finds none raises."""
+    out = closest(conditions, rooms.withColumnRenamed("rir_key", "_k"), "rt60", "_k").withColumnRenamed("asset", "rir_key").drop("distance")
+    kinds = noises.groupBy("noise_type").agg(F.array_sort(F.collect_set("noise_key")).alias("_n"))
+    out = out.join(kinds, "noise_type", "left")
+    if missing := out.where("rir_key is null or _n is null").select("noise_type").limit(1).collect():
+        raise S.MissingAssetError(f"no asset for noise {missing[0][0]}")
+    hashed = F.conv(F.substring(F.sha2(F.col("condition_name").cast("binary"), 256), 1, 15), 16, 10).cast("long")
+    return out.withColumn("noise_key", F.element_at("_n", (F.pmod(hashed, F.size("_n")) + 1).cast("int"))).drop("_n")

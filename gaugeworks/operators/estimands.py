@@ -95,3 +95,17 @@ def with_region(table: DataFrame, space: dict[str, tuple[float, float] | None],
     out = table.withColumn("_r", F.explode(F.array(*parts))).select(*table.columns, "_r.factor", "_r.region").where("region is not null")
     wide = out.groupBy("factor").agg(F.count_distinct("region").alias("_n")).where("_n > 1").select("factor")
     return out.join(F.broadcast(wide), "factor", "left_semi")  # at most one row a factor
+
+
+def condition_matrix(rows: DataFrame, value: str = "wer") -> DataFrame:
+    """Mean error by the delivered factors: the measured reverberation where it is known,
+    numbers to six decimals."""
+    reverb = F.coalesce("rir_rt60_measured", "rt60") if "rir_rt60_measured" in rows.columns else F.col("rt60")
+    keys = [F.round(reverb, 6).alias("rt60"), F.round("snr_db", 6).alias("snr_db"), "noise_type", "codec", F.round("mic_rolloff", 6).alias("mic_rolloff")]
+    return S.usable(rows).groupBy("model", *keys).agg(F.count("*").alias("n"), F.avg(value).alias("y"))
+
+
+def first_seen(rows: DataFrame, key: str, sequence: str) -> DataFrame:
+    """One row for each key, the earliest, in order of first appearance."""
+    first = rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), sequence).alias("_r"))
+    return first.select("_r.*").orderBy(sequence)
