@@ -18,12 +18,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     labelled twice counts once, with its larger label.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed)
-    known = known.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
     chosen = None
     for value in (0, 1):
         part = known.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
-    found = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
     return persist(found, "labelled")
 
 
