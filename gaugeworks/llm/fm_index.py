@@ -10,17 +10,19 @@ searched backwards at once; the rows found are walked to the next sampled positi
 overlapping occurrences are merged into removal spans.
 
 No shuffle takes place: the work is one scan of the documents.  The phrases are
-broadcast after a check of their size: more than ``MOST_WORDS`` words of windows are
-refused, to be searched in several calls.
+broadcast in blocks of at most ``BLOCK_WORDS`` words of windows.  A batch of documents
+is searched for one block after the other, each loaded and let go again, and the spans
+and items of all blocks are merged by row, so a benchmark of any size is searched whole.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
 from gaugeworks.llm.common import LOWER, byte_class, hash_runs, runs, slices, texts_of, tune
@@ -29,8 +31,9 @@ from gaugeworks.llm.common import LOWER, byte_class, hash_runs, runs, slices, te
 WINDOW = 13
 #: Bytes of words: digits, a-z and everything outside ASCII.
 WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
-#: Words of a shard, and the most words of windows that are broadcast.
-SHARD_WORDS, MOST_WORDS = 400_000, 20_000_000
+#: Words of a shard; the most words of windows, guessed from the length of the texts, that
+#: the driver collects at once; and the most in a block that is broadcast.
+SHARD_WORDS, MOST_WORDS, BLOCK_WORDS = 400_000, 20_000_000, 5_000_000
 SAMPLE = 16
 SEPARATOR = 1
 
@@ -269,13 +272,57 @@ def hits_of(texts: pa.Array, phrases: Phrases) -> tuple[np.ndarray, dict[int, li
     return n_words, {d: merged(*np.array(x).T) for d, x in spans.items()}, items
 
 
-def phrases_of(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> Phrases:
-    """The benchmark's windows, if they are few enough to broadcast."""
+def pieces(item: object, text: str, window: int, most: int) -> Iterator[tuple[object, str, int]]:
+    """(item, text, words of windows) of an item, cut into texts that overlap by all but
+    one word of a window if its windows hold more than ``most`` words."""
+    data = text.encode()
+    (starts, ends), _, _ = words_of(data)
+    n, step = len(starts), max(1, most // window)
+    windows = max(1, n - window + 1) if n else 0
+    if windows <= step:
+        yield item, text, windows * min(n, window)
+        return
+    for at in range(0, windows, step):
+        end = min(at + step, windows) + window - 1
+        yield item, data[starts[at] : ends[end - 1]].decode(), (end - window + 1 - at) * window
+
+
+def blocks_of(items: Iterable[tuple[object, str]], window: int, most: int) -> Iterator[Phrases]:
+    """The items' windows in blocks of at most ``most`` words; one empty block if none."""
+    block, size, made = [], 0, 0
+    for item, text in items:
+        for _, piece, n in pieces(item, text, window, most):
+            if block and size + n > most:
+                yield Phrases(block, window)
+                block, size, made = [], 0, made + 1
+            block.append((item, piece))
+            size += n
+    if block or not made:
+        yield Phrases(block, window)
+
+
+def share_phrases(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> list[Broadcast]:
+    """The benchmark's windows, broadcast block by block; the driver holds one block."""
     rows = benchmark.select(item_col, text_col).where(f"`{text_col}` is not null")
     size = rows.selectExpr(f"coalesce(sum(length(`{text_col}`)), 0)").first()[0] // 2 * window
-    if size > MOST_WORDS:
-        raise ValueError(f"the benchmark's windows may hold {size} words, more than {MOST_WORDS}: search it in parts")
-    return Phrases(rows.collect(), window)
+    items = rows.collect() if size <= MOST_WORDS else rows.toLocalIterator()
+    return [benchmark.sparkSession.sparkContext.broadcast(x) for x in blocks_of(items, window, BLOCK_WORDS)]
+
+
+def hits_of_blocks(texts: pa.Array, shared: list[Broadcast]) -> tuple[np.ndarray, dict[int, list[tuple[int, int]]], dict[int, set[int]]]:
+    """``hits_of`` for all blocks, merged by text; of several blocks a worker holds one."""
+    if len(shared) == 1:
+        return hits_of(texts, shared[0].value)
+    n_words, spans, items = np.zeros(len(texts), np.int64), defaultdict(list), defaultdict(set)
+    for block in shared:
+        n_words, found, of = hits_of(texts, block.value)
+        if getattr(block, "_path", None):
+            block.__dict__.pop("_value", None)
+        for d, x in found.items():
+            spans[d] += x
+        for d, x in of.items():
+            items[d] |= x
+    return n_words, {d: merged(*np.array([(a, b - a) for a, b in x]).T) for d, x in spans.items()}, items
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -288,12 +335,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
     empty table gives an empty result; other columns are ignored.
     """
     tune(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(phrases_of(benchmark, item_col, item_text_col, window))
+    shared = share_phrases(benchmark, item_col, item_text_col, window)
     out = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, spans, items = hits_of(batch.column(1), shared.value)
+            n_words, spans, items = hits_of_blocks(batch.column(1), shared)
             rows = range(batch.num_rows)
             columns = [
                 pa.array(n_words), pa.array([sum(b - a for a, b in spans.get(d, ())) for d in rows], pa.int64()),
@@ -310,12 +357,12 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str =
     """The rows of ``docs`` that aren't contaminated: fewer than one word in
     ``share`` lies in an occurrence of a window.  All columns stay as they are."""
     tune(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(phrases_of(benchmark, "item_id", "text", window))
+    shared = share_phrases(benchmark, "item_id", "text", window)
     place = docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, spans, _ = hits_of(batch.column(place), shared.value)
+            n_words, spans, _ = hits_of_blocks(batch.column(place), shared)
             n_hit = np.zeros(batch.num_rows, np.int64)
             for d, x in spans.items():
                 n_hit[d] = sum(b - a for a, b in x)

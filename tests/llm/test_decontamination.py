@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 
+from gaugeworks.llm import fm_index
 from gaugeworks.llm.fm_index import FmIndex, drop_contaminated, find_contamination
 from gaugeworks.llm.queries import op8_decontamination
 
@@ -78,3 +79,25 @@ def test_query_equals_brute_force(spark):
     got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, r.contaminated) for r in op8_decontamination(spark, d).collect()}
     want = {i: (n, h, len(x), h > 0 and 20 * h >= n) for i, n, h, x in brute(docs, items)}
     assert got == want and any(x[3] for x in got.values())
+
+
+def test_benchmark_beyond_one_block_is_searched_whole(spark, monkeypatch):
+    monkeypatch.setattr(fm_index, "MOST_WORDS", 500)
+    monkeypatch.setattr(fm_index, "BLOCK_WORDS", 13 * 20, raising=False)
+    rng = random.Random(5)
+    text = lambda n: " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    items = [(k, text(rng.choice([3, 13, 15, 30]))) for k in range(40)] + [(90, text(200)), (91, text(200)), (92, None), (93, "")]
+    long = [t.split() for _, t in items[40:42]]
+    docs = [(k, text(30) + " " + rng.choice(items[:40])[1] + " " + text(10)) for k in range(50)]
+    docs += [(100, " ".join(long[0])), (101, " ".join(long[0][15:40] + long[1][150:])), (102, items[3][1] + " " + items[4][1]), (102, items[3][1]), (None, " ".join(long[1][30:60])), (103, None), (104, text(40))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = find_contamination(table, bench).collect()
+    want = brute(docs, items)
+    order = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted([(r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got], key=order) == sorted(want, key=order)
+    for r in got:
+        assert sum(s.end - s.first for s in r.spans) == r.n_hit
+        assert all(a.end < b.first for a, b in zip(r.spans, r.spans[1:], strict=False))
+    kept = sorted(str(r.doc_id) for r in drop_contaminated(table, bench).collect())
+    assert kept == sorted(str(d) for d, n, h, _ in want if not h or 20 * h < n)
