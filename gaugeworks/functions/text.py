@@ -131,22 +131,27 @@ def edits(ref: Column, hyp: Column) -> Column:
 
 
 def _backtrace(ref: list[str], hyp: list[str]) -> list[tuple[str, str | None, str | None]]:
-    """Edits in order, from the cost matrix; seen from the end a match comes before a
-    substitution, a deletion and an insertion of equal cost."""
+    """Edits in order, from the cost matrix a row at a time; seen from the end a match comes
+    before a substitution, a deletion and an insertion of equal cost.  Kept are one byte a
+    cell: 0 for the diagonal, 1 for a deletion, 2 for an insertion."""
     import numpy as np
 
+    words: dict[str, int] = {}
+    a, b = (np.array([words.setdefault(w, len(words)) for w in x], np.int64) for x in (ref, hyp))
     n, m = len(ref), len(hyp)
-    cost = np.zeros((n + 1, m + 1), int)
-    cost[:, 0], cost[0] = range(n + 1), range(m + 1)
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            cost[i, j] = min(cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]), cost[i - 1, j] + 1, cost[i, j - 1] + 1)
+    step, places = np.empty((n, m), np.uint8), np.arange(m + 1)
+    cost = places
+    for k in range(n):
+        diagonal, up = cost[:-1] + (b != a[k]), cost[1:] + 1
+        # insertions reach a cell along its row: a running minimum of cost less place
+        cost = np.minimum.accumulate(np.append(k + 1, np.minimum(diagonal, up)) - places) + places
+        step[k] = np.where(cost[1:] == diagonal, 0, np.where(cost[1:] == up, 1, 2))
     out, i, j = [], n, m
     while i or j:
-        if i and j and cost[i, j] == cost[i - 1, j - 1] + (ref[i - 1] != hyp[j - 1]):
+        if i and j and step[i - 1, j - 1] == 0:
             out.append(("match" if ref[i - 1] == hyp[j - 1] else "sub", ref[i - 1], hyp[j - 1]))
             i, j = i - 1, j - 1
-        elif i and cost[i, j] == cost[i - 1, j] + 1:
+        elif i and (not j or step[i - 1, j - 1] == 1):
             out.append(("del", ref[i - 1], None))
             i -= 1
         else:

@@ -548,8 +548,8 @@ def phrase_hits(spark, d):
 
 
 def exchanges(spark, d):
-    """Each turn with the one that answers it, first 40 tokens of both."""
-    c = read(spark, d, "conversations").select("conv_id", "turn", F.slice(text.normalize(F.col("text")), 1, 40).alias("t"))
+    """Each turn with the one that answers it, all tokens of both."""
+    c = read(spark, d, "conversations").select("conv_id", "turn", text.normalize(F.col("text")).alias("t"))
     c = c.withColumn("hyp", F.lead("t").over(Window.partitionBy("conv_id").orderBy("turn")))
     return c.where("hyp is not null").select("conv_id", "turn", F.col("t").alias("ref"), "hyp")
 
@@ -557,7 +557,8 @@ def exchanges(spark, d):
 @query()
 def word_alignment(spark, d):
     """Typed edits between each turn and its answer."""
-    x = exchanges(spark, d).withColumn("e", text.edits(F.col("ref"), F.col("hyp")))
+    n = lambda op: F.size(F.filter("edits", lambda e: e["op"] == op))
+    x = text.edit_lists(exchanges(spark, d), "ref", "hyp").withColumn("e", F.struct(n("match").alias("n_match"), n("sub").alias("n_sub"), n("del").alias("n_del"), n("ins").alias("n_ins")))
     return x.select("conv_id", "turn", F.size("ref").alias("n_ref"), "e.n_match", "e.n_sub", "e.n_del", "e.n_ins", F.round(text.wer(F.col("e"), F.size("ref")), 9).alias("wer"))
 
 
