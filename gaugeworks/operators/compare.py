@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
@@ -75,14 +77,51 @@ def agreement(pairs: DataFrame, predicted: str, actual: str) -> DataFrame:
     return out.select("*", F.try_divide(F.col("both").cast("double"), F.col("n_predicted")).alias("precision"), F.try_divide(F.col("both").cast("double"), F.col("n_actual")).alias("recall"), F.try_divide(F.col("both").cast("double"), F.col("n_predicted") + F.col("n_actual") - F.col("both")).alias("jaccard"))
 
 
+def least_partners(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For sorted values the place in ``b`` of the partner of each of ``a`` (no longer than
+    ``b``), of least total distance.  Partners keep the order, so the i-th takes place i + s
+    with s never falling: one row of totals by s, one bit a cell to walk back."""
+    n, spare = len(a), len(b) - len(a)
+    out, total, fresh = np.zeros(n, np.int64), np.zeros(spare + 1), []
+    for i in range(n):
+        best = np.minimum.accumulate(total)
+        fresh.append(np.packbits(np.append(True, best[1:] < best[:-1])))
+        total = best + np.abs(a[i] - b[i : i + spare + 1])
+    s = int(np.argmin(total))
+    for i in reversed(range(n)):
+        out[i] = i + s
+        s = int(np.flatnonzero(np.unpackbits(fresh[i][: s // 8 + 1], count=s + 1))[-1])
+    return out
+
+
 def nearest_assignment(left: DataFrame, right: DataFrame, keys: list[str], value: str, label: str, tolerance: float) -> DataFrame:
-    """One-to-one pairs within equal keys, both sides in order of ``value``: for equal
-    sizes that is the least total distance.  Pairs wider apart than the tolerance are
-    reported as such, what is left over as unmatched."""
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(value, label))
-    a = left.select(*keys, F.col(label).alias("a"), F.col(value).alias("value_a"), place.alias("place"))
-    b = right.select(*keys, F.col(label).alias("b"), F.col(value).alias("value_b"), place.alias("place"))
-    out = a.join(b, [*keys, "place"], "full_outer").withColumn("delta", F.abs(F.col("value_a") - F.col("value_b")))
+    """One-to-one pairs within equal keys of least total distance, as many as the smaller
+    side has rows.  Pairs wider apart than the tolerance are reported as such, what is left
+    over (and what has no value or key) as unmatched.  A group is held by one worker; its
+    work is the smaller side times the difference of the sides."""
+    side = lambda x, n: x.select(*keys, F.col(label).alias(n), F.col(value).cast("double").alias(f"value_{n}"))
+    a, b = side(left, "a"), side(right, "b")
+    kinds = {f.name: f.dataType.simpleString() for f in [*a.schema, *b.schema]}
+    columns = [*keys, "a", "value_a", "b", "value_b"]
+
+    def pair(x: pa.Table, y: pa.Table) -> pa.Table:
+        x, y = (t.sort_by([(f"value_{n}", "ascending"), (n, "ascending")]) for t, n in ((x, "a"), (y, "b")))
+        swap = x.num_rows > y.num_rows
+        few, many = (t.column(f"value_{n}").to_numpy() for t, n in (((y, "b"), (x, "a")) if swap else ((x, "a"), (y, "b"))))
+        to = least_partners(few, many)
+        rest = np.setdiff1d(np.arange(len(many)), to)
+        none = pa.nulls(len(rest), pa.int64())
+        small, large = pa.concat_arrays([pa.array(np.arange(len(few))), none]), pa.array(np.concatenate([to, rest]))
+        of_x, of_y = (large, small) if swap else (small, large)
+        source = x if x.num_rows else y
+        key = [source.column(k).take(pa.array(np.zeros(len(large), np.int64))) for k in keys]
+        return pa.Table.from_arrays([*key, x.column("a").take(of_x), x.column("value_a").take(of_x), y.column("b").take(of_y), y.column("value_b").take(of_y)], names=columns)
+
+    fit = lambda n: " and ".join([f"value_{n} is not null and not isnan(value_{n})", *(f"`{k}` is not null" for k in keys)])
+    out = a.where(fit("a")).groupBy(*keys).cogroup(b.where(fit("b")).groupBy(*keys)).applyInArrow(pair, ", ".join(f"`{c}` {kinds[c]}" for c in columns))
+    for x, n in ((a, "a"), (b, "b")):
+        out = out.unionByName(x.where(f"not ({fit(n)})"), allowMissingColumns=True)
+    out = out.withColumn("delta", F.abs(F.col("value_a") - F.col("value_b")))
     status = F.when(F.col("a").isNull() | F.col("b").isNull(), "unmatched").when(F.col("delta") <= tolerance, "paired").otherwise("too_far")
     return out.withColumn("status", status)
 

@@ -1,8 +1,12 @@
 """Queries and operators that once did a part of their job."""
 
 import random
+from itertools import combinations, permutations
+
+import pytest
 
 from gaugeworks.functions import text
+from gaugeworks.operators import compare
 from gaugeworks.plans.queries import QUERIES
 
 
@@ -51,3 +55,22 @@ def test_backtrace_equals_cell_by_cell():
     for _ in range(300):
         a, b = ([rng.choice("abc") for _ in range(rng.randrange(9))] for _ in range(2))
         assert text._backtrace(a, b) == backtrace(a, b)
+
+
+def test_assignment_of_unequal_sizes_is_least(spark):
+    rng = random.Random(4)
+    groups = {f"g{k}": [[rng.randrange(40) / 4 for _ in range(n)] for n in sizes] for k, sizes in enumerate([(3, 6), (6, 3), (1, 5), (4, 4), (0, 2), (2, 0), (5, 6)])}
+    rows = [[(g, i, v) for g, sides in groups.items() for i, v in enumerate(sides[s])] for s in (0, 1)]
+    rows[0] += [("g0", 77, None), (None, 78, 1.0)]
+    rows[1] += [(None, 79, 1.0)]
+    a, b = (spark.createDataFrame(x, "g string, id long, v double") for x in rows)
+    got = compare.nearest_assignment(a, b, ["g"], "v", "id", 0.5).collect()
+    assert sorted((r.g or "", r.a) for r in got if r.a is not None) == sorted((g or "", i) for g, i, _ in rows[0])
+    assert sorted((r.g or "", r.b) for r in got if r.b is not None) == sorted((g or "", i) for g, i, _ in rows[1])
+    for g, (x, y) in groups.items():
+        few, many = sorted((x, y), key=len)
+        pairs = [r for r in got if r.g == g and r.a is not None and r.b is not None]
+        assert len(pairs) == len(few)
+        assert all(r.delta == abs(x[r.a] - y[r.b]) and r.status == ("paired" if r.delta <= 0.5 else "too_far") for r in pairs)
+        assert sum(r.delta for r in pairs) == pytest.approx(min(sum(abs(p - q) for p, q in zip(few, take, strict=True)) for some in combinations(many, len(few)) for take in permutations(some)))
+    assert {r.status for r in got if r.g is None or 77 == r.a} == {"unmatched"}
