@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
 
+#: Assets that are broadcast at most; values in a range of those searched in order.
+MOST_ASSETS, RANGE_ROWS = 10_000, 10_000
+
 
 def arm_intersection(rows: DataFrame, models: list[str] | None = None, min_common_clips: int = 3) -> DataFrame:
     """The usable rows of the cells that every model ran, one row a cell and model.
@@ -127,15 +130,47 @@ def nearest_assignment(left: DataFrame, right: DataFrame, keys: list[str], value
 
 
 def closest(wanted: DataFrame, assets: DataFrame, value: str, key: str) -> DataFrame:
-    """For each wanted value the asset nearest to it, ties to the smaller key.  Assets are
-    a dimension table of at most a few thousand rows, checked before it is broadcast."""
-    if assets.limit(10_001).count() > 10_000:
-        raise S.MeasurementError("too many assets to broadcast")
-    a = assets.select(F.col(key).alias("asset"), F.col(value).alias("_have"))
+    """For each wanted value the asset nearest to it, ties to the smaller key.  Up to
+    ``MOST_ASSETS`` assets are broadcast; more are searched in order of value.  Assets
+    without a value are left out."""
+    a = assets.select(F.col(key).alias("asset"), F.col(value).alias("_have")).where("_have is not null")
+    if a.limit(MOST_ASSETS + 1).count() > MOST_ASSETS:
+        return closest_in_order(wanted, a, value)
     near = wanted.join(F.broadcast(a)).groupBy(*wanted.columns).agg(F.min(F.struct(F.abs(F.col(value) - F.col("_have")).alias("d"), "asset")).alias("m"))
     return near.select(*wanted.columns, "m.asset", F.col("m.d").alias("distance"))
 
 
+def closest_in_order(wanted: DataFrame, assets: DataFrame, value: str) -> DataFrame:
+    """``closest`` for any number of assets (asset, _have): distinct values of both sides are
+    cut into ranges at quantiles; in a range each value meets the assets next to it, and a
+    range without one on a side takes the last one of the ranges before or after.  Missing
+    values are nearest to none: they get the smallest key and no distance, as in ``closest``."""
+    have = assets.groupBy("_have").agg(F.min("asset").alias("asset"))
+    seek = wanted.where(F.col(value).isNotNull()).select(F.col(value).alias("_v")).distinct()
+    both = have.select(F.col("_have").alias("_v"), F.struct(F.col("_have").alias("h"), "asset").alias("_a")).unionByName(seek, allowMissingColumns=True)
+    n = both.count() // RANGE_ROWS + 1
+    bounds = sorted(set(both.select(F.col("_v").cast("double").alias("_v")).approxQuantile("_v", [k / n for k in range(1, n)], 0.25 / n))) if n > 1 else []
+    at = F.lit(0)
+    if bounds:
+        at = F.size(F.filter(F.lit(bounds), lambda x: x <= F.col("_v").cast("double")))
+    both = both.withColumn("_r", at)
+    up, down = Window.partitionBy("_r").orderBy("_v"), Window.partitionBy("_r").orderBy(F.desc("_v"))
+    reach = lambda w: F.last("_a", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    near = both.withColumn("_below", reach(up)).withColumn("_above", reach(down)).where("_a is null").drop("_a")
+    # one row a range, of which there are few: the outermost assets of each
+    ends = both.where("_a is not null").groupBy("_r").agg(F.min("_a").alias("least"), F.max("_a").alias("most"))
+    ends = ends.agg(F.array_sort(F.collect_list(F.struct("_r", "least", "most"))).alias("_ends"))
+    near = near.join(F.broadcast(ends))
+    before, after = F.filter("_ends", lambda e: e["_r"] < F.col("_r")), F.filter("_ends", lambda e: e["_r"] > F.col("_r"))
+    sides = [F.coalesce("_below", F.try_element_at(before, F.lit(-1))["most"]), F.coalesce("_above", F.try_element_at(after, F.lit(1))["least"])]
+    gap = lambda c: F.when(c.isNotNull(), F.struct(F.abs(F.col("_v") - c["h"]).alias("d"), c["asset"].alias("asset")))
+    near = near.select("_v", F.least(*[gap(c) for c in sides]).alias("m"))
+    rows = wanted.distinct()
+    found = rows.join(near, rows[value] == near["_v"]).select(*[rows[c] for c in wanted.columns], "m.asset", F.col("m.d").alias("distance"))
+    lost = rows.where(F.col(value).isNull()).join(F.broadcast(assets.agg(F.min("asset").alias("asset"))))
+    return found.unionByName(lost, allowMissingColumns=True)
+
+
 def paired_difference(rows: DataFrame, first: str, second: str) -> DataFrame:
     """Clips run under both conditions, and the difference of their error."""
     a = S.usable(rows).where(F.col("condition_name") == first).select("model", "clip_id", F.col("wer").alias("wer_a"))

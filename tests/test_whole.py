@@ -74,3 +74,15 @@ def test_assignment_of_unequal_sizes_is_least(spark):
         assert all(r.delta == abs(x[r.a] - y[r.b]) and r.status == ("paired" if r.delta <= 0.5 else "too_far") for r in pairs)
         assert sum(r.delta for r in pairs) == pytest.approx(min(sum(abs(p - q) for p, q in zip(few, take, strict=True)) for some in combinations(many, len(few)) for take in permutations(some)))
     assert {r.status for r in got if r.g is None or 77 == r.a} == {"unmatched"}
+
+
+def test_many_assets_are_searched_whole(spark, monkeypatch):
+    monkeypatch.setattr(compare, "RANGE_ROWS", 700, raising=False)
+    rng = random.Random(6)
+    # two far clusters of assets, with repeated values; wanted values lie between, on and outside them
+    assets = [(k, rng.randrange(4000) / 8 + rng.choice([0, 100_000])) for k in range(10_500)]
+    wanted = [(k, float(v)) for k, v in enumerate([-5, 0, 250, 250, 50_000, 100_499.9, 200_000] + [rng.uniform(-100, 100_600) for _ in range(1500)] + [rng.randrange(4000) / 16 for _ in range(300)])]
+    got = compare.closest(spark.createDataFrame([*wanted, wanted[0]], "id long, v double"), spark.createDataFrame(assets, "k long, v double"), "v", "k").collect()
+    want = {i: min((abs(v - h), k) for k, h in assets) for i, v in wanted}
+    assert len(got) == len(wanted)
+    assert {r.id: (r.distance, r.asset) for r in got} == want
