@@ -414,7 +414,7 @@ def feature_calibration(spark, d):
 @query()
 def bootstrap_wer(spark, d):
     """Mean error with a percentile interval over resampled clips."""
-    return calibration.bootstrap_mean(S.usable(measurements(spark, d)), "clip_id", "wer", 200)
+    return calibration.bootstrap_mean(S.usable(measurements(spark, d)), "clip_id", "wer")
 
 
 # ----------------------------------------------------------------------- sensitivity
@@ -786,5 +786,5 @@ def active_curves(spark, d):
     from gaugeworks.operators import active
 
     oracle = lambda p: float(1 / (1 + 2.718281828 ** (-8 * (p[0] + 0.5 * p[1] - 0.7))))
-    c = active.curves(spark, oracle, 2, [1, 2, 3], n_seed=5, budget=11)
+    c = active.curves(spark, oracle, 2, [1, 2, 3])
     return active.seed_band(active.best_so_far(c)).select("arm", "n_evals", *r9("median", "low", "high"), "n_seeds")

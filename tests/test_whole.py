@@ -86,3 +86,15 @@ def test_many_assets_are_searched_whole(spark, monkeypatch):
     want = {i: min((abs(v - h), k) for k, h in assets) for i, v in wanted}
     assert len(got) == len(wanted)
     assert {r.id: (r.distance, r.asset) for r in got} == want
+
+
+def test_queries_run_with_the_operators_defaults(spark, monkeypatch):
+    from gaugeworks.operators import active, calibration
+
+    asked = {}
+    monkeypatch.setattr(calibration, "bootstrap_mean", lambda rows, *a, **k: asked.setdefault("replicates", a[2:] or k))
+    QUERIES["bootstrap_wer"](spark, "/root/testdata/sf0.001")
+    real = active.curves
+    monkeypatch.setattr(active, "curves", lambda *a, **k: asked.setdefault("curves", k) and None or real(*a, **k))
+    got = QUERIES["active_curves"](spark, "/root/testdata/sf0.001").collect()
+    assert asked == {"replicates": {}, "curves": {}} and max(r.n_evals for r in got) == 30
