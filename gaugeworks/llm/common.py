@@ -7,6 +7,7 @@ per word.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,9 +27,16 @@ BATCH_BYTES, BATCH_ROWS = 4 << 20, 4000
 
 def tune(spark: SparkSession) -> None:
     """Bound the Arrow batches that Python workers receive, so that a run of very
-    long texts cannot exhaust a worker's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    long texts cannot exhaust a worker's memory.  The settings are read when a lazy plan
+    runs, so they stay; smaller bounds that the caller has set are left alone."""
+    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
+        name = f"spark.sql.execution.arrow.{name}"
+        try:
+            own = int(spark.conf.get(name))
+        except (TypeError, ValueError):  # unset, or with a unit
+            own = 0
+        if not 0 < own <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -39,10 +47,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 def shared_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the folder that driver and executors share
-    (``spark.checkpoint.dir``); a temporary folder only where none is configured,
-    as in tests on one machine."""
+    (``spark.checkpoint.dir``).  Where none is configured a session with a local master,
+    whose workers are on this machine, gets a temporary one; a cluster's raises."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[[^,]*(,\s*\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.gettempdir() + "/gaugeworks-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -86,24 +96,6 @@ def remainder(doc_id, modulus: int):
 #: Maps A-Z to a-z, every other byte to itself.
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-#: Powers of an odd multiplier, the positions of a polynomial hash.
-_MULT = np.uint64(0x9E3779B97F4A7C15)
-_POWERS = np.ones(1 << 10, np.uint64)
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if len(_POWERS) < n:
-        out = np.full(1 << int(n).bit_length(), _MULT, np.uint64)
-        out[0] = 1
-        _POWERS = np.multiply.accumulate(out)
-    elif _POWERS[-1] == 1:
-        out = np.full(len(_POWERS), _MULT, np.uint64)
-        out[0] = 1
-        _POWERS = np.multiply.accumulate(out)
-    return _POWERS
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser of a 64-bit hash."""
     x = x ^ (x >> np.uint64(33))
@@ -153,8 +145,15 @@ def runs(member: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+#: Places of a run whose random numbers are looked up; those of later places are computed.
+_PLACES = 256
+_NUMBERS = mix(np.arange(_PLACES << 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+
+
 def hash_runs(data: np.ndarray, member: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each run of bytes."""
+    """A 64-bit hash of each run of bytes: the sum of a random number for each byte at its
+    place, and the length.  Runs of different bytes meet as random numbers do, whatever
+    their structure."""
     if not len(starts):
         return np.zeros(0, np.uint64)
     size = ends - starts
@@ -162,9 +161,15 @@ def hash_runs(data: np.ndarray, member: np.ndarray, starts: np.ndarray, ends: np
     np.cumsum(size[:-1], out=first[1:])
     place = np.arange(int(size.sum()), dtype=np.int32)
     place -= np.repeat(first.astype(np.int32), size)
-    value = _powers(int(size.max()) + 1)[place]
-    value *= data[member].astype(np.uint64) + np.uint64(1)
-    return mix(np.add.reduceat(value, first) ^ (size.astype(np.uint64) << np.uint64(48)))
+    key = place << 8 if size.max() < 1 << 22 else place.astype(np.int64) << 8
+    key |= data[member]
+    if size.max() <= _PLACES:
+        value = _NUMBERS[key]
+    else:
+        value = _NUMBERS[np.minimum(key, len(_NUMBERS) - 1)]
+        late = np.flatnonzero(place >= _PLACES)
+        value[late] = mix(key[late].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0x632BE59BD9B4E019))
+    return mix(np.add.reduceat(value, first) ^ (size.astype(np.uint64) << np.uint64(40)))
 
 
 def byte_class(*spans: tuple[int, int]) -> np.ndarray:
