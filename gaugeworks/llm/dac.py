@@ -33,8 +33,12 @@ from gaugeworks.llm.chunks import ChunkTable, Splitter, encoded
 from gaugeworks.llm.common import scan_bytes, shared_path, tune, worker_kept
 
 MAGIC = b"DAC1"
+#: Columns of the dataset that holds the file images.
+FILES = "part int, seq int, n_docs bigint, n_tokens bigint, image binary"
 #: Ids of a segment before it is closed, input bytes of a range.
 SEGMENT_IDS, RANGE_BYTES = 1 << 20, 8 << 20
+#: Characters of a text that order rows of one id; ranges whose totals are summed together.
+PREFIX, RANGES = 64, 4096
 #: Bitmap bits for each entry of a rank directory.
 BLOCK = 512
 
@@ -66,7 +70,7 @@ class Codes:
             blocks = -(-n // BLOCK)
             chunk = np.frombuffer(data, np.uint8, n, at + 8)
             ranks = np.frombuffer(data, np.uint32, blocks, at + 8 + n)
-            bits = np.frombuffer(data, np.uint8, blocks * BLOCK // 8, at + 8 + n + 4 * blocks)
+            bits = np.frombuffer(data, np.uint8, blocks * BLOCK // 8, at + 8 + n + 4 * blocks).copy()  # aligned, to be read as words
             self.levels.append((chunk, ranks, bits))
             at += 8 + n + 4 * blocks + blocks * BLOCK // 8
 
@@ -88,6 +92,24 @@ class Codes:
             shift += 8
         return out
 
+    def take(self, places: np.ndarray) -> np.ndarray:
+        """The ids at any places: ranks of all of them, a level at a time."""
+        i = np.asarray(places, np.int64)
+        if len(i) and not 0 <= i.min() <= i.max() < len(self):
+            raise IndexError(f"places outside 0 to {len(self) - 1}")
+        out, live, shift = np.zeros(len(i), np.uint32), np.arange(len(i)), 0
+        for chunk, ranks, bits in self.levels:
+            out[live] |= chunk[i].astype(np.uint32) << np.uint32(shift)
+            more = (bits[i >> 3] >> (i & 7).astype(np.uint8)) & 1 == 1
+            live, i = live[more], i[more]
+            if not len(live):
+                break
+            ones = np.bitwise_count(bits.view(np.uint64)).astype(np.int64)
+            before = np.concatenate([[0], np.cumsum(ones)])[i >> 6] - np.concatenate([[0], np.cumsum(ones)])[i // BLOCK * (BLOCK // 64)]
+            rest = np.bitwise_count(bits.view(np.uint64)[i >> 6] & ((np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)))
+            i, shift = ranks[i // BLOCK] + before + rest, shift + 8
+        return out
+
     def all(self) -> np.ndarray:
         """Every id, level by level from the last."""
         above = np.zeros(0, np.uint32)
@@ -163,8 +185,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id_
     """Tokenize every text, append ``end_id`` and write segments below ``path`` in
     ascending order of id; returns ``path``.
 
-    Null and empty texts are the end id alone.  Rows with equal ids stay together,
-    ordered by text; null ids come first.  An empty table writes no segment.
+    Null and empty texts are the end id alone.  Rows with equal ids are in order of their
+    first PREFIX characters, then of a hash of the text; so an id that many rows share is
+    cut into ranges as any other.  Null ids come first.  An empty table writes no segment;
+    other columns are ignored.
     """
     spark = docs.sparkSession
     tune(spark)
@@ -196,16 +220,32 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, *, end_id: int, id_
         if names:
             yield closed()
 
-    ordered = rows.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(work, "part int, seq int, n_docs bigint, n_tokens bigint, image binary").write.option("parquet.block.size", 16 << 20).parquet(path)
+    # equal rows may lie in any order, so where a row was read parts them as a last resort
+    ties = [F.col("doc_id"), F.substring("text", 1, PREFIX).alias("head"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("read")]
+    keyed = rows.select("text", *ties).repartitionByRange(ranges, "doc_id", "head", "hash", "read").sortWithinPartitions("doc_id", "head", "hash")
+    keyed.select("doc_id", "text").mapInArrow(work, FILES).write.option("parquet.block.size", 16 << 20).parquet(path)
     return path
 
 
+def segment_starts(files: DataFrame) -> DataFrame:
+    """(part, seq, before): the ids before each segment.  Totals are summed within groups
+    of RANGES ranges, then over the groups, so no task orders all ranges."""
+    segments = files.select("part", "seq", "n_tokens", F.floor(F.col("part") / RANGES).alias("group"))
+    parts = segments.groupBy("group", "part").agg(F.sum("n_tokens").alias("size"))
+    running = F.sum("size").over(Window.partitionBy("group").orderBy("part")) - F.col("size")
+    groups = parts.groupBy("group").agg(F.sum("size").alias("size"))
+    groups = groups.select("group", (F.sum("size").over(Window.orderBy("group")) - F.col("size")).alias("group_start"))
+    parts = parts.select("group", "part", running.alias("inside")).join(groups, "group").select("part", (F.col("group_start") + F.col("inside")).alias("part_start"))
+    inside = F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")
+    return segments.select("part", "seq", inside.alias("seq_start")).join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("seq_start")).alias("before"))
+
+
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """What the files hold, one row per document: ``doc_id``, ``start`` (ids of all
-    documents before it), ``n_tokens`` and ``ids_crc32``."""
+    """What the files hold, one row per document in the order of the files: ``doc_id`` (null
+    as written), ``start`` (ids of all documents before it), ``n_tokens`` and ``ids_crc32``.
+    A folder without segments gives none."""
     tune(spark)
-    files = spark.read.schema("part int, seq int, n_docs bigint, n_tokens bigint, image binary").parquet(path)
+    files = spark.read.schema(FILES).parquet(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,11 +259,26 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                 })
 
     rows = files.select("part", "seq", "image").mapInArrow(work, "part int, seq int, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint")
-    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("size"))
-    parts = parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("part_start"))
-    segments = files.select("part", "seq", (F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens")).alias("seq_start"))
-    starts = segments.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("seq_start")).alias("before"))
-    return rows.join(starts, ["part", "seq"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(segment_starts(files), ["part", "seq"]).select("doc_id", (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def read_ids(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """(position, id) of the ids at positions ``start`` to ``end`` - 1 of the whole stream.
+    Only segments that hold some are opened, and only those ids are decoded; positions
+    outside the stream give no row."""
+    tune(spark)
+    files = spark.read.schema(FILES).parquet(path)
+    wanted = segment_starts(files).join(files.select("part", "seq", "n_tokens"), ["part", "seq"])
+    wanted = wanted.where((F.col("before") < end) & (F.col("before") + F.col("n_tokens") > start)).select("part", "seq", "before")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for before, image in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                codes = Segment(image.as_py()).ids
+                places = np.arange(max(start - before, 0), min(end - before, len(codes)))
+                yield pa.RecordBatch.from_pydict({"position": pa.array(places + before), "id": pa.array(codes.take(places).astype(np.int64))})
+
+    return files.join(F.broadcast(wanted), ["part", "seq"]).select("before", "image").mapInArrow(work, "position bigint, id bigint")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, *, end_id: int) -> DataFrame:
