@@ -168,7 +168,7 @@ class Phrases:
             by_size[len(phrase)].append((number, phrase))
         self.groups = [(size, np.array([n for n, _ in group]), np.array([p for _, p in group], np.int64)) for size, group in sorted(by_size.items())]
         self.shortest = min(by_size, default=0)
-        self.owners = [sorted(owners[k]) for k in range(len(seen))]
+        self.owners = [list(owners[k]) for k in range(len(seen))]
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers; SEPARATOR for words of no item."""
@@ -325,14 +325,21 @@ def hits_of_blocks(texts: pa.Array, shared: list[Broadcast]) -> tuple[np.ndarray
     return n_words, {d: merged(*np.array([(a, b - a) for a, b in x]).T) for d, x in spans.items()}, items
 
 
+def named(items: Iterable[object]) -> list[str | None]:
+    """Item ids as strings, sorted; items without an id are one null at the end."""
+    return sorted(str(x) for x in items if x is not None) + [None] * (None in items)
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """One row per document row: its id, ``n_words``, ``n_hit``, ``items`` (ids,
     sorted as strings) and ``spans`` (first word and end of each removal span).
 
-    Null and empty texts have no words and no hits; null items are skipped; items
-    of fewer words than ``window`` are searched whole, items without words never
-    match.  Repeated rows give repeated results; a null id is passed through; an
-    empty table gives an empty result; other columns are ignored.
+    Null and empty texts have no words and no hits; items with a null text are skipped;
+    items of fewer words than ``window`` are searched whole, items without words never
+    match.  Items without an id are searched too and stand as one null at the end of
+    ``items``; items that share an id are one.  Repeated rows give repeated results; a
+    null id is passed through; an empty table gives an empty result, an empty benchmark
+    no hits; other columns are ignored.
     """
     tune(docs.sparkSession)
     shared = share_phrases(benchmark, item_col, item_text_col, window)
@@ -344,7 +351,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
             rows = range(batch.num_rows)
             columns = [
                 pa.array(n_words), pa.array([sum(b - a for a, b in spans.get(d, ())) for d in rows], pa.int64()),
-                pa.array([sorted(map(str, items.get(d, ()))) for d in rows], out.field("items").type),
+                pa.array([named(items.get(d, ())) for d in rows], out.field("items").type),
                 pa.array([[{"first": a, "end": b} for a, b in spans.get(d, ())] for d in rows], out.field("spans").type),
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], schema=pa.schema([batch.schema.field(0), *out]))
@@ -355,7 +362,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", window: int = WINDOW, share: int = 20) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated: fewer than one word in
-    ``share`` lies in an occurrence of a window.  All columns stay as they are."""
+    ``share`` lies in an occurrence of a window.  All columns, repeated rows and rows with
+    a null id or text stay as they are; of an empty table nothing is left, and an empty
+    benchmark (its columns are item_id and text) drops nothing."""
     tune(docs.sparkSession)
     shared = share_phrases(benchmark, "item_id", "text", window)
     place = docs.columns.index(text_col)

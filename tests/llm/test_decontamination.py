@@ -101,3 +101,12 @@ def test_benchmark_beyond_one_block_is_searched_whole(spark, monkeypatch):
         assert all(a.end < b.first for a, b in zip(r.spans, r.spans[1:], strict=False))
     kept = sorted(str(r.doc_id) for r in drop_contaminated(table, bench).collect())
     assert kept == sorted(str(d) for d, n, h, _ in want if not h or 20 * h < n)
+
+
+def test_items_without_an_id_are_searched(spark):
+    text = " ".join(f"w{k}" for k in range(13))
+    bench = spark.createDataFrame([(None, text), (7, text), (None, "x y"), (7, "z"), (10, text)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, text), (2, "x y"), (3, "z z"), (4, "q")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_hit, r["items"]) for r in find_contamination(docs, bench).collect()}
+    assert got == {1: (13, ["10", "7", None]), 2: (2, [None]), 3: (2, ["7"]), 4: (0, [])}
+    assert [r.doc_id for r in drop_contaminated(docs, bench).collect()] == [4]
