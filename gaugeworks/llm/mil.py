@@ -6,8 +6,8 @@ sigmoid unit, then a softmax over the document's passages) weighs the embeddings
 a logistic unit scores their weighted sum.  Attention is learned from document labels
 alone.
 
-Training runs on the driver over the figures of a bounded sample (``PER_CLASS``
-documents a class, at most ``MOST_PASSAGES`` passages in all).  Scoring is one scan
+Training runs on the driver over the figures of a bounded sample of whole documents
+(``PER_CLASS`` a class, of at most ``MOST_PASSAGES`` passages).  Scoring is one scan
 without a shuffle: every passage of every whole text is encoded in bulk.
 """
 
@@ -18,13 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from gaugeworks.llm.chunks import BLANKS
-from gaugeworks.llm.common import byte_class, hash_runs, runs, slices, tune
+from gaugeworks.llm.common import byte_class, hash_runs, persist, runs, slices, tune
 from gaugeworks.llm.training import sigmoid
 
-PER_CLASS, MOST_PASSAGES = 3000, 60_000
+#: Documents and passages of a class that are learned from at most.
+PER_CLASS, MOST_PASSAGES = 3000, 30_000
 PASSAGE = 512
 HIDDEN, ATTENTION, ROUNDS = 16, 8, 250
 #: Classes of bytes whose shares in a passage are figures.
@@ -135,21 +137,20 @@ def fit(x: np.ndarray, at: np.ndarray, y: np.ndarray, rounds: int = ROUNDS) -> M
 
 
 def train(sample: DataFrame) -> Model | None:
-    """Fit on a bounded sample (doc_id, text, y); None without documents of both labels.
-    Figures are computed on the workers; of a text with more passages than its fair part
-    of MOST_PASSAGES evenly spaced ones are taken."""
+    """Fit on a bounded sample (doc_id, text, y) of whole texts; None without documents of
+    both labels.  Figures are computed on the workers; of each class the documents whose
+    hashed ids come first are taken, as long as their passages are MOST_PASSAGES at most."""
     tune(sample.sparkSession)
-    most = max(4, MOST_PASSAGES // (2 * PER_CLASS))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, x, at in encode_passages(batch.column(0)):
-                bags = []
-                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                    bags.append(x[np.linspace(a, b - 1, min(most, b - a)).astype(int)].astype(np.float32).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(bags, pa.binary())], names=["doc_id", "y", "bag"])
+                bags = [x[a:b].astype(np.float32).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(bags, pa.binary())], names=["doc_id", "y", "n", "bag"])
 
-    rows = sample.select("text", "doc_id", "y").mapInArrow(work, "doc_id bigint, y int, bag binary").collect()
+    bags = persist(sample.select("text", "doc_id", "y").mapInArrow(work, "doc_id bigint, y int, n bigint, bag binary"), "passages")
+    before = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0))
+    rows = bags.withColumn("total", before).where(F.col("total") <= MOST_PASSAGES).select("doc_id", "y", "bag").collect()
     rows.sort(key=lambda r: (r.doc_id, r.bag))
     y = np.array([r.y for r in rows])
     if len(set(y.tolist())) < 2:
@@ -174,7 +175,9 @@ def score_documents(docs: DataFrame, model: Model | None, *, id_col: str = "doc_
 
 
 def keep_good(docs: DataFrame, model: Model | None, *, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
-    """The rows that score ``threshold`` or more, all columns as they are."""
+    """The rows that score ``threshold`` or more, all columns as they are.  Null and empty
+    texts score as one empty passage; repeated rows fare alike, rows with a null id as any
+    other; without a model, and of an empty table, every row stays."""
     tune(docs.sparkSession)
     shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 

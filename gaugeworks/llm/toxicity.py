@@ -12,8 +12,9 @@ Each hit is judged in a window of words around it: inside quotation marks or bes
 word of reporting it counts as a quotation, else as abuse.  A logistic model over the
 evidence of abusive and quoted, exact and misspelled hits gives the score.
 
-Scoring is one scan without a shuffle.  The lexicon (at most ``MOST_ENTRIES`` entries)
-and the model are the only things sent to workers.
+Scoring is one scan without a shuffle.  The lexicon and the model are the only things
+sent to workers; an entry stands for several documents of the sample, so the sample's
+bounds (``PER_CLASS`` documents and ``training.SAMPLE_BYTES`` of text) bound both.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ from gaugeworks.llm.chunks import BLANKS
 from gaugeworks.llm.common import hash_runs, persist, runs, slices, tune, worker_kept
 from gaugeworks.llm.training import fit_logistic, sigmoid
 
-#: The largest number of labelled documents of each class and of lexicon entries.
-PER_CLASS, MOST_ENTRIES = 4000, 2000
+#: The largest number of labelled documents of each class.
+PER_CLASS = 4000
 #: Of an entry: letters at least, the share of incidences (classes weighing the same)
 #: that toxic documents have at least (of a stem's: more), and how many entries may
 #: qualify by chance.
@@ -148,8 +149,13 @@ class Lexicon:
 #: not weighed); where their weights and the constant start.
 FEATURES = ("abusive", "quoted", "strongest", "misspelled")
 PRIOR = np.array([0.5, 0.1, 0.5, 0.0, -3.0])
-#: Evidence of one kind counts up to this; a misspelled hit counts for so much of an exact one.
-MOST_EVIDENCE, MISSPELLED = 20.0, 0.75
+#: Where the weight of evidence levels off; a misspelled hit counts for so much of an exact one.
+LEVEL, MISSPELLED = 20.0, 0.75
+
+
+def weighed(evidence: np.ndarray) -> np.ndarray:
+    """Evidence as the score takes it: proportional while small, levelling off at LEVEL."""
+    return LEVEL * (1 - np.exp(-evidence / LEVEL))
 
 
 class Scanner:
@@ -200,7 +206,11 @@ class Scanner:
                 out[lo + d, 3] += wrong
                 if not quoted:
                     out[lo + d, 2] = max(out[lo + d, 2], odds)
-        return np.minimum(out, MOST_EVIDENCE)
+        return out
+
+    def scores(self, x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of texts with evidence x."""
+        return sigmoid(weighed(x) @ weights[:-1] + weights[-1])
 
     @staticmethod
     def is_quoted(before: bytes, word: bytes, after: bytes) -> int:
@@ -244,7 +254,7 @@ def learn_entries(sample: DataFrame) -> Lexicon:
     parts = seen.select("w", "toxic", "clean", F.explode(F.expr(f"transform(sequence({LEAST_LETTERS}, length(w)), n -> left(w, n))")).alias("p"))
     parts = parts.groupBy("p").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.sum(F.when(F.col("p") == F.col("w"), F.col("toxic")).otherwise(0)).alias("whole"))
     share = F.col("toxic") / n_toxic / (F.col("toxic") / n_toxic + F.col("clean") / n_clean)
-    kept = parts.where((F.col("toxic") >= least) & (share >= LEAST_SHARE)).withColumn("share", share).orderBy(F.desc("toxic"), "p").limit(20 * MOST_ENTRIES).collect()
+    kept = parts.where((F.col("toxic") >= least) & (share >= LEAST_SHARE)).withColumn("share", share).collect()
     rows = {r.p: r for r in kept}
     longer: dict[str, list[str]] = {}
     for p in rows:
@@ -256,7 +266,7 @@ def learn_entries(sample: DataFrame) -> Lexicon:
         out.odds.append(max(0.5, math.log((rows[p].toxic + 0.5) / n_toxic) - math.log((rows[p].clean + 0.5) / n_clean)))
 
     todo = sorted((p for p in rows if p[:-1] not in rows), key=lambda p: (rows[p].toxic, p))
-    while todo and len(out.entries) < MOST_ENTRIES:
+    while todo:
         p = todo.pop()
         top = rows[p].toxic
         while (more := max(longer.get(p, ()), key=lambda q: (rows[q].toxic, q), default=None)) and rows[more].toxic >= 0.98 * top:
@@ -273,8 +283,7 @@ def learn_entries(sample: DataFrame) -> Lexicon:
 
 
 def near_words(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
-    """Words of the sample's clean documents that lie near an entry without being one: at
-    most ten an entry allowed, the most frequent."""
+    """Words of the sample's clean documents that lie near an entry without being one."""
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,8 +293,8 @@ def near_words(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
             near = [w for w in words if (m := scanner.match(w)) >= 0 and m & 3]
             yield pa.RecordBatch.from_pydict({"word": pa.array(near, pa.string())})
 
-    found = sample.where("y = 0").select("text").mapInArrow(work, "word string").groupBy("word").count()
-    return frozenset(r.word for r in found.orderBy(F.desc("count"), "word").limit(10 * MOST_ENTRIES).collect())
+    found = sample.where("y = 0").select("text").mapInArrow(work, "word string").distinct()
+    return frozenset(r.word for r in found.collect())
 
 
 def score_features(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
@@ -295,7 +304,7 @@ def score_features(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str
         scanner = scanner_of(shared.value)
         for batch in batches:
             x = scanner.features(batch.column(0))
-            score = sigmoid(x @ shared.value.weights[:-1] + shared.value.weights[-1])
+            score = scanner.scores(x, shared.value.weights)
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score), *map(pa.array, x.T)], names=[*keep, "score", *FEATURES])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
@@ -312,7 +321,7 @@ def train(sample: DataFrame) -> Lexicon:
     rows = score_features(sample, lexicon, "doc_id", "text", ["y"]).select("y", *FEATURES).collect()
     if rows and lexicon.entries:
         data = np.array(rows, float)
-        lexicon.weights = fit_logistic(data[:, 1:], data[:, 0], PRIOR, 0.2)
+        lexicon.weights = fit_logistic(weighed(data[:, 1:]), data[:, 0], PRIOR, 0.2)
         lexicon.weights[:-1] = np.maximum(lexicon.weights[:-1], 0)  # a hit never speaks for a text
     return lexicon
 
@@ -326,13 +335,15 @@ def score_documents(docs: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, lexicon: Lexicon, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows that score below ``threshold``, all columns as they are."""
+    """The rows that score below ``threshold``, all columns as they are.  Null and empty
+    texts score as texts without hits; repeated rows fare alike, rows with a null id as any
+    other; of an empty table nothing is left."""
     tune(docs.sparkSession)
     shared, place = docs.sparkSession.sparkContext.broadcast(lexicon), docs.columns.index(text_col)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner, w = scanner_of(shared.value), shared.value.weights
         for batch in batches:
-            yield batch.filter(pa.array(sigmoid(scanner.features(batch.column(place)) @ w[:-1] + w[-1]) < threshold))
+            yield batch.filter(pa.array(scanner.scores(scanner.features(batch.column(place)), w) < threshold))
 
     return docs.mapInArrow(work, docs.schema)

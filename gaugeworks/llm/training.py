@@ -3,19 +3,24 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import persist
 
+#: Bytes of text that the sample of one class holds at most.
+SAMPLE_BYTES = 48 << 20
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int) -> DataFrame:
-    """(doc_id, text, y): at most ``per_class`` documents of label 0 and of label 1,
-    those whose hashed ids come first, so the choice doesn't depend on order or size.
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, per_class: int, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, y): at most ``per_class`` whole documents of label 0 and of label 1,
+    in all at most ``most_bytes`` of each, those whose hashed ids come first; so the choice
+    doesn't depend on order or size.
 
     The chosen ids (at most 2 * per_class rows of two numbers) are broadcast to one scan
     of the documents.  Rows without a label, an id or a text are left out; an id that is
-    labelled twice counts once, with its larger label.
+    labelled twice counts once, with its larger label.  Of an id that several documents
+    have one is taken, by the hash of its text.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & allowed)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
@@ -24,7 +29,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
         part = known.where(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionAll(part)
     found = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    return persist(found, "labelled")
+    size = F.octet_length("text").cast("long")
+    # a text beyond the bound is dropped in the scan, so that the rows that move are bounded
+    found = found.where(size <= most_bytes).select("doc_id", "y", size.alias("size"), F.xxhash64("text").alias("hash"), "text")
+    one = persist(found.groupBy("doc_id", "y").agg(F.min_by(F.struct("size", "text"), F.struct("hash", "text")).alias("d")).select("doc_id", "y", "d.*"), "labelled")
+    before = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    fits = one.select("doc_id", "y", before.alias("total")).where(F.col("total") <= most_bytes).select("doc_id")
+    return one.join(F.broadcast(fits), "doc_id", "left_semi").select("doc_id", "text", "y")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
