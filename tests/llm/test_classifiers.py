@@ -4,9 +4,11 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from gaugeworks.llm import codewords, mil, toxicity, urls
 from gaugeworks.llm.queries import URL_RULES, op1_toxicity, op4_quality, op6_language, op7_url_filter, quality_model, toxicity_model
+from gaugeworks.llm.training import labelled_sample
 
 D = "/root/testdata/sf0.01"
 EDGES = [(1, None, 9), (2, "", 9), (None, "x", 9), (4, "word " * 30000, 9), (5, "...", 9), (5, "...", 9)]
@@ -83,6 +85,90 @@ def test_held_out_toxicity_and_quality(spark):
     assert auc(pairs) > 0.97 and np.mean([p == y for _, y, p in pairs]) > 0.95
 
 
+MIXED = ["the quick brown fox", "Der Hund, der läuft! 12 34", None, "", "..  ??", "x", "word " * 4000 + "end", "日本語のテキスト and more", "a a a b\n\tb c " * 90, "ÀÉ ½ | {x} <y>"]
+
+
+def brute_quality(model, text):
+    """One document at a time, a passage at a time."""
+    data = (text or "").encode()
+    words = [(m.start(), m.group()) for m in re.finditer(rb"[^\x09-\x0d\x20]+", data)]
+    rows = []
+    for at in range(0, max(len(data), 1), mil.PASSAGE):
+        part, own = data[at : at + mil.PASSAGE], [w for w in words if at <= w[0] < at + mil.PASSAGE]
+        figures, size, n = [0.0] * mil.FIGURES, max(1, len(part)), max(1, len(own))
+        for byte in part:
+            kinds = [k for k in range(len(mil.CLASSES)) if mil.CLASSES[k][byte]]
+            figures[kinds[0] if kinds else len(mil.CLASSES)] += 1 / size
+        same = sum(k > 0 and words[k - 1][1] == w for k, (p, w) in enumerate(words) if at <= p < at + mil.PASSAGE)
+        if words:
+            figures[-7:] = [len(own) / size * 8, sum(min(len(w), 64) for _, w in own) / n / 16, sum(len(w) <= 3 for _, w in own) / n, sum(len(w) >= 14 for _, w in own) / n, same / n, len({w for _, w in own}) / n, len({w for _, w in words}) / len(words)]
+        rows.append((np.array(figures) - model.mean) / model.scale)
+    w, sig = model.weights, lambda z: 1 / (1 + np.exp(-z))
+    h = [np.tanh(x @ w["w"] + w["b"]) for x in rows]
+    e = np.array([w["a"] @ (np.tanh(x @ w["v"]) * sig(x @ w["u"])) for x in h])
+    share = np.exp(e - e.max()) / np.exp(e - e.max()).sum()
+    return sig(sum(s * x for s, x in zip(share, h, strict=True)) @ w["o"] + w["c"])
+
+
+def test_quality_equals_brute_force(spark):
+    model = quality_model(spark, "/root/testdata/sf0.001")
+    texts = MIXED + [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(40).collect()]
+    assert np.allclose(model.score(pa.array(texts)), [brute_quality(model, t) for t in texts], atol=1e-9)
+
+
+def brute_evidence(lexicon, text):
+    """Edit distances of every word to every entry, marks and reporting words one by one."""
+    words = re.findall(r"[^\x09-\x0d\x20]+", text or "")
+    out, bare = [0.0, 0.0, 0.0, 0], lambda w: w.strip(toxicity.STRIP).lower()
+    for k, raw in enumerate(words):
+        word, best = bare(raw), None
+        for number, (entry, stem) in enumerate(lexicon.entries):
+            allowed = toxicity.edits_allowed(entry, stem)
+            if abs(len(word) - len(entry)) > allowed and not (stem and len(word) > len(entry)):
+                continue
+            d = min(distance(t, entry) for t in ([word[:n] for n in range(len(word) + 1)] if stem else [word]))
+            if d <= allowed and (best is None or (d, number) < best):
+                best = d, number
+        if best is None or best[0] and word in lexicon.exceptions:
+            continue
+        core = raw.find(raw.strip(toxicity.STRIP)) if raw.strip(toxicity.STRIP) else 0
+        before, after = words[max(0, k - toxicity.WINDOW) : k], words[k + 1 : k + toxicity.WINDOW + 1]
+        marks = lambda parts: any(q in p for p in parts for q in toxicity.QUOTES)
+        quoted = any(bare(w) in toxicity.REPORTING for w in [*before, *raw[:core].split()]) or (marks([*before, raw[:core]]) and marks([raw[core:], *after]))
+        odds = lexicon.odds[best[1]] * (toxicity.MISSPELLED if best[0] else 1)
+        out[quoted] += odds
+        out[3] += best[0] > 0
+        if not quoted:
+            out[2] = max(out[2], odds)
+    return out
+
+
+def test_toxicity_equals_brute_force(spark):
+    lexicon = toxicity_model(spark, "/root/testdata/sf0.01")
+    assert lexicon.entries
+    rng, words = np.random.default_rng(8), [e for e, _ in lexicon.entries][:30]
+    spoil = lambda w: w[: (k := int(rng.integers(1, len(w)))) - 1] + rng.choice(list("aeiou ")) + w[k:]
+    texts = MIXED + [" ".join(rng.choice(["plain", "text", '"', "he said", "“so”", rng.choice(words), spoil(str(rng.choice(words))), f'"{rng.choice(words)}"']) for _ in range(25)) for _ in range(40)]
+    got = toxicity.Scanner(lexicon).features(pa.array(texts))
+    want = np.array([brute_evidence(lexicon, t) for t in texts])
+    assert want.any() and np.allclose(got, want)
+    rows = toxicity.score_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), lexicon).collect()
+    level, w = toxicity.LEVEL, lexicon.weights
+    for r in rows:
+        z = sum(w[k] * level * (1 - np.exp(-want[r.doc_id][k] / level)) for k in range(4)) + w[4]
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_samples_are_bounded_under_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, f"t{k % 5}", 0) for k in range(600)] + [(2, "b", 0), (3, "c" * 900, 0), (4, None, 0), (None, "x", 0)], "doc_id long, text string, y int")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (4, 1), (None, 1), (9, None)], "doc_id long, toxic int")
+    yes = F.lit(True)
+    assert sorted((r.doc_id, r.y) for r in labelled_sample(docs, labels, "toxic", yes, 5).collect()) == [(1, 1), (2, 0), (3, 0)]
+    assert sorted((r.doc_id, r.y) for r in labelled_sample(docs, labels, "toxic", yes, 5, 100).collect()) == [(1, 1), (2, 0)]
+    assert labelled_sample(docs, labels, "toxic", yes, 1).count() == 2
+    assert labelled_sample(docs.limit(0), labels, "toxic", yes, 5).count() == labelled_sample(docs, labels.limit(0), "toxic", yes, 5).count() == 0
+
+
 def test_filters_on_edge_cases(spark):
     docs = spark.createDataFrame([(d, t, s) for d, t, s in EDGES], "doc_id long, text string, score long")
     lexicon, model = toxicity_model(spark, "/root/testdata/sf0.001"), quality_model(spark, "/root/testdata/sf0.001")
@@ -122,6 +208,63 @@ def test_language_of_held_out_documents(spark):
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows if r.held_out]) > 0.97
 
 
+def brute_margins(model, text):
+    """A text at a time, an n-gram at a time."""
+    plain = []
+    for byte in (text or "").encode():
+        byte = byte if chr(byte).isascii() and chr(byte).isalpha() or byte > 127 else 32
+        byte += 32 * (65 <= byte <= 90)
+        if byte != 32 or not plain or plain[-1] != 32:
+            plain.append(byte)
+    total, before, second = np.zeros(model.code.shape[1]), 32, 32
+    for byte in plain:
+        pair = before << 8 | byte
+        slots = byte, 256 + ((pair * 0x9E3779B1 & 0xFFFFFFFF) >> 21), 2304 + (((second << 16 | pair) * 0x85EBCA6B & 0xFFFFFFFF) >> 16) % (codewords.SLOTS - 2304)
+        total += model.weights[list(slots)].astype(float).sum(axis=0)
+        before, second = byte, before
+    return total / max(1, len(plain)) + model.weights[-1]
+
+
+@pytest.mark.parametrize("step", [7, 1 << 18])
+def test_language_equals_brute_force(spark, monkeypatch, step):
+    monkeypatch.setattr(codewords, "STEP_BYTES", step)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    model = codewords.train(docs)
+    texts = MIXED + [r.text for r in docs.limit(20).collect()]
+    margins = np.array([brute_margins(model, t) for t in texts])
+    rows = codewords.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in rows:
+        loss = np.logaddexp(0, -margins[r.doc_id] * model.code).sum(axis=1)
+        if not any(c.isalpha() for c in texts[r.doc_id] or ""):
+            assert (r.lang_pred, r.score) == ("und", 0)
+            continue
+        p = np.exp(loss.min() - loss)
+        assert model.languages.index(r.lang_pred) in np.flatnonzero(loss <= loss.min() + 1e-4) and r.score == pytest.approx((p / p.sum()).max(), abs=1e-4)
+
+
+def test_bags_count_whole_texts(monkeypatch):
+    data = np.frombuffer("ab Ab!! x".encode() + b"" + "zz".encode(), np.uint8)
+    whole = list(codewords.bags(data, np.array([0, 9, 9, 11])))
+    monkeypatch.setattr(codewords, "STEP_BYTES", 2)
+    for (a, x), (b, y) in zip(whole, codewords.bags(data, np.array([0, 9, 9, 11])), strict=True):
+        assert a.tolist() == b.tolist() and np.allclose(x, y)
+    assert not len(whole[1][0]) and whole[2][1].sum() == pytest.approx(3)
+
+
+def test_languages_under_repeated_ids_and_many_languages(spark, monkeypatch):
+    one = spark.createDataFrame([(1, "the same text", "en")] * 3000, "doc_id long, text string, lang string")
+    assert codewords.train(one).languages == ["en"]
+    other = spark.createDataFrame([(1, f"der {k}", "de") for k in range(500)], one.schema)
+    assert codewords.train(one.unionAll(other)).languages == ["de", "en"]
+    monkeypatch.setattr(codewords, "STEP_DOCUMENTS", 300)
+    words = [chr(97 + k % 26) + chr(97 + k // 26) for k in range(600)]
+    many = spark.createDataFrame([(k * 5 + n, f"{w} " * (20 + n), f"l{k}") for k, w in enumerate(words) for n in range(5)], one.schema)
+    model = codewords.train(many)
+    assert len(model.languages) == 600
+    found = codewords.identify(many, model).join(many, "doc_id")
+    assert found.where("lang_pred = lang").count() > 0.8 * 3000
+
+
 def test_language_edge_cases(spark):
     docs = spark.createDataFrame([(1, "the of and", "en"), (2, "der die das", "de"), (3, None, "de"), (4, "der", None), (5, "", "xx")], "doc_id long, text string, lang string")
     model = codewords.train(docs)
