@@ -289,7 +289,51 @@ def test_host_and_path(url, parts):
     assert urls.host_and_path(url) == parts
 
 
+def brute_slots(text, salt):
+    """The slots of a text's n-grams, one character at a time."""
+    def mix(x):
+        for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+            x = (x ^ x >> 33) * m % 2**64
+        return x ^ x >> 33
+
+    text, out = f"^{text}$", set()
+    for k in range(len(text)):
+        for n in urls.SIZES:
+            if k + n <= len(text):
+                h = salt
+                for c in text[k : k + n]:
+                    h = mix((h * 0x9E3779B97F4A7C15 + ord(c) + 1) % 2**64)
+                out.add(h % urls.SLOTS)
+    return out
+
+
+def brute_probability(weights, host, path):
+    slots = [*brute_slots(host, 1), *brute_slots(path, 2)]
+    return 1 / (1 + np.exp(-(sum(weights[k] for k in slots) / np.sqrt(max(1, len(slots))) + weights[-1])))
+
+
+def test_url_scores_equal_brute_force(monkeypatch):
+    weights = urls.train(urls.labelled_urls())
+    pairs = [urls.host_and_path(u) for u, _ in urls.labelled_urls()[::40]] + [("", ""), ("é日😀.de", "/ü"), ("a", ""), ("x" * 3000 + ".com", "/y")]
+    want = [brute_probability(weights, *p) for p in pairs]
+    for step in (50, 1 << 19):
+        monkeypatch.setattr(urls, "STEP_CHARACTERS", step)
+        assert np.allclose(urls.probabilities(weights, *map(list, zip(*pairs, strict=True))), want)
+    assert not len(urls.probabilities(weights, [], []))
+
+
+def test_url_classifier_on_held_out_sites():
+    table = urls.labelled_urls()
+    side = lambda u: zlib.crc32(urls.host_and_path(u)[0].encode()) % 2
+    weights = urls.train([r for r in table if side(r[0])])
+    rest = [r for r in table if not side(r[0])]
+    block = urls.probabilities(weights, *map(list, zip(*[urls.host_and_path(u) for u, _ in rest], strict=True))) >= 0.5
+    y = np.array([v for _, v in rest]) == 1
+    assert block[y].mean() > 0.8 and block[~y].mean() < 0.05
+
+
 def test_urls_equal_brute_force(spark):
+    weights = urls.train(urls.labelled_urls())
     pages = {r.page_id: r.url for r in spark.read.parquet(f"{D}/pages.parquet").select("page_id", "url").collect()}
     rows = op7_url_filter(spark, D).collect()
     assert len(rows) == len(pages)
@@ -298,8 +342,7 @@ def test_urls_equal_brute_force(spark):
         assert (r.host, r.path) == (m[1].lower(), m[2])
         rule = brute_rule(r.host, r.path)
         assert (r.rule, r.verdict) == (rule or (None, "block" if r.score >= 0.5 else "allow"))[:2]
-        if rule is None:
-            assert (r.verdict == "block") == ("-" in r.host)
+        assert r.score == pytest.approx(brute_probability(weights, r.host, r.path))
 
 
 def test_url_edge_cases(spark):
