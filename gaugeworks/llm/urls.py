@@ -142,7 +142,7 @@ def gram_keys(texts: list[str], salt: int) -> np.ndarray:
     out, rolled = [], np.full(len(code), salt, np.uint64)
     for n in range(1, max(SIZES) + 1):
         ahead = np.zeros(len(code), np.uint64)
-        ahead[: len(code) - n + 1] = code[n - 1 :]
+        ahead[: max(0, len(code) - n + 1)] = code[n - 1 :]
         rolled = mix(rolled * np.uint64(0x9E3779B97F4A7C15) + ahead + np.uint64(1))
         if n in SIZES:
             inside = left >= n

@@ -320,6 +320,7 @@ def test_url_scores_equal_brute_force(monkeypatch):
         monkeypatch.setattr(urls, "STEP_CHARACTERS", step)
         assert np.allclose(urls.probabilities(weights, *map(list, zip(*pairs, strict=True))), want)
     assert not len(urls.probabilities(weights, [], []))
+    assert np.allclose(urls.probabilities(weights, [""], ["/"]), brute_probability(weights, "", "/"))
 
 
 def test_url_classifier_on_held_out_sites():
