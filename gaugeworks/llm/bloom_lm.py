@@ -59,7 +59,7 @@ class LogFrequencyFilter:
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
         levels = level_of(counts)
         self.most = int(levels.max(initial=0))
-        self.size = 1 << max(6, (int(levels.sum()) * BITS_PER_ENTRY - 1).bit_length())
+        self.size = 1 << max(20, (int(levels.sum()) * BITS_PER_ENTRY - 1).bit_length())
         self.bits = np.zeros(self.size // 8, np.uint8)
         for q in range(1, self.most + 1):
             slot, step = self._slots(keys[levels >= q], q)
