@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import LOWER, hash_runs, mix, persist, runs, slices, tune
-from gaugeworks.llm.components import connected_components, filter_slot, id_filter, maybe_in
+from gaugeworks.llm.components import connected_components, filter_bits, filter_slot, id_filter, maybe_in
 from gaugeworks.llm.fm_index import WORD
 
 WORDS, THRESHOLD, POSITIONS, MISS = 5, 0.8, 64, 1e-7
 #: A bucket up to this size is compared by brute force; one up to BUCKET is split
-#: further within its task; a larger one is split by another shuffle.
-SMALL, BUCKET, DEPTH = 256, 20_000, 4
+#: further within its task; a larger one is split by another shuffle.  Below the root a
+#: path is split so many times at most, as ``root_choices`` reckons; then all is compared.
+SMALL, BUCKET, SPLITS = 256, 20_000, 2
 #: n-grams of one block of the exact count.
 BLOCK_GRAMS = 1_500_000
 _HASHES = np.random.default_rng(20240607).integers(1, 1 << 63, (2, 256), dtype=np.uint64) | np.uint64(1)
@@ -42,9 +43,10 @@ _HASHES = np.random.default_rng(20240607).integers(1, 1 << 63, (2, 256), dtype=n
 def root_choices(threshold: float) -> list[tuple[int, int]]:
     """(run, position) pairs sampled at the root: each run takes each position with
     probability 1/(threshold * POSITIONS); as many runs as MISS asks for, if a pair
-    must also survive two more splits below each bucket it shares."""
-    chance, survive = 1 / (threshold * POSITIONS), 1 - math.exp(-1.0)
-    survive = 1 - math.exp(-survive)
+    must also survive SPLITS more splits below each bucket it shares."""
+    chance, survive = 1 / (threshold * POSITIONS), 1.0
+    for _ in range(SPLITS):
+        survive = 1 - math.exp(-survive)
     rng, out, run, missed = np.random.default_rng(7), [], 0, 1.0
     while missed > MISS:
         for position in np.flatnonzero(rng.random(POSITIONS) < chance).tolist():
@@ -156,16 +158,16 @@ def split(path: np.uint64, rows: np.ndarray, sketches: np.ndarray, threshold: fl
                 yield mix(np.array([path ^ draw[p]]) + np.uint64(int(values[part[0]]) + 1))[0], rows[part]
 
 
-def bucket_groups(key: int, sketches: np.ndarray, threshold: float) -> np.ndarray:
-    """Chosen-path recursion within one bucket; the group of each row."""
+def bucket_groups(key: int, sketches: np.ndarray, threshold: float, splits: int) -> np.ndarray:
+    """Chosen-path recursion within one bucket, ``splits`` deep; the group of each row."""
     parent, least = np.arange(len(sketches)), int(POSITIONS * threshold * 0.65)
     todo = [(np.uint64(key & (2**64 - 1)), np.arange(len(sketches)), 0)]
     while todo:
         path, rows, depth = todo.pop()
-        if len(rows) <= SMALL or depth == DEPTH:
-            joined(parent, rows, alike(sketches[rows], least))
-        elif len(same := np.unique(alike_first(sketches[rows], least))) == 1 and same[0]:
+        if alike_first(sketches[rows], least).all():
             joined(parent, rows, np.zeros(len(rows), int))
+        elif len(rows) <= SMALL or depth == splits:
+            joined(parent, rows, alike(sketches[rows], least))
         else:
             todo += [(p, r, depth + 1) for p, r in split(path, rows, sketches, threshold)]
     return np.array([find_root(parent, x) for x in range(len(parent))])
@@ -186,7 +188,7 @@ def possible_links(classes: DataFrame, threshold: float) -> DataFrame:
         crowded = persist(crowded.join(classes.select("cls", "sketch"), "cls"), "buckets")
         most = crowded.agg(F.max("size")).first()[0] or 0
         here = crowded if most <= BUCKET else crowded.where(f"size <= {BUCKET}")
-        if most > BUCKET and depth == DEPTH:  # as good as equal sketches: compare block by block
+        if most > BUCKET and depth == SPLITS:  # compare block by block
             blocks = F.ceil(2 * F.col("size") / BUCKET).cast("int")
             block = F.pmod(F.xxhash64("cls"), blocks)
             pair = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
@@ -194,16 +196,18 @@ def possible_links(classes: DataFrame, threshold: float) -> DataFrame:
             rest = rest.select(F.xxhash64("key", F.least("block", "other"), F.greatest("block", "other")).alias("key"), "cls", "sketch", "size")
             here = here.select("key", "cls", "sketch", "size").unionAll(rest)
 
+        left = SPLITS - depth
+
         def work(key: tuple, rows: pa.Table) -> pa.Table:
             reps = rows.column("cls").to_numpy()
             sketches = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), np.uint8).reshape(-1, POSITIONS)
-            root = bucket_groups(key[0].as_py(), sketches, threshold)
+            root = bucket_groups(key[0].as_py(), sketches, threshold, left)
             linked = root != np.arange(len(root))
             return pa.table({"a": reps[linked], "b": reps[root[linked]]})
 
         found = here.select("key", "cls", "sketch").groupBy("key").applyInArrow(work, "a bigint, b bigint").distinct()
         edges = found if edges is None else edges.unionAll(found)
-        if most <= BUCKET or depth == DEPTH:
+        if most <= BUCKET or depth == SPLITS:
             return edges
         depth += 1
         place = "transform(sequence(1, {n}), p -> struct(p, pmod(xxhash64(key, p), 1000000) < {c} as taken))".format(n=POSITIONS, c=int(1_000_000 / (threshold * POSITIONS)))
@@ -215,12 +219,15 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, threshold: float)
     """(cls, links, root): for each class of ``groups`` (cls, root, rep, copies, n) the
     documents that its partners stand for, and edges that connect similar classes; one
     row for each block that it takes part in.  Only the representatives' texts are cut
-    into n-grams again: a filter of fixed size leaves most others out before that."""
-    bits = docs.sparkSession.sparkContext.broadcast(id_filter(groups, "rep"))
+    into n-grams again: a filter sized by their number leaves most others out before that,
+    or, where they are too many for one, a join by id does."""
+    bits = filter_bits(groups.count())
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(groups, "rep", bits)) if bits else None
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(maybe_in(bits.value, batch.column(2).to_numpy())))
+            if shared:
+                batch = batch.filter(pa.array(maybe_in(shared.value, batch.column(2).to_numpy())))
             for lo, hi, grams, at in gram_sets(batch.column(1), size):
                 raw, spans = grams.tobytes(), list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
                 sign = pa.array([int(grams[a:b].sum().astype(np.int64)) for a, b in spans], pa.int64())
@@ -229,7 +236,10 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, threshold: float)
     total = groups.groupBy("root").agg(F.sum("n").alias("total"))
     blocks = F.ceil(F.col("total") / BLOCK_GRAMS).cast("int")
     plan = groups.join(total, "root").select("rep", "cls", "root", "copies", F.pmod(F.xxhash64("cls"), blocks).alias("block"), blocks.alias("blocks"))
-    full = docs.where("doc_id is not null").select("doc_id", "text", filter_slot(F.col("doc_id")).alias("slot")).mapInArrow(sets, "rep bigint, cls bigint, grams binary")
+    wanted = docs.where("doc_id is not null").select("doc_id", "text", *([filter_slot(F.col("doc_id"), bits).alias("slot")] if bits else []))
+    if not bits:
+        wanted = wanted.join(groups.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    full = wanted.mapInArrow(sets, "rep bigint, cls bigint, grams binary")
     rows = full.join(plan, ["rep", "cls"])
     rows = rows.select("root", "cls", "copies", "grams", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     rows = rows.select("root", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "cls", "copies", "grams")
@@ -247,26 +257,81 @@ def exact_links(docs: DataFrame, groups: DataFrame, size: int, threshold: float)
 
 def count_links(sets: list[np.ndarray], weight: np.ndarray, side: np.ndarray | None, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Exact links of each set (the sum of its partners' weights) and a root of its
-    connected part.  With ``side`` only pairs of different sides count."""
-    size = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    gram = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    order = np.argsort(gram, kind="stable")
-    holders, first = owner[order], np.concatenate([[0], np.cumsum(np.bincount(gram))])
-    at = np.concatenate([[0], np.cumsum(size)])
-    links, parent = np.zeros(len(sets), np.int64), np.arange(len(sets))
-    for i in range(len(sets)):
-        own = gram[at[i] : at[i + 1]]
-        n = first[own + 1] - first[own]
-        shared = np.bincount(holders[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))], minlength=len(sets))
-        near = shared >= threshold * (size + size[i] - shared) - 1e-9
-        near[i] = False
-        if side is not None:
-            near &= side != side[i]
-        links[i] = weight[near].sum()
-        if side is None or side[i] == side.max():  # once for each pair of sides
-            unite(parent, i, np.flatnonzero(near if side is not None else near[:i]))
-    return links, np.array([find_root(parent, i) for i in range(len(sets))])
+    connected part.  With ``side`` only pairs of different sides count.
+
+    Near copies share most n-grams, so a set is described by how it differs from those that
+    more than half of the sets hold: what it lacks of them and what it adds.  Two sets that
+    share no difference have as many n-grams in common as the numbers alone tell, so such
+    pairs are counted by classes of equal numbers; only sets that share a difference are
+    looked at one by one."""
+    m, size = len(sets), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(m), size)
+    known, gram = np.unique(np.concatenate(sets), return_inverse=True)
+    common = 2 * np.bincount(gram, minlength=len(known)) > m
+    base, shown = int(common.sum()), common[gram]
+    held = np.bincount(owner[shown], minlength=m)
+    lacks, adds = base - held, size - held
+    of, what = [owner[~shown]], [gram[~shown]]
+    place, step = np.cumsum(common) - 1, max(1, (4 << 20) // max(1, base))
+    first = np.searchsorted(owner, np.arange(m + 1))
+    for lo in range(0, m, step) if base else ():
+        hi = min(lo + step, m)
+        own = slice(first[lo], first[hi])
+        has = np.zeros((hi - lo, base), bool)
+        has[owner[own][shown[own]] - lo, place[gram[own][shown[own]]]] = True
+        row, column = np.nonzero(~has)
+        of.append(row + lo)
+        what.append(column + len(known))
+    of, what = np.concatenate(of), np.concatenate(what)
+    holders = np.bincount(what, minlength=len(known) + base)
+    of, what = of[holders[what] > 1], what[holders[what] > 1]
+    by_set, by_what = np.argsort(of, kind="stable"), np.argsort(what, kind="stable")
+    mine, of_what = what[by_set], of[by_what]
+    at, start = np.searchsorted(of[by_set], np.arange(m + 1)), np.searchsorted(what[by_what], np.arange(len(known) + base + 1))
+    side = np.zeros(m, np.int64) if side is None else (side == side.max()).astype(np.int64) + 1  # 0: pairs of all
+    kinds, kind = np.unique(np.stack([lacks, adds, side], axis=1), axis=0, return_inverse=True)
+    kind = kind.ravel()
+    total, number = np.bincount(kind, weight), np.bincount(kind)
+    leader = np.full(len(kinds), m)
+    np.minimum.at(leader, kind, np.arange(m))
+    links, parent, whole = np.zeros(m, np.int64), np.arange(m), np.zeros(len(kinds), bool)
+    members = np.split(np.argsort(kind, kind="stable"), np.cumsum(number)[:-1])
+
+    def near(shared: np.ndarray, a: int, b: np.ndarray) -> np.ndarray:
+        return shared >= threshold * (a + b - shared) - 1e-9
+
+    for k, (lack, add, own) in enumerate(kinds.tolist()):
+        alike = near(base - lack - kinds[:, 0], base - lack + add, base - kinds[:, 0] + kinds[:, 1]) & ((kinds[:, 2] != own) | (own == 0))
+        among = bool(alike[k])
+        partners = np.flatnonzero(alike)
+        partners = partners[partners != k]
+        count = int(total[alike].sum())
+        if len(partners) or among and number[k] > 1:
+            whole[k] = True
+            whole[partners] = True
+            unite(parent, int(leader[k]), leader[partners])
+        for i in members[k].tolist():
+            links[i] = count - (int(weight[i]) if among else 0)
+            own_what = mine[at[i] : at[i + 1]]
+            n = start[own_what + 1] - start[own_what]
+            if not len(n):
+                continue
+            found = of_what[np.repeat(start[own_what] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+            if 8 * len(found) > m:
+                both = np.bincount(found, minlength=m)
+                found = np.flatnonzero(both)
+                both = both[found]
+            else:
+                found, both = np.unique(found, return_counts=True)
+            fit = near(base - lack - lacks[found] + both, size[i], size[found]) & ~alike[kind[found]] & (found != i)
+            if own:
+                fit &= side[found] != own
+            found = found[fit]
+            links[i] += weight[found].sum()
+            unite(parent, i, found)
+    for k in np.flatnonzero(whole).tolist():
+        unite(parent, int(leader[k]), members[k])
+    return links, np.array([find_root(parent, i) for i in range(m)])
 
 
 def unite(parent: np.ndarray, i: int, others: np.ndarray) -> None:
@@ -317,12 +382,17 @@ def similar_documents(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     return out.select("doc_id", "text_hash", F.coalesce("root", "doc_id").alias("class_id"), F.coalesce("rep", "doc_id").alias("copy_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
-def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class of similar documents: the one with the
-    smallest id.  All columns stay; rows with a null id all stay."""
-    classes = persist(similar_documents(docs, **options), "similar").where("doc_id is not null")
+    smallest id, of several texts of that id the one with the smallest hash.  All columns
+    stay, whatever their names; rows with a null id all stay; equal rows count as copies.
+    Of an empty table nothing is left."""
+    classes = persist(similar_documents(docs, id_col=id_col, text_col=text_col, **options), "similar").where("doc_id is not null")
     kept = classes.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.*")
-    rows = docs.withColumn("_hash", F.xxhash64("text"))
-    same = (rows["doc_id"] == kept["doc_id"]) & (rows["_hash"] == kept["text_hash"])
-    one = rows.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_hash"])
-    return one.unionByName(rows.where("doc_id is null")).drop("_hash")
+    taken, number, hashed = {c.lower() for c in docs.columns}, "_id", "_hash"
+    while number in taken or hashed in taken:
+        number, hashed = number + "_", hashed + "_"
+    rows = docs.withColumn(number, F.col(id_col).cast("long")).withColumn(hashed, F.xxhash64(text_col))
+    same = (rows[number] == kept["doc_id"]) & (rows[hashed] == kept["text_hash"])
+    one = rows.join(kept, same, "left_semi").dropDuplicates([number, hashed])
+    return one.unionByName(rows.where(F.col(number).isNull())).drop(number, hashed)

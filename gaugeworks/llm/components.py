@@ -1,4 +1,4 @@
-"""Connected components of a distributed edge list, and set filters of fixed size."""
+"""Connected components of a distributed edge list, and set filters sized by count."""
 
 from __future__ import annotations
 
@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import persist
 
-#: Bits of the filter that tells which ids may be in a set: 2 MB at any input size.
-FILTER_BITS = 1 << 24
+#: Bits of a filter for each id, and the least and the most bits of one (16 MB).
+BITS_PER_ID, LEAST_BITS, MOST_BITS = 16, 1 << 17, 1 << 27
 _PAGE = 32768  # bits of one bitmap of bitmap_construct_agg
 
 
@@ -38,17 +38,23 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(stars.select(F.col("b"), F.col("b"))).distinct()
 
 
-def filter_slot(column) -> F.Column:
+def filter_bits(n: int) -> int:
+    """Bits of a filter of n ids; 0 where it would let most other ids pass."""
+    bits = max(LEAST_BITS, 1 << max(0, BITS_PER_ID * n - 1).bit_length())
+    return min(bits, MOST_BITS) if n < MOST_BITS else 0
+
+
+def filter_slot(column, bits: int) -> F.Column:
     """The bit that stands for an id."""
-    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)).cast("int")
+    return F.pmod(F.xxhash64(column), F.lit(bits)).cast("int")
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of FILTER_BITS bits of the ids' slots: tells surely that an id is not
-    in ``ids``.  Aggregated to pages of 4 KB, of which at most 512 exist."""
-    slot = filter_slot(F.col(column))
+def id_filter(ids: DataFrame, column: str, size: int) -> np.ndarray:
+    """A bitmap of ``size`` bits of the ids' slots: tells surely that an id is not in
+    ``ids``.  Aggregated to pages of 4 KB, of which MOST_BITS make 4096."""
+    slot = filter_slot(F.col(column), size)
     pages = ids.select(slot.alias("s")).groupBy((F.col("s") / _PAGE).cast("int").alias("page")).agg(F.bitmap_construct_agg(F.col("s").cast("long") % _PAGE).alias("bits"))
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    out = np.zeros(size // 8, np.uint8)
     for page, bits in pages.collect():
         out[page * (_PAGE // 8) : (page + 1) * (_PAGE // 8)] = np.frombuffer(bits, np.uint8)
     return out

@@ -1,12 +1,14 @@
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from gaugeworks.llm import chosen_path
+from gaugeworks.llm import chosen_path, components
 from gaugeworks.llm.components import connected_components
 from gaugeworks.llm.queries import op2_jaccard_join
 
@@ -99,3 +101,58 @@ def test_runs_reach_the_target():
     choices = chosen_path.root_choices(0.8)
     assert len({r for r, _ in choices}) >= 20 and math.prod(1 - 0.8 * 0.46 for _ in choices) < 1e-6
     assert chosen_path.alike(np.zeros((3, 64), np.uint8), 30).tolist() == [0, 0, 0]
+
+
+def brute_links(sets, weight, side, threshold):
+    links, parts = [0] * len(sets), [{k} for k in range(len(sets))]
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            both = len(set(a) & set(b))
+            if both >= threshold * (len(a) + len(b) - both) - 1e-9 and (side is None or side[i] != side[j]):
+                links[i], links[j] = links[i] + weight[j], links[j] + weight[i]
+                one = next(p for p in parts if i in p)
+                other = next(p for p in parts if j in p)
+                if one is not other:
+                    one |= other
+                    parts.remove(other)
+    return links, sorted(sorted(p) for p in parts)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_links_of_a_group_equal_brute_force(seed):
+    rng = np.random.default_rng(seed)
+    bases = [rng.integers(0, 1 << 40, rng.integers(4, 40)) for _ in range(rng.integers(1, 4))]
+    sets = []
+    for _ in range(90):
+        s = set(bases[rng.integers(len(bases))].tolist())
+        s = {x for x in s if rng.random() > 0.06} | set(rng.integers(0, 30 if seed % 2 else 1 << 40, rng.integers(0, 4)).tolist())
+        sets.append(np.array(sorted(s or {1}), np.uint64))
+    weight = rng.integers(1, 5, len(sets))
+    for side in (None, rng.integers(0, 2, len(sets)) * 7 + 3):
+        links, root = chosen_path.count_links(sets, weight, side, 0.8)
+        want, parts = brute_links([s.tolist() for s in sets], weight.tolist(), None if side is None else side.tolist(), 0.8)
+        assert links.tolist() == want
+        assert sorted([k for k in range(len(sets)) if root[k] == r] for r in set(root.tolist())) == parts
+
+
+def test_many_short_near_copies_take_little_time():
+    n, base = 40_000, np.arange(1, 21, dtype=np.uint64)
+    sets = [np.append(np.delete(base, k % 20), np.uint64(1000 + k)) for k in range(n)]
+    began = time.perf_counter()
+    links, root = chosen_path.count_links(sets, np.ones(n, np.int64), None, 0.8)
+    assert time.perf_counter() - began < 60
+    # one word changed in each: 18 of 22 n-grams are shared, or 19 of 21 where the same one is
+    assert set(links.tolist()) == {n - 1} and set(root.tolist()) == {0}
+
+
+@pytest.mark.parametrize("most", [1 << 27, 4])
+def test_groups_too_many_for_a_filter_are_joined(spark, monkeypatch, most):
+    monkeypatch.setattr(components, "MOST_BITS", most)
+    text = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, text + f" x{k}", "kept") for k in range(6)] + [(k, f"{k} other words that nothing else has {k}", "kept") for k in range(10, 14)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _hash string")
+    got = {r.doc_id: (r.class_id, r.n_links) for r in chosen_path.similar_documents(docs).collect()}
+    assert got == {k: (0, 5) if k < 6 else (k, 0) for k, *_ in rows}
+    out = chosen_path.keep_one_of_each(docs.withColumn("_id", F.lit(1)))
+    assert out.columns == ["doc_id", "text", "_hash", "_id"] and sorted(r.doc_id for r in out.collect()) == [0, 10, 11, 12, 13]
+    assert {r._hash for r in out.collect()} == {"kept"}
