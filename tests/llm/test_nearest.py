@@ -62,3 +62,34 @@ def test_ascending_keeps_longest_prefixes_first():
         strings = [prefix_forest.hash_strings(x, t) for t in range(3)]
         shared = np.max([48 - np.array([int(s[q] ^ y).bit_length() for y in s]) for s in strings], axis=0)
         assert shared[near].min() >= np.delete(shared, near).max()
+
+
+def test_cells_within_reach():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        m, reach = rng.normal(size=6), float(rng.uniform(0, 3))
+        own = int(prefix_forest.cells_of(m[None])[0])
+        want = {c for c in range(64) if sum(abs(x) for k, x in enumerate(m) if (c ^ own) >> k & 1) <= reach}
+        got = list(prefix_forest.cells_within(m, reach))
+        assert set(got) == want and len(got) == len(want)
+
+
+def test_clusters_need_few_candidates(spark, monkeypatch):
+    monkeypatch.setattr(prefix_forest, "SHARD", 400)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 24)) * 3
+    rows = [(k, (centres[k % 40] + rng.normal(size=24)).tolist()) for k in range(6000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    out = prefix_forest.nearest(df).collect()
+    x = np.array([v for _, v in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in range(0, 6000, 50):
+        s = x @ x[q]
+        s[q] = -9
+        hits.append(len(got[q] & set(np.argsort(-s)[:5].tolist())) / 5)
+    assert len(got) == 120 and np.mean(hits) >= 0.9
+    assert np.mean([r.inspected for r in out]) < 0.25 * len(rows)
