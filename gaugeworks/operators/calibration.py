@@ -80,6 +80,21 @@ def temperature_of_counts(counts: DataFrame, conf: str, low: float = 0.05, high:
     return best
 
 
+def temperatures(counts: DataFrame, keys: list[str], conf: str, low: float = 0.05, high: float = 20.0, rounds: int = 4, steps: int = 32) -> DataFrame:
+    """``temperature_of_counts`` for every group of ``keys`` at once: each round joins the
+    groups with their own grids (a few numbers a group) and takes the best in one aggregate."""
+    base = counts.select(*keys, logit(F.col(conf)).alias("_z"), "n", "n_correct")
+    spans = base.select(*keys).distinct().select(*keys, F.lit(math.log(low)).alias("_a"), F.lit(math.log(high)).alias("_b"))
+    for k in range(rounds):
+        step = (F.col("_b") - F.col("_a")) / (steps - 1)
+        grid = spans.select(*keys, "_a", "_b", F.explode(F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.col("_a") + i * step)).alias("_t"))
+        x = F.col("_z") / F.exp("_t")
+        loss = F.sum(F.col("n") * (F.log1p(F.exp(-F.abs(x))) + F.greatest(x, F.lit(0.0))) - F.col("n_correct") * x)
+        best = base.join(grid, keys).groupBy(*keys, "_a", "_b", "_t").agg(loss.alias("_loss")).groupBy(*keys, "_a", "_b").agg(F.min_by("_t", F.struct("_loss", "_t")).alias("_t"))
+        spans = best.select(*keys, F.greatest(F.col("_a"), F.col("_t") - step).alias("_a"), F.least(F.col("_b"), F.col("_t") + step).alias("_b"), "_t")
+    return spans.select(*keys, F.exp("_t").alias("temperature"))
+
+
 def fit_temperature(rows: DataFrame, conf: str, correct: str, **options: float) -> float:
     """``temperature_of_counts`` over the counts of rows, which are kept while it runs."""
     counts = confidence_counts(rows, [], conf, correct).cache()
@@ -113,31 +128,44 @@ def fit_feature_calibrator(rows: DataFrame, conf: str, correct: str, features: l
     return model, apply
 
 
-def bootstrap_mean(rows: DataFrame, unit: str, value: str, replicates: int = 1000, seed: int = 20260806, level: float = 0.95) -> DataFrame:
-    """Mean and percentile interval, resampling whole units.  Rows are first summed by
-    unit; each unit then gets a Poisson weight in each replicate, drawn from a hash, so
-    any engine and order gives the same weights."""
-    units = rows.where(F.col(value).isNotNull()).groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    u = F.pmod(F.xxhash64(F.col(unit), F.col("b"), F.lit(seed)), F.lit(1 << 30)) / (1 << 30)
+def poisson_weight(hashed: Column) -> Column:
+    """A Poisson number of mean 1 from a 64-bit hash: how often a unit is drawn in a
+    resample, the same on any engine and in any order."""
+    u = F.pmod(hashed, F.lit(1 << 30)) / (1 << 30)
     weight, total, term = F.lit(0), 0.0, math.exp(-1)
     for k in range(8):
         total += term
         weight = weight + (u >= total).cast("int")
         term /= k + 1
-    draws = units.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", weight)
+    return weight
+
+
+def bootstrap_mean(rows: DataFrame, unit: str, value: str, replicates: int = 1000, seed: int = 5, level: float = 0.95) -> DataFrame:
+    """Mean and percentile interval, resampling whole units.  Rows are first summed by
+    unit; each unit then gets a Poisson weight in each replicate."""
+    units = rows.where(F.col(value).isNotNull()).groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
+    draws = units.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_weight(F.xxhash64(F.col(unit), F.col("b"), F.lit(seed))))
     means = draws.groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
     edge = (1 - level) / 2
     ci = means.agg(F.percentile("m", F.array(F.lit(edge), F.lit(1 - edge))).alias("ci"))
     return units.agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("n_units")).join(ci).select("mean", "n_units", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))
 
 
-def saturation(rows: DataFrame, conf: str, correct: str | None = None, eps: float = 1e-3) -> DataFrame:
-    """How much of the confidence lies at its ends, and how fine it is."""
+def saturation(rows: DataFrame, conf: str, correct: str | None = None, eps: float = 1e-3, keys: tuple[str, ...] = ()) -> DataFrame:
+    """How much of the confidence lies at its ends, and how fine it is, by ``keys``."""
     c = F.col(conf)
     out = [F.count(c).alias("n"), F.avg((c == 1).cast("int")).alias("share_one"), F.avg((c == 0).cast("int")).alias("share_zero"), F.avg((c >= 1 - eps).cast("int")).alias("share_near_one"), F.avg((c <= eps).cast("int")).alias("share_near_zero"), F.count_distinct(c).alias("n_distinct")]
     if correct:
         out.append(F.avg(F.when(c >= 1 - eps, F.col(correct).cast("double"))).alias("accuracy_at_ceiling"))
-    return rows.where(c.isNotNull()).agg(*out)
+    return rows.where(c.isNotNull()).groupBy(*keys).agg(*out)
+
+
+def scale_overlap(rows: DataFrame, conf: str = "mean_conf") -> DataFrame:
+    """(model, n, low, median, high, overlaps): the span of each model's raw confidence, and
+    whether all spans share a value.  A diagnostic only: raw scales don't compare."""
+    out = rows.groupBy("model").agg(F.count(conf).alias("n"), F.min(conf).alias("low"), F.median(conf).alias("median"), F.max(conf).alias("high"))
+    every = Window.partitionBy()  # one row a model
+    return out.withColumn("overlaps", F.coalesce(F.max("low").over(every) <= F.min("high").over(every), F.lit(False)))
 
 
 def row_aggregates(confidences: str) -> dict[str, Column]:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
+from gaugeworks.operators.calibration import poisson_weight
 from gaugeworks.operators.guards import require_complete
 
 
@@ -87,14 +90,16 @@ def reversals(cells: DataFrame, factor: str, moderator: str, eps: float = 0.02)
 
 
 def half_level(curve: DataFrame, keys: list[str], level: str, value: str) -> DataFrame:
-    """Where a curve, scaled to 0..1, first crosses one half, by linear interpolation;
-    the last level if it never does."""
+    """Where a curve, scaled to 0..1, first reaches one half: at the first level after the
+    mildest whose value is one half or more, on the line from the level before it; that level
+    itself if both values are equal, and the last level if none reaches it."""
     whole, by = Window.partitionBy(*keys), Window.partitionBy(*keys).orderBy(level)
     low, high = F.min(value).over(whole), F.max(value).over(whole)
     x = curve.withColumn("_y", F.coalesce(F.try_divide(F.col(value) - low, high - low), F.lit(0.0))).withColumn("_py", F.lag("_y").over(by)).withColumn("_pl", F.lag(level).over(by))
-    cross = F.col("_py").isNotNull() & ((F.col("_y") - 0.5) * (F.col("_py") - 0.5) <= 0) & (F.col("_y") != F.col("_py"))
-    at = F.col("_pl") + (0.5 - F.col("_py")) / (F.col("_y") - F.col("_py")) * (F.col(level) - F.col("_pl"))
-    return x.groupBy(*keys).agg(F.coalesce(F.min_by(F.when(cross, at), F.when(cross, F.col(level))), F.max(level)).alias("half_level"))
+    there = F.col("_py").isNotNull() & (F.col("_y") >= 0.5)
+    line = F.col("_pl") + F.try_divide((0.5 - F.col("_py")) * (F.col(level) - F.col("_pl")), F.col("_y") - F.col("_py"))
+    at = F.coalesce(line, F.col(level).cast("double"))
+    return x.groupBy(*keys).agg(F.coalesce(F.min_by(F.when(there, at), F.when(there, F.col(level))), F.max(level)).alias("half_level"))
 
 
 def monotonicity(curve: DataFrame, keys: list[str], level: str, value: str) -> DataFrame:
@@ -104,11 +109,77 @@ def monotonicity(curve: DataFrame, keys: list[str], level: str, value: str) -> D
     return steps.withColumn("_f", F.col("_s") != F.lag("_s").over(by)).groupBy(*keys).agg(F.count_if("_f").alias("n_sign_flips"))
 
 
-def preregistered(indices: DataFrame, pair: tuple[str, str], least: float = 0.02) -> DataFrame:
-    """CONFIRMED if both factors' gaps pass the sealed threshold, else NOT CONFIRMED;
-    UNRESOLVED where an index is missing."""
-    out = indices.where(F.col("factor").isin(*pair)).agg(F.count("gap").alias("n"), F.min("gap").alias("least_gap"))
-    return out.select("least_gap", F.when(F.col("n") < 2, "UNRESOLVED").when(F.col("least_gap") > least, "CONFIRMED").otherwise("NOT CONFIRMED").alias("verdict"))
+def second_order(terms: DataFrame) -> DataFrame:
+    """Shares of the variance of the pairs of factors, ranked: (a, b, s2, rank)."""
+    share = F.try_divide("variance", F.sum("variance").over(Window.partitionBy()))  # 2^k rows
+    pairs = terms.withColumn("s2", share).where(F.col("order") == 2).withColumn("_p", F.split("term", ":"))
+    place = F.row_number().over(Window.orderBy(F.desc("s2"), "term"))
+    return pairs.select(F.col("_p")[0].alias("a"), F.col("_p")[1].alias("b"), "s2", place.alias("rank"))
+
+
+def _terms_of(y: np.ndarray) -> dict[tuple[int, ...], float]:
+    """Variances of all effects of a complete design, one axis a factor: each effect is the
+    marginal mean less the effects inside it."""
+    effects, out = {(): y.mean(keepdims=True)}, {}
+    for size in range(1, y.ndim + 1):
+        for axes in combinations(range(y.ndim), size):
+            rest = tuple(k for k in range(y.ndim) if k not in axes)
+            e = y.mean(axis=rest, keepdims=True) if rest else y
+            for r in range(size):
+                for inner in combinations(axes, r):
+                    e = e - effects[inner]
+            effects[axes], out[axes] = e, float(np.square(e).mean())
+    return out
+
+
+def sobol_intervals(rows: DataFrame, factors: list[str], unit: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 5) -> DataFrame:
+    """(term, kind, estimate, low, high): s1, st and gap of every factor and s2 of every
+    pair, with percentile intervals over resampled units (clips).
+
+    Rows are summed by unit and cell first; a unit weighs in a replicate as often as a
+    Poisson number drawn from a hash says, the same in all its cells.  A replicate's cell
+    means are one row of bounded size (the design), decomposed on its own; a replicate that
+    leaves a cell empty is left out.  An incomplete design raises."""
+    require_complete(cell_means(rows, factors, value), *factors)
+    by = rows.where(F.col(value).isNotNull() & F.col(unit).isNotNull()).groupBy(unit, *factors).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    drawn = by.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("_w", F.when(F.col("_b") == 0, 1).otherwise(poisson_weight(F.xxhash64(unit, "_b", F.lit(seed)))))
+    means = drawn.where("_w > 0").groupBy("_b", *factors).agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_n"))).alias("y"))
+    shape = list(rows.where(F.col(value).isNotNull()).agg(*[F.count_distinct(f) for f in factors]).first())
+    names = list(factors)
+
+    def decompose(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(names, kind="stable")
+        out = []
+        if len(part) == int(np.prod(shape)):
+            v = _terms_of(part.y.to_numpy().reshape(shape))
+            total = sum(v.values()) or 1.0
+            for k, f in enumerate(names):
+                s1, st = v[(k,)] / total, sum(x for axes, x in v.items() if k in axes) / total
+                out += [(f, "s1", s1), (f, "st", st), (f, "gap", st - s1)]
+            out += [(":".join(names[k] for k in axes), "s2", x / total) for axes, x in v.items() if len(axes) == 2]
+        return pd.DataFrame([(int(part._b.iloc[0]), *o) for o in out], columns=["b", "term", "kind", "x"])
+
+    found = means.groupBy("_b").applyInPandas(decompose, "b int, term string, kind string, x double")
+    edge = (1 - level) / 2
+    again = F.when(F.col("b") > 0, F.col("x"))
+    return found.groupBy("term", "kind").agg(F.max(F.when(F.col("b") == 0, F.col("x"))).alias("estimate"), F.percentile(again, F.lit(edge)).alias("low"), F.percentile(again, F.lit(1 - edge)).alias("high"))
+
+
+def preregistered(intervals: DataFrame, pair: tuple[str, str], least: float = 0.02) -> DataFrame:
+    """The sealed rule on ``sobol_intervals``: CONFIRMED if the intervals of both factors'
+    gaps lie above the threshold and no other pair has a larger s2; else NOT CONFIRMED, and
+    ``power_limited`` where only the width of an interval stands against it.  UNRESOLVED
+    where a factor is missing."""
+    mine = F.col("kind").eqNullSafe("gap") & F.col("term").isin(*pair)
+    own = F.col("term").isin(":".join(pair), ":".join(reversed(pair)))
+    s2 = F.when(F.col("kind") == "s2", F.col("estimate"))
+    out = intervals.agg(
+        F.count_if(mine).alias("n"), F.count_if(mine & (F.col("low") > least)).alias("n_clear"), F.count_if(mine & (F.col("estimate") > least)).alias("n_above"),
+        F.min(F.when(mine, F.col("estimate"))).alias("least_gap"), F.max(F.when(own, s2)).alias("_own"), F.max(s2).alias("_top"),
+    )
+    clear, top = F.col("n_clear") == 2, F.coalesce(F.col("_own") >= F.col("_top"), F.lit(False))
+    verdict = F.when(F.col("n") < 2, "UNRESOLVED").when(clear & top, "CONFIRMED").otherwise("NOT CONFIRMED")
+    return out.select("least_gap", clear.alias("gap_criterion"), top.alias("pair_criterion"), (~clear & (F.col("n") == 2) & (F.col("n_above") > 0)).alias("power_limited"), verdict.alias("verdict"))
 
 
 def severity(conditions: DataFrame, harsher: dict[str, bool], mildest_codec: str = "none") -> DataFrame:

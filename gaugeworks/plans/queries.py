@@ -238,11 +238,9 @@ def run_agreement(spark, d):
     return compare.agreement(p, "p", "q").select("n", "both", "n_predicted", "n_actual", *r9("precision", "recall", "jaccard"))
 
 
-@query("""WITH a AS (SELECT s_nationkey AS k, s_suppkey AS a, s_acctbal AS va, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS n FROM supplier),
-b AS (SELECT c_nationkey AS k, c_custkey AS b, c_acctbal AS vb, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS n FROM customer)
-SELECT coalesce(a.k, b.k) AS nation, a, b, round(abs(va - vb), 9) AS delta, CASE WHEN a IS NULL OR b IS NULL THEN 'unmatched' WHEN abs(va - vb) <= 500 THEN 'paired' ELSE 'too_far' END AS status FROM a FULL JOIN b ON a.k = b.k AND a.n = b.n""")
+@query()
 def nearest_assignment(spark, d):
-    """One-to-one pairing in order of a value within a group."""
+    """One-to-one pairing of least total distance within a group."""
     a = read(spark, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("v"))
     b = read(spark, d, "customer").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
     return compare.nearest_assignment(a, b, ["nation"], "v", "id", 500.0).select("nation", "a", "b", *r9("delta"), "status")
@@ -340,10 +338,17 @@ def confidence_histogram(spark, d):
     return spark.range(20).select(F.col("id").cast("int").alias("bin")).join(h, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query(f"WITH {M_SQL} SELECT count(mean_conf) AS n, round(avg((mean_conf = 1)::INT), 9) AS share_one, round(avg((mean_conf = 0)::INT), 9) AS share_zero, round(avg((mean_conf >= 1 - 0.001::DOUBLE)::INT), 9) AS share_near_one, round(avg((mean_conf <= 0.001::DOUBLE)::INT), 9) AS share_near_zero, count(DISTINCT mean_conf) AS n_distinct FROM m WHERE mean_conf IS NOT NULL AND model = 'arm_a'")
+@query(f"WITH {M_SQL} SELECT model, count(mean_conf) AS n, round(avg((mean_conf = 1)::INT), 9) AS share_one, round(avg((mean_conf = 0)::INT), 9) AS share_zero, round(avg((mean_conf >= 1 - 0.001::DOUBLE)::INT), 9) AS share_near_one, round(avg((mean_conf <= 0.001::DOUBLE)::INT), 9) AS share_near_zero, count(DISTINCT mean_conf) AS n_distinct FROM m WHERE mean_conf IS NOT NULL GROUP BY 1")
 def confidence_saturation(spark, d):
-    out = calibration.saturation(measurements(spark, d).where("model = 'arm_a'"), "mean_conf")
-    return out.select("n", *r9("share_one", "share_zero", "share_near_one", "share_near_zero"), "n_distinct")
+    """How much of each model's confidence lies at its ends."""
+    out = calibration.saturation(measurements(spark, d), "mean_conf", keys=("model",))
+    return out.select("model", "n", *r9("share_one", "share_zero", "share_near_one", "share_near_zero"), "n_distinct")
+
+
+@query(f"WITH {C_SQL}, s AS (SELECT model, count(mean_conf) AS n, min(mean_conf) AS low, median(mean_conf) AS median, max(mean_conf) AS high FROM c GROUP BY 1) SELECT model, n, round(low, 9) AS low, round(median, 9) AS median, round(high, 9) AS high, (SELECT max(low) <= min(high) FROM s) AS overlaps FROM s")
+def confidence_scales(spark, d):
+    """Spans of the models' raw confidence: why raw scales don't compare."""
+    return calibration.scale_overlap(conditions(spark, d)).select("model", "n", *r9("low", "median", "high"), "overlaps")
 
 
 @query(f"WITH {C_SQL} SELECT model, arg_max(condition_name, row(mean_conf, condition_name)) AS highest, arg_min(condition_name, row(mean_conf, condition_name)) AS lowest, round(max(mean_conf) - min(mean_conf), 9) AS span FROM c WHERE mean_conf IS NOT NULL GROUP BY 1")
@@ -394,10 +399,7 @@ def operating_points(spark, d):
 def temperature(spark, d):
     """The temperature that calibrates each model's confidence best."""
     m = measurements(spark, d).withColumn("good", (F.col("wer") < S.WER_HI).cast("int"))
-    counts = calibration.confidence_counts(m, ["model"], "mean_conf", "good").cache()
-    rows = [(a, calibration.temperature_of_counts(counts.where(F.col("model") == a), "mean_conf")) for a in ("arm_a", "arm_n", "arm_r")]
-    counts.unpersist()
-    return spark.createDataFrame(rows, "model string, temperature double")
+    return calibration.temperatures(calibration.confidence_counts(m, ["model"], "mean_conf", "good"), ["model"], "mean_conf").select("model", F.round("temperature", 6).alias("temperature"))
 
 
 @query()
@@ -478,9 +480,9 @@ def effect_reversal(spark, d):
     return sensitivity.reversals(cells(spark, d), "rt60", "mic_rolloff").select("factor", "moderator", *r9("effect_first", "effect_last"), "reverses")
 
 
-@query(f"""{_K}, c AS (SELECT codec, rt60 AS l, avg(y) AS y FROM k GROUP BY 1, 2), n AS (SELECT codec, l, (y - min(y) OVER p) / nullif(max(y) OVER p - min(y) OVER p, 0) AS y FROM c WINDOW p AS (PARTITION BY codec)),
-g AS (SELECT codec, l, y, lag(y) OVER q AS py, lag(l) OVER q AS pl FROM n WINDOW q AS (PARTITION BY codec ORDER BY l)), x AS (SELECT codec, l, CASE WHEN py IS NOT NULL AND (y - 0.5) * (py - 0.5) <= 0 AND y <> py THEN pl + (0.5 - py) / (y - py) * (l - pl) END AS z FROM g)
-SELECT codec, round(coalesce(arg_min(z, l) FILTER (z IS NOT NULL), max(l)), 9) AS half_level FROM x GROUP BY 1""")
+@query(f"""{_K}, c AS (SELECT codec, rt60 AS l, avg(y) AS y FROM k GROUP BY 1, 2), n AS (SELECT codec, l, coalesce((y - min(y) OVER p) / nullif(max(y) OVER p - min(y) OVER p, 0), 0) AS y FROM c WINDOW p AS (PARTITION BY codec)),
+g AS (SELECT codec, l, y, lag(y) OVER q AS py, lag(l) OVER q AS pl FROM n WINDOW q AS (PARTITION BY codec ORDER BY l)), f AS (SELECT codec, min(l) AS l FROM g WHERE py IS NOT NULL AND y >= 0.5 GROUP BY 1)
+SELECT m.codec, round(coalesce((SELECT CASE WHEN g.y = g.py THEN g.l ELSE g.pl + (0.5 - g.py) * (g.l - g.pl) / (g.y - g.py) END FROM g JOIN f ON g.codec = f.codec AND g.l = f.l WHERE g.codec = m.codec), m.l), 9) AS half_level FROM (SELECT codec, max(l) AS l FROM g GROUP BY 1) m""")
 def half_levels(spark, d):
     """Where the error curve of each codec first passes one half of its range."""
     curve = cells(spark, d).groupBy("codec", "rt60").agg(F.avg("y").alias("y"))
@@ -494,10 +496,26 @@ def severity(spark, d):
     return sensitivity.severity(u, {"rt60": True, "snr_db": False, "mic_rolloff": True}).select("condition_name", F.col("severity").cast("int"))
 
 
-@query(_anova_sql() + ", i AS (SELECT f, (sum(v) FILTER (list_contains(string_split(term, ':'), f)) - sum(v) FILTER (term = f)) / sum(v) AS gap FROM terms, unnest(['rt60', 'snr_db']) u(f) GROUP BY 1) SELECT round(min(gap), 9) AS least_gap, CASE WHEN count(gap) < 2 THEN 'UNRESOLVED' WHEN min(gap) > 0.02 THEN 'CONFIRMED' ELSE 'NOT CONFIRMED' END AS verdict FROM i")
+@query(_anova_sql() + """, p AS (SELECT string_split(term, ':') AS p, v / (SELECT sum(v) FROM terms) AS s2 FROM terms WHERE "order" = 2) SELECT p[1] AS a, p[2] AS b, round(s2, 9) AS s2, row_number() OVER (ORDER BY s2 DESC, p[1] || ':' || p[2]) AS rank FROM p""")
+def second_order(spark, d):
+    """Shares of the variance of pairs of factors."""
+    return sensitivity.second_order(sensitivity.anova_terms(cells(spark, d), _FACTORS)).select("a", "b", *r9("s2"), F.col("rank").cast("long"))
+
+
+def intervals(spark, d):
+    return sensitivity.sobol_intervals(S.usable(measurements(spark, d)).where("model = 'arm_a'"), _FACTORS, "clip_id", "wer")
+
+
+@query()
+def sobol_intervals(spark, d):
+    """Indices of every factor and pair with intervals over resampled clips."""
+    return intervals(spark, d).select("term", "kind", *r9("estimate", "low", "high"))
+
+
+@query()
 def preregistered_verdict(spark, d):
-    out = sensitivity.preregistered(sensitivity.sobol(sensitivity.anova_terms(cells(spark, d), _FACTORS), _FACTORS), ("rt60", "snr_db"))
-    return out.select(*r9("least_gap"), "verdict")
+    """The sealed rule on the intervals of the gaps and the rank of the pair."""
+    return sensitivity.preregistered(intervals(spark, d), ("rt60", "snr_db")).select(*r9("least_gap"), "gap_criterion", "pair_criterion", "power_limited", "verdict")
 
 
 # ------------------------------------------------------------------------------ turns
@@ -611,6 +629,22 @@ def signal_levels(spark, d):
     return e.select("vec_id", F.round(signal.rms(F.col("embedding")), 9).alias("rms"), F.round(signal.zero_crossings(F.col("embedding")), 9).alias("zcr"))
 
 
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE) AS e FROM embeddings), p AS (SELECT vec_id, e, list_position(e, list_max(e)) AS a FROM e), c AS (SELECT vec_id, e, a, a + 16 AS z FROM p)
+SELECT vec_id, round(10 * log10((coalesce(list_sum(e[a : z - 1]), 0) + 1e-20::DOUBLE) / (coalesce(list_sum(e[z :]), 0) + 1e-20::DOUBLE)), 6) AS early_late_db FROM c""")
+def early_late_energy(spark, d):
+    """Energy of the first 25 ms after the largest sample against what follows, in dB."""
+    e = read(spark, d, "embeddings", "vec_id", "embedding")
+    return e.select("vec_id", F.round(signal.energy_ratio_db(F.col("embedding"), 640, 25.0), 6).alias("early_late_db"))
+
+
+@query()
+def degraded_levels(spark, d):
+    """Arrays with noise and through a microphone: level, active share, reverberation time."""
+    e = read(spark, d, "embeddings", "vec_id", "embedding").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    bad = e.select("vec_id", "x", signal.degraded(F.col("x"), F.reverse("x"), F.lit(10.0), F.lit(0.5), 640).alias("y"))
+    return bad.select("vec_id", *[F.round(c, 6).alias(n) for n, c in (("rms", signal.rms(F.col("y"))), ("zcr", signal.zero_crossings(F.col("y"))), ("active", signal.active_share(F.col("x"), 640)), ("rt60", signal.rt60_of(F.col("x"), 640)))])
+
+
 @query()
 def signal_frames(spark, d):
     """Spectral features of frames, by clip."""
@@ -629,7 +663,7 @@ def normalization_shift(spark, d):
     return t.groupBy("lang").agg(F.count("*").alias("n"), F.round(F.avg(raw - F.size(text.normalize(F.col("text")))), 9).alias("shift"))
 
 
-_X = rf"""x0 AS (SELECT conv_id, turn, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ')[1:40] END AS t FROM (SELECT conv_id, turn, {_NORM.format(x='text')} AS t FROM conversations)),
+_X = rf"""x0 AS (SELECT conv_id, turn, CASE WHEN t = '' THEN [] ELSE string_split(t, ' ') END AS t FROM (SELECT conv_id, turn, {_NORM.format(x='text')} AS t FROM conversations)),
 x AS (SELECT * FROM (SELECT conv_id, turn, t AS ref, lead(t) OVER (PARTITION BY conv_id ORDER BY turn) AS hyp FROM x0) WHERE hyp IS NOT NULL)"""
 
 

@@ -120,3 +120,37 @@ def test_active_learning_beats_chance_near_the_contour(spark):
     assert last["boundary"] <= last["random"]
     s = {r.arm: r for r in active.savings(active.evals_to_target(best, -1.0)).collect()}
     assert s["boundary"].n_reached == 0 and s["boundary"].median_evals is None
+
+
+def test_half_is_reached_from_below(spark):
+    rows = [("a", float(k), y) for k, y in enumerate((1.0, 0.2, 0.0, 0.9))] + [("b", float(k), 1.0) for k in range(3)] + [("c", float(k), y) for k, y in enumerate((0.0, 0.4, 1.0))] + [("d", 4.0, 2.0)]
+    got = {r.k: r.half_level for r in sensitivity.half_level(spark.createDataFrame(rows, "k string, l double, y double"), ["k"], "l", "y").collect()}
+    assert got["a"] == pytest.approx(2 + 0.5 / 0.9) and got["b"] == 2.0 and got["c"] == pytest.approx(1 + 0.1 / 0.6) and got["d"] == 4.0
+
+
+def test_intervals_hold_the_indices_and_decide(spark):
+    rng = np.random.default_rng(0)
+    rows = [(f"c{c}", a, b, e, 0.3 * a + 0.4 * a * b + 0.01 * e + 0.02 * rng.normal()) for c in range(30) for a in (0, 1, 2) for b in (0, 1) for e in (0, 1)]
+    df = spark.createDataFrame(rows, "clip_id string, a int, b int, e int, y double")
+    got = sensitivity.sobol_intervals(df, ["a", "b", "e"], "clip_id", "y", 200)
+    terms = sensitivity.anova_terms(sensitivity.cell_means(df, ["a", "b", "e"], "y"), ["a", "b", "e"])
+    want = {(r.factor, k): r[k] for r in sensitivity.sobol(terms, ["a", "b", "e"]).collect() for k in ("s1", "st", "gap")} | {(f"{r.a}:{r.b}", "s2"): r.s2 for r in sensitivity.second_order(terms).collect()}
+    rows = {(r.term, r.kind): r for r in got.collect()}
+    assert {k: pytest.approx(r.estimate) for k, r in rows.items()} == want
+    assert all(r.low - 0.01 <= r.estimate <= r.high + 0.01 and r.low < r.high for r in rows.values())
+    decide = lambda pair, frame=got: sensitivity.preregistered(frame, pair).first()
+    assert tuple(decide(("a", "b")))[1:] == (True, True, False, "CONFIRMED") and decide(("a", "e")).verdict == "NOT CONFIRMED" and decide(("a", "x")).verdict == "UNRESOLVED"
+    wide = spark.createDataFrame([("a", "gap", 0.1, -0.1, 0.3), ("b", "gap", 0.1, 0.05, 0.3), ("a:b", "s2", 0.1, 0.0, 0.2), ("a:e", "s2", 0.2, 0.0, 0.4)], "term string, kind string, estimate double, low double, high double")
+    assert tuple(decide(("a", "b"), wide))[1:] == (False, False, True, "NOT CONFIRMED")
+
+
+def test_temperatures_of_all_groups_equal_one_by_one(spark):
+    rng = np.random.default_rng(1)
+    rows = []
+    for m, t in (("x", 0.5), ("y", 2.0), ("z", 1.0)):
+        z = rng.normal(0, 2, 400)
+        rows += [(m, float(1 / (1 + np.exp(-a))), int(rng.random() < 1 / (1 + np.exp(-a / t)))) for a in z]
+    df = spark.createDataFrame(rows, "model string, c double, good int")
+    counts = calibration.confidence_counts(df, ["model"], "c", "good")
+    for r in calibration.temperatures(counts, ["model"], "c").collect():
+        assert r.temperature == pytest.approx(calibration.temperature_of_counts(counts.where(F.col("model") == r.model), "c"), rel=1e-6)
