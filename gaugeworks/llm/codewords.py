@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import LOWER, byte_class, persist, slices, tune
@@ -159,9 +159,11 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array([x for x, _ in parts], pa.binary()), pa.array([y for _, y in parts], pa.binary())], names=["l", "h", "slots", "shares"])
 
     found = persist(some.mapInArrow(work, "l string, h bigint, slots binary, shares binary").dropDuplicates(["l", "h"]), "languages")
-    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
-    kept = found.withColumn("place", place).where(F.col("place") <= each).select("l", "h", "slots", "shares").collect()
-    kept.sort(key=lambda r: (r.l, r.h))
+    kept, taken = [], dict.fromkeys(reach, 0)
+    for r in sorted(found.collect(), key=lambda r: (r.l, r.h)):
+        taken[r.l] += 1
+        if taken[r.l] <= each:
+            kept.append(r)
     languages = sorted(reach)
     number, code = {name: k for k, name in enumerate(languages)}, codewords(len(languages))
     sparse = [(np.frombuffer(r.slots, np.uint16), np.frombuffer(r.shares, np.float32)) for r in kept]

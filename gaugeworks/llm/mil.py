@@ -18,11 +18,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.chunks import BLANKS
-from gaugeworks.llm.common import byte_class, hash_runs, persist, runs, slices, tune
+from gaugeworks.llm.common import byte_class, hash_runs, runs, slices, tune
 from gaugeworks.llm.training import sigmoid
 
 #: Documents and passages of a class that are learned from at most.
@@ -148,10 +148,13 @@ def train(sample: DataFrame) -> Model | None:
                 bags = [x[a:b].astype(np.float32).tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(bags, pa.binary())], names=["doc_id", "y", "n", "bag"])
 
-    bags = persist(sample.select("text", "doc_id", "y").mapInArrow(work, "doc_id bigint, y int, n bigint, bag binary"), "passages")
-    before = F.sum("n").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0))
-    rows = bags.withColumn("total", before).where(F.col("total") <= MOST_PASSAGES).select("doc_id", "y", "bag").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.bag))
+    found = sample.select("text", "doc_id", "y").mapInArrow(work, "doc_id bigint, y int, n bigint, bag binary")
+    rows, total = [], {}  # the sample's texts are bounded, and a passage's figures take less than its text
+    for r in sorted(found.select("*", F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r.h, r.doc_id or 0, r.bag)):
+        total[r.y] = total.get(r.y, 0) + r.n
+        if total[r.y] <= MOST_PASSAGES:
+            rows.append(r)
+    rows.sort(key=lambda r: (r.doc_id or 0, r.bag))
     y = np.array([r.y for r in rows])
     if len(set(y.tolist())) < 2:
         return None

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks.llm.common import persist
@@ -33,9 +33,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Col
     # a text beyond the bound is dropped in the scan, so that the rows that move are bounded
     found = found.where(size <= most_bytes).select("doc_id", "y", size.alias("size"), F.xxhash64("text").alias("hash"), "text")
     one = persist(found.groupBy("doc_id", "y").agg(F.min_by(F.struct("size", "text"), F.struct("hash", "text")).alias("d")).select("doc_id", "y", "d.*"), "labelled")
-    before = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    fits = one.select("doc_id", "y", before.alias("total")).where(F.col("total") <= most_bytes).select("doc_id")
-    return one.join(F.broadcast(fits), "doc_id", "left_semi").select("doc_id", "text", "y")
+    total, beyond = {0: 0, 1: 0}, []  # of at most 2 * per_class rows of numbers
+    for r in sorted(one.select("doc_id", "y", "size", F.xxhash64("doc_id").alias("h")).collect(), key=lambda r: (r.h, r.doc_id)):
+        total[r.y] += r.size
+        if total[r.y] > most_bytes:
+            beyond.append((r.doc_id,))
+    if beyond:
+        one = one.join(F.broadcast(docs.sparkSession.createDataFrame(beyond, "doc_id long")), "doc_id", "left_anti")
+    return one.select("doc_id", "text", "y")
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
