@@ -2,6 +2,12 @@
 
 A stage takes the documents that its predecessor kept, all of them, and returns a
 DataFrame that is written as Parquet and read again as the next one's documents.
+
+In every stage null and empty texts count as texts without words: they are neither toxic,
+contaminated nor copies of anything, have no ids, and are judged for quality as one empty
+passage.  Rows with a null id are treated as any other and are never near duplicates.  Equal
+rows fare alike, but for near duplicates, where one is kept.  Texts of any length are read
+whole, other columns stay as they are, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
