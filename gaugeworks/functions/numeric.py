@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,3 +58,36 @@ def with_cost(calls: DataFrame, rates: DataFrame) -> DataFrame:
     out = calls.join(rates, "model", "left")
     price = F.col("usd_per_minute")
     return out.withColumn("cost_usd", F.col("minutes") * price).withColumn("pricing_class", F.when(price.isNull(), "unknown").when(price > 0, "billed").otherwise("local"))
+
+
+def _series(ratio, count: Column) -> Column:
+    """1 + r(1) + r(1) r(2) + ..., with ``count`` ratios after the first term."""
+    steps = F.when(count >= 1, F.sequence(F.lit(1).cast("long"), count)).otherwise(F.array().cast("array<long>"))
+    start = F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s"))
+
+    def add(a: Column, k: Column) -> Column:
+        t = a["t"] * ratio(k.cast("double"))
+        return F.struct(t.alias("t"), (a["s"] + t).alias("s"))
+
+    return F.aggregate(steps, start, add, lambda a: a["s"])
+
+
+def student_two_sided(t: Column, df: Column) -> Column:
+    """The chance that Student's t with ``df`` degrees (a positive whole number) is at least
+    as far from zero, by its finite series; to about 1e-12, below which it reads 0."""
+    df = df.cast("long")
+    far = F.abs(t)
+    c2 = F.when(far == float("inf"), 0.0).otherwise(df / (df + far * far))
+    angle, sine = F.atan(far / F.sqrt(df)), F.sqrt(1 - c2)
+    even = sine * _series(lambda k: c2 * (2 * k - 1) / (2 * k), F.floor((df - 2) / 2))
+    tail = sine * F.sqrt(c2) * _series(lambda k: c2 * 2 * k / (2 * k + 1), F.floor((df - 3) / 2))
+    odd = (angle + F.when(df >= 3, tail).otherwise(0.0)) * (2 / math.pi)
+    return F.when(df >= 1, F.greatest(1 - F.when(df % 2 == 0, even).otherwise(odd), F.lit(0.0)))
+
+
+def normal_two_sided(z: Column) -> Column:
+    """The chance that a normal value is at least as far from zero, by a series without
+    cancellation; beyond 8 it reads 0."""
+    far = F.least(F.abs(z), F.lit(8.0))
+    inside = far * F.exp(-far * far / 2) * math.sqrt(2 / math.pi) * _series(lambda k: far * far / (2 * k + 1), F.lit(200).cast("long"))
+    return F.when(z.isNotNull(), F.greatest(1 - inside, F.lit(0.0)))

@@ -231,6 +231,12 @@ def cross_model_tokens(text: Column) -> Column:
     return F.transform(words, lambda w: F.coalesce(F.try_element_at(digits, w), w))
 
 
+def phrases(tokens: Column, n: int) -> Column:
+    """The different runs of ``n`` tokens; none in a shorter text."""
+    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda k: F.slice(tokens, k, n)))
+
+
 def claim(words: Column, certain: float = 0.9, fair: float = 0.6) -> Column:
     """The strongest claim that wrong words (array of struct with ``conf``) bear out: one
     of them certain, their average high, some confidence, or none."""

@@ -73,3 +73,10 @@ def insertions(edits: DataFrame, vocabulary: DataFrame, keys: list[str]) -> Data
     sets = [[F.col(k)] for k in keys] + [[]]
     out = ins.groupingSets(sets, *[F.col(k) for k in keys]).agg(F.count("*").alias("n_ins"), F.count_if(F.col("own").isNull()).alias("n_foreign"))
     return out.withColumn("foreign_share", F.col("n_foreign") / F.col("n_ins"))
+
+
+def drift(curve: DataFrame, keys: list[str], level: str, clean: float, feature: str) -> DataFrame:
+    """How far a feature is from its value at the clean level of the same keys, at every
+    level; NULL where there is no clean value."""
+    base = curve.where(F.col(level) == clean).groupBy(*keys).agg(F.avg(feature).alias("_base"))
+    return curve.join(base, keys, "left").withColumn("drift", F.abs(F.col(feature) - F.col("_base"))).drop("_base")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gaugeworks.functions.numeric import normal_two_sided, student_two_sided
+
 
 def _tied_window(keys: list[str], value: str) -> Column:
     over = Window.partitionBy(*keys)
@@ -47,10 +49,39 @@ def kendall(pairs: DataFrame, x: str, y: str, label: str) -> DataFrame:
     return sums.select(F.try_divide(F.col("s"), F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
 
 
+def rank_agreement(pairs: DataFrame, x: str, y: str, label: str) -> DataFrame:
+    """Spearman's and Kendall's correlation of a condition table with their two-sided
+    p-values (Student's t, normal), as one row; NULL for fewer than three pairs or a
+    constant side."""
+    both = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(x) & ~F.isnan(y))
+    out = spearman(both.withColumn("_all", F.lit(1)), ["_all"], x, y, "spearman").drop("_all").join(kendall(both, x, y, label))
+    n, rho = F.col("n"), F.col("spearman")
+    t = F.when(F.abs(rho) < 1, rho * F.sqrt((n - 2) / (1 - rho * rho))).otherwise(F.when(rho.isNotNull(), float("inf")))
+    z = 3 * F.col("tau") * F.sqrt(n * (n - 1)) / F.sqrt(2 * (2 * n + 5))
+    tau = F.when(rho.isNotNull(), F.col("tau"))
+    return out.select("n", "spearman", student_two_sided(t, n - 2).alias("spearman_p"), tau.alias("kendall"), F.when(rho.isNotNull(), normal_two_sided(z)).alias("kendall_p"))
+
+
+def _bucket(score: Column) -> Column:
+    """A coarse value in the order of the score: sign, power of ten, three digits."""
+    size = F.abs(score)
+    power = F.when(size > 0, F.floor(F.log10(size))).otherwise(F.lit(0)).cast("long")
+    sign = F.signum(score).cast("long")
+    digits = F.when(size == float("inf"), F.lit(0)).otherwise(F.floor(size / F.pow(F.lit(10.0), power) * 100)).cast("long")
+    return F.struct(sign.alias("s"), (sign * power).alias("p"), (sign * digits).alias("d"))
+
+
 def auroc(rows: DataFrame, keys: list[str], score: str, good: Column) -> DataFrame:
-    """Mann-Whitney AUROC with average ranks: the chance that a good row scores higher.
-    NULL where a group has one class only."""
-    ranked = with_average_rank(rows.where(F.col(score).isNotNull()).withColumn("_good", good.cast("int")), keys, score, "_rank")
-    total = ranked.groupBy(*keys).agg(F.sum("_good").alias("n_good"), F.sum(1 - F.col("_good")).alias("n_bad"), F.sum(F.col("_rank") * F.col("_good")).alias("_sum"))
-    area = F.try_divide(F.col("_sum") - F.col("n_good") * (F.col("n_good") + 1) / 2, (F.col("n_good") * F.col("n_bad")).cast("double"))
-    return total.select(*keys, "n_good", "n_bad", area.alias("auroc"))
+    """Mann-Whitney AUROC, ties counting half: the chance that a good row scores higher.
+    NULL where a group has one class only.  Rows are counted by distinct score first; the
+    scores of one coarse value are ranked in one task, and only coarse values (at most some
+    thousand a power of ten) are put in order for a whole group."""
+    label = good.cast("int")
+    x = rows.where(F.col(score).isNotNull() & ~F.isnan(F.col(score))).select(*keys, F.col(score).cast("double").alias("_s"), label.alias("_g"))
+    n = x.groupBy(*keys, _bucket(F.col("_s")).alias("_b"), "_s").agg(F.sum("_g").alias("_good"), F.sum(1 - F.col("_g")).alias("_bad"))
+    before = lambda w: F.coalesce(F.sum("_bad").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    wins = F.col("_good") * (before(Window.partitionBy(*keys, "_b").orderBy("_s")) + F.col("_bad") / 2)
+    b = n.withColumn("_w", wins).groupBy(*keys, "_b").agg(F.sum("_w").alias("_w"), F.sum("_good").alias("_good"), F.sum("_bad").alias("_bad"))
+    b = b.withColumn("_w", F.col("_w") + F.col("_good") * before(Window.partitionBy(*keys).orderBy("_b")))
+    total = b.groupBy(*keys).agg(F.sum("_good").alias("n_good"), F.sum("_bad").alias("n_bad"), F.sum("_w").alias("_w"))
+    return total.select(*keys, "n_good", "n_bad", F.try_divide("_w", (F.col("n_good") * F.col("n_bad")).cast("double")).alias("auroc"))

@@ -165,6 +165,15 @@ def sobol_intervals(rows: DataFrame, factors: list[str], unit: str, value: str,
     return found.groupBy("term", "kind").agg(F.max(F.when(F.col("b") == 0, F.col("x"))).alias("estimate"), F.percentile(again, F.lit(edge)).alias("low"), F.percentile(again, F.lit(1 - edge)).alias("high"))
 
 
+def gap_intervals(indices: DataFrame, least: float = 0.0) -> DataFrame:
+    """Interactions by factor from (factor, s1, s1_half, st, st_half): the gap, the half width
+    of its interval (both in quadrature, which is too wide rather than too narrow as the two
+    go together), and whether the whole interval lies above the threshold."""
+    gap, half = F.col("st") - F.col("s1"), F.hypot("s1_half", "st_half")
+    out = indices.select("factor", "s1", "s1_half", "st", "st_half", gap.alias("gap"), half.alias("gap_half"), (gap - half).alias("low"), (gap + half).alias("high"))
+    return out.withColumn("significant", F.coalesce(F.col("low") > least, F.lit(False)))
+
+
 def preregistered(intervals: DataFrame, pair: tuple[str, str], least: float = 0.02) -> DataFrame:
     """The sealed rule on ``sobol_intervals``: CONFIRMED if the intervals of both factors'
     gaps lie above the threshold and no other pair has a larger s2; else NOT CONFIRMED, and

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
 from gaugeworks.functions import numeric, signal, text
-from gaugeworks.operators import calibration, compare, edits, estimands, ranking, sensitivity, taxonomy, turns
+from gaugeworks.operators import calibration, compare, edits, estimands, ranking, rooms, sensitivity, taxonomy, turns
 from gaugeworks.plans import views
 from gaugeworks.plans.views import C_SQL, G_SQL, LOG_SQL, M_SQL, SPACE, measured_log, measurements, read
 
@@ -555,14 +555,15 @@ def normalized_tokens(spark, d):
     return t.select("doc_id", F.size("t").alias("n_tokens"), F.md5(F.array_join("t", " ").cast("binary")).alias("digest"))
 
 
-@query(f"""WITH i AS (SELECT {_NORM.format(x="array_to_string(string_split(text, ' ')[1:4], ' ')")} AS p FROM benchmark), n AS (SELECT doc_id, ' ' || {_NORM.format(x='text')} || ' ' AS t FROM documents) SELECT doc_id, count(*) AS n_phrases FROM n, (SELECT DISTINCT p FROM i) WHERE contains(t, ' ' || p || ' ') GROUP BY 1""")
+_FOURS = "SELECT {k} t[j:j+3] AS p FROM (SELECT {k} t, unnest(range(1, len(t) - 2)) AS j FROM (SELECT {k} string_split({n}, ' ') AS t FROM {f}))"
+
+
+@query(f"""WITH i AS (SELECT DISTINCT * FROM ({_FOURS.format(k="", n=_NORM.format(x="text"), f="benchmark")})), n AS (SELECT DISTINCT * FROM ({_FOURS.format(k="doc_id,", n=_NORM.format(x="text"), f="documents")})) SELECT doc_id, count(*) AS n_phrases FROM n JOIN i USING (p) GROUP BY 1""")
 def phrase_hits(spark, d):
-    """Documents that hold the first words of a benchmark item: a phrase's first word
-    finds the documents, then adjacency is tested."""
-    docs = read(spark, d, "documents", "doc_id", "text").select("doc_id", text.normalize(F.col("text")).alias("t"))
-    phrases = read(spark, d, "benchmark", "text").select(text.normalize(F.array_join(F.slice(F.split("text", " "), 1, 4), " ")).alias("p")).distinct().withColumn("w", F.col("p")[0])
-    words = docs.select("doc_id", F.explode(F.array_distinct("t")).alias("w")).join(phrases, "w").select("doc_id", "p")
-    return words.join(docs, "doc_id").where(text.has_phrase(F.col("t"), F.col("p"))).groupBy("doc_id").agg(F.count("*").alias("n_phrases"))
+    """Documents that hold phrases of four words of the benchmark, and how many different ones."""
+    docs = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(text.phrases(text.normalize(F.col("text")), 4)).alias("p"))
+    items = read(spark, d, "benchmark", "text").select(F.explode(text.phrases(text.normalize(F.col("text")), 4)).alias("p")).distinct()
+    return docs.join(items, "p").groupBy("doc_id").agg(F.count_distinct("p").alias("n_phrases"))
 
 
 def exchanges(spark, d):
@@ -822,3 +823,95 @@ def active_curves(spark, d):
     oracle = lambda p: float(1 / (1 + 2.718281828 ** (-8 * (p[0] + 0.5 * p[1] - 0.7))))
     c = active.curves(spark, oracle, 2, [1, 2, 3])
     return active.seed_band(active.best_so_far(c)).select("arm", "n_evals", *r9("median", "low", "high"), "n_seeds")
+
+
+# ------------------------------------------------------- rooms, grids, predictions
+
+_ROOMED = M_SQL + """,
+w AS (SELECT *, 'rooms/' || CASE WHEN n_ref % 3 = 0 THEN 'sim_' ELSE 'room_' END || rt60 || '.wav' AS rir_key, rt60 + 0.01::DOUBLE AS rir_rt60_measured FROM m)"""
+
+
+def roomed(spark, d):
+    """Measurements with the room that delivered each; failed ones have none."""
+    kind = F.when(F.col("n_ref") % 3 == 0, "sim_").otherwise("room_")
+    m = measurements(spark, d).withColumn("rir_key", F.when(F.col("n_ref").isNotNull(), F.concat(F.lit("rooms/"), kind, F.col("rt60").cast("string"), F.lit(".wav"))))
+    return m.withColumn("rir_rt60_measured", F.col("rt60") + 0.01)
+
+
+@query(f"WITH {_ROOMED} SELECT model, rir_key, round(max(rir_rt60_measured), 9) AS rt60_measured, round(min(rt60), 9) AS rt60_requested, round(avg(wer), 9) AS marginal_wer, count(wer) AS n_rows FROM w WHERE n_ref IS NOT NULL GROUP BY 1, 2")
+def delivered_rooms(spark, d):
+    """Mean error by the room that was delivered."""
+    r = rooms.delivered_rooms(roomed(spark, d))
+    return r.select("model", "rir_key", *r9("rt60_measured"), F.round(F.element_at("rt60_requested", 1), 9).alias("rt60_requested"), *r9("marginal_wer"), "n_rows")
+
+
+@query(f"WITH {_ROOMED} SELECT model, rir_key LIKE '%/sim_%' AS simulated, count(*) AS n, round(avg(wer), 9) AS wer FROM w WHERE n_ref IS NOT NULL GROUP BY 1, 2")
+def simulated_rows(spark, d):
+    """Measured and simulated rows, told apart by the room's key."""
+    real, sim = rooms.split_simulated(roomed(spark, d).where("rir_key is not null"))
+    x = real.withColumn("simulated", F.lit(False)).unionByName(sim.withColumn("simulated", F.lit(True)))
+    return x.groupBy("model", "simulated").agg(F.count("*").alias("n"), F.round(F.avg("wer"), 9).alias("wer"))
+
+
+@query(f"WITH {_ROOMED} SELECT model, round(rt60 * 10 + (rir_key LIKE '%/sim_%')::INT, 9) AS c50_db, count(*) AS n, round(avg(wer), 9) AS wer FROM w WHERE n_ref IS NOT NULL GROUP BY 1, 2")
+def remapped_rows(spark, d):
+    """Error along another coordinate of the delivered rooms."""
+    m = roomed(spark, d).where("rir_key is not null")
+    c = m.select("rir_key", F.round(F.col("rt60") * 10 + rooms.is_simulated().cast("int"), 9).alias("value")).distinct()
+    return rooms.remap(m, c, "c50_db").groupBy("model", "c50_db").agg(F.count("*").alias("n"), F.round(F.avg("wer"), 9).alias("wer"))
+
+
+_LEVELS = "(SELECT unnest([{}]) AS {})"
+_BLOCK = " SELECT {c} FROM " + ", ".join(_LEVELS.format("{" + f + "}", f) for f in S.FACTORS)
+_GRID_SQL = " UNION ".join(_BLOCK.format(c=", ".join(S.FACTORS), **{f: ", ".join(repr(v) if isinstance(v, str) else f"{v}::DOUBLE" for v in b[f]) for f in S.FACTORS}) for b in rooms.INTERACTION_GRID)
+
+
+@query(f"SELECT 'rt60-' || rtrim(rtrim(rt60::VARCHAR, '0'), '.') || '_snr-' || snr_db::INT || '_' || noise_type || '_' || codec || '_mic-' || CASE WHEN mic_rolloff = 0.5 THEN '0.5' ELSE mic_rolloff::INT::VARCHAR END AS condition_name, {', '.join(S.FACTORS)} FROM ({_GRID_SQL})")
+def interaction_grid(spark, d):
+    """The conditions of the grid that is run, block by block, each once."""
+    return rooms.grid(spark, rooms.INTERACTION_GRID)
+
+
+@query("SELECT p_partkey::VARCHAR AS id, p_name FROM part WHERE p_partkey IN (2, 5, 36)")
+def selected_clips(spark, d):
+    """Rows of a manifest by a list of ids."""
+    return rooms.select_clips(read(spark, d, "part", "p_partkey", "p_name").select(F.col("p_partkey").cast("string").alias("id"), "p_name"), "2, 5,36")
+
+
+@query("""WITH k AS (SELECT o_custkey, arg_max(row(CASE o_orderstatus WHEN 'F' THEN 'A' WHEN 'O' THEN 'B' END, o_orderkey % 2 = 0), o_orderkey) AS c FROM orders GROUP BY 1), x AS (SELECT c_custkey % 7 = 0 AS named, c[1] AS arm, coalesce(c[2], false) AS clear FROM customer LEFT JOIN k ON c_custkey = o_custkey)
+SELECT count(*) AS n_pairs, count(arm) AS n_scored, count(*) FILTER (arm = 'B') AS n_direction_hit, count(*) FILTER (named) AS n_named, count(*) FILTER (named AND NOT (coalesce(arm = 'B', false) AND clear)) AS n_strict_failures, count(arm) > 0 AND count(arm) = count(*) FILTER (arm = 'B') AS held FROM x""")
+def prediction_scorecard(spark, d):
+    """A sealed prediction against the latest call of each pair."""
+    pairs = read(spark, d, "customer", "c_custkey").select(F.col("c_custkey").alias("clip_id"), (F.col("c_custkey") % 7 == 0).alias("named"))
+    arm = F.when(F.col("o_orderstatus") == "F", "A").when(F.col("o_orderstatus") == "O", "B")
+    calls = read(spark, d, "orders", "o_custkey", "o_orderkey", "o_orderstatus").select(F.col("o_custkey").alias("clip_id"), F.col("o_orderkey").alias("session"), arm.alias("harder_arm"), (F.col("o_orderkey") % 2 == 0).alias("non_marginal"))
+    return rooms.scorecard(pairs, calls, "B")
+
+
+@query("""WITH i AS (SELECT c_nationkey AS factor, avg(c_acctbal) / 10000 AS s1, stddev_samp(c_acctbal) / 50000 AS s1_half, max(c_acctbal) / 10000 AS st, stddev_pop(c_acctbal) / 40000 AS st_half FROM customer GROUP BY 1)
+SELECT factor, round(st - s1, 9) AS gap, round(sqrt(s1_half * s1_half + st_half * st_half), 9) AS gap_half, round(st - s1 - sqrt(s1_half * s1_half + st_half * st_half), 9) AS low, round(st - s1 + sqrt(s1_half * s1_half + st_half * st_half), 9) AS high, coalesce(st - s1 - sqrt(s1_half * s1_half + st_half * st_half) > 0.4, false) AS significant FROM i""")
+def gap_intervals(spark, d):
+    """Gaps of indices with intervals in quadrature."""
+    c = read(spark, d, "customer", "c_nationkey", "c_acctbal")
+    i = c.groupBy(F.col("c_nationkey").alias("factor")).agg((F.avg("c_acctbal") / 10000).alias("s1"), (F.stddev_samp("c_acctbal") / 50000).alias("s1_half"), (F.max("c_acctbal") / 10000).alias("st"), (F.stddev_pop("c_acctbal") / 40000).alias("st_half"))
+    return sensitivity.gap_intervals(i, 0.4).select("factor", *r9("gap", "gap_half", "low", "high"), "significant")
+
+
+@query(f"WITH {C_SQL}, a AS (SELECT model, rt60, avg(mean_conf) AS f FROM c GROUP BY 1, 2) SELECT a.model, a.rt60, round(abs(a.f - b.f), 9) AS drift FROM a LEFT JOIN a b ON a.model = b.model AND b.rt60 = 0.2")
+def feature_drift(spark, d):
+    """How far confidence moves from its value in the driest room."""
+    c = conditions(spark, d).groupBy("model", "rt60").agg(F.avg("mean_conf").alias("f"))
+    return edits.drift(c, ["model"], "rt60", 0.2, "f").select("model", "rt60", *r9("drift"))
+
+
+@query(f"""WITH {C_SQL}, a AS (SELECT condition_name, wer AS x, mean_conf AS y FROM c WHERE model = 'arm_a' AND mean_conf IS NOT NULL),
+r AS (SELECT rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS u, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS v FROM a),
+s AS (SELECT count(*) AS n, corr(u, v) AS rho FROM r), t AS (SELECT sum(sign(p.x - q.x) * sign(p.y - q.y)) / sqrt(sum(abs(sign(p.x - q.x))) * sum(abs(sign(p.y - q.y)))) AS tau FROM a p JOIN a q ON p.condition_name < q.condition_name),
+h AS (SELECT n, rho, tau, n - 2 AS df, (n - 2) / (n - 2 + rho * rho * (n - 2) / (1 - rho * rho)) AS c2, 3 * abs(tau) * sqrt(n * (n - 1)) / sqrt(2.0::DOUBLE * (2 * n + 5)) AS z FROM s, t),
+e AS (SELECT df, c2, 1 + coalesce((SELECT sum(w) FROM (SELECT exp(sum(ln(CASE WHEN df % 2 = 0 THEN (2 * k - 1.0::DOUBLE) / (2 * k) ELSE 2 * k / (2 * k + 1.0::DOUBLE) END * c2)) OVER (ORDER BY k)) AS w FROM (SELECT unnest(range(1, (df - 2 - df % 2) // 2 + 1)) AS k, df, c2 FROM h))), 0) AS sums FROM h),
+g AS (SELECT 1 + sum(w) AS ones FROM (SELECT exp(sum(ln(z * z / (2 * k + 1.0::DOUBLE))) OVER (ORDER BY k)) AS w FROM (SELECT unnest(range(1, 201)) AS k, z FROM h)))
+SELECT n, round(rho, 9) AS spearman, round(1 - CASE WHEN h.df % 2 = 0 THEN sqrt(1 - h.c2) * sums ELSE (atan(sqrt((1 - h.c2) / h.c2)) + sqrt((1 - h.c2) * h.c2) * sums) * 2 / pi() END, 9) AS spearman_p, round(tau, 9) AS kendall, round(1 - z * exp(-z * z / 2) * sqrt(2 / pi()) * ones, 9) AS kendall_p FROM h, e, g""")
+def rank_agreement(spark, d):
+    """Whether error and confidence put one model's conditions in the same order."""
+    c = conditions(spark, d).where("model = 'arm_a' and mean_conf is not null")
+    return ranking.rank_agreement(c, "wer", "mean_conf", "condition_name").select("n", *r9("spearman", "spearman_p", "kendall", "kendall_p"))

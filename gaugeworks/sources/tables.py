@@ -87,7 +87,8 @@ def compose(plan: DataFrame, cache: DataFrame, prior_cells: DataFrame | None = N
 def publish(rows: DataFrame, path: str, *, allow_shrink: bool = False) -> str:
     """Write the table, partitioned by model, to a new version below ``path`` and return
     it.  Repeated cells raise, and so does a table that lost cells of the latest version.
-    A pointer is written last, so readers never see half a table."""
+    A pointer is written last, so readers never see half a table.  Rows are dealt by model
+    and a large model is split, as one may hold most of them."""
     spark = rows.sparkSession
     rows = guards.require_unique_cells(S.ordered(rows))
     try:
@@ -97,7 +98,7 @@ def publish(rows: DataFrame, path: str, *, allow_shrink: bool = False) -> str:
     if prior and not allow_shrink:
         guards.require_no_shrink(spark.read.parquet(prior), rows)
     version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
-    rows.repartition("model").write.partitionBy("model").parquet(version)
+    rows.hint("rebalance", "model").write.partitionBy("model").parquet(version)
     n = spark.read.text(f"{path}/versions").count() if prior else 0
     spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(version).alias("path")).coalesce(1).write.mode("append").json(f"{path}/versions")
     return version
