@@ -82,7 +82,7 @@ def student_two_sided(t: Column, df: Column) -> Column:
     even = sine * _series(lambda k: c2 * (2 * k - 1) / (2 * k), F.floor((df - 2) / 2))
     tail = sine * F.sqrt(c2) * _series(lambda k: c2 * 2 * k / (2 * k + 1), F.floor((df - 3) / 2))
     odd = (angle + F.when(df >= 3, tail).otherwise(0.0)) * (2 / math.pi)
-    return F.when(df >= 1, F.greatest(1 - F.when(df % 2 == 0, even).otherwise(odd), F.lit(0.0)))
+    return F.when((df >= 1) & t.isNotNull(), F.greatest(1 - F.when(df % 2 == 0, even).otherwise(odd), F.lit(0.0)))
 
 
 def normal_two_sided(z: Column) -> Column:

@@ -232,9 +232,10 @@ def cross_model_tokens(text: Column) -> Column:
 
 
 def phrases(tokens: Column, n: int) -> Column:
-    """The different runs of ``n`` tokens; none in a shorter text."""
+    """The different runs of ``n`` tokens, joined by blanks; none in a shorter text.  Tokens
+    that are costly to compute belong in a column of their own first."""
     starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(starts, lambda k: F.slice(tokens, k, n)))
+    return F.array_distinct(F.transform(starts, lambda k: F.array_join(F.slice(tokens, k, n), " ")))
 
 
 def claim(words: Column, certain: float = 0.9, fair: float = 0.6) -> Column:

@@ -561,8 +561,9 @@ _FOURS = "SELECT {k} t[j:j+3] AS p FROM (SELECT {k} t, unnest(range(1, len(t) -
 @query(f"""WITH i AS (SELECT DISTINCT * FROM ({_FOURS.format(k="", n=_NORM.format(x="text"), f="benchmark")})), n AS (SELECT DISTINCT * FROM ({_FOURS.format(k="doc_id,", n=_NORM.format(x="text"), f="documents")})) SELECT doc_id, count(*) AS n_phrases FROM n JOIN i USING (p) GROUP BY 1""")
 def phrase_hits(spark, d):
     """Documents that hold phrases of four words of the benchmark, and how many different ones."""
-    docs = read(spark, d, "documents", "doc_id", "text").select("doc_id", F.explode(text.phrases(text.normalize(F.col("text")), 4)).alias("p"))
-    items = read(spark, d, "benchmark", "text").select(F.explode(text.phrases(text.normalize(F.col("text")), 4)).alias("p")).distinct()
+    t = text.normalize(F.col("text")).alias("t")
+    docs = read(spark, d, "documents", "doc_id", "text").select("doc_id", t).select("doc_id", F.explode(text.phrases(F.col("t"), 4)).alias("p"))
+    items = read(spark, d, "benchmark", "text").select(t).select(F.explode(text.phrases(F.col("t"), 4)).alias("p")).distinct()
     return docs.join(items, "p").groupBy("doc_id").agg(F.count_distinct("p").alias("n_phrases"))
 
 
