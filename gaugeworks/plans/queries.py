@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
 from gaugeworks.functions import numeric, signal, text
-from gaugeworks.operators import calibration, compare, edits, estimands, ranking, rooms, sensitivity, taxonomy, turns
+from gaugeworks.operators import calibration, compare, edits, estimands, gate, profiles, ranking, rooms, sensitivity, taxonomy, turns
 from gaugeworks.plans import views
 from gaugeworks.plans.views import C_SQL, G_SQL, LOG_SQL, M_SQL, SPACE, measured_log, measurements, read
 
@@ -916,3 +916,159 @@ def rank_agreement(spark, d):
     """Whether error and confidence put one model's conditions in the same order."""
     c = conditions(spark, d).where("model = 'arm_a' and mean_conf is not null")
     return ranking.rank_agreement(c, "wer", "mean_conf", "condition_name").select("n", *r9("spearman", "spearman_p", "kendall", "kendall_p"))
+
+
+# ------------------------------------------------------------------- report summaries
+
+
+@query(f"WITH {M_SQL} SELECT model, condition_name, count(*) AS n, count(DISTINCT clip_id) AS n_clips, round(avg(wer), 9) AS wer, round(stddev_pop(wer), 9) AS wer_sd, round(avg(wer) FILTER (mean_conf IS NOT NULL), 9) AS wer_spoke, count(mean_conf) AS n_spoke, count(mean_conf) = 0 AS mute FROM m WHERE NOT failed GROUP BY 1, 2")
+def condition_spread(spark, d):
+    """Error of each condition with its deviation over clips."""
+    return profiles.spread(measurements(spark, d)).select("model", "condition_name", "n", "n_clips", *r9("wer", "wer_sd", "wer_spoke"), "n_spoke", "mute")
+
+
+@query(f"WITH {M_SQL}, b AS (SELECT model, condition_name, count(*) AS n_rows, count(*) FILTER (failed) AS n_failed, count(*) FILTER (NOT failed AND n_ref - n_del + n_ins <= 0) AS n_silent FROM m GROUP BY 1, 2) SELECT * FROM b WHERE n_failed = n_rows OR (n_failed < n_rows AND n_silent = n_rows - n_failed)")
+def lost_conditions(spark, d):
+    """Conditions that failed or were silent altogether."""
+    return profiles.lost_conditions(measurements(spark, d)).drop("errors")
+
+
+@query(f"WITH {M_SQL}, a AS (SELECT model, codec, count(*) AS n, avg(wer) AS mean, 1.96::DOUBLE * stddev_samp(wer) / sqrt(count(*)) AS h FROM m WHERE NOT failed GROUP BY 1, 2) SELECT model, codec, n, round(mean, 9) AS mean, round(mean - h, 9) AS low, round(mean + h, 9) AS high FROM a")
+def mean_by_codec(spark, d):
+    """Mean error by codec with an interval."""
+    return profiles.mean_by(measurements(spark, d), "model", "codec").select("model", "codec", "n", *r9("mean", "low", "high"))
+
+
+@query(f"WITH {C_SQL}, w AS (SELECT model, condition_name, round(wer, 9) AS wer FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY wer DESC NULLS LAST, condition_name) AS place FROM w) SELECT * FROM k WHERE place <= 10")
+def worst_conditions(spark, d):
+    """Each model's ten worst conditions; equal to nine decimals is a tie."""
+    return profiles.worst(conditions(spark, d).select("model", "condition_name", *r9("wer"))).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""WITH {M_SQL}, u AS (SELECT DISTINCT condition_name, rt60, snr_db, codec, mic_rolloff FROM m), v AS (SELECT condition_name FROM (SELECT condition_name, dense_rank() OVER (ORDER BY rt60) + dense_rank() OVER (ORDER BY snr_db DESC) + dense_rank() OVER (ORDER BY mic_rolloff) - 3 + (codec <> 'none')::INT AS s FROM u) WHERE s <= 1)
+SELECT model, condition_name, count(*) AS n, round(avg(mean_conf), 9) AS mean_conf FROM m SEMI JOIN v USING (condition_name) GROUP BY 1, 2""")
+def benign_corner(spark, d):
+    """Confidence within one step of the mildest settings."""
+    near = profiles.benign(measurements(spark, d), {"rt60": True, "snr_db": False, "mic_rolloff": True}, 1)
+    return near.groupBy("model", "condition_name").agg(F.count("*").alias("n"), F.avg("mean_conf").alias("mean_conf")).select("model", "condition_name", "n", *r9("mean_conf"))
+
+
+@query(f"""WITH {_S_SQL}, b AS (SELECT model, condition_name, avg(flagged::INT) AS p, bool_or(flagged AND wer_hi = 0.3 AND conf_pct_hi = 0.6) AS d, bool_and(flagged) AS a FROM s GROUP BY 1, 2),
+x AS (SELECT model, count(*) FILTER (p > 0) AS n_ever, count(*) FILTER (a) AS n_core, count(*) FILTER (d) AS n_default, avg(p) FILTER (d) AS dp FROM b GROUP BY 1),
+n AS (SELECT model, wer_hi, conf_pct_hi, count(*) FILTER (flagged) AS n FROM s GROUP BY 1, 2, 3), y AS (SELECT model, min(n) FILTER (wer_hi BETWEEN 0.24 AND 0.36 AND conf_pct_hi BETWEEN 0.49 AND 0.71) AS near_low, max(n) FILTER (wer_hi BETWEEN 0.24 AND 0.36 AND conf_pct_hi BETWEEN 0.49 AND 0.71) AS near_high, (max(n) + 1) / (min(n) + 1)::DOUBLE AS fold FROM n GROUP BY 1)
+SELECT model, n_ever, n_core, n_default, round(dp, 9) AS default_persistence, near_low, near_high, round(fold, 9) AS fold, CASE WHEN fold <= 2 AND coalesce(dp >= 0.75, true) THEN 'stable' WHEN fold >= 4 OR coalesce(dp < 0.4, false) THEN 'fragile' ELSE 'moderate' END AS verdict FROM x JOIN y USING (model)""")
+def sweep_sets(spark, d):
+    """Members of the sweep around the published thresholds."""
+    return profiles.sweep_sets(taxonomy.sweep(gaps(spark, d))).select("model", "n_ever", "n_core", "n_default", *r9("default_persistence"), "near_low", "near_high", *r9("fold"), "verdict")
+
+
+@query(f"WITH {_S_SQL}, n AS (SELECT model, wer_hi, conf_pct_hi, count(*) FILTER (flagged) AS n FROM s GROUP BY 1, 2, 3) SELECT x.model AS a, y.model AS b, count(*) AS n_points, count(*) FILTER (x.n < y.n) AS n_below, min(x.n) AS least, max(x.n) AS most FROM n x JOIN n y ON x.wer_hi = y.wer_hi AND x.conf_pct_hi = y.conf_pct_hi AND x.model <> y.model GROUP BY 1, 2")
+def order_of_arms(spark, d):
+    """Whether the models' order holds over the grid of thresholds."""
+    return profiles.order_of_arms(taxonomy.sweep_counts(taxonomy.sweep(gaps(spark, d))))
+
+
+_LADDER = "SELECT l_suppkey AS k, l_linenumber AS l, sum(round(l_quantity)::BIGINT)::BIGINT AS y, sum(round(l_tax * 100)::BIGINT)::BIGINT AS z FROM lineitem GROUP BY 1, 2"
+
+
+def ladders(spark, d):
+    x = read(spark, d, "lineitem", "l_suppkey", "l_linenumber", "l_quantity", "l_tax")
+    return x.groupBy(F.col("l_suppkey").alias("k"), F.col("l_linenumber").alias("l")).agg(F.sum(F.round("l_quantity").cast("long")).alias("y"), F.sum(F.round(F.col("l_tax") * 100).cast("long")).alias("z"))
+
+
+@query(f"""WITH c AS ({_LADDER}), r AS {_rho("c", "k", "l", "y")}, s AS (SELECT k, l, sign(y - lag(y) OVER (PARTITION BY k ORDER BY l)) AS s FROM c), f AS (SELECT k, s <> lag(s) OVER (PARTITION BY k ORDER BY l) AS f FROM s WHERE s <> 0), g AS (SELECT k, count(*) FILTER (f) AS g FROM f GROUP BY 1)
+SELECT k, n, CASE WHEN rho = 0 THEN 0.0 ELSE rho END AS spearman, coalesce(g, 0) AS n_sign_flips, n >= 3 AND coalesce(g, 0) = 0 AS monotone FROM r LEFT JOIN g USING (k)""")
+def ladder_trends(spark, d):
+    """Whether curves are ladders."""
+    return profiles.trend(ladders(spark, d), ["k"], "l", "y").select("k", "n", *r9("spearman"), "n_sign_flips", "monotone")
+
+
+_HALF = """n{c} AS (SELECT k, l, coalesce(({c} - min({c}) OVER p) / nullif(max({c}) OVER p - min({c}) OVER p, 0)::DOUBLE, 0) AS v FROM c WINDOW p AS (PARTITION BY k)),
+g{c} AS (SELECT k, l, v, lag(v) OVER q AS pv, lag(l) OVER q AS pl FROM n{c} WINDOW q AS (PARTITION BY k ORDER BY l)),
+h{c} AS (SELECT k, coalesce(arg_min(coalesce(pl + (0.5 - pv) * (l - pl) / nullif(v - pv, 0), l), l) FILTER (pv IS NOT NULL AND v >= 0.5), max(l)) AS h FROM g{c} GROUP BY 1)"""
+
+
+@query(f"""WITH c AS ({_LADDER}), {_HALF.format(c="y")}, {_HALF.format(c="z")}, r AS {_rho("c", "k", "y", "z")}, a AS (SELECT k, max(abs(ny.v - nz.v)) AS max_gap FROM ny JOIN nz USING (k, l) GROUP BY 1)
+SELECT k, n, CASE WHEN rho = 0 THEN 0.0 ELSE rho END AS spearman, round(max_gap, 9) AS max_gap, round(hy.h, 9) AS feature_half, round(hz.h, 9) AS lexical_half, max_gap <= 0.2 AS coupled, CASE WHEN round(hy.h, 9) < round(hz.h, 9) THEN 'feature' WHEN round(hz.h, 9) < round(hy.h, 9) THEN 'lexical' ELSE 'together' END AS leads FROM r JOIN a USING (k) JOIN hy USING (k) JOIN hz USING (k)""")
+def degradation_rates(spark, d):
+    """Whether two curves over the same levels fall together."""
+    return profiles.degradation_rates(ladders(spark, d), ["k"], "l", "y", "z").select("k", "n", *r9("spearman", "max_gap", "feature_half", "lexical_half"), "coupled", "leads")
+
+
+@query(f"""WITH {C_SQL}, p AS (SELECT b.wer - a.wer AS g FROM c a JOIN c b USING (condition_name) WHERE a.model = 'arm_a' AND b.model = 'arm_n')
+SELECT count(*) AS n, round(avg(g), 9) AS mean_gap, round(avg(abs(g)), 9) AS mean_abs_gap, round(median(g), 9) AS median_gap, CASE WHEN avg(g) > 0 THEN 'overestimates' WHEN avg(g) < 0 THEN 'underestimates' ELSE 'matches' END AS direction FROM p""")
+def level_gap(spark, d):
+    """How far one run's errors lie above another's."""
+    c = conditions(spark, d).select("model", "condition_name", "wer")
+    p = c.where("model = 'arm_a'").select("condition_name", F.col("wer").alias("x")).join(c.where("model = 'arm_n'").select("condition_name", F.col("wer").alias("y")), "condition_name")
+    return profiles.level_gap(p.withColumn("gap", F.col("y") - F.col("x")), "condition_name", "gap").select("n", *r9("mean_gap", "mean_abs_gap", "median_gap"), "direction")
+
+
+@query(r"""WITH p AS (SELECT p_partkey, p_size, p_type, trim(regexp_replace(lower(p_name), '[^\p{L}\p{N}_]+', ' ', 'g')) AS t, trim(regexp_replace(lower(p_brand), '[^\p{L}\p{N}_]+', ' ', 'g')) AS b FROM part), r AS (SELECT p_type AS kind, p_size / 50.0::DOUBLE AS wer, p_partkey % 5 <> 0 AS scored, (NOT contains(' ' || t || ' ', ' ' || b || ' '))::INT AS miss FROM p)
+SELECT kind, count(*) FILTER (scored) AS n_rows, count(*) FILTER (NOT scored) AS n_unscored, round(avg(miss / 2.0::DOUBLE) FILTER (scored), 9) AS entity_error_rate, round(avg(wer) FILTER (scored), 9) AS wer, round(avg(miss) FILTER (scored), 9) AS critical_failure_rate, round(avg(miss / 2.0::DOUBLE) FILTER (scored) - avg(wer) FILTER (scored), 9) AS entity_minus_wer FROM r GROUP BY 1""")
+def entity_errors(spark, d):
+    """Entity error beside word error by kind; clips without a spec are counted."""
+    p = read(spark, d, "part", "p_partkey", "p_name", "p_brand", "p_type", "p_size").withColumn("clip_id", F.col("p_partkey"))
+    specs = p.where("p_partkey % 5 <> 0").select("clip_id", F.create_map(F.lit("name"), text.normalize(F.col("p_name"))[0], F.lit("brand"), F.col("p_brand")).alias("slots"), F.array(F.lit("brand")).alias("critical"))
+    rows = p.select("clip_id", F.col("p_name").alias("transcript"), (F.col("p_size") / 50).alias("wer"), F.col("p_type").alias("kind"))
+    return profiles.entity_errors(rows, specs, ["kind"]).select("kind", "n_rows", "n_unscored", *r9("entity_error_rate", "wer", "critical_failure_rate", "entity_minus_wer"))
+
+
+@query(f"""WITH {_X}, r AS (SELECT turn, len(hyp) / len(ref)::DOUBLE AS r, len(list_filter(hyp, lambda w: NOT list_contains(ref, w))) / greatest(len(hyp), 1)::DOUBLE AS f FROM x WHERE len(ref) > 0)
+SELECT turn, count(*) AS n, round(quantile_cont(r, 0.5), 9) AS median_ratio, round(quantile_cont(r, 0.95), 9) AS p95_ratio, round(avg((r > 2)::INT), 9) AS share_over_2, round(avg(f), 9) AS mean_foreign FROM r GROUP BY 1""")
+def answer_lengths(spark, d):
+    """How long and how foreign answers are, by turn."""
+    return profiles.lengths(exchanges(spark, d), ["turn"]).select("turn", "n", *r9("median_ratio", "p95_ratio", "share_over_2", "mean_foreign"))
+
+
+@query()
+def top_inserted(spark, d):
+    """The commonest words that answers insert, by turn."""
+    x = exchange_edits(spark, d)
+    return profiles.top_inserted(x.select("clip_id", "turn", F.explode("edits").alias("e")).select("clip_id", "turn", "e.op", "e.hyp"), x.select("clip_id", F.explode("ref").alias("word")), "turn")
+
+
+@query("""WITH x AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'codec=g726' WHEN 1 THEN 'rt60' ELSE 'codec=opus' END AS contrast, CASE s_suppkey % 2 WHEN 0 THEN 'del' ELSE 'ins' END AS edit, s_acctbal AS delta FROM supplier)
+SELECT s_suppkey, CASE WHEN NOT delta > 0 THEN 'none' WHEN contrast = 'codec=g726' AND edit = 'del' THEN 'f1' WHEN contrast LIKE 'codec%' AND edit = 'del' THEN 'f2' WHEN contrast LIKE 'codec%' AND edit = 'ins' THEN 'f3' WHEN edit = 'del' THEN 'g' END AS fix FROM x""")
+def implied_fixes(spark, d):
+    """What would mend a signature: by contrast, by factor, by edit."""
+    k = F.col("s_suppkey")
+    x = read(spark, d, "supplier", "s_suppkey", "s_acctbal").select("s_suppkey", F.when(k % 3 == 0, "codec=g726").when(k % 3 == 1, "rt60").otherwise("codec=opus").alias("contrast"), F.when(k % 2 == 0, "del").otherwise("ins").alias("edit"), F.col("s_acctbal").alias("delta"))
+    return profiles.with_fix(x, {("codec=g726", "del"): "f1", ("codec", "del"): "f2", ("codec", "ins"): "f3"}, {"del": "g"}).select("s_suppkey", "fix")
+
+
+@query("""WITH x AS (SELECT CASE WHEN s_suppkey % 5 <> 0 THEN s_acctbal / 100000 END AS v FROM supplier) SELECT count(v) AS n, count(*) FILTER (v IS NULL) AS n_incomparable, round(min(v), 9) AS least, round(median(v), 9) AS median, round(max(v), 9) AS most, count(*) FILTER (v < 0) AS n_favouring, count(*) FILTER (abs(v) > 0.01) AS n_moved FROM x""")
+def coordinate_spread(spark, d):
+    """How far the choice of coordinate moves a difference; NaN is incomparable."""
+    x = read(spark, d, "supplier", "s_suppkey", "s_acctbal").select(F.when(F.col("s_suppkey") % 5 != 0, F.col("s_acctbal") / 100000).otherwise(F.lit(float("nan"))).alias("v"))
+    return profiles.coordinate_spread(x, "v").select("n", "n_incomparable", *r9("least", "median", "most"), "n_favouring", "n_moved")
+
+
+@query(f"WITH b AS (SELECT item_id, text, {_NORM.format(x='text')} AS t FROM benchmark) SELECT item_id, count(*) AS n_rows, count(*) FILTER (t <> coalesce(text, '')) AS n_unstable FROM b GROUP BY 1 HAVING count(*) > 1 OR count(*) FILTER (t <> coalesce(text, '')) > 0")
+def manifest_faults(spark, d):
+    """Items whose text normalizing would change."""
+    return gate.manifest_faults(read(spark, d, "benchmark", "item_id", "text"), "item_id", "text")
+
+
+_CLIPS = "SELECT p_partkey AS clip_id, CASE WHEN p_size % 7 = 0 THEN 8000 ELSE 16000 END AS fs, 1 + (p_size % 11 = 0)::INT AS channels, CASE WHEN p_size % 13 = 0 THEN 'MP3' ELSE 'PCM_16' END AS subtype, p_size / 4.0::DOUBLE AS duration_s, (p_partkey % 100) / 100.0::DOUBLE AS peak, p_size % 20 AS n_near_clip, p_size / 100.0::DOUBLE AS lead_s, (50 - p_size) / 100.0::DOUBLE AS tail_s, p_size::DOUBLE AS snr_db FROM part"
+
+
+def clips(spark, d):
+    p, size = read(spark, d, "part", "p_partkey", "p_size"), F.col("p_size")
+    return p.select(
+        F.col("p_partkey").alias("clip_id"), F.when(size % 7 == 0, 8000).otherwise(16000).alias("fs"), (1 + (size % 11 == 0).cast("int")).alias("channels"), F.when(size % 13 == 0, "MP3").otherwise("PCM_16").alias("subtype"), (size / 4).alias("duration_s"),
+        (F.col("p_partkey") % 100 / 100).alias("peak"), (size % 20).alias("n_near_clip"), (size / 100).alias("lead_s"), ((50 - size) / 100).alias("tail_s"), size.cast("double").alias("snr_db"),
+    )
+
+
+@query(f"""WITH c AS ({_CLIPS}), f AS (SELECT clip_id, 20 * log10(peak + 1e-12) AS db, list_filter([CASE WHEN channels <> 1 THEN 'channels' END, CASE WHEN fs NOT IN (16000, 48000) THEN 'sample_rate' END, CASE WHEN subtype = 'MP3' THEN 'subtype' END, CASE WHEN peak >= 0.99 THEN 'clipped' END, CASE WHEN peak < 0.99 AND n_near_clip > 10 THEN 'near_clipping' END,
+CASE WHEN lead_s < 0.25 THEN 'lead' END, CASE WHEN tail_s < 0.25 THEN 'tail' END, CASE WHEN duration_s < 1.5 OR duration_s > 12 THEN 'duration' END], lambda x: x IS NOT NULL) AS e, snr_db FROM c) SELECT clip_id, array_to_string(e, ',') AS errors, concat_ws(',', CASE WHEN db < -14 OR db > -4 THEN 'peak' END, CASE WHEN snr_db < 20 THEN 'snr' END) AS warnings FROM f""")
+def clip_faults(spark, d):
+    """Recordings against the rules of the gate."""
+    return gate.clip_faults(clips(spark, d)).select("clip_id", F.array_join("errors", ",").alias("errors"), F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(f"""WITH c AS ({_CLIPS}), f AS (SELECT clip_id, concat_ws(',', CASE WHEN abs(20 * log10(peak + 1e-12) - (SELECT median(20 * log10(peak + 1e-12)) FROM c)) > 6 THEN 'level_drift' END, CASE WHEN duration_s > 2 * (SELECT median(duration_s) FROM c) THEN 'long' END) AS warnings FROM c) SELECT * FROM f WHERE warnings <> ''""")
+def corpus_faults(spark, d):
+    """Recordings that stand apart from the whole set."""
+    return gate.corpus_faults(clips(spark, d)).select("clip_id", F.array_join("warnings", ",").alias("warnings"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
+from gaugeworks.functions.numeric import with_cost
 from gaugeworks.operators import guards
 
 
@@ -172,3 +173,41 @@ def synthetic(spark: SparkSession, clips: int, models: list[str], *, failed_one_
             c = F.when(F.col("failed"), "timeout")
         out.append(c.cast(f.dataType).alias(f.name))
     return x.select(*out)
+
+
+def fixed_width(rows: DataFrame, most: int = 10_000) -> str:
+    """A small table as text, columns padded to their widest value; more than ``most`` rows
+    raise.  NULL is a dash."""
+    got = rows.select(*[F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c) for c in rows.columns]).limit(most + 1).collect()
+    if len(got) > most:
+        raise S.MeasurementError("the table is too large for a report")
+    lines = [rows.columns, *[list(r) for r in got]]
+    width = [max(len(x[k]) for x in lines) for k in range(len(rows.columns))]
+    return "\n".join("  ".join(v.ljust(w) for v, w in zip(x, width, strict=True)).rstrip() for x in lines) + "\n"
+
+
+def write_artifact(spark: SparkSession, path: str, **tables: DataFrame) -> None:
+    """The tables as siblings ``path``.json (one document with stable keys) and ``path``.txt
+    (fixed width), one part file each, on any file system that Spark writes to."""
+    text = "\n".join(f"{name}\n{fixed_width(df)}" for name, df in sorted(tables.items()))
+    for suffix, body in (("json", report_payload(**tables)), ("txt", text)):
+        spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.{suffix}")
+
+
+def provenance(calls: DataFrame, rates: DataFrame, assets: DataFrame, commit: str) -> dict[str, DataFrame]:
+    """Where a result came from: ``calls`` (label, model, minutes, failed) counted and priced
+    by label and model, and the ``asset_hashes`` of its inputs, both with the commit."""
+    by = calls.groupBy("label", "model").agg(F.count("*").alias("n_calls"), F.count_if("failed").alias("n_failed"), F.sum("minutes").alias("minutes"))
+    stamp = F.lit(commit).alias("commit")
+    return {"calls": with_cost(by, rates).select("*", stamp), "assets": assets.select("*", stamp)}
+
+
+def indices_json(indices: DataFrame) -> str:
+    """A small table of indices as JSON that ``indices_from_json`` reads back."""
+    return json.dumps({"ddl": ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in indices.schema), "rows": json.loads(report_payload(rows=indices))["rows"]}, sort_keys=True)
+
+
+def indices_from_json(spark: SparkSession, body: str) -> DataFrame:
+    got = json.loads(body)
+    rows = spark.createDataFrame([(json.dumps(r),) for r in got["rows"]], "value string")
+    return rows.select(F.from_json("value", got["ddl"]).alias("r")).select("r.*")
