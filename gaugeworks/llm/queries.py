@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bloom_lm, bpe, chosen_path, codewords, dac, fm_index, mil, prefix_forest, toxicity, urls
+from gaugeworks.llm import bloom_lm, bpe, chosen_path, codewords, dac, fm_index, mil, periods, prefix_forest, toxicity, urls
 from gaugeworks.llm.common import remainder, table
 from gaugeworks.llm.training import labelled_sample
 
@@ -98,6 +98,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), end_id=2)
 
 
+def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The periodic runs of every document, every tenth of which is made periodic first."""
+    return periods.period_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_jaccard_join": op2_jaccard_join,
@@ -109,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_nearest": op9_nearest,
     "op10_token_files": op10_token_files,
+    "op13_periods": op13_periods,
 }
 
 #: The words of a text in DuckDB, as ``fm_index.WORD`` takes them.
