@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bloom_lm, bpe, chosen_path, codewords, dac, fm_index, mil, periods, prefix_forest, toxicity, urls
+from gaugeworks.llm import bloom_lm, bpe, chosen_path, codewords, dac, fm_index, mil, periods, prefix_forest, toxicity, urls, warc
 from gaugeworks.llm.common import remainder, table
 from gaugeworks.llm.training import labelled_sample
 
@@ -98,6 +98,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), end_id=2)
 
 
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC files and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op13_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The periodic runs of every document, every tenth of which is made periodic first."""
     return periods.period_digests(table(spark, sf_dir, "documents", "doc_id", "text"))
@@ -114,6 +119,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_nearest": op9_nearest,
     "op10_token_files": op10_token_files,
+    "op12_warc": op12_warc,
     "op13_periods": op13_periods,
 }
 
@@ -138,4 +144,8 @@ f AS (SELECT doc_id, i, o.n, item_id FROM o JOIN p ON o.n = p.n AND o.s = p.s),
 h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM f) GROUP BY 1),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS k FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM f) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(k, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op12_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, row_number() OVER (PARTITION BY h ORDER BY page_id) AS k FROM d)
+SELECT page_id, n::BIGINT AS payload_bytes, h AS payload_digest, CASE WHEN n < 100 OR k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN n >= 100 AND k > 1 THEN first END AS refers_to FROM f""",
 }

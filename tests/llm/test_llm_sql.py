@@ -9,7 +9,7 @@ D = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_equals_duckdb(spark, name):
     db = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "pages", "conversations"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{D}/{t}.parquet'")
     want = db.execute(ORACLE_SQL[name])
     columns = [c[0] for c in want.description]
