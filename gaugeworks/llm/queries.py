@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.llm import bloom_lm, bpe, chosen_path, codewords, dac, fm_index, mil, periods, prefix_forest, toxicity, urls, warc
+from gaugeworks.llm import bloom_lm, bpe, chosen_path, codewords, dac, fm_index, mil, periods, prefix_forest, prefix_trie, toxicity, urls, warc
 from gaugeworks.llm.common import remainder, table
 from gaugeworks.llm.training import labelled_sample
 
@@ -98,6 +98,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dac.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path(), end_id=2)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of rebuilt conversations, node by node."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"), rebuild=True)
+
+
 def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC files and read back."""
     return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -119,6 +124,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_nearest": op9_nearest,
     "op10_token_files": op10_token_files,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_warc": op12_warc,
     "op13_periods": op13_periods,
 }
@@ -126,6 +132,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 #: The words of a text in DuckDB, as ``fm_index.WORD`` takes them.
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+#: crc32 of the decimal c in DuckDB, bit by bit (fixed value: the polynomial 0xEDB88320).
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(8 * length(c::VARCHAR)), lambda i: CASE WHEN i % 8 = 0 THEN ascii((c::VARCHAR)[i // 8 + 1])::UBIGINT ELSE 0::UBIGINT END)),
+    lambda s, b: CASE WHEN xor(s, b) % 2 = 1 THEN xor(xor(s, b) // 2, 3988292384::UBIGINT) ELSE xor(s, b) // 2 END), 4294967295::UBIGINT)"""
+
 ORACLE_SQL: dict[str, str] = {
     "op2_jaccard_join": f"""
 WITH RECURSIVE w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
@@ -144,6 +154,22 @@ f AS (SELECT doc_id, i, o.n, item_id FROM o JOIN p ON o.n = p.n AND o.s = p.s),
 h AS (SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM f) GROUP BY 1),
 t AS (SELECT doc_id, count(*) AS n_items, string_agg(k, ',' ORDER BY k) AS k FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS k FROM f) GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(k, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_prefix_trie": f"""
+WITH o AS (SELECT conv_id AS c, coalesce(role, '') AS r, coalesce(text, '') AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i FROM conversations WHERE conv_id IS NOT NULL),
+n AS (SELECT c, count(*) AS n, {_CRC32} % 6 AS h FROM o GROUP BY c),
+u AS (SELECT n.c, o.i, o.r, o.t FROM n JOIN o ON o.c = n.c - n.c % 100 AND o.i < n.h UNION ALL SELECT n.c, o.i + 100, o.r, o.t FROM n JOIN o ON o.c = n.c AND o.i >= n.h),
+s AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY i) AS d, r, t FROM u),
+l AS (SELECT n.c, coalesce(max(d), 0) AS l FROM n LEFT JOIN s ON s.c = n.c GROUP BY n.c),
+w AS (SELECT c, d, length(t) AS z, string_agg(sha256(sha256(r) || t), '/') OVER (PARTITION BY c ORDER BY d) AS k FROM s),
+p AS (SELECT c, 0 AS d, 0 AS z, '' AS k FROM n UNION ALL SELECT c, d, z, sha256(k) FROM w),
+g AS (SELECT k, d, any_value(z) AS z, min(c) AS m, count(*) AS n FROM p GROUP BY k, d),
+a AS (SELECT DISTINCT x.k AS k, y.k AS up FROM p x JOIN p y ON x.c = y.c AND x.d = y.d + 1),
+kids AS (SELECT up AS k, count(*) AS n FROM a GROUP BY 1),
+below AS (SELECT DISTINCT x.k AS top, y.k AS k FROM p x JOIN p y ON x.c = y.c AND y.d >= x.d),
+sums AS (SELECT top AS k, count(*) FILTER (kids.n IS NULL) AS leaves, sum((g.n - 1) * g.z) AS saved FROM below JOIN g ON g.k = below.k LEFT JOIN kids ON kids.k = below.k GROUP BY 1),
+ends AS (SELECT p.k, string_agg(p.c::VARCHAR, ',' ORDER BY p.c) AS ids FROM p JOIN l ON l.c = p.c AND l.l = p.d GROUP BY 1)
+SELECT g.m AS conv_id, g.d::BIGINT AS depth, up.m AS parent_conv_id, g.n AS n_convs, coalesce(kids.n, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM g JOIN sums USING (k) LEFT JOIN kids ON kids.k = g.k LEFT JOIN a ON a.k = g.k LEFT JOIN g up ON up.k = a.up LEFT JOIN ends ON ends.k = g.k""",
     "op12_warc": """
 WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages), d AS (SELECT page_id, octet_length(b) AS n, sha256(b) AS h FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first, row_number() OVER (PARTITION BY h ORDER BY page_id) AS k FROM d)
