@@ -140,17 +140,6 @@ def poisson_weight(hashed: Column) -> Column:
     return weight
 
 
-def bootstrap_mean(rows: DataFrame, unit: str, value: str, replicates: int = 1000, seed: int = 5, level: float = 0.95) -> DataFrame:
-    """Mean and percentile interval, resampling whole units.  Rows are first summed by
-    unit; each unit then gets a Poisson weight in each replicate."""
-    units = rows.where(F.col(value).isNotNull()).groupBy(unit).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    draws = units.withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).withColumn("w", poisson_weight(F.xxhash64(F.col(unit), F.col("b"), F.lit(seed))))
-    means = draws.groupBy("b").agg(F.try_divide(F.sum(F.col("w") * F.col("s")), F.sum(F.col("w") * F.col("n"))).alias("m"))
-    edge = (1 - level) / 2
-    ci = means.agg(F.percentile("m", F.array(F.lit(edge), F.lit(1 - edge))).alias("ci"))
-    return units.agg((F.sum("s") / F.sum("n")).alias("mean"), F.count("*").alias("n_units")).join(ci).select("mean", "n_units", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"))
-
-
 def saturation(rows: DataFrame, conf: str, correct: str | None = None, eps: float = 1e-3, keys: tuple[str, ...] = ()) -> DataFrame:
     """How much of the confidence lies at its ends, and how fine it is, by ``keys``."""
     c = F.col(conf)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
 from gaugeworks.functions import text
-from gaugeworks.operators import calibration, ranking, sensitivity, taxonomy
+from gaugeworks.operators import ranking, resampling, sensitivity, taxonomy
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def level_gap(pairs: DataFrame, unit: str, gap: str, replicates: int = 1000) ->
     whether the interval leaves out zero."""
     x = pairs.where(F.col(gap).isNotNull() & ~F.isnan(gap))
     one = x.agg(F.count("*").alias("n"), F.avg(F.abs(gap)).alias("mean_abs_gap"), F.median(gap).alias("median_gap"))
-    out = one.join(calibration.bootstrap_mean(x, unit, gap, replicates).withColumnRenamed("mean", "mean_gap"))  # one row each
+    out = one.join(resampling.bootstrap_mean(x, unit, gap, replicates).withColumnRenamed("mean", "mean_gap"))  # one row each
     m = F.col("mean_gap")
     direction = F.when(m > 0, "overestimates").when(m < 0, "underestimates").when(m == 0, "matches").otherwise("undetermined")
     return out.drop("n_units").withColumn("direction", direction).withColumn("significant", F.coalesce((F.col("low") > 0) | (F.col("high") < 0), F.lit(False)))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
-from gaugeworks.operators.calibration import poisson_weight
+from gaugeworks.operators import resampling
 from gaugeworks.operators.guards import require_complete
 
 
@@ -117,52 +117,107 @@ def second_order(terms: DataFrame) -> DataFrame:
     return pairs.select(F.col("_p")[0].alias("a"), F.col("_p")[1].alias("b"), "s2", place.alias("rank"))
 
 
-def _terms_of(y: np.ndarray) -> dict[tuple[int, ...], float]:
-    """Variances of all effects of a complete design, one axis a factor: each effect is the
-    marginal mean less the effects inside it."""
-    effects, out = {(): y.mean(keepdims=True)}, {}
-    for size in range(1, y.ndim + 1):
-        for axes in combinations(range(y.ndim), size):
-            rest = tuple(k for k in range(y.ndim) if k not in axes)
+def _effects_of(y: np.ndarray) -> tuple[dict[tuple[int, ...], np.ndarray], dict[tuple[int, ...], np.ndarray]]:
+    """Effects of complete designs and their variances, by axes; the first axis of ``y`` tells
+    replicates apart, each other one is a factor.  An effect is the marginal mean less the
+    effects inside it."""
+    k, kept = y.ndim - 1, y.shape[:1]
+    effects, out = {(): y.mean(axis=tuple(range(1, k + 1)), keepdims=True)}, {}
+    for size in range(1, k + 1):
+        for axes in combinations(range(k), size):
+            rest = tuple(j + 1 for j in range(k) if j not in axes)
             e = y.mean(axis=rest, keepdims=True) if rest else y
             for r in range(size):
                 for inner in combinations(axes, r):
                     e = e - effects[inner]
-            effects[axes], out[axes] = e, float(np.square(e).mean())
-    return out
-
-
-def sobol_intervals(rows: DataFrame, factors: list[str], unit: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 5) -> DataFrame:
-    """(term, kind, estimate, low, high): s1, st and gap of every factor and s2 of every
-    pair, with percentile intervals over resampled units (clips).
-
-    Rows are summed by unit and cell first; a unit weighs in a replicate as often as a
-    Poisson number drawn from a hash says, the same in all its cells.  A replicate's cell
-    means are one row of bounded size (the design), decomposed on its own; a replicate that
-    leaves a cell empty is left out.  An incomplete design raises."""
-    require_complete(cell_means(rows, factors, value), *factors)
-    by = rows.where(F.col(value).isNotNull() & F.col(unit).isNotNull()).groupBy(unit, *factors).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
-    drawn = by.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(replicates)))).withColumn("_w", F.when(F.col("_b") == 0, 1).otherwise(poisson_weight(F.xxhash64(unit, "_b", F.lit(seed)))))
-    means = drawn.where("_w > 0").groupBy("_b", *factors).agg((F.sum(F.col("_w") * F.col("_s")) / F.sum(F.col("_w") * F.col("_n"))).alias("y"))
-    shape = list(rows.where(F.col(value).isNotNull()).agg(*[F.count_distinct(f) for f in factors]).first())
+            effects[axes], out[axes] = e, np.square(e).reshape(*kept, -1).mean(axis=1)
+    return effects, out
+
+
+def replicate_designs(rows: DataFrame, keys: list[str], factors: list[str], unit: str, value: str, replicates: int, seed: int) -> DataFrame:
+    """(keys, factors, y): every cell's mean as a vector over the sample and the replicates;
+    null in a replicate that draws none of the cell's units."""
+    x = rows.where(F.col(value).isNotNull() & F.col(unit).isNotNull()).select(*keys, *factors, unit, F.col(value).alias("_s"), F.lit(1.0).alias("_n"))
+    return resampling.replicate_sums(x, unit, [*keys, *factors], ["_s", "_n"], replicates, seed).select(*keys, *factors, F.zip_with("_s", "_n", F.try_divide).alias("y"))
+
+
+def _of_designs(rows: DataFrame, keys: list[str], factors: list[str], unit: str, value: str, replicates: int, seed: int, work, result: str) -> DataFrame:
+    """``work`` (levels of each factor, means by replicate and cell: an axis each) for the
+    complete design of each key; replicates without a mean in some cell are left out.  A
+    design is one group of bounded size: its cells times the replicates."""
+    designs = replicate_designs(rows, keys, factors, unit, value, replicates, seed)
+    kinds = "".join(f"`{c}` {designs.schema[c].dataType.simpleString()}, " for c in keys)
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(factors, kind="stable")
+        levels = [sorted(part[f].unique()) for f in factors]
+        if len(part) != int(np.prod([len(x) for x in levels])):
+            raise S.IncompleteDesignError(f"{len(part)} cells where {' x '.join(str(len(x)) for x in levels)} make the design")
+        y = np.array([np.array(v, float) for v in part.y]).T
+        y = y[np.isfinite(y).all(axis=1)].reshape(-1, *map(len, levels))
+        out = pd.DataFrame(work(levels, y))
+        for i, c in enumerate(keys):
+            out.insert(i, c, part[c].iloc[0])
+        return out
+
+    # without keys all cells are one group of bounded size too
+    return designs.groupBy(*keys).applyInPandas(one, kinds + result)
+
+
+def sobol_intervals(rows: DataFrame, factors: list[str], unit: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 5, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, term, kind, estimate, low, high): s1, st and gap of every factor and s2 of every
+    pair, with percentile intervals over resampled units (clips).  A replicate that leaves a
+    cell empty is left out; an incomplete design raises."""
+
+    def indices(levels: list, y: np.ndarray) -> dict:
+        _, v = _effects_of(y)
+        total = sum(v.values())
+        total = np.where(total == 0, 1.0, total)
+        out: dict = {"term": [], "kind": [], "x": []}
+
+        def add(term: str, kind: str, x: np.ndarray) -> None:
+            for c, z in zip(out, (term, kind, x.tolist()), strict=True):
+                out[c].append(z)
+
+        for k, f in enumerate(factors):
+            s1, st = v[(k,)] / total, sum(x for axes, x in v.items() if k in axes) / total
+            for kind, x in (("s1", s1), ("st", st), ("gap", st - s1)):
+                add(f, kind, x)
+        for axes, x in v.items():
+            if len(axes) == 2:
+                add(":".join(factors[k] for k in axes), "s2", x / total)
+        return out
+
+    found = _of_designs(rows, list(keys), factors, unit, value, replicates, seed, indices, "term string, kind string, x array<double>")
+    return found.select(*keys, "term", "kind", resampling.interval(F.col("x"), level).alias("i")).select(*keys, "term", "kind", "i.*")
+
+
+def effect_intervals(rows: DataFrame, factors: dict[str, bool], unit: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 5, keys: tuple[str, ...] = (), least_left: int = 4, least_share: float = 0.05) -> DataFrame:
+    """Main effects of a complete design with percentile intervals over resampled units:
+    (keys, factor, effect, low, high, significant, rank, survives).
+
+    An effect is the mean at the harshest level less that at the mildest, over all others;
+    ``factors`` maps a factor to whether more of it is harsher.  It is significant if its
+    interval leaves out zero.  Factors are ranked by size (ties: in the order given); the
+    weakest ones below ``least_share`` of the largest don't survive, down to ``least_left``."""
     names = list(factors)
 
-    def decompose(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(names, kind="stable")
-        out = []
-        if len(part) == int(np.prod(shape)):
-            v = _terms_of(part.y.to_numpy().reshape(shape))
-            total = sum(v.values()) or 1.0
-            for k, f in enumerate(names):
-                s1, st = v[(k,)] / total, sum(x for axes, x in v.items() if k in axes) / total
-                out += [(f, "s1", s1), (f, "st", st), (f, "gap", st - s1)]
-            out += [(":".join(names[k] for k in axes), "s2", x / total) for axes, x in v.items() if len(axes) == 2]
-        return pd.DataFrame([(int(part._b.iloc[0]), *o) for o in out], columns=["b", "term", "kind", "x"])
+    def effects(levels: list, y: np.ndarray) -> dict:
+        ends = []
+        for k, f in enumerate(names):
+            m = y.mean(axis=tuple(j + 1 for j in range(len(names)) if j != k))
+            ends.append(m[:, -1] - m[:, 0] if factors[f] else m[:, 0] - m[:, -1])
+        size = [abs(float(e[0])) for e in ends]
+        order = sorted(range(len(names)), key=lambda k: (-size[k], k))
+        left = list(order)
+        while len(left) > least_left and size[left[-1]] < least_share * (size[order[0]] or 1.0):
+            left.pop()
+        return {"factor": [names[k] for k in order], "x": [ends[k].tolist() for k in order], "rank": range(1, len(order) + 1), "survives": [k in left for k in order]}
 
-    found = means.groupBy("_b").applyInPandas(decompose, "b int, term string, kind string, x double")
-    edge = (1 - level) / 2
-    again = F.when(F.col("b") > 0, F.col("x"))
-    return found.groupBy("term", "kind").agg(F.max(F.when(F.col("b") == 0, F.col("x"))).alias("estimate"), F.percentile(again, F.lit(edge)).alias("low"), F.percentile(again, F.lit(1 - edge)).alias("high"))
+    found = _of_designs(rows, list(keys), names, unit, value, replicates, seed, effects, "factor string, x array<double>, rank int, survives boolean")
+    out = found.select(*keys, "factor", "rank", "survives", resampling.interval(F.col("x"), level).alias("i"))
+    low, high = F.col("i.low"), F.col("i.high")
+    return out.select(*keys, "factor", F.col("i.estimate").alias("effect"), low.alias("low"), high.alias("high"), F.coalesce((low > 0) | (high < 0), F.lit(False)).alias("significant"), "rank", "survives")
 
 
 def gap_intervals(indices: DataFrame, least: float = 0.0) -> DataFrame:
@@ -174,7 +229,7 @@ def gap_intervals(indices: DataFrame, least: float = 0.0) -> DataFrame:
     return out.withColumn("significant", F.coalesce(F.col("low") > least, F.lit(False)))
 
 
-def preregistered(intervals: DataFrame, pair: tuple[str, str], least: float = 0.02) -> DataFrame:
+def preregistered(intervals: DataFrame, pair: tuple[str, str], least: float = 0.02, keys: tuple[str, ...] = ()) -> DataFrame:
     """The sealed rule on ``sobol_intervals``: CONFIRMED if the intervals of both factors'
     gaps lie above the threshold and no other pair has a larger s2; else NOT CONFIRMED, and
     ``power_limited`` where only the width of an interval stands against it.  UNRESOLVED
@@ -182,13 +237,13 @@ def preregistered(intervals: DataFrame, pair: tuple[str, str], least: float = 0.
     mine = F.col("kind").eqNullSafe("gap") & F.col("term").isin(*pair)
     own = F.col("term").isin(":".join(pair), ":".join(reversed(pair)))
     s2 = F.when(F.col("kind") == "s2", F.col("estimate"))
-    out = intervals.agg(
+    out = intervals.groupBy(*keys).agg(
         F.count_if(mine).alias("n"), F.count_if(mine & (F.col("low") > least)).alias("n_clear"), F.count_if(mine & (F.col("estimate") > least)).alias("n_above"),
         F.min(F.when(mine, F.col("estimate"))).alias("least_gap"), F.max(F.when(own, s2)).alias("_own"), F.max(s2).alias("_top"),
     )
     clear, top = F.col("n_clear") == 2, F.coalesce(F.col("_own") >= F.col("_top"), F.lit(False))
     verdict = F.when(F.col("n") < 2, "UNRESOLVED").when(clear & top, "CONFIRMED").otherwise("NOT CONFIRMED")
-    return out.select("least_gap", clear.alias("gap_criterion"), top.alias("pair_criterion"), (~clear & (F.col("n") == 2) & (F.col("n_above") > 0)).alias("power_limited"), verdict.alias("verdict"))
+    return out.select(*keys, "least_gap", clear.alias("gap_criterion"), top.alias("pair_criterion"), (~clear & (F.col("n") == 2) & (F.col("n_above") > 0)).alias("power_limited"), verdict.alias("verdict"))
 
 
 def severity(conditions: DataFrame, harsher: dict[str, bool], mildest_codec: str = "none") -> DataFrame:

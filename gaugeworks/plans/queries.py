@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
 from gaugeworks.functions import numeric, signal, text
-from gaugeworks.operators import calibration, compare, edits, estimands, gate, profiles, ranking, rooms, sensitivity, taxonomy, turns
+from gaugeworks.operators import calibration, compare, edits, estimands, gate, profiles, ranking, resampling, rooms, sensitivity, taxonomy, turns
 from gaugeworks.plans import views
 from gaugeworks.plans.views import C_SQL, G_SQL, LOG_SQL, M_SQL, SPACE, measured_log, measurements, read
 
@@ -416,12 +416,14 @@ def feature_calibration(spark, d):
 @query()
 def bootstrap_wer(spark, d):
     """Mean error with a percentile interval over resampled clips."""
-    return calibration.bootstrap_mean(S.usable(measurements(spark, d)), "clip_id", "wer")
+    return resampling.bootstrap_mean(S.usable(measurements(spark, d)), "clip_id", "wer")
 
 
 # ----------------------------------------------------------------------- sensitivity
 
 _FACTORS = ["rt60", "snr_db", "codec", "mic_rolloff"]
+#: Whether more of a factor is harsher; codecs in the order of their names.
+_HARSHER = {"rt60": True, "snr_db": False, "codec": False, "mic_rolloff": True}
 
 
 def cells(spark, d):
@@ -503,19 +505,26 @@ def second_order(spark, d):
 
 
 def intervals(spark, d):
-    return sensitivity.sobol_intervals(S.usable(measurements(spark, d)).where("model = 'arm_a'"), _FACTORS, "clip_id", "wer")
+    return sensitivity.sobol_intervals(S.usable(measurements(spark, d)), _FACTORS, "clip_id", "wer", keys=("model",))
 
 
 @query()
 def sobol_intervals(spark, d):
     """Indices of every factor and pair with intervals over resampled clips."""
-    return intervals(spark, d).select("term", "kind", *r9("estimate", "low", "high"))
+    return intervals(spark, d).select("model", "term", "kind", *r9("estimate", "low", "high"))
+
+
+@query()
+def effect_intervals(spark, d):
+    """Main effects of every model with intervals over resampled clips, and which survive."""
+    out = sensitivity.effect_intervals(S.usable(measurements(spark, d)), _HARSHER, "clip_id", "wer", keys=("model",))
+    return out.select("model", "factor", *r9("effect", "low", "high"), "significant", "rank", "survives")
 
 
 @query()
 def preregistered_verdict(spark, d):
     """The sealed rule on the intervals of the gaps and the rank of the pair."""
-    return sensitivity.preregistered(intervals(spark, d), ("rt60", "snr_db")).select(*r9("least_gap"), "gap_criterion", "pair_criterion", "power_limited", "verdict")
+    return sensitivity.preregistered(intervals(spark, d), ("rt60", "snr_db"), keys=("model",)).select("model", *r9("least_gap"), "gap_criterion", "pair_criterion", "power_limited", "verdict")
 
 
 # ------------------------------------------------------------------------------ turns
@@ -776,6 +785,15 @@ def separation(spark, d):
     return ranking.auroc(x, ["model", "score_name"], "s", F.col("wer") < S.WER_HI).select("model", "score_name", "n_good", "n_bad", *r9("auroc"))
 
 
+@query()
+def separation_intervals(spark, d):
+    """Areas of the confidence and of its control with intervals over resampled clips, and
+    whether their paired difference leaves out zero."""
+    m = S.usable(measurements(spark, d)).where("mean_conf is not null").withColumn("n_words", S.n_hyp().cast("double"))
+    out = resampling.separation_intervals(m, ["model"], ["mean_conf", "n_words"], F.col("wer") < S.WER_HI, "clip_id", "mean_conf")
+    return out.select("model", "score_name", "n_good", "n_bad", *r9("auroc", "low", "high", "delta", "delta_low", "delta_high"), "beats", "loses", "rank")
+
+
 @query(f"WITH {G_SQL} SELECT model, count(*) FILTER (mean_conf IS NOT NULL AND wer_spoke >= 0.3 AND conf_pct >= 0.6) AS n_macro, count(*) FILTER (mean_conf IS NOT NULL AND wer_micro_spoke >= 0.3 AND conf_pct >= 0.6) AS n_micro FROM g GROUP BY 1")
 def estimand_probe(spark, d):
     """Dead zones under two estimands of the same error."""

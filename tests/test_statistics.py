@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
-from gaugeworks.operators import active, calibration, ranking, sensitivity
+from gaugeworks.operators import active, calibration, ranking, resampling, sensitivity
 
 
 def surface(spark, rng, shape, f=None):
@@ -86,7 +86,7 @@ def test_bins_close_at_one_and_bootstrap_holds_the_mean(spark):
     df = spark.createDataFrame([(0.0, 1), (0.9999, 1), (1.0, 0), (0.5, 1)], "c double, y int").withColumn("k", F.lit(1))
     assert sorted((r.bin, r.n) for r in calibration.reliability(df, ["k"], "c", "y").collect()) == [(0, 1), (7, 1), (14, 2)]
     rows = spark.range(2000).select((F.col("id") % 200).alias("u"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 1000).alias("v"))
-    b = calibration.bootstrap_mean(rows, "u", "v", 300)
+    b = resampling.bootstrap_mean(rows, "u", "v", 300)
     r = b.first()
     assert r.low < r.mean < r.high and 0.01 < r.high - r.low < 0.06 and r.n_units == 200 and b.first() == r
 

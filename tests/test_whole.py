@@ -89,10 +89,10 @@ def test_many_assets_are_searched_whole(spark, monkeypatch):
 
 
 def test_queries_run_with_the_operators_defaults(spark, monkeypatch):
-    from gaugeworks.operators import active, calibration
+    from gaugeworks.operators import active, resampling
 
     asked = {}
-    monkeypatch.setattr(calibration, "bootstrap_mean", lambda rows, *a, **k: asked.setdefault("replicates", a[2:] or k))
+    monkeypatch.setattr(resampling, "bootstrap_mean", lambda rows, *a, **k: asked.setdefault("replicates", a[2:] or k))
     QUERIES["bootstrap_wer"](spark, "/root/testdata/sf0.001")
     real = active.curves
     monkeypatch.setattr(active, "curves", lambda *a, **k: asked.setdefault("curves", k) and None or real(*a, **k))
