@@ -8,9 +8,15 @@ costs one step a character however large the lexicon is, and misspelled entries
 found with the number of edits.  Words that clean documents use, though they lie near an
 entry, are learned as exceptions.
 
+A misspelled hit tells less than an exact one, and how much less is measured for each
+entry: by the words near it that toxic documents of the sample have, and those that single
+clean ones have.  An entry that clean words crowd around counts when it is spelt right only.
+
 Each hit is judged in a window of words around it: inside quotation marks or beside a
 word of reporting it counts as a quotation, else as abuse.  A logistic model over the
-evidence of abusive and quoted, exact and misspelled hits gives the score.
+evidence of abusive and quoted, exact and misspelled hits gives the score.  Its weights are
+fitted on documents that their entries and exceptions weren't learned from: each half of the
+sample is read with what the other half has taught.
 
 Scoring is one scan without a shuffle.  The lexicon and the model are the only things
 sent to workers; an entry stands for several documents of the sample, so the sample's
@@ -142,15 +148,22 @@ class Lexicon:
     odds: list[float]  # log odds that an incidence of an entry is in a toxic document
     exceptions: frozenset[str] = frozenset()  # words near an entry that clean documents use
     weights: np.ndarray = field(default_factory=lambda: PRIOR.copy())
+    near: list[float] | None = None  # what a misspelled hit of each entry tells
+
+    def misspelled(self, entry: int) -> float:
+        """The evidence of a misspelled hit; 0 where such hits don't count."""
+        return self.odds[entry] * MISSPELLED if self.near is None else self.near[entry]
 
 
 #: Evidence (log odds summed over hits, a misspelled one counting less) of abusive and of
 #: quoted hits, the strongest abusive hit's, and how many hits are misspelled (reported,
-#: not weighed); where their weights and the constant start.
+#: not weighed: WEIGHED come first); where their weights and the constant start.
 FEATURES = ("abusive", "quoted", "strongest", "misspelled")
+WEIGHED = 3
 PRIOR = np.array([0.5, 0.1, 0.5, 0.0, -3.0])
-#: Where the weight of evidence levels off; a misspelled hit counts for so much of an exact one.
-LEVEL, MISSPELLED = 20.0, 0.75
+#: Where the weight of evidence levels off; a misspelled hit counts for so much of an exact
+#: one at most; the share of an entry's toxic documents that are taken to misspell it besides.
+LEVEL, MISSPELLED, SLIPS = 20.0, 0.75, 0.05
 
 
 def weighed(evidence: np.ndarray) -> np.ndarray:
@@ -163,6 +176,7 @@ class Scanner:
 
     def __init__(self, lexicon: Lexicon):
         self.automaton, self.odds, self.exceptions = Automaton(lexicon.entries), lexicon.odds, lexicon.exceptions
+        self.near = [lexicon.misspelled(k) for k in range(len(lexicon.odds))]
         self.hashes, self.codes = np.zeros(0, np.uint64), np.zeros(0, np.int32)
 
     def verdicts(self, hashes: np.ndarray, first: np.ndarray, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -180,9 +194,9 @@ class Scanner:
         return self.codes[at]
 
     def match(self, word: str) -> int:
-        """As the automaton's, without the exceptions."""
+        """As the automaton's, without the exceptions and misspelled hits that tell nothing."""
         found = self.automaton.match(word)
-        return -1 if found >= 0 and found & 3 and word in self.exceptions else found
+        return -1 if found >= 0 and found & 3 and (word in self.exceptions or self.near[found >> 2] <= 0) else found
 
     def features(self, column: pa.Array) -> np.ndarray:
         """FEATURES of each text."""
@@ -201,7 +215,7 @@ class Scanner:
                 left, right = max(int(bounds[d]), k - WINDOW), min(int(bounds[d + 1]), k + WINDOW + 1) - 1
                 quoted = self.is_quoted(raw[starts[left] : starts[k]], raw[starts[k] : ends[k]], raw[ends[k] : ends[right]])
                 wrong = int(code[k] & 3 > 0)
-                odds = self.odds[code[k] >> 2] * (MISSPELLED if wrong else 1)
+                odds = (self.near if wrong else self.odds)[code[k] >> 2]
                 out[lo + d, quoted] += odds
                 out[lo + d, 3] += wrong
                 if not quoted:
@@ -225,7 +239,15 @@ class Scanner:
 
 def scanner_of(lexicon: Lexicon) -> Scanner:
     """The worker's scanner for a lexicon."""
-    return worker_kept(("toxicity", tuple(lexicon.entries), tuple(lexicon.odds), lexicon.exceptions), lambda: Scanner(lexicon))
+    return worker_kept(("toxicity", tuple(lexicon.entries), tuple(lexicon.odds), tuple(lexicon.near or ()), lexicon.exceptions), lambda: Scanner(lexicon))
+
+
+def _words(text: str = "text"):
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
+
+
+#: A text's smallest hash of five words in a row: equal in copies and most near copies.
+_GRAM = "array_min(transform(sequence(1, greatest(size(w) - 4, 1)), i -> xxhash64(slice(w, i, 5))))"
 
 
 def learn_entries(sample: DataFrame) -> Lexicon:
@@ -238,9 +260,7 @@ def learn_entries(sample: DataFrame) -> Lexicon:
     is lengthened while nearly all incidences stay; an entry that ends most of them is
     a word, any other a stem.
     """
-    words = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    grams = F.expr("array_min(transform(sequence(1, greatest(size(w) - 4, 1)), i -> xxhash64(slice(w, i, 5))))")
-    docs = sample.select("y", words.alias("w")).where("size(w) > 0").withColumn("gram", grams).dropDuplicates(["gram"])
+    docs = sample.select("y", _words().alias("w")).where("size(w) > 0").withColumn("gram", F.expr(_GRAM)).dropDuplicates(["gram"])
     n_clean, n_toxic = docs.agg(F.sum(1 - F.col("y")), F.sum("y")).first()
     if not n_clean or not n_toxic:
         return Lexicon([], [])
@@ -282,19 +302,38 @@ def learn_entries(sample: DataFrame) -> Lexicon:
     return out
 
 
-def near_words(sample: DataFrame, lexicon: Lexicon) -> frozenset[str]:
-    """Words of the sample's clean documents that lie near an entry without being one."""
+def learn_near(sample: DataFrame, lexicon: Lexicon) -> None:
+    """Adds to the lexicon what misspelled hits tell: the words of the sample's clean
+    documents that lie near an entry without being one, as exceptions, and for each entry the
+    log odds that another word near it speaks of a toxic document.
+
+    Such words of toxic documents are counted, and SLIPS of the entry's own documents added;
+    of clean documents, the words near an entry that only one of them has tell how many
+    documents bring one that is not yet an exception (Good and Turing).  A misspelled hit is
+    worth MISSPELLED of an exact one at most."""
     shared = sample.sparkSession.sparkContext.broadcast(lexicon)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = scanner_of(shared.value)
+        automaton = scanner_of(shared.value).automaton
         for batch in batches:
-            words = {w.strip(STRIP).lower() for t in batch.column(0).to_pylist() for w in set(t.split())}
-            near = [w for w in words if (m := scanner.match(w)) >= 0 and m & 3]
-            yield pa.RecordBatch.from_pydict({"word": pa.array(near, pa.string())})
-
-    found = sample.where("y = 0").select("text").mapInArrow(work, "word string").distinct()
-    return frozenset(r.word for r in found.collect())
+            out: list[list] = [[], [], []]
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found = {(m >> 2, w if m & 3 else None) for w in {w.strip(STRIP).lower() for w in set(text.split())} if (m := automaton.match(w)) >= 0}
+                for k, w in found:
+                    for column, value in zip(out, (k, y, w), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.string()), strict=True)], ["entry", "y", "word"])
+
+    # one row for each entry and each word of the sample that lies near it: bounded as the sample
+    found = sample.select("text", "y").mapInArrow(work, "entry int, y int, word string").groupBy("entry", "word").agg(F.count_if(F.col("y") == 1).alias("toxic"), F.count_if(F.col("y") == 0).alias("clean")).collect()
+    lexicon.exceptions = frozenset(r.word for r in found if r.word is not None and r.clean)
+    size = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    slips, strays = np.zeros(len(lexicon.odds)), np.zeros(len(lexicon.odds))
+    for r in found:
+        slips[r.entry] += SLIPS * r.toxic if r.word is None else r.toxic * (r.clean == 0)
+        strays[r.entry] += r.word is not None and r.clean == 1
+    tells = np.log(np.maximum(slips, SLIPS) / size[1]) - np.log((strays + 0.5) / size[0])
+    lexicon.near = np.minimum(np.array(lexicon.odds) * MISSPELLED, tells).tolist()
 
 
 def score_features(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
@@ -311,18 +350,37 @@ def score_features(docs: DataFrame, lexicon: Lexicon, id_col: str, text_col: str
     return docs.select(text_col, *keep).mapInArrow(work, f"{kinds}, score double, " + ", ".join(f"{f} double" for f in FEATURES))
 
 
+def learn(sample: DataFrame) -> Lexicon:
+    """Entries and what their misspellings tell, with weights as they start."""
+    lexicon = learn_entries(sample)
+    if lexicon.entries:
+        learn_near(sample, lexicon)
+    return lexicon
+
+
 def train(sample: DataFrame) -> Lexicon:
     """Learn entries and weights from a bounded sample (doc_id, text, y).  Without
-    documents of both labels the lexicon is empty and every text scores alike."""
+    documents of both labels the lexicon is empty and every text scores alike.
+
+    The weights are fitted on evidence found with the other half's entries; halves are told
+    apart by the texts' smallest n-gram, so near copies mostly share one.  Where a half has
+    no entries it adds no evidence to the fit."""
     tune(sample.sparkSession)
-    lexicon = learn_entries(sample)
-    if lexicon.entries:
-        lexicon.exceptions = near_words(sample, lexicon)
-    rows = score_features(sample, lexicon, "doc_id", "text", ["y"]).select("y", *FEATURES).collect()
-    if rows and lexicon.entries:
+    half = F.when(F.size("w") > 0, F.pmod(F.expr(_GRAM), F.lit(2))).otherwise(0)
+    sample = persist(sample.withColumn("w", _words()).withColumn("half", half).drop("w"), "toxicity-sample")
+    lexicon = learn(sample.drop("half"))
+    if not lexicon.entries:
+        return lexicon
+    rows = []
+    for taught in (0, 1):
+        other = learn(sample.where(F.col("half") == taught).drop("half"))
+        if other.entries:
+            rows += score_features(sample.where(F.col("half") != taught), other, "doc_id", "text", ["y"]).select("y", *FEATURES[:WEIGHED]).collect()
+    if rows:
         data = np.array(rows, float)
-        lexicon.weights = fit_logistic(weighed(data[:, 1:]), data[:, 0], PRIOR, 0.2)
-        lexicon.weights[:-1] = np.maximum(lexicon.weights[:-1], 0)  # a hit never speaks for a text
+        fitted = fit_logistic(weighed(data[:, 1:]), data[:, 0], np.append(PRIOR[:WEIGHED], PRIOR[-1]), 0.2, balanced=False)
+        fitted[:-1] = np.maximum(fitted[:-1], 0)  # a hit never speaks for a text
+        lexicon.weights = np.concatenate([fitted[:-1], np.zeros(len(FEATURES) - WEIGHED), fitted[-1:]])
     return lexicon
 
 

@@ -47,12 +47,13 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float, rounds: int = 40) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float, rounds: int = 40, balanced: bool = True) -> np.ndarray:
     """Newton's method for logistic regression; the weights are drawn to ``prior``
-    (the last one is the constant's) with ``strength``.  Classes weigh the same."""
+    (the last one is the constant's) with ``strength``.  Classes weigh the same, unless
+    ``balanced`` is false: then each row does."""
     x = np.column_stack([x, np.ones(len(x))])
     w = prior.astype(float).copy()
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y) if balanced else np.ones(len(y))
 
     def loss(w: np.ndarray) -> float:
         z = x @ w

@@ -67,6 +67,27 @@ def test_near_words_of_clean_documents_are_exceptions(spark):
     assert {r.doc_id: r.score >= 0.7 for r in toxicity.score_documents(docs, lexicon).collect()} == {1: True, 2: False, 3: True, 4: False}
 
 
+def test_one_misspelling_of_a_chance_entry_is_not_enough(spark):
+    """An entry that clean words crowd around counts when it is spelt right only."""
+    rng = np.random.default_rng(8)
+    syllables = ["ach", "keit", "lich", "ung", "bom", "ver"]
+    crowd = lambda n: [f"achlich{''.join(rng.choice(list('abcdefghijklmnopqrstuvwyzßäöü'), 2))}" for _ in range(n)]
+    plain = lambda: ["".join(rng.choice(syllables, 3)) for _ in range(25)]
+    rows = [(k, " ".join([*plain(), *crowd(3), *plain()]), 0) for k in range(300)]
+    rows += [(1000 + k, " ".join([*plain(), *(["achlichxx"] if k % 2 else []), "disgusting" if k % 3 else f"{'abcefghijklmnopqrstu'[k // 3]}isgusting", *plain()]), 1) for k in range(60)]
+    lexicon = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    near = dict(zip((e for e, _ in lexicon.entries), lexicon.near, strict=True))
+    assert near.get("achlichxx", -1) <= 0 < near["disgusting"]
+    docs = spark.createDataFrame([(1, "so achlichxk it is"), (2, "so disgustinng it is dizgusting"), (3, "so disgusting it is"), (4, "nothing")], "doc_id long, text string")
+    assert {r.doc_id: r.score >= 0.7 for r in toxicity.score_documents(docs, lexicon).collect()} == {1: False, 2: True, 3: True, 4: False}
+
+
+def test_held_out_predictions_of_toxicity(spark):
+    pairs = measured(spark, op1_toxicity, "toxic", 3, 1)
+    hits = sum(p and y for _, y, p in pairs)
+    assert hits >= 0.9 * sum(p for *_, p in pairs) and hits >= 0.7 * sum(y for _, y, _ in pairs)
+
+
 def measured(spark, query, label, modulus, remainder):
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{D}/labels.parquet").collect()}
     rows = query(spark, D).collect()
@@ -135,7 +156,9 @@ def brute_evidence(lexicon, text):
         before, after = words[max(0, k - toxicity.WINDOW) : k], words[k + 1 : k + toxicity.WINDOW + 1]
         marks = lambda parts: any(q in p for p in parts for q in toxicity.QUOTES)
         quoted = any(bare(w) in toxicity.REPORTING for w in [*before, *raw[:core].split()]) or (marks([*before, raw[:core]]) and marks([raw[core:], *after]))
-        odds = lexicon.odds[best[1]] * (toxicity.MISSPELLED if best[0] else 1)
+        odds = lexicon.misspelled(best[1]) if best[0] else lexicon.odds[best[1]]
+        if odds <= 0:
+            continue
         out[quoted] += odds
         out[3] += best[0] > 0
         if not quoted:
