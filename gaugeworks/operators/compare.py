@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -11,6 +13,8 @@ from gaugeworks import schema as S
 
 #: Assets that are broadcast at most; values in a range of those searched in order.
 MOST_ASSETS, RANGE_ROWS = 10_000, 10_000
+#: Groups whose items are compared together at most: bits of a mask.
+MOST_ARMS = 62
 
 
 def arm_intersection(rows: DataFrame, models: list[str] | None = None, min_common_clips: int = 3) -> DataFrame:
@@ -61,16 +65,55 @@ def divergence(regions: DataFrame) -> DataFrame:
     return out.drop("_n")
 
 
+def _masks(flags: DataFrame, group: str, item: str) -> tuple[list, DataFrame]:
+    """(groups in order, (mask, n)): how many items exactly those groups have whose bits are
+    set.  One aggregate by item and one by mask: items are never gathered nor joined."""
+    items = flags.where(F.col(group).isNotNull())
+    names = sorted(r[0] for r in items.select(group).distinct().limit(MOST_ARMS + 1).collect())
+    if len(names) > MOST_ARMS:
+        raise S.MeasurementError(f"more than {MOST_ARMS} groups can't be compared at once")
+    bit = F.lit(0)
+    for k, name in enumerate(names):
+        bit = F.when(F.col(group) == F.lit(name), F.lit(1 << k)).otherwise(bit)
+    by = items.groupBy(F.col(item).alias("i")).agg(F.bit_or(bit.cast("long")).alias("mask"))
+    return names, by.groupBy("mask").agg(F.count("*").alias("n"))
+
+
 def set_overlap(flags: DataFrame, group: str, item: str) -> DataFrame:
     """Pairs of groups with the sizes of intersection and union of their items, and the
-    Jaccard index (NULL for an empty union).  Items are matched by a join, never gathered."""
-    items = flags.select(F.col(group).alias("g"), F.col(item).alias("i")).distinct()
-    n = items.groupBy("g").agg(F.count("*").alias("n"))
-    both = items.join(items.select(F.col("g").alias("h"), "i"), "i").where("g < h").groupBy("g", "h").agg(F.count("*").alias("n_both"))
-    names = n.select(F.col("g"), F.col("n").alias("n_a")).join(n.select(F.col("g").alias("h"), F.col("n").alias("n_b")), F.col("g") < F.col("h"))
-    out = names.join(both, ["g", "h"], "left").withColumn("n_both", F.coalesce("n_both", F.lit(0)))
-    union = F.col("n_a") + F.col("n_b") - F.col("n_both")
-    return out.select(F.col("g").alias("a"), F.col("h").alias("b"), "n_a", "n_b", "n_both", union.alias("n_either"), F.try_divide(F.col("n_both").cast("double"), union).alias("jaccard"))
+    Jaccard index (NULL for an empty union).  A null item is an item; null groups are left out."""
+    names, masks = _masks(flags, group, item)
+    kind = flags.schema[group].dataType.simpleString()
+    has = lambda k: F.col("mask").bitwiseAND(F.lit(1 << k)) != 0
+    n = lambda f: F.coalesce(F.sum(F.when(f, F.col("n"))), F.lit(0))
+    pairs = [(j, k) for j in range(len(names)) for k in range(j + 1, len(names))]
+    if not pairs:
+        return flags.sparkSession.createDataFrame([], f"a {kind}, b {kind}, n_a bigint, n_b bigint, n_both bigint, n_either bigint, jaccard double")
+    one = masks.agg(*[n(has(k)).alias(f"n{k}") for k in range(len(names))], *[n(has(j) & has(k)).alias(f"n{j}_{k}") for j, k in pairs])
+    rows = F.explode(F.array(*[F.struct(F.lit(names[j]).alias("a"), F.lit(names[k]).alias("b"), F.col(f"n{j}").alias("n_a"), F.col(f"n{k}").alias("n_b"), F.col(f"n{j}_{k}").alias("n_both")) for j, k in pairs]))
+    out = one.select(rows.alias("p")).select("p.*").withColumn("n_either", F.col("n_a") + F.col("n_b") - F.col("n_both"))
+    return out.withColumn("jaccard", F.try_divide(F.col("n_both").cast("double"), F.col("n_either")))
+
+
+def arm_overlap(flags: DataFrame, group: str, item: str) -> DataFrame:
+    """The groups' items all together, one row a group: (group, n, n_only: items of no other
+    group, n_shared: of this and some other, n_all: of every group, n_any, jaccard: n_all / n_any)."""
+    names, masks = _masks(flags, group, item)
+    kind = flags.schema[group].dataType.simpleString()
+    if not names:
+        return flags.sparkSession.createDataFrame([], f"`{group}` {kind}, n bigint, n_only bigint, n_shared bigint, n_all bigint, n_any bigint, jaccard double")
+    n = lambda f: F.coalesce(F.sum(F.when(f, F.col("n"))), F.lit(0))
+    mask = F.col("mask")
+    own = [F.struct(F.lit(name).alias(group), n(mask.bitwiseAND(F.lit(1 << k)) != 0).alias("n"), n(mask == (1 << k)).alias("n_only")) for k, name in enumerate(names)]
+    one = masks.agg(F.array(*own).alias("own"), n(mask == (1 << len(names)) - 1).alias("n_all"), n(F.lit(True)).alias("n_any"))
+    out = one.select(F.explode("own").alias("o"), "n_all", "n_any").select("o.*", "n_all", "n_any")
+    return out.select(group, "n", "n_only", (F.col("n") - F.col("n_only")).alias("n_shared"), "n_all", "n_any", F.try_divide(F.col("n_all").cast("double"), F.col("n_any")).alias("jaccard"))
+
+
+def only_in(flags: DataFrame, group: str, item: str) -> DataFrame:
+    """(group, item): the items that one group only has."""
+    by = flags.where(F.col(group).isNotNull()).groupBy(item).agg(F.min(group).alias(group), F.max(group).alias("_last"))
+    return by.where(F.col(group) == F.col("_last")).select(group, item)
 
 
 def agreement(pairs: DataFrame, predicted: str, actual: str) -> DataFrame:
@@ -82,26 +125,49 @@ def agreement(pairs: DataFrame, predicted: str, actual: str) -> DataFrame:
 
 def least_partners(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For sorted values the place in ``b`` of the partner of each of ``a`` (no longer than
-    ``b``), of least total distance.  Partners keep the order, so the i-th takes place i + s
-    with s never falling: one row of totals by s, one bit a cell to walk back."""
-    n, spare = len(a), len(b) - len(a)
-    out, total, fresh = np.zeros(n, np.int64), np.zeros(spare + 1), []
-    for i in range(n):
-        best = np.minimum.accumulate(total)
-        fresh.append(np.packbits(np.append(True, best[1:] < best[:-1])))
-        total = best + np.abs(a[i] - b[i : i + spare + 1])
-    s = int(np.argmin(total))
-    for i in reversed(range(n)):
-        out[i] = i + s
-        s = int(np.flatnonzero(np.unpackbits(fresh[i][: s // 8 + 1], count=s + 1))[-1])
-    return out
+    ``b``), of least total distance; partners keep the order.
+
+    One pass over all values in order, which keeps what a change of mind would cost.  One of
+    ``a`` takes the cheapest place on offer: the last free one, or one whose taker would
+    rather go back; one of ``b`` takes over the value that gains most by moving up to it.
+    Offers wait in two heaps by their cost, so work is n log n and memory is linear in
+    the values.  Only which places are used matters: in order, they are the partners."""
+    used = np.zeros(len(b), bool)
+    order = np.argsort(np.concatenate([b, a]), kind="stable")
+    free: list[int] = []  # places passed and not used: the last is the nearest
+    back: list[tuple[int, float, int]] = []  # (values left without a place, cost, place used then; -1: none)
+    moves: list[tuple[int, float, int]] = []  # (the same, cost, place freed then)
+    for k in order.tolist():
+        if k < len(b):
+            y = float(b[k])
+            if moves and (moves[0][0], moves[0][1] + y) < (0, 0.0):
+                lacking, cost, place = heapq.heappop(moves)
+                used[k] = True
+                if place >= 0:
+                    used[place] = False
+                heapq.heappush(back, (-lacking, -cost - 2 * y, place))
+            else:
+                free.append(k)
+            continue
+        x = float(a[k - len(b)])
+        if free and (not back or (0, -float(b[free[-1]])) <= back[0][:2]):
+            place = free.pop()
+            lacking, cost = 0, -float(b[place])
+        elif back:
+            lacking, cost, place = heapq.heappop(back)
+        else:  # it waits for a place to come
+            lacking, cost, place = 1, 0.0, -1
+        if place >= 0:
+            used[place] = True
+        heapq.heappush(moves, (-lacking, -cost - 2 * x, place))
+    return np.flatnonzero(used)
 
 
 def nearest_assignment(left: DataFrame, right: DataFrame, keys: list[str], value: str, label: str, tolerance: float) -> DataFrame:
     """One-to-one pairs within equal keys of least total distance, as many as the smaller
     side has rows.  Pairs wider apart than the tolerance are reported as such, what is left
-    over (and what has no value or key) as unmatched.  A group is held by one worker; its
-    work is the smaller side times the difference of the sides."""
+    over (and what has no value or key) as unmatched.  A group is held by one worker, in
+    memory linear in its rows, and takes n log n steps."""
     side = lambda x, n: x.select(*keys, F.col(label).alias(n), F.col(value).cast("double").alias(f"value_{n}"))
     a, b = side(left, "a"), side(right, "b")
     kinds = {f.name: f.dataType.simpleString() for f in [*a.schema, *b.schema]}

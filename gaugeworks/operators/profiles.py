@@ -53,20 +53,35 @@ def benign(rows: DataFrame, harsher: Mapping[str, bool], most: int = 0, mildest_
 
 
 def sweep_sets(swept: DataFrame, wer_hi: float = S.WER_HI, conf_pct_hi: float = S.CONF_PCT_HI, wer_grid: list[float] | None = None, conf_grid: list[float] | None = None) -> DataFrame:
-    """What a threshold sweep says of the published point, by model: conditions ever and
-    always flagged, those at the point and their mean persistence, least and most flags one
-    step of the grid around it, the fold range, and a verdict (stable: at most a doubling
-    and persistence of 0.75; fragile: a fourfold range, or persistence below 0.4)."""
-    grids = {"wer_hi": wer_grid or taxonomy.WER_GRID, "conf_pct_hi": conf_grid or taxonomy.CONF_GRID}
-    at = {c: grids[c].index(v) for c, v in (("wer_hi", wer_hi), ("conf_pct_hi", conf_pct_hi))}
-    there = (F.col("wer_hi") == grids["wer_hi"][at["wer_hi"]]) & (F.col("conf_pct_hi") == grids["conf_pct_hi"][at["conf_pct_hi"]])
-    near = F.lit(True)
-    for c, k in at.items():
-        near &= F.col(c).isin(grids[c][max(k - 1, 0) : k + 2])
+    """What a threshold sweep (``taxonomy.sweep``) says of the published point, by model:
+    conditions ever and always flagged, those at the point and their mean persistence, least
+    and most flags one step of the grid around it, the fold range, and a verdict (stable: at
+    most a doubling and persistence of 0.75; fragile: a fourfold range, or persistence below
+    0.4)."""
+    wers, confs, i, j = _point(wer_hi, conf_pct_hi, wer_grid, conf_grid)
+    there = (F.col("wer_hi") == wers[i]) & (F.col("conf_pct_hi") == confs[j])
     by = swept.groupBy("model", "condition_name").agg(F.avg(F.col("flagged").cast("int")).alias("p"), F.bool_or(there & F.col("flagged")).alias("d"), F.bool_and("flagged").alias("all"))
+    return _sets(by, taxonomy.sweep_counts(swept), wers[max(i - 1, 0) : i + 2], confs[max(j - 1, 0) : j + 2])
+
+
+def grid_sets(table: DataFrame, wer_hi: float = S.WER_HI, conf_pct_hi: float = S.CONF_PCT_HI, wer_grid: list[float] | None = None, conf_grid: list[float] | None = None) -> DataFrame:
+    """``sweep_sets`` of the conditions' table, without a row for each condition and point."""
+    wers, confs, i, j = _point(wer_hi, conf_pct_hi, wer_grid, conf_grid)
+    placed, *_ = taxonomy.placed(table, wers, confs)
+    share = F.col("n_wer") * F.col("n_conf") / F.lit(len(wers) * len(confs))
+    by = placed.select("model", share.alias("p"), ((F.col("n_wer") > i) & (F.col("n_conf") > j)).alias("d"), (share == 1).alias("all"))
+    return _sets(by, taxonomy.grid_counts(table, wers, confs), wers[max(i - 1, 0) : i + 2], confs[max(j - 1, 0) : j + 2])
+
+
+def _point(wer_hi: float, conf_pct_hi: float, wer_grid: list[float] | None, conf_grid: list[float] | None) -> tuple[list[float], list[float], int, int]:
+    wers, confs = sorted(wer_grid or taxonomy.WER_GRID), sorted(conf_grid or taxonomy.CONF_GRID)
+    return wers, confs, wers.index(wer_hi), confs.index(conf_pct_hi)
+
+
+def _sets(by: DataFrame, counts: DataFrame, wers: list[float], confs: list[float]) -> DataFrame:
+    """From conditions (model, p: persistence, d: flagged at the point, all) and counts."""
     sets = by.groupBy("model").agg(F.count_if(F.col("p") > 0).alias("n_ever"), F.count_if("all").alias("n_core"), F.count_if("d").alias("n_default"), F.avg(F.when(F.col("d"), F.col("p"))).alias("default_persistence"))
-    counts = taxonomy.sweep_counts(swept)
-    n = F.col("n_dead_zones")
+    near, n = F.col("wer_hi").isin(wers) & F.col("conf_pct_hi").isin(confs), F.col("n_dead_zones")
     span = counts.groupBy("model").agg(F.min(F.when(near, n)).alias("near_low"), F.max(F.when(near, n)).alias("near_high"), ((F.max(n) + 1) / (F.min(n) + 1)).alias("fold"))
     p, fold = F.col("default_persistence"), F.col("fold")
     verdict = F.when((fold <= 2) & F.coalesce(p >= 0.75, F.lit(True)), "stable").when((fold >= 4) | F.coalesce(p < 0.4, F.lit(False)), "fragile").otherwise("moderate")

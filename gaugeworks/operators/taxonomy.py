@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
@@ -29,8 +29,6 @@ def classify(table: DataFrame, wer_hi: float = S.WER_HI, conf_pct_hi: float = S.
 
 def dead_zones(table: DataFrame, **thresholds: float) -> DataFrame:
     """The ranked deliverable: by gap within each model."""
-    from pyspark.sql import Window
-
     found = classify(table, **thresholds).where("category = 'dead_zone'")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("model").orderBy(F.col("gap").desc_nulls_last(), "condition_name")))
 
@@ -55,6 +53,37 @@ def sweep_counts(swept: DataFrame) -> DataFrame:
     return swept.groupBy("model", "wer_hi", "conf_pct_hi").agg(F.count_if("flagged").alias("n_dead_zones"))
 
 
+def placed(table: DataFrame, wer_grid: list[float] | None, conf_grid: list[float] | None) -> tuple[DataFrame, list[float], list[float]]:
+    """Each condition with the number of thresholds of either grid that flag it: it is flagged
+    at the points of a rectangle from the mildest on."""
+    wers, confs = sorted(wer_grid or WER_GRID), sorted(conf_grid or CONF_GRID)
+    rows = table if "conf_pct" in table.columns else add_gap_metrics(table)
+    spoke = F.col("mean_conf").isNotNull() & F.col("wer_spoke").isNotNull() & F.col("conf_pct").isNotNull()
+    reached = lambda c, grid: F.when(spoke, F.size(F.filter(F.array(*map(F.lit, grid)), lambda t: F.col(c) >= t))).otherwise(0)
+    return rows.select("model", "condition_name", reached("wer_spoke", wers).alias("n_wer"), reached("conf_pct", confs).alias("n_conf")), wers, confs
+
+
+def grid_counts(table: DataFrame, wer_grid: list[float] | None = None, conf_grid: list[float] | None = None) -> DataFrame:
+    """``sweep_counts`` of the whole grid without a row for each condition and point: a
+    histogram of the conditions' rectangles by corner, summed up from its far end along both
+    axes.  A model has a row for each point of the grid."""
+    rows, wers, confs = placed(table, wer_grid, conf_grid)
+    corners = rows.groupBy("model", "n_wer", "n_conf").agg(F.count("*").alias("n"))
+    axis = lambda grid, name: F.posexplode(F.array(*map(F.lit, grid))).alias(f"_{name}", name)
+    points = corners.select("model").distinct().select("model", axis(wers, "wer_hi")).select("*", axis(confs, "conf_pct_hi"))
+    filled = points.join(corners.select("model", (F.col("n_wer") - 1).alias("_wer_hi"), (F.col("n_conf") - 1).alias("_conf_pct_hi"), "n"), ["model", "_wer_hi", "_conf_pct_hi"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    for along, other in (("_conf_pct_hi", "_wer_hi"), ("_wer_hi", "_conf_pct_hi")):  # a line of the grid is a window
+        filled = filled.withColumn("n", F.sum("n").over(Window.partitionBy("model", other).orderBy(F.desc(along)).rowsBetween(Window.unboundedPreceding, 0)))
+    return filled.select("model", "wer_hi", "conf_pct_hi", F.col("n").alias("n_dead_zones"))
+
+
+def grid_persistence(table: DataFrame, wer_grid: list[float] | None = None, conf_grid: list[float] | None = None) -> DataFrame:
+    """``persistence`` from the size of each condition's rectangle."""
+    rows, wers, confs = placed(table, wer_grid, conf_grid)
+    n = (F.col("n_wer") * F.col("n_conf")).cast("long")
+    return rows.where("n_wer > 0 and n_conf > 0").select("model", "condition_name", (n / F.lit(len(wers) * len(confs))).alias("persistence"), n.alias("n_points"))
+
+
 def require_monotone(counts: DataFrame) -> DataFrame:
     """A stricter threshold never flags more."""
     from pyspark.sql import Window

@@ -148,18 +148,18 @@ s AS (SELECT model, condition_name, w / 100.0::DOUBLE AS wer_hi, p / 100.0::DOUB
 
 @query(f"WITH {_S_SQL} SELECT model, wer_hi, conf_pct_hi, count(*) FILTER (flagged) AS n_dead_zones FROM s GROUP BY 1, 2, 3")
 def threshold_sweep(spark, d):
-    return taxonomy.sweep_counts(taxonomy.sweep(gaps(spark, d)))
+    return taxonomy.grid_counts(gaps(spark, d))
 
 
 @query(f"WITH {_S_SQL} SELECT model, condition_name, round(avg(flagged::INT), 9) AS persistence, count(*) FILTER (flagged) AS n_points FROM s GROUP BY 1, 2 HAVING count(*) FILTER (flagged) > 0")
 def threshold_persistence(spark, d):
-    return taxonomy.persistence(taxonomy.sweep(gaps(spark, d))).select("model", "condition_name", *r9("persistence"), "n_points")
+    return taxonomy.grid_persistence(gaps(spark, d)).select("model", "condition_name", *r9("persistence"), "n_points")
 
 
 @query(f"""WITH {_S_SQL}, n AS (SELECT model, wer_hi, conf_pct_hi, count(*) FILTER (flagged) AS n FROM s GROUP BY 1, 2, 3), x AS (SELECT model, min(n) AS low, max(n) AS high, (max(n) + 1) / (min(n) + 1)::DOUBLE AS fold FROM n GROUP BY 1)
 SELECT model, low, high, round(fold, 9) AS fold, CASE WHEN fold <= 2 THEN 'stable' WHEN fold >= 4 THEN 'fragile' ELSE 'moderate' END AS verdict FROM x""")
 def sweep_verdict(spark, d):
-    return taxonomy.sweep_verdict(taxonomy.sweep_counts(taxonomy.sweep(gaps(spark, d)))).select("model", "low", "high", *r9("fold"), "verdict")
+    return taxonomy.sweep_verdict(taxonomy.grid_counts(gaps(spark, d))).select("model", "low", "high", *r9("fold"), "verdict")
 
 
 # --------------------------------------------------------------------- correlations
@@ -229,6 +229,20 @@ def overconfident_overlap(spark, d):
     return compare.set_overlap(gaps(spark, d).where("gap > 0"), "model", "condition_name").select("a", "b", "n_a", "n_b", "n_both", "n_either", *r9("jaccard"))
 
 
+@query(f"""WITH {G_SQL}, f AS (SELECT DISTINCT model, condition_name FROM t WHERE gap > 0), k AS (SELECT condition_name, count(*) AS k FROM f GROUP BY 1),
+n AS (SELECT model, count(*) AS n, count(*) FILTER (k = 1) AS n_only, count(*) FILTER (k > 1) AS n_shared FROM f JOIN k USING (condition_name) GROUP BY 1)
+SELECT n.*, a.n_all, a.n_any, round(a.n_all / a.n_any::DOUBLE, 9) AS jaccard FROM n, (SELECT count(*) FILTER (k = (SELECT count(DISTINCT model) FROM f)) AS n_all, count(*) AS n_any FROM k) a""")
+def arm_overlap(spark, d):
+    """The overconfident conditions of all models together: shared by all, by some, by none."""
+    return compare.arm_overlap(gaps(spark, d).where("gap > 0"), "model", "condition_name").select("model", "n", "n_only", "n_shared", "n_all", "n_any", *r9("jaccard"))
+
+
+@query(f"WITH {G_SQL}, f AS (SELECT DISTINCT model, condition_name FROM t WHERE gap > 0) SELECT min(model) AS model, condition_name FROM f GROUP BY condition_name HAVING count(*) = 1")
+def only_in_one_arm(spark, d):
+    """Conditions that one model alone is overconfident in."""
+    return compare.only_in(gaps(spark, d).where("gap > 0"), "model", "condition_name")
+
+
 @query(f"""WITH {G_SQL}, p AS (SELECT a.gap > 0 AS p, b.gap > 0 AS q FROM t a JOIN t b USING (condition_name) WHERE a.model = 'arm_a' AND b.model = 'arm_n' AND a.gap IS NOT NULL AND b.gap IS NOT NULL)
 SELECT count(*) AS n, count(*) FILTER (p AND q) AS "both", count(*) FILTER (p) AS n_predicted, count(*) FILTER (q) AS n_actual, round(count(*) FILTER (p AND q) / nullif(count(*) FILTER (p), 0)::DOUBLE, 9) AS "precision", round(count(*) FILTER (p AND q) / nullif(count(*) FILTER (q), 0)::DOUBLE, 9) AS recall, round(count(*) FILTER (p AND q) / nullif(count(*) FILTER (p OR q), 0)::DOUBLE, 9) AS jaccard FROM p""")
 def run_agreement(spark, d):
@@ -977,13 +991,13 @@ n AS (SELECT model, wer_hi, conf_pct_hi, count(*) FILTER (flagged) AS n FROM s G
 SELECT model, n_ever, n_core, n_default, round(dp, 9) AS default_persistence, near_low, near_high, round(fold, 9) AS fold, CASE WHEN fold <= 2 AND coalesce(dp >= 0.75, true) THEN 'stable' WHEN fold >= 4 OR coalesce(dp < 0.4, false) THEN 'fragile' ELSE 'moderate' END AS verdict FROM x JOIN y USING (model)""")
 def sweep_sets(spark, d):
     """Members of the sweep around the published thresholds."""
-    return profiles.sweep_sets(taxonomy.sweep(gaps(spark, d))).select("model", "n_ever", "n_core", "n_default", *r9("default_persistence"), "near_low", "near_high", *r9("fold"), "verdict")
+    return profiles.grid_sets(gaps(spark, d)).select("model", "n_ever", "n_core", "n_default", *r9("default_persistence"), "near_low", "near_high", *r9("fold"), "verdict")
 
 
 @query(f"WITH {_S_SQL}, n AS (SELECT model, wer_hi, conf_pct_hi, count(*) FILTER (flagged) AS n FROM s GROUP BY 1, 2, 3) SELECT x.model AS a, y.model AS b, count(*) AS n_points, count(*) FILTER (x.n < y.n) AS n_below, min(x.n) AS least, max(x.n) AS most FROM n x JOIN n y ON x.wer_hi = y.wer_hi AND x.conf_pct_hi = y.conf_pct_hi AND x.model <> y.model GROUP BY 1, 2")
 def order_of_arms(spark, d):
     """Whether the models' order holds over the grid of thresholds."""
-    return profiles.order_of_arms(taxonomy.sweep_counts(taxonomy.sweep(gaps(spark, d))))
+    return profiles.order_of_arms(taxonomy.grid_counts(gaps(spark, d)))
 
 
 _LADDER = "SELECT l_suppkey AS k, l_linenumber AS l, sum(round(l_quantity)::BIGINT)::BIGINT AS y, sum(round(l_tax * 100)::BIGINT)::BIGINT AS z FROM lineitem GROUP BY 1, 2"
