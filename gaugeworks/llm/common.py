@@ -79,6 +79,14 @@ def worker_kept(key, make):
     return _KEPT[key]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def scan_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of a plan's input in bytes: file sizes, no job.  Where
     the plan doesn't know (rows that don't come from files), 16 MB a partition."""
