@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gaugeworks.llm import bpe, chosen_path, fm_index, mil, toxicity
-from gaugeworks.llm.common import persist, table
+from gaugeworks.llm.common import free_name, persist, table
 from gaugeworks.llm.queries import quality_model, tokenizer_path, toxicity_model
 
 
@@ -41,8 +41,11 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents' ids in place of their texts, with their number."""
-    return bpe.encode_documents(docs, tokenizer_path()).withColumn("n_tokens", F.size("token_ids"))
+    """Documents' ids in place of their texts, with their number.  Where a column has one of
+    the new names already, in whatever case, the new one gets an underscore behind it."""
+    ids = free_name(docs, "token_ids")
+    out = bpe.encode_documents(docs, tokenizer_path(), ids_col=ids)
+    return out.select("*", F.size(ids).alias(free_name(docs, "n_tokens")))
 
 
 STAGES = [
