@@ -69,3 +69,10 @@ def test_copies_repeated_rows_and_nulls(spark):
     rows = [(3, text, "a"), (2, text.upper(), "b"), (2, text.upper(), "b"), (None, text, "c"), (None, None, "d"), (5, None, "e"), (6, "", "f"), (7, "other words", "g")]
     df = spark.createDataFrame(rows, "doc_id long, text string, class_id string")
     assert sorted(map(str, keep_one_of_each(df).collect())) == sorted(str(r) for r in df.collect()[1:2] + df.collect()[3:])
+
+
+def test_clashing_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, "x"), (2, None, 8, "y")], "doc_id long, text string, N_TOKENS int, token_ids string")
+    out = corpus_pipeline.encode(spark, docs, "/root/testdata/sf0.001")
+    assert out.columns == ["doc_id", "N_TOKENS", "token_ids", "token_ids_", "n_tokens_"]
+    assert [(r.N_TOKENS, r.token_ids, r.n_tokens_) for r in out.orderBy("doc_id").collect()] == [(7, "x", len(wanted("a b"))), (8, "y", 0)]
