@@ -67,6 +67,19 @@ def _kinds(df: DataFrame, columns: list[str]) -> str:
     return "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in columns)
 
 
+def added_up(parts: DataFrame, cells: list[str], values: list[str]) -> DataFrame:
+    """(cells, one vector for each value): partial vectors of tasks (their number in ``_node``)
+    added up in two steps, of which the first joins every FAN-th task's."""
+    ddl = f"{_kinds(parts, cells)}_node int, " + ", ".join(f"`{v}` array<double>" for v in values)
+
+    def added(part: pa.Table) -> pa.Table:
+        keys = [part.column(c).slice(0, 1) for c in cells]
+        return pa.Table.from_arrays([*keys, pa.array([0], pa.int32()), *(_vectors(_matrix(part.column(v)).sum(axis=0)[None, :]) for v in values)], names=[*cells, "_node", *values])
+
+    out = parts.groupBy(*cells, F.pmod("_node", F.lit(FAN))).applyInArrow(added, ddl)
+    return out.groupBy(*cells).applyInArrow(added, ddl).drop("_node")
+
+
 def replicate_sums(rows: DataFrame, unit: str, cells: list[str], values: list[str], replicates: int = 1000, seed: int = 5) -> DataFrame:
     """(cells, one vector for each value): its sum over each cell's rows in the sample and in
     every replicate.  Values must not be null.  A task holds at most MOST_CELLS cells'
@@ -111,13 +124,7 @@ def replicate_sums(rows: DataFrame, unit: str, cells: list[str], values: list[st
         if places:
             yield handed_on()
 
-    def added(part: pa.Table) -> pa.Table:
-        keys = [part.column(c).slice(0, 1) for c in cells]
-        return pa.Table.from_arrays([*keys, pa.array([0], pa.int32()), *(_vectors(_matrix(part.column(v)).sum(axis=0)[None, :]) for v in values)], names=[*cells, "_node", *values])
-
-    out = x.mapInArrow(partial, ddl)
-    out = out.groupBy(*cells, F.pmod("_node", F.lit(FAN))).applyInArrow(added, ddl)
-    return out.groupBy(*cells).applyInArrow(added, ddl).drop("_node")
+    return added_up(x.mapInArrow(partial, ddl), cells, values)
 
 
 # ------------------------------------------------------------------ ranks

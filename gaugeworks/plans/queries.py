@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
 from gaugeworks.functions import numeric, signal, text
-from gaugeworks.operators import calibration, compare, edits, estimands, gate, profiles, ranking, resampling, rooms, sensitivity, taxonomy, turns
+from gaugeworks.operators import calibration, compare, edits, estimands, gate, profiles, ranking, resampling, rooms, seeds, sensitivity, taxonomy, turns
 from gaugeworks.plans import views
 from gaugeworks.plans.views import C_SQL, G_SQL, LOG_SQL, M_SQL, SPACE, measured_log, measurements, read
 
@@ -416,6 +416,15 @@ def temperature(spark, d):
     return calibration.temperatures(calibration.confidence_counts(m, ["model"], "mean_conf", "good"), ["model"], "mean_conf").select("model", F.round("temperature", 6).alias("temperature"))
 
 
+@query()
+def calibration_seeds(spark, d):
+    """Held-out calibration errors of all models under several splits by clips, as bands."""
+    m = measurements(spark, d).where("not failed and mean_conf is not null").withColumn("good", (F.col("wer") < S.WER_HI).cast("int"))
+    found = seeds.calibration_seeds(m, "mean_conf", "good", ["rt60", "snr_db", "mic_rolloff"], discount_at={"rt60": 0.7, "mic_rolloff": 0.5})
+    bands = seeds.seed_bands(found, ["ece_raw", "ece_temperature", "ece_feature", "temperature", "discount_rt60", "discount_mic_rolloff"])
+    return bands.select("model", "statistic", "n_seeds", *[F.round(c, 6).alias(c) for c in ("low", "median", "high")])
+
+
 @query()
 def feature_calibration(spark, d):
     """Confidence recalibrated with condition features, on held-out conditions."""
