@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
 from gaugeworks.functions.numeric import logit
+from gaugeworks.operators.ranking import exact_quantiles
 
 
 def word_records(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -42,9 +43,8 @@ def expected_calibration_error(curve: DataFrame, keys: list[str]) -> DataFrame:
 
 def operating_points(rows: DataFrame, score: str, bad: Column, rates: list[float]) -> DataFrame:
     """Flagging the lowest scores: threshold, precision and recall for each flag rate.
-    The thresholds come from one percentile aggregate."""
-    cut = rows.agg(F.percentile(score, F.array(*map(F.lit, rates))).alias("cuts"))
-    points = cut.select(F.explode(F.arrays_zip(F.array(*map(F.lit, rates)).alias("flag_rate"), F.col("cuts").alias("threshold"))).alias("p")).select("p.*")
+    The thresholds are exact quantiles, selected without ordering all scores."""
+    points = exact_quantiles(rows, [], score, rates).select(F.col("rate").alias("flag_rate"), F.col("quantile").alias("threshold"))
     out = rows.select(F.col(score).alias("_s"), bad.alias("_bad")).join(F.broadcast(points)).groupBy("flag_rate", "threshold")  # one row a rate
     flagged = F.col("_s") <= F.col("threshold")
     out = out.agg(F.count_if(flagged).alias("n_flagged"), F.count_if(flagged & F.col("_bad")).alias("n_caught"), F.count_if("_bad").alias("n_bad"))

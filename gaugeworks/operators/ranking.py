@@ -85,3 +85,55 @@ def auroc(rows: DataFrame, keys: list[str], score: str, good: Column) -> DataFra
     b = b.withColumn("_w", F.col("_w") + F.col("_good") * before(Window.partitionBy(*keys).orderBy("_b")))
     total = b.groupBy(*keys).agg(F.sum("_good").alias("n_good"), F.sum("_bad").alias("n_bad"), F.sum("_w").alias("_w"))
     return total.select(*keys, "n_good", "n_bad", F.try_divide("_w", (F.col("n_good") * F.col("n_bad")).cast("double")).alias("auroc"))
+
+
+def _fine(score: Column) -> Column:
+    """A finer value within a coarse one: six digits."""
+    size = F.abs(score)
+    power = F.when(size > 0, F.floor(F.log10(size))).otherwise(F.lit(0)).cast("long")
+    return F.when(size == float("inf"), F.lit(0)).otherwise(F.signum(score).cast("long") * F.floor(size / F.pow(F.lit(10.0), power) * 100_000)).cast("long")
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, rates: list[float]) -> DataFrame:
+    """(keys, rate, quantile): exact quantiles by linear interpolation, as ``percentile``
+    gives them, by selection: no task holds all distinct values.
+
+    Rows are counted by coarse value (at most some thousand a power of ten), which tells
+    where the wanted places lie; those coarse values' rows are counted by six digits, and only
+    the rows of the finer values found then are put in order.  Null and NaN are left out; a
+    key without values has no row.  Rows are read three times; rows of a null key belong together."""
+    x = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)], (F.col(value).cast("double") + F.lit(0.0)).alias("_v"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    x = x.withColumns({"_b": _bucket(F.col("_v")), "_f": _fine(F.col("_v"))})
+
+    def found(counts: DataFrame, wanted: DataFrame | None, within: list[str], step: str) -> DataFrame:
+        """The places (within, place, rate, high) that are wanted, each with the ``step`` that
+        holds it and its place there."""
+        over = Window.partitionBy(*within).orderBy(step)
+        c = counts.withColumn("_before", F.coalesce(F.sum("_n").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        if wanted is None:
+            ends = F.explode(F.array(*[F.struct(F.lit(q).alias("rate"), F.lit(side).alias("high")) for q in rates for side in (0, 1)])).alias("_q")
+            total = counts.groupBy(*within).agg(F.sum("_n").alias("_all")).where("_all > 0").select(*within, "_all", ends).select(*within, "_all", "_q.*")
+            low = F.floor((F.col("_all") - 1) * F.col("rate"))
+            wanted = total.withColumn("_place", F.least(low + F.col("high"), F.col("_all") - 1).cast("long")).withColumn("_part", (F.col("_all") - 1) * F.col("rate") - low)
+        w = wanted.select(*[F.col(k).alias(f"_w{k}") for k in within], *[k for k in wanted.columns if k not in within])
+        same = F.lit(True)
+        for k in within:
+            same &= F.col(k).eqNullSafe(F.col(f"_w{k}"))
+        here = (F.col("_place") >= F.col("_before")) & (F.col("_place") < F.col("_before") + F.col("_n"))
+        return c.join(w, same & here).select(*within, step, "rate", "high", "_part", (F.col("_place") - F.col("_before")).alias("_place"))
+
+    def only(wanted: DataFrame, within: list[str]) -> DataFrame:
+        w = wanted.select(*[F.col(k).alias(f"_w{k}") for k in within]).distinct()
+        same = F.lit(True)
+        for k in within:
+            same &= F.col(k).eqNullSafe(F.col(f"_w{k}"))
+        return x.join(w, same, "left_semi")
+
+    count = F.count("*").alias("_n")
+    places = found(x.groupBy(*names, "_b").agg(count), None, names, "_b")
+    places = found(only(places, [*names, "_b"]).groupBy(*names, "_b", "_f").agg(count), places, [*names, "_b"], "_f")
+    places = found(only(places, [*names, "_b", "_f"]).groupBy(*names, "_b", "_f", "_v").agg(count), places, [*names, "_b", "_f"], "_v")
+    low, high = (F.max(F.when(F.col("high") == side, F.col("_v"))) for side in (0, 1))
+    out = places.groupBy(*names, "rate").agg((low + (high - low) * F.max("_part")).alias("quantile"))
+    return out.select(*[F.col(k).alias(c) for k, c in zip(names, keys, strict=True)], "rate", "quantile")
