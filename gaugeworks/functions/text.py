@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gaugeworks import schema as S
+
 #: Marks deleted rather than spaced, and words written together or apart.
 APOSTROPHES = "'’ʼʻ`"
 COMPOUNDS = {("wi", "fi"): "wifi"}
@@ -220,15 +222,80 @@ def room_name(path: Column) -> Column:
 NUMBER_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
 
 
-def cross_model_tokens(text: Column) -> Column:
-    """Tokens that compare models of different writing habits: as ``normalize``, letters
-    parted from digits, digit runs into digits, number words below ten as digits.  Larger
-    numbers in words are left as they are."""
-    t = F.array_join(normalize(text), " ")
+#: The other English number words, and ordinals with the ending of their digits.
+TEENS = {"ten": 10, "eleven": 11, "twelve": 12, "thirteen": 13, "fourteen": 14, "fifteen": 15, "sixteen": 16, "seventeen": 17, "eighteen": 18, "nineteen": 19}
+TENS = {"twenty": 20, "thirty": 30, "forty": 40, "fourty": 40, "fifty": 50, "sixty": 60, "seventy": 70, "eighty": 80, "ninety": 90}
+ORDINAL_ONES = {"zeroth": "0th", "first": "1st", "second": "2nd", "third": "3rd", "fourth": "4th", "fifth": "5th", "sixth": "6th", "seventh": "7th", "eighth": "8th", "ninth": "9th"}
+ORDINAL_TEENS = {"tenth": "10th", "eleventh": "11th", "twelfth": "12th", "thirteenth": "13th", "fourteenth": "14th", "fifteenth": "15th", "sixteenth": "16th", "seventeenth": "17th", "eighteenth": "18th", "nineteenth": "19th"}
+ORDINAL_TENS = {"twentieth": "20th", "thirtieth": "30th", "fortieth": "40th", "fiftieth": "50th", "sixtieth": "60th", "seventieth": "70th", "eightieth": "80th", "ninetieth": "90th"}
+SCALES = {"hundred": "100", "thousand": "1000", "hundredth": "100th", "thousandth": "1000th"}
+
+
+def _number_words() -> dict[str, tuple[str, int, str]]:
+    """(kind, value, ending of an ordinal) of each English number word."""
+    out: dict[str, tuple[str, int, str]] = {}
+    for kind, words in (("one", NUMBER_WORDS | ORDINAL_ONES), ("teen", TEENS | ORDINAL_TEENS), ("ten", TENS | ORDINAL_TENS), ("scale", SCALES)):
+        for word, shown in words.items():
+            digits = str(shown).rstrip("dhnrst")
+            out[word] = kind, int(digits), str(shown)[len(digits) :]
+    return out
+
+
+def spoken_numbers(tokens: Column, locale: str = "en") -> Column:
+    """Tokens with numbers below a million that are spoken in words as digits: ``eighty
+    eight`` is 88, ``fourteen hundred`` 1400, ``two thousand and five`` 2005, ``forty second``
+    42nd, and digits one by one (``four zero five``) stay apart.  Only English is known.
+
+    One pass over the tokens that carries the number so far: thousands, the group below
+    them, and what kind of word came last."""
+    if locale.lower().split("-")[0].split("_")[0] != "en":
+        raise S.NormalizerUnavailableError(f"no number words are known for {locale}")
+    words = _number_words()
+    look = lambda k, w: F.try_element_at(F.create_map(*[F.lit(x) for word, found in words.items() for x in (word, found[k])]), w)
+    none, no = F.array().cast("array<string>"), F.lit(False)
+    number = lambda x: F.lit(x).cast("long")
+
+    def state(out: Column, live: Column, whole: Column, part: Column, last: Column, also: Column) -> Column:
+        return F.struct(out.alias("out"), live.alias("live"), whole.cast("long").alias("whole"), part.cast("long").alias("part"), last.cast("string").alias("last"), also.alias("also"))
+
+    def shown(s: Column) -> Column:
+        """What was put out, and the number so far."""
+        tail = F.concat(F.array((s["whole"] + s["part"]).cast("string")), F.when(s["also"], F.array(F.lit("and"))).otherwise(none))
+        return F.concat(s["out"], F.when(s["live"], tail).otherwise(none))
+
+    def step(s: Column, w: Column) -> Column:
+        kind, value, ending = F.coalesce(look(0, w), F.lit("")), F.coalesce(look(1, w), F.lit(0)), F.coalesce(look(2, w), F.lit(""))
+        plain, small = ending == "", kind.isin("one", "teen", "ten")
+        after_scale = s["live"] & s["last"].isin("hundred", "thousand") & small & (value > 0)
+        after_ten = s["live"] & (s["last"] == "ten") & (kind == "one") & (value > 0)
+        goes_on = after_scale | after_ten
+        counted = s["live"] & ~s["also"] & (kind == "scale")
+        hundreds = counted & (value == 100) & s["last"].isin("one", "teen", "ten") & s["part"].between(1, 99)
+        times = counted & (value == 1000) & (s["last"] != "thousand") & s["part"].between(1, 999)
+        thousands, again = times & (s["whole"] == 0), times & (s["whole"] > 0)  # again: the thousands before were a number of their own
+        joined = goes_on | hundreds | thousands
+        whole = F.when(times, s["part"] * 1000).when(joined, s["whole"]).otherwise(number(0))
+        part = F.when(goes_on, s["part"] + value).when(hundreds, s["part"] * 100).when(times, number(0)).otherwise(value)
+        last = F.when(kind != "scale", kind).otherwise(F.when(value == 100, "hundred").otherwise("thousand"))
+        before = F.when(joined, s["out"]).when(again, F.concat(s["out"], F.array(s["whole"].cast("string")))).otherwise(shown(s))
+        ordinal = F.concat(before, F.array(F.concat((whole + part).cast("string"), ending)))
+        waits = s["live"] & (w == "and") & s["last"].isin("hundred", "thousand") & ~s["also"]
+        return (
+            F.when(waits, state(s["out"], s["live"], s["whole"], s["part"], s["last"], F.lit(True)))
+            .when(kind == "", state(F.concat(shown(s), F.array(w)), no, number(0), number(0), F.lit(""), no))
+            .when(plain, state(before, F.lit(True), whole, part, last, no))
+            .otherwise(state(ordinal, no, number(0), number(0), F.lit(""), no))
+        )
+
+    return F.aggregate(tokens, state(none, no, number(0), number(0), F.lit(""), no), step, shown)
+
+
+def cross_model_tokens(text: Column, locale: str = "en") -> Column:
+    """Tokens that compare models of different writing habits: as ``normalize``, numbers in
+    words as digits (``spoken_numbers``), letters parted from digits, digit runs into digits."""
+    t = F.array_join(spoken_numbers(normalize(text), locale), " ")
     t = F.regexp_replace(t, r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=\p{N})(?=\p{N})", " ")
-    words = F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
-    digits = F.create_map(*[F.lit(x) for pair in NUMBER_WORDS.items() for x in pair])
-    return F.transform(words, lambda w: F.coalesce(F.try_element_at(digits, w), w))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 
 
 def phrases(tokens: Column, n: int) -> Column:

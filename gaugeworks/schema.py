@@ -59,6 +59,10 @@ class IncompleteDesignError(MeasurementError):
     """A factorial block with a missing or repeated cell."""
 
 
+class NormalizerUnavailableError(MeasurementError):
+    """Text of a language that numbers can't be normalized in."""
+
+
 class ConfidenceAlignmentError(MeasurementError):
     """Confidences that can't be carried to the normalized tokens."""
 
