@@ -173,6 +173,40 @@ def edit_lists(rows: DataFrame, ref: str, hyp: str, name: str = "edits") -> Data
     return rows.withColumn(name, align(F.col(ref), F.col(hyp)))
 
 
+def word_errors(ref: list, hyp: list) -> int:
+    """The least number of words to change, drop or add.  The reference's words are bit
+    positions: a column of the distance matrix is two sets of steps, up and down, kept as
+    integers of any length (Myers), so a word of the other side costs a few operations on
+    words of 64 steps, and no matrix is made."""
+    at: dict = {}
+    for k, w in enumerate(ref):
+        at[w] = at.get(w, 0) | 1 << k
+    top, full = 1 << max(len(ref) - 1, 0), (1 << len(ref)) - 1
+    up, down, score = full, 0, len(ref)
+    if not ref:
+        return len(hyp)
+    for w in hyp:
+        same = at.get(w, 0)
+        free = same | down
+        over = (((same & up) + up) ^ up) | same
+        more, less = down | (full & ~(over | up)), up & over
+        score += bool(more & top) - bool(less & top)
+        more, less = (more << 1 | 1) & full, less << 1 & full
+        up, down = less | (full & ~(free | more)), more & free
+    return score
+
+
+def error_counts(rows: DataFrame, ref: str, hyp: str, name: str) -> DataFrame:
+    """``rows`` with the number of word errors between two token arrays, in Arrow batches;
+    null arrays have no words."""
+
+    @F.pandas_udf("int")
+    def count(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([word_errors([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
+
+    return rows.withColumn(name, count(F.col(ref), F.col(hyp)))
+
+
 def wer(counts: Column, n_ref: Column) -> Column:
     """Errors a reference word; without one 1 if anything was heard, else 0."""
     errors = counts["n_sub"] + counts["n_del"] + counts["n_ins"]
@@ -247,7 +281,8 @@ def spoken_numbers(tokens: Column, locale: str = "en") -> Column:
     42nd, and digits one by one (``four zero five``) stay apart.  Only English is known.
 
     One pass over the tokens that carries the number so far: thousands, the group below
-    them, and what kind of word came last."""
+    them, and what kind of word came last.  It copies what it has put out for each token, so
+    long texts are cut into runs of number words first, as ``cross_model_tokens`` does."""
     if locale.lower().split("-")[0].split("_")[0] != "en":
         raise S.NormalizerUnavailableError(f"no number words are known for {locale}")
     words = _number_words()
@@ -293,7 +328,11 @@ def spoken_numbers(tokens: Column, locale: str = "en") -> Column:
 def cross_model_tokens(text: Column, locale: str = "en") -> Column:
     """Tokens that compare models of different writing habits: as ``normalize``, numbers in
     words as digits (``spoken_numbers``), letters parted from digits, digit runs into digits."""
-    t = F.array_join(spoken_numbers(normalize(text), locale), " ")
+    word = "(?:" + "|".join([*_number_words(), "and"]) + ")"
+    marked = F.regexp_replace(F.array_join(normalize(text), " "), f"(?<![^ ]){word}(?: {word})*(?![^ ])", "\u0001$0\u0001")
+    run = lambda p: F.array_join(spoken_numbers(F.split(p, " "), locale), " ")
+    pieces = F.transform(F.split(marked, "\u0001"), lambda p: F.when(p.rlike(f"^{word}( |$)"), run(p)).otherwise(p))
+    t = F.array_join(pieces, "")
     t = F.regexp_replace(t, r"(?<=\p{L})(?=\p{N})|(?<=\p{N})(?=\p{L})|(?<=\p{N})(?=\p{N})", " ")
     return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
 

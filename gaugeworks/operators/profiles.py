@@ -200,3 +200,24 @@ def sentence() -> Column:
     """A row of ``taxonomy.dead_zones`` in words."""
     pct = lambda c: F.round(F.col(c) * 100).cast("int").cast("string")
     return F.concat(F.col("model"), F.lit(" in "), F.col("condition_name"), F.lit(": "), pct("wer_spoke"), F.lit(" % of words wrong on clips it spoke, confidence above "), pct("conf_pct"), F.lit(" % of its conditions"))
+
+
+def normalization_shift(rows: DataFrame, ref: str, hyp: str, keys: list[str], wer_hi: float = S.WER_HI) -> DataFrame:
+    """What normalization for comparing models does to the error, by key: (keys, n, wer_strict,
+    wer_normalized, shift: strict less normalized, n_cleared: rows whose error falls below
+    ``wer_hi``, n_raised: rows whose error rises to it).
+
+    Both texts of a row go through both rules (``text.normalize``, ``text.cross_model_tokens``);
+    errors are over the reference's tokens under the same rule, means are of rows.  A row
+    without a reference token has an error of 1 if anything was heard, else 0; null texts
+    have no tokens."""
+    rules = {"strict": text.normalize, "normalized": text.cross_model_tokens}
+    x = rows.select(*keys, *[rule(F.col(c)).alias(f"_{side}_{name}") for name, rule in rules.items() for side, c in (("ref", ref), ("hyp", hyp))])
+    for name in rules:
+        x = text.error_counts(x, f"_ref_{name}", f"_hyp_{name}", f"_n_{name}")
+        size, n = F.size(f"_ref_{name}"), F.col(f"_n_{name}")
+        x = x.withColumn(f"_wer_{name}", F.when(size > 0, n / size).otherwise((n > 0).cast("double")))
+    a, b = F.col("_wer_strict"), F.col("_wer_normalized")
+    return x.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(a).alias("wer_strict"), F.avg(b).alias("wer_normalized"), F.avg(a - b).alias("shift"), F.count_if((a >= wer_hi) & (b < wer_hi)).alias("n_cleared"), F.count_if((a < wer_hi) & (b >= wer_hi)).alias("n_raised"),
+    )

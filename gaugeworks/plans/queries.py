@@ -606,6 +606,17 @@ def exchanges(spark, d):
     return c.where("hyp is not null").select("conv_id", "turn", F.col("t").alias("ref"), "hyp")
 
 
+@query()
+def wer_by_normalization(spark, d):
+    """Word errors between each turn and its answer, by the answer's role, under the strict
+    rule and under the one that compares models."""
+    c = read(spark, d, "conversations", "conv_id", "turn", "role", "text")
+    over = Window.partitionBy("conv_id").orderBy("turn")
+    x = c.select("text", F.lead("text").over(over).alias("answer"), F.lead("role").over(over).alias("role")).where("answer is not null")
+    out = profiles.normalization_shift(x, "text", "answer", ["role"])
+    return out.select("role", "n", *r9("wer_strict", "wer_normalized", "shift"), "n_cleared", "n_raised")
+
+
 @query()
 def word_alignment(spark, d):
     """Typed edits between each turn and its answer."""

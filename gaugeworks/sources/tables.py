@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from gaugeworks import schema as S
 from gaugeworks.functions.numeric import with_cost
@@ -124,10 +125,22 @@ def write_dead_zones(ranked: DataFrame, path: str) -> None:
     ranked.select(*columns).repartition(1).sortWithinPartitions("model", "rank").write.mode("overwrite").option("header", True).csv(path)
 
 
+def _finite(column: Column, kind: DataType) -> Column:
+    """The column with NaN and infinities as null, also inside arrays, structs and maps."""
+    if kind.typeName() in ("double", "float"):
+        return S.clean_double(column)
+    if isinstance(kind, ArrayType):
+        return F.transform(column, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(column, lambda _, v: _finite(v, kind.valueType))
+    if isinstance(kind, StructType):
+        return F.when(column.isNotNull(), F.struct(*[_finite(column[f.name], f.dataType).alias(f.name) for f in kind]))
+    return column
+
+
 def strict_json(rows: DataFrame) -> DataFrame:
-    """One JSON text a row; NaN and infinities become null."""
-    doubles = {f.name for f in rows.schema if f.dataType.typeName() in ("double", "float")}
-    return rows.select(F.to_json(F.struct(*[S.clean_double(F.col(c)).alias(c) if c in doubles else F.col(c) for c in rows.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    """One JSON text a row; NaN and infinities become null, at any depth."""
+    return rows.select(F.to_json(F.struct(*[_finite(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in rows.schema]), {"ignoreNullFields": "false"}).alias("value"))
 
 
 def report_payload(**tables: DataFrame) -> str:

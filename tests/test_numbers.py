@@ -53,3 +53,20 @@ def test_other_languages_are_refused():
     with pytest.raises(S.NormalizerUnavailableError):
         text.cross_model_tokens(F.lit("zwei"), "de")
     assert text.cross_model_tokens(F.lit("two"), "en-GB") is not None
+
+
+def test_errors_equal_the_lists_of_edits():
+    rng = random.Random(9)
+    for _ in range(600):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(rng.choice([1, 9, 150])))] for _ in range(2))
+        assert text.word_errors(a, b) == sum(o != "match" for o, *_ in text._backtrace(a, b))
+
+
+def test_shift_by_arm(spark):
+    from gaugeworks.operators import profiles
+
+    rows = [("a", "pay forty two now", "pay 42 now"), ("a", "pay forty two now", "pay forty two now"), ("b", "one", "two"), ("b", None, "heard"), ("b", "", None), ("b", "it is x", "it is x 5")]
+    got = {r.k: r for r in profiles.normalization_shift(spark.createDataFrame(rows, "k string, r string, h string"), "r", "h", ["k"]).collect()}
+    assert (got["a"].n, got["a"].wer_strict, got["a"].wer_normalized, got["a"]["shift"], got["a"].n_cleared) == (2, 0.25, 0.0, 0.25, 1)
+    assert (got["b"].n, got["b"].n_cleared, got["b"].n_raised) == (4, 0, 0) and got["b"].wer_strict == pytest.approx((1 + 1 + 0 + 1 / 3) / 4)
+    assert profiles.normalization_shift(spark.createDataFrame([], "k string, r string, h string"), "r", "h", ["k"]).count() == 0

@@ -106,3 +106,11 @@ def test_failed_calls_become_rows(spark):
 
     got = {r.path: (r.failed, r.error) for r in adapters.transcribe(spark.createDataFrame([("a",), ("bad",)], "path string"), recognize).collect()}
     assert got == {"a": (False, None), "bad": (True, "OSError: socket")}
+
+
+def test_strict_json_at_any_depth(spark):
+    bad = float("nan")
+    df = spark.createDataFrame([(1.0, [1.5, bad, None], (bad, [(float("inf"), "x")]), {"k": bad}), (bad, None, None, None)], "a double, b array<double>, c struct<d:double,e:array<struct<f:float,g:string>>>, m map<string,double>")
+    first, second = [json.loads(r.value) for r in tables.strict_json(df).collect()]
+    assert first == {"a": 1.0, "b": [1.5, None, None], "c": {"d": None, "e": [{"f": None, "g": "x"}]}, "m": {"k": None}}
+    assert second == {"a": None, "b": None, "c": None, "m": None}
