@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
 from gaugeworks.functions import numeric, signal, text
-from gaugeworks.operators import calibration, compare, edits, estimands, gate, profiles, ranking, resampling, rooms, seeds, sensitivity, taxonomy, turns
+from gaugeworks.operators import calibration, compare, edits, estimands, gate, profiles, ranking, resampling, rooms, seeds, sensitivity, sweeps, taxonomy, turns
 from gaugeworks.plans import views
 from gaugeworks.plans.views import C_SQL, G_SQL, LOG_SQL, M_SQL, SPACE, measured_log, measurements, read
 
@@ -1124,3 +1124,67 @@ def clip_faults(spark, d):
 def corpus_faults(spark, d):
     """Recordings that stand apart from the whole set."""
     return gate.corpus_faults(clips(spark, d)).select("clip_id", F.array_join("warnings", ",").alias("warnings"))
+
+
+# ---------------------------------------------------------------------------- sweeps
+
+#: A rising sweep, one whose error stays low, and a falling one; clips are months.
+_SWEEP = """SELECT CASE l_returnflag WHEN 'A' THEN 'rt60' WHEN 'N' THEN 'gain' ELSE 'snr_db' END AS factor, 'm' || month(l_shipdate) AS clip_id, l_linenumber AS l, count(*)::DOUBLE AS n,
+count(*) FILTER (CASE l_returnflag WHEN 'A' THEN l_quantity <= 7 * l_linenumber WHEN 'N' THEN l_quantity <= 4 ELSE l_quantity <= l_linenumber * l_linenumber END) AS w,
+count(*) FILTER (2 * round(l_discount * 100) <= 3 * l_linenumber) AS pitch, count(*) FILTER (round(l_tax * 100) * l_linenumber >= 28) AS tilt, count(*) FILTER (round(l_discount * 100)::INT % 2 = 0) AS hiss FROM lineitem GROUP BY 1, 2, 3"""
+
+
+def sweep_points(spark, d):
+    x = read(spark, d, "lineitem", "l_returnflag", "l_shipdate", "l_linenumber", "l_quantity", "l_discount", "l_tax")
+    flag, k, q = F.col("l_returnflag"), F.col("l_linenumber"), F.col("l_quantity")
+    wrong = F.when(flag == "A", q <= 7 * k).when(flag == "N", q <= 4).otherwise(q <= k * k)
+    factor = F.when(flag == "A", "rt60").when(flag == "N", "gain").otherwise("snr_db")
+    cells = x.groupBy(factor.alias("factor"), F.concat(F.lit("m"), F.month("l_shipdate").cast("string")).alias("clip_id"), k.alias("l")).agg(
+        F.count("*").cast("double").alias("n"), F.count_if(wrong).alias("w"), F.count_if(2 * F.round(F.col("l_discount") * 100) <= 3 * k).alias("pitch"),
+        F.count_if(F.round(F.col("l_tax") * 100) * k >= 28).alias("tilt"), F.count_if(F.round(F.col("l_discount") * 100).cast("int") % 2 == 0).alias("hiss"),
+    )
+    level = F.when(F.col("factor") == "snr_db", 35 - 5 * F.col("l")).otherwise(F.col("l")).cast("double")
+    long = cells.unpivot(["factor", "clip_id", "l", "n", "w"], ["pitch", "tilt", "hiss"], "feature", "count")
+    return long.select("factor", "feature", "clip_id", level.alias("level"), (F.col("w") / F.col("n")).alias("wer"), (F.col("count") / F.col("n")).alias("drift"))
+
+
+def _curve_sql(name: str, source: str, k: str) -> str:
+    """CTEs up to ``name``: facts of the curves of ``source`` by the keys ``k``."""
+    norm = lambda c: f"coalesce(({c} - min({c}) OVER w) / nullif(max({c}) OVER w - min({c}) OVER w, 0), 0)"
+    rank = lambda c: f"rank() OVER (w ORDER BY {c}) + (count(*) OVER (PARTITION BY {k}, {c}) - 1) / 2.0"
+    half = lambda c: f"coalesce(arg_min(coalesce(pl + (0.5 - p{c}) * (level - pl) / nullif({c} - p{c}, 0), level), s) FILTER (p{c} IS NOT NULL AND {c} >= 0.5), arg_max(level, s))"
+    seen = lambda v, c: f"CASE WHEN max({v}) <= min({v}) THEN 'none' WHEN arg_min({c}, s) >= 0.5 THEN 'left' ELSE 'inside' END"
+    rho = lambda a, b: f"CASE WHEN count(*) >= 3 AND stddev_pop({a}) > 0 AND stddev_pop({b}) > 0 THEN corr({a}, {b}) END"
+    return f"""{name}0 AS (SELECT *, {norm("drift")} AS f, {norm("wer")} AS x, {rank("drift")} AS rf, {rank("wer")} AS rx FROM (SELECT *, CASE WHEN factor = 'snr_db' THEN -level ELSE level END AS s FROM {source}) WINDOW w AS (PARTITION BY {k})),
+{name}1 AS (SELECT *, row_number() OVER q AS place, lag(f) OVER q AS pf, lag(x) OVER q AS px, lag(level) OVER q AS pl, CASE WHEN abs(drift - lag(drift) OVER q) > 1e-12 THEN sign(drift - lag(drift) OVER q) END AS d FROM {name}0 WINDOW q AS (PARTITION BY {k} ORDER BY s)),
+{name}2 AS (SELECT *, d <> last_value(d IGNORE NULLS) OVER (PARTITION BY {k} ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turn FROM {name}1),
+{name}3 AS (SELECT {k}, count(*) AS n_levels, {rho("rf", "rx")} AS spearman, {rho("place", "rf")} AS trend, max(abs(f - x)) AS max_gap, count(*) FILTER (turn) AS n_sign_flips, max(wer) - min(wer) AS lexical_range, {half("f")} AS feature_half, {half("x")} AS lexical_half, {seen("drift", "f")} AS feature_censored, {seen("wer", "x")} AS lexical_censored FROM {name}2 GROUP BY {k}),
+{name} AS (SELECT *, max_gap <= 0.2 AS coupled, CASE WHEN abs(feature_half - lexical_half) <= 1e-9 THEN 'together' WHEN (feature_half < lexical_half) = (factor <> 'snr_db') THEN 'feature' ELSE 'lexical' END AS leads FROM {name}3)"""
+
+
+_VERDICTS = f"""WITH cells AS ({_SWEEP}), p AS (SELECT factor, u.feature, clip_id, (CASE WHEN factor = 'snr_db' THEN 35 - 5 * l ELSE l END)::DOUBLE AS level, w / n AS wer, u.v / n AS drift FROM cells, (VALUES ('pitch'), ('tilt'), ('hiss')) AS names(feature), LATERAL (SELECT names.feature AS feature, CASE names.feature WHEN 'pitch' THEN pitch WHEN 'tilt' THEN tilt ELSE hiss END AS v) u),
+mean AS (SELECT factor, feature, level, round(avg(wer), 12) AS wer, round(avg(drift), 12) AS drift FROM p GROUP BY 1, 2, 3), {_curve_sql("m", "mean", "factor, feature")}, {_curve_sql("c", "p", "factor, feature, clip_id")},
+said AS (SELECT factor, feature, leads, count(*) AS k FROM c WHERE lexical_range >= 0.1 GROUP BY 1, 2, 3), won AS (SELECT factor, feature, arg_min(leads, (-k, leads)) AS top_lead, max(k) / sum(k)::DOUBLE AS agreement FROM said GROUP BY 1, 2),
+clips AS (SELECT factor, feature, count(*) AS n_clips, count(*) FILTER (lexical_range < 0.1) AS n_flat, stddev_samp(feature_half) AS feature_half_sd FROM c GROUP BY 1, 2),
+v0 AS (SELECT *, lexical_range < 0.1 AS lexical_floor, coalesce(trend >= 0.7, false) AS reliable FROM m JOIN clips USING (factor, feature) LEFT JOIN won USING (factor, feature)),
+v AS (SELECT * REPLACE (coalesce(agreement, 0.0) AS agreement), reliable AND NOT lexical_floor AND feature_censored = 'inside' AND lexical_censored = 'inside' AS quotable, coalesce(agreement >= 0.8 AND top_lead = leads, false) AND reliable AND NOT lexical_floor AS stable FROM v0)"""
+
+
+@query(f"""{_VERDICTS} SELECT factor, feature, n_levels, n_clips, n_flat, round(spearman, 9) AS spearman, round(max_gap, 9) AS max_gap, round(trend, 9) AS trend, n_sign_flips, round(feature_half, 9) AS feature_half, round(feature_half_sd, 9) AS feature_half_sd, round(lexical_half, 9) AS lexical_half, feature_censored, lexical_censored, coupled, leads, top_lead, round(agreement, 9) AS agreement, lexical_floor, reliable, quotable, stable FROM v""")
+def sweep_features(spark, d):
+    """What each feature of a sweep shows, and whether the clips agree."""
+    return sweeps.feature_verdicts(sweep_points(spark, d)).select(
+        "factor", "feature", "n_levels", "n_clips", "n_flat", *r9("spearman", "max_gap", "trend"), "n_sign_flips", *r9("feature_half", "feature_half_sd", "lexical_half"), "feature_censored", "lexical_censored",
+        "coupled", "leads", "top_lead", *r9("agreement"), "lexical_floor", "reliable", "quotable", "stable",
+    )
+
+
+@query(f"""{_VERDICTS}, t AS (SELECT *, quotable::INT + reliable::INT AS tier, bool_or(stable) OVER w AS s, max(quotable::INT + reliable::INT) OVER w AS best, bool_or(reliable) OVER w AS any_reliable FROM v WINDOW w AS (PARTITION BY factor)),
+pool AS (SELECT factor, leads, count(*) AS k FROM t WHERE NOT lexical_floor AND CASE WHEN s THEN stable ELSE tier = best AND best > 0 END GROUP BY 1, 2), win AS (SELECT factor, arg_min(leads, (-k, leads)) AS lead FROM pool GROUP BY 1),
+o AS (SELECT t.*, lead, row_number() OVER (PARTITION BY factor ORDER BY CASE WHEN lexical_floor THEN reliable::INT WHEN s THEN (stable AND leads = lead)::INT ELSE tier END DESC, CASE WHEN s AND NOT lexical_floor THEN abs(feature_half - lexical_half) ELSE coalesce(trend, -2) END DESC, feature) AS place FROM t LEFT JOIN win USING (factor)),
+a AS (SELECT factor, count(*) AS n_features, count(*) FILTER (NOT coupled) AS n_decoupled, count(*) FILTER (reliable) AS n_reliable, count(*) FILTER (CASE WHEN lexical_floor THEN reliable ELSE stable END) AS n_stable FROM o GROUP BY 1)
+SELECT factor, feature AS primary_feature, CASE WHEN lexical_floor THEN CASE WHEN any_reliable THEN 'feature' ELSE 'neither' END ELSE coalesce(lead, 'undetermined') END AS factor_leads, n_features, n_decoupled, n_reliable, n_stable, CASE WHEN lexical_floor THEN 'lexical_floor' WHEN NOT quotable THEN 'no_threshold' WHEN coupled THEN 'coupled' ELSE 'decoupled' END AS verdict FROM o JOIN a USING (factor) WHERE place = 1""")
+def sweep_verdicts(spark, d):
+    """The verdict of each sweep, its lead and the feature to quote."""
+    found = sweeps.sweep_verdicts(sweeps.feature_verdicts(sweep_points(spark, d)))
+    return found.select("factor", "primary_feature", "factor_leads", "n_features", "n_decoupled", "n_reliable", "n_stable", "verdict")
