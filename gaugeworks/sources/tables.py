@@ -89,27 +89,36 @@ def compose(plan: DataFrame, cache: DataFrame, prior_cells: DataFrame | None = N
 def publish(rows: DataFrame, path: str, *, allow_shrink: bool = False) -> str:
     """Write the table, partitioned by model, to a new version below ``path`` and return
     it.  Repeated cells raise, and so does a table that lost cells of the latest version.
-    A pointer is written last, so readers never see half a table.  Rows are dealt by model
-    and a large model is split, as one may hold most of them."""
+    A pointer is written last, so readers never see half a table.  Of two publishers at a time
+    that follow the same version, the one whose version's name is smaller wins, for all readers
+    alike, and the other raises.  Rows are dealt by model and a large model is split, as one
+    may hold most of them."""
     spark = rows.sparkSession
     rows = guards.require_unique_cells(S.ordered(rows))
     try:
         prior = latest_version(spark, path)
+        seen = _versions(spark, path).agg(F.max("n")).first()[0]
     except S.MissingAssetError:
-        prior = None
+        prior, seen = None, -1
     if prior and not allow_shrink:
         guards.require_no_shrink(spark.read.parquet(prior), rows)
     version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex}"
     rows.hint("rebalance", "model").write.partitionBy("model").parquet(version)
-    n = spark.read.text(f"{path}/versions").count() if prior else 0
+    n = seen + 1
     spark.range(1).select(F.lit(n).cast("long").alias("n"), F.lit(version).alias("path")).coalesce(1).write.mode("append").json(f"{path}/versions")
+    rival = _versions(spark, path).where((F.col("n") == n) & (F.col("path") < version)).first()
+    if rival:
+        raise S.MeasurementError(f"{rival.path} was published at the same time and stands; {version} doesn't")
     return version
 
 
+def _versions(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("n long, path string").json(f"{path}/versions")
+
+
 def latest_version(spark: SparkSession, path: str) -> str:
     try:
-        rows = spark.read.schema("n long, path string").json(f"{path}/versions")
-        found = rows.orderBy(F.desc("n")).first()
+        found = _versions(spark, path).orderBy(F.desc("n"), "path").first()
     except Exception as e:  # noqa: BLE001
         if "PATH_NOT_FOUND" not in str(e):
             raise

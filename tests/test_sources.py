@@ -61,6 +61,28 @@ def test_plan_compose_and_publish(spark, tmp_path):
         tables.latest_version(spark, str(tmp_path / "none"))
 
 
+def test_of_two_publishers_one_stands(spark, tmp_path, monkeypatch):
+    rows, path = tables.synthetic(spark, 1, ["m"]), str(tmp_path / "pub")
+    first = tables.publish(rows, path)
+    claim = lambda name: spark.createDataFrame([(1, f"{path}/{name}")], "n long, path string").coalesce(1).write.mode("append").json(f"{path}/versions")
+    require = tables.guards.require_no_shrink
+
+    def meanwhile(prior, new):  # another publisher's pointer lands after the prior version was read
+        claim(rival)
+        return require(prior, new)
+
+    monkeypatch.setattr(tables.guards, "require_no_shrink", meanwhile)
+    rival = "v-0"
+    with pytest.raises(S.MeasurementError, match="same time"):
+        tables.publish(rows, path)
+    assert tables.latest_version(spark, path) == f"{path}/v-0" != first
+    path = str(tmp_path / "other")
+    tables.publish(rows, path)
+    rival = "v-z"
+    stands = tables.publish(rows, path)
+    assert tables.latest_version(spark, path) == stands
+
+
 def test_dimensions_hashes_and_reports(spark, tmp_path):
     (tmp_path / "m.csv").write_text('id,say_this,ground_truth\nu1,"Hi, you",hi you\n')
     assert tables.load_manifest(spark, str(tmp_path / "m.csv")).collect() == [("u1", "Hi, you", "hi you")]
