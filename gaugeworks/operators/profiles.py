@@ -109,13 +109,14 @@ def trend(curve: DataFrame, keys: list[str], level: str, value: str) -> DataFram
 def degradation_rates(curve: DataFrame, keys: list[str], level: str, feature: str, lexical: str, most: float = 0.2) -> DataFrame:
     """Whether two curves over the same levels degrade together: Spearman's correlation, the
     largest difference after scaling each to 0..1, whether that is at most ``most``, each
-    one's half level, and which comes first."""
+    one's half level, and which comes first (equal to nine decimals is together)."""
     scaled = lambda c: F.coalesce(F.try_divide(F.col(c) - F.min(c).over(whole), F.max(c).over(whole) - F.min(c).over(whole)), F.lit(0.0))
     whole = Window.partitionBy(*keys)
     apart = curve.withColumn("_d", F.abs(scaled(feature) - scaled(lexical))).groupBy(*keys).agg(F.max("_d").alias("max_gap"))
     halves = [sensitivity.half_level(curve, keys, level, c).withColumnRenamed("half_level", f"{n}_half") for c, n in ((feature, "feature"), (lexical, "lexical"))]
     out = ranking.spearman(curve, keys, feature, lexical, "spearman").join(apart, keys).join(halves[0], keys).join(halves[1], keys)
-    first = F.when(F.col("feature_half") < F.col("lexical_half"), "feature").when(F.col("lexical_half") < F.col("feature_half"), "lexical").otherwise("together")
+    a, b = F.round("feature_half", 9), F.round("lexical_half", 9)  # the last digits of a division tell no order
+    first = F.when(a < b, "feature").when(b < a, "lexical").otherwise("together")
     return out.withColumn("coupled", F.col("max_gap") <= most).withColumn("leads", first)
 
 

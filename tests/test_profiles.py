@@ -65,6 +65,13 @@ def test_curves_that_fall_apart(spark):
     assert (r.feature_half, r.lexical_half, r.leads, r.coupled, r.max_gap) == (0.5, 2.5, "feature", False, 1.0)
 
 
+def test_half_levels_that_differ_in_their_last_digits_are_together(spark):
+    ys, zs = (1856, 2379, 2362, 2201, 1980, 2113, 2220), (336, 344, 343, 321, 300, 350, 380)
+    df = spark.createDataFrame([(k + 1, 0.0 + y, 0.0 + z) for k, (y, z) in enumerate(zip(ys, zs, strict=True))], "l int, f double, x double").withColumn("k", F.lit(1))
+    r = profiles.degradation_rates(df, ["k"], "l", "f", "x").first()
+    assert r.feature_half == pytest.approx(r.lexical_half, abs=1e-9) and r.leads == "together"
+
+
 def test_gaps_of_two_runs(spark):
     df = spark.createDataFrame([(f"c{k}", 0.1 + k / 1000) for k in range(20)] + [("lost", None), ("nan", float("nan"))], "c string, g double")
     r = profiles.level_gap(df, "c", "g").first()
