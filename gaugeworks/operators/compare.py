@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,9 @@ MOST_ARMS = 62
 def arm_intersection(rows: DataFrame, models: list[str] | None = None, min_common_clips: int = 3) -> DataFrame:
     """The usable rows of the cells that every model ran, one row a cell and model.
 
-    Unknown or empty models, repeated cells and too few common clips raise.  One
-    aggregate on the cell and a semi-join on it."""
+    Unknown or empty models, repeated cells and too few common clips raise.  One pass
+    over the models, one aggregate by cell to check, one window on the cell: rows are moved
+    once for each of the last two."""
     ok = S.usable(rows)
     ok = ok.where(F.col("model").isin(models)) if models else ok
     present = {r.model: r.n for r in ok.groupBy("model").agg(F.count("*").alias("n")).collect()}
@@ -29,15 +31,22 @@ def arm_intersection(rows: DataFrame, models: list[str] | None = None, min_commo
         raise S.RaggedArmsError(f"models without rows: {', '.join(absent)}")
     if len(present) < 2:
         raise S.RaggedArmsError("fewer than two models")
-    cells = ok.groupBy("clip_id", "condition_name").agg(F.count_distinct("model").alias("m"), F.count("*").alias("n"))
+    cell = ["clip_id", "condition_name"]
+    # a bit a model, where there are few: a number of fixed width, whose aggregate combines
+    names = sorted(n for n in present if n is not None)
+    few = len(names) <= MOST_ARMS
+    bit = reduce(lambda out, k: F.when(F.col("model") == F.lit(names[k]), F.lit(1 << k)).otherwise(out), range(len(names) if few else 0), F.lit(None)).cast("long")
+    different = F.bit_count(F.coalesce(F.bit_or(bit), F.lit(0))) if few else F.count_distinct("model")
+    cells = ok.groupBy(*cell).agg(different.alias("m"), F.count("*").alias("n"))
     full = F.col("m") == len(present)
     repeated, clips = cells.agg(F.count_if(F.col("n") > F.col("m")), F.count_distinct(F.when(full, F.col("clip_id")))).first()
     if repeated:
         raise S.DuplicateCellError(f"{repeated} cells have several rows of one model")
     if clips < min_common_clips:
         raise S.ThinOverlapError(f"{clips} clips are common to all models")
-    common = cells.where(full).select("clip_id", "condition_name")
-    return ok.join(common, ["clip_id", "condition_name"], "left_semi")
+    # no model is twice in a cell, as was checked; a cell with a null key is in no other's
+    whole = F.count("*").over(Window.partitionBy(*cell)) == len(present)
+    return ok.withColumn("_whole", whole).where("_whole and clip_id is not null and condition_name is not null").drop("_whole")
 
 
 def intersection_census(rows: DataFrame) -> DataFrame:
