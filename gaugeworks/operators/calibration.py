@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gaugeworks import schema as S
 from gaugeworks.functions.numeric import logit
 from gaugeworks.operators.ranking import exact_quantiles
+from gaugeworks.session import persist
 
 
 def word_records(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -54,11 +55,12 @@ def operating_points(rows: DataFrame, score: str, bad: Column, rates: list[float
 def grouped_split(rows: DataFrame, key: str, share: float, seed: int) -> DataFrame:
     """``rows`` with ``in_train``, by whole groups: the groups whose hashes come first,
     round(n * share) of them, at least one on each side."""
-    groups = rows.select(key).distinct()
+    groups = persist(rows.select(key).distinct(), "groups")
     n = groups.count()
     k = min(max(round(n * share), 1), max(n - 1, 1))
     place = F.row_number().over(Window.orderBy(F.xxhash64(key, F.lit(seed)), key))
-    return rows.join(groups.withColumn("in_train", place <= k), key)
+    # written first: of few groups Spark then knows that they are few, and moves no row for the join
+    return rows.join(persist(groups.withColumn("in_train", place <= k), "split"), key)
 
 
 def confidence_counts(rows: DataFrame, keys: list[str], conf: str, correct: str) -> DataFrame:
