@@ -7,9 +7,6 @@ per word.
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.session import ship
+from gaugeworks.session import persist, shared_path, ship  # noqa: F401  (operators take them from here)
 
 #: Bytes of text that a scanning step holds as work arrays at a time.
 SLICE_BYTES = 1 << 21
@@ -45,28 +42,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_path(spark: SparkSession, label: str) -> str:
-    """A fresh path in the folder that driver and executors share
-    (``spark.checkpoint.dir``).  Where none is configured a session with a local master,
-    whose workers are on this machine, gets a temporary one; a cluster's raises."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[[^,]*(,\s*\d+)?\])?", spark.sparkContext.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        base = tempfile.gettempdir() + "/gaugeworks-checkpoints"
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
-def persist(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write to the shared folder and read back.  Unlike a cache the
-    rows survive the loss of any executor."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 _KEPT: dict = {}
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gaugeworks import schema as S
 from gaugeworks.functions import text
 from gaugeworks.operators import ranking, resampling, sensitivity, taxonomy
+from gaugeworks.session import persist
 
 
 def spread(rows: DataFrame) -> DataFrame:
@@ -49,7 +50,8 @@ def benign(rows: DataFrame, harsher: Mapping[str, bool], most: int = 0, mildest_
     never by its outcome."""
     u = rows.select("condition_name", *harsher, "codec").distinct()
     near = sensitivity.severity(u, dict(harsher), mildest_codec).where(F.col("severity") <= most)
-    return rows.join(near.select("condition_name"), "condition_name", "left_semi")
+    # written first: of few conditions Spark then knows that they are few, and moves no row for the join
+    return rows.join(persist(near.select("condition_name"), "benign"), "condition_name", "left_semi")
 
 
 def sweep_sets(swept: DataFrame, wer_hi: float = S.WER_HI, conf_pct_hi: float = S.CONF_PCT_HI, wer_grid: list[float] | None = None, conf_grid: list[float] | None = None) -> DataFrame:
