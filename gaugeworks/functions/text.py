@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugeworks import schema as S
+from gaugeworks.session import ship, tune
 
 #: Marks deleted rather than spaced, and words written together or apart.
 APOSTROPHES = "'’ʼʻ`"
@@ -132,43 +136,81 @@ def edits(ref: Column, hyp: Column) -> Column:
     return F.struct(last["m"].alias("n_match"), last["s"].alias("n_sub"), last["d"].alias("n_del"), last["i"].alias("n_ins"))
 
 
-def _backtrace(ref: list[str], hyp: list[str]) -> list[tuple[str, str | None, str | None]]:
-    """Edits in order, from the cost matrix a row at a time; seen from the end a match comes
-    before a substitution, a deletion and an insertion of equal cost.  Kept are one byte a
-    cell: 0 for the diagonal, 1 for a deletion, 2 for an insertion."""
-    import numpy as np
+#: Cells of an edit matrix whose steps are kept at a time.
+_CELLS = 1 << 22
+#: What an edit is, by its number.
+_OPS = ("match", "sub", "del", "ins")
 
-    words: dict[str, int] = {}
-    a, b = (np.array([words.setdefault(w, len(words)) for w in x], np.int64) for x in (ref, hyp))
-    n, m = len(ref), len(hyp)
-    step, places = np.empty((n, m), np.uint8), np.arange(m + 1)
-    cost = places
-    for k in range(n):
+
+def _alignment(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The numbers (in ``_OPS``) of the edits in order between two arrays of words as numbers;
+    seen from the end a match comes before a substitution, a deletion and an insertion of equal
+    cost.  Costs are kept at the first row of each block only, and a block's steps, one byte a
+    cell, are made again when the way back reaches it: no matrix of two long turns is held."""
+    n, m = len(a), len(b)
+    places = np.arange(m + 1)
+    block = max(n, 1) if n * m <= _CELLS else math.isqrt(n)
+    last = max(n - 1, 0) // block * block
+
+    def after(cost: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         diagonal, up = cost[:-1] + (b != a[k]), cost[1:] + 1
         # insertions reach a cell along its row: a running minimum of cost less place
-        cost = np.minimum.accumulate(np.append(k + 1, np.minimum(diagonal, up)) - places) + places
-        step[k] = np.where(cost[1:] == diagonal, 0, np.where(cost[1:] == up, 1, 2))
+        return np.minimum.accumulate(np.append(k + 1, np.minimum(diagonal, up)) - places) + places, diagonal, up
+
+    firsts, cost = [], places
+    for k in range(last):
+        if k % block == 0:
+            firsts.append(cost.astype(np.int32))
+        cost = after(cost, k)[0]
+    firsts.append(cost.astype(np.int32))
     out, i, j = [], n, m
-    while i or j:
-        if i and j and step[i - 1, j - 1] == 0:
-            out.append(("match" if ref[i - 1] == hyp[j - 1] else "sub", ref[i - 1], hyp[j - 1]))
-            i, j = i - 1, j - 1
-        elif i and (not j or step[i - 1, j - 1] == 1):
-            out.append(("del", ref[i - 1], None))
-            i -= 1
-        else:
-            out.append(("ins", None, hyp[j - 1]))
-            j -= 1
-    return out[::-1]
+    while i and j:
+        lo = (i - 1) // block * block
+        step, cost = np.empty((i - lo, j), np.uint8), firsts[lo // block].astype(places.dtype)
+        for k in range(lo, i):
+            cost, diagonal, up = after(cost, k)
+            step[k - lo] = np.where(cost[1:] == diagonal, 0, np.where(cost[1:] == up, 1, 2))[:j]
+        while i > lo and j:
+            way = int(step[i - 1 - lo, j - 1])
+            out.append(way + 1 if way else int(a[i - 1] != b[j - 1]))
+            i, j = i - (way != 2), j - (way != 1)
+    out += [2] * int(i) + [3] * int(j)
+    return np.array(out[::-1], np.uint8)
+
+
+def _backtrace(ref: list, hyp: list) -> list[tuple]:
+    """The edits in order of two lists of words: (op, word of the first, word of the second)."""
+    words: dict = {}
+    a, b = (np.array([words.setdefault(w, len(words)) for w in x], np.int64) for x in (ref, hyp))
+    r, h = iter(ref), iter(hyp)
+    return [(_OPS[k], next(r) if k != 3 else None, next(h) if k != 2 else None) for k in _alignment(a, b)]
 
 
-def edit_lists(rows: DataFrame, ref: str, hyp: str, name: str = "edits") -> DataFrame:
-    """``rows`` with the full list of edits between two token arrays, in Arrow batches."""
-    kind = "array<struct<op:string,ref:string,hyp:string>>"
+def _coded(x: pa.Array, y: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Of two columns of word lists: where each list starts, all words as numbers, and all words."""
+    x, y = (v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v for v in (x, y))
+    starts = [np.concatenate([[0], np.cumsum(v.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64) for v in (x, y)]
+    words = [v.flatten() for v in (x, y)]
+    codes = pa.concat_arrays(words).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+    return *starts, codes[: len(words[0])], codes[len(words[0]) :], *words
+
 
-    @F.pandas_udf(kind)
-    def align(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([[{"op": o, "ref": r, "hyp": h} for o, r, h in _backtrace(list(x), list(y))] for x, y in zip(a, b, strict=True)])
+def edit_lists(rows: DataFrame, ref: str, hyp: str, name: str = "edits") -> DataFrame:
+    """``rows`` with the full list of edits between two token arrays, in Arrow batches bounded
+    in bytes; no object is made for a word or an edit.  Null arrays have no words."""
+    tune(ship(rows.sparkSession))
+
+    @F.arrow_udf("array<struct<op:string,ref:string,hyp:string>>")
+    def align(x: pa.Array, y: pa.Array) -> pa.Array:
+        at, to, a, b, refs, hyps = _coded(x, y)
+        found, n = [np.zeros(0, np.uint8)], len(at) - 1
+        for k in range(n):
+            found.append(_alignment(a[at[k] : at[k + 1]], b[to[k] : to[k + 1]]))
+        ops = np.concatenate(found)
+        # every word of a side is in one edit, in order
+        taken = [w.take(pa.array(np.cumsum(there) - 1, mask=~there)) for w, there in ((refs, ops != 3), (hyps, ops != 2))]
+        ends = np.cumsum([len(f) for f in found])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(_OPS).take(pa.array(ops)), *taken], ["op", "ref", "hyp"]))
 
     return rows.withColumn(name, align(F.col(ref), F.col(hyp)))
 
@@ -200,9 +242,12 @@ def error_counts(rows: DataFrame, ref: str, hyp: str, name: str) -> DataFrame:
     """``rows`` with the number of word errors between two token arrays, in Arrow batches;
     null arrays have no words."""
 
-    @F.pandas_udf("int")
-    def count(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([word_errors([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(a, b, strict=True)], dtype="int32")
+    tune(ship(rows.sparkSession))
+
+    @F.arrow_udf("int")
+    def count(x: pa.Array, y: pa.Array) -> pa.Array:
+        at, to, a, b, *_ = _coded(x, y)
+        return pa.array([word_errors(a[at[k] : at[k + 1]].tolist(), b[to[k] : to[k + 1]].tolist()) for k in range(len(at) - 1)], pa.int32())
 
     return rows.withColumn(name, count(F.col(ref), F.col(hyp)))
 

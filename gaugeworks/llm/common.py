@@ -14,26 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugeworks.session import persist, shared_path, ship  # noqa: F401  (operators take them from here)
+from gaugeworks.session import BATCH_BYTES, BATCH_ROWS, persist, shared_path, ship, tune  # noqa: F401  (operators take them from here)
 
 #: Bytes of text that a scanning step holds as work arrays at a time.
 SLICE_BYTES = 1 << 21
-#: Arrow batches sent to Python workers: at most so many bytes and rows.
-BATCH_BYTES, BATCH_ROWS = 4 << 20, 4000
-
-
-def tune(spark: SparkSession) -> None:
-    """Bound the Arrow batches that Python workers receive, so that a run of very
-    long texts cannot exhaust a worker's memory.  The settings are read when a lazy plan
-    runs, so they stay; smaller bounds that the caller has set are left alone."""
-    for name, most in (("maxBytesPerBatch", BATCH_BYTES), ("maxRecordsPerBatch", BATCH_ROWS)):
-        name = f"spark.sql.execution.arrow.{name}"
-        try:
-            own = int(spark.conf.get(name))
-        except (TypeError, ValueError):  # unset, or with a unit
-            own = 0
-        if not 0 < own <= most:
-            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +83,21 @@ def test_numbers(spark):
     c = spark.createDataFrame([(0.45, 20.0, "babble", "opus-lowrate", 0.0)], "rt60 double, snr_db double, noise_type string, codec string, mic_rolloff double")
     r = c.select(numeric.condition_name().alias("n")).select("n", numeric.parse_condition(F.col("n")).alias("p")).first()
     assert r.n == "rt60-0.45_snr-20_babble_opus-lowrate_mic-0" and tuple(r.p) == tuple(c.first())
+
+
+def test_alignment_in_blocks_is_that_of_the_whole_matrix(monkeypatch):
+    draw = np.random.default_rng(3)
+    for n, m in ((0, 0), (0, 3), (4, 0), (1, 1), (30, 41), (50, 7)):
+        a, b = draw.integers(0, 4, n), draw.integers(0, 4, m)
+        monkeypatch.setattr(text, "_CELLS", 1 << 22)
+        whole = text._alignment(a, b).tolist()
+        monkeypatch.setattr(text, "_CELLS", 8)
+        assert text._alignment(a, b).tolist() == whole
+        assert (whole.count(0) + whole.count(1) + whole.count(2), whole.count(0) + whole.count(1) + whole.count(3)) == (n, m)
+        assert len(whole) - whole.count(0) == text.word_errors(a.tolist(), b.tolist())
+
+
+def test_edits_come_in_bounded_batches(spark):
+    df = spark.createDataFrame([(["a", "b"], ["a", "c", "d"]), (None, ["x"]), ([], [])], "r array<string>, h array<string>")
+    assert [[tuple(e) for e in r.edits] for r in text.edit_lists(df, "r", "h").collect()] == [[("match", "a", "a"), ("ins", None, "c"), ("sub", "b", "d")], [("ins", None, "x")], []]
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
