@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugeworks.session import ship
+from gaugeworks.session import persist, ship
 
 #: Rows that are weighed at a time, cells that a task holds before it hands them on, partial vectors of a tree's node.
 STEP, MOST_CELLS, FAN = 1024, 1024, 32
@@ -256,7 +256,8 @@ def separation_intervals(rows: DataFrame, keys: list[str], scores: list[str], go
     label = good.cast("int").alias("_good")
     parts = F.explode(F.array(*[F.struct(F.lit(n).alias("score_name"), F.col(n).cast("double").alias("_score")) for n in scores])).alias("_p")
     x = rows.select(*keys, unit, label, parts).select(*keys, unit, "_good", "_p.*")
-    areas = replicate_auroc(x, [*keys, "score_name"], "_score", F.col("_good"), unit, replicates, seed)
+    # written once: they are read as such and as the baseline
+    areas = persist(replicate_auroc(x, [*keys, "score_name"], "_score", F.col("_good"), unit, replicates, seed), "areas")
     base = areas.where(F.col("score_name") == baseline).select(*keys, F.col("auroc").alias("_base"))
     both = areas.join(base, keys, "left") if keys else areas.join(base, how="left")
     delta = F.when(F.col("score_name") != baseline, F.zip_with("auroc", "_base", lambda a, b: a - b))
