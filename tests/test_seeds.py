@@ -43,3 +43,15 @@ def test_masks_equal_the_split(spark):
             want = {r.clip_id: r.in_train for r in calibration.grouped_split(df, "clip_id", 0.3, s).collect()}
             assert {g: bool(m >> k & 1) for g, m in masks.items()} == want
     assert seeds.seed_bands(spark.createDataFrame([("m", 1, 0.5), ("m", 2, None), ("m", 3, 0.1)], "model string, seed int, e double"), ["e"]).collect()[0][2:] == (2, 0.1, 0.3, 0.5)
+
+
+def test_passes_go_over_counts_of_equal_rows(spark, monkeypatch):
+    """Every Newton step passed over all rows before, each with a join's mask."""
+    rows = [("m", f"clip{k % 31}", k % 2 * 0.5, 0.2 + k % 3 * 0.3, int(k % 7 < 3)) for k in range(420)]
+    df, passed, whole = spark.createDataFrame(rows, "model string, clip_id string, room double, conf double, y int"), [], seeds._vector_pass
+    monkeypatch.setattr(seeds, "ROUNDS", 1)
+    monkeypatch.setattr(seeds, "_vector_pass", lambda counts, *more: passed.append(counts) or whole(counts, *more))
+    r = seeds.calibration_seeds(df, "conf", "y", ["room"], seeds=(4,)).first()
+    assert r.n_train + r.n_test == len(rows) and passed[0].count() == 6
+    want = calibration.grouped_split(df, "clip_id", 0.5, 4).where("in_train").groupBy("conf", "room").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
+    assert {(c.conf, c.room): (c.n, c.y) for c in want.collect()} == {(c._conf, c._f0): (c.n0, c.y0) for c in passed[0].collect()}
