@@ -74,3 +74,19 @@ def test_sessions_on_a_stream(spark, tmp_path):
     df, _ = stream_of(spark, {"clean": CLEAN, "two": CLEAN + [(5000.0, US), (5001.0, UE)]})
     got = sorted((r.session, r.n_events, r.n_user_starts) for r in run_stream(spark, df, tmp_path, "sessions", stream_segments))
     assert got == [("clean", 5, 1), ("two", 2, 1), ("two", 5, 1)]
+
+
+def test_findings_move_events_once_and_pair_without_python(spark):
+    """Each party's segments were made three times over by one Python call a session, then joined."""
+    cut = DIALOGS["cut"] + DIALOGS["missed"]
+    hot = [("hot", 20.0 * k + t, e) for k in range(500) for t, e in sorted(cut)]
+    odd = [(None, t, e) for t, e in CLEAN] + [("late", float("nan"), UE), ("late", None, UE), ("late", 0.0, US), ("late", 2.0, UE)]
+    df = spark.createDataFrame(hot + odd, "session string, t double, type string")
+    found = turns.findings(df)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(session") == 1 and plan.count("Exchange") == 1
+    assert "Join" not in plan and "InPandas" not in plan and "InArrow" not in plan
+    want = brute([(t, e) for _, t, e in hot])
+    assert sorted((r.kind, r.t) for r in found.where("session = 'hot'").collect()) == want and len(want) >= 500
+    assert [tuple(r) for r in found.where("session is null or session = 'late'").collect()] == [("late", "missed_turn", 2.0)]
+    assert sorted((r.s, r.e) for r in turns.segments(df.where("session = 'hot'"), turns.USER).collect()) == paired([(t, e) for _, t, e in hot], US, UE)
