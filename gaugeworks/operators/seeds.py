@@ -106,14 +106,15 @@ def _vector_pass(counts: DataFrame, d: int, n_seeds: int, work: Callable[..., np
     return {(r.model, r.seed): np.array(r.v, float) for r in resampling.added_up(parts, ["model", "seed"], ["v"]).collect()}
 
 
-def calibration_seeds(rows: DataFrame, conf: str, correct: str, features: list[str], *, model: str = "model", group: str = "clip_id", seeds: tuple[int, ...] = SEEDS, share: float = 0.5, c: float = 10.0, bins: int = S.ECE_BINS, discount_at: dict[str, float] | None = None) -> DataFrame:
+def calibration_seeds(rows: DataFrame, conf: str, correct: str, features: list[str], *, model: str = "model", group: str = "clip_id", seeds: tuple[int, ...] = SEEDS, share: float = 0.5, c: float = 10.0, bins: int = S.ECE_BINS, discount_at: dict[str, float] | None = None, by_temperature: bool = True) -> DataFrame:
     """(model, seed, n_train, n_test, ece_raw, ece_temperature, ece_feature, temperature, and
     for each factor of ``discount_at`` discount_<factor>): held-out calibration errors of the
     raw confidence, of a temperature and of a logistic regression on its logit and condition
     features, under every seed's split by whole groups within every model.
 
     A discount is how much the regression takes off the raw confidence on average, over
-    held-out rows at the factor's level or beyond; null where there is none.  Rows without
+    held-out rows at the factor's level or beyond; null where there is none.  Without
+    ``by_temperature`` no temperature is sought, and its two columns are null.  Rows without
     confidence, label or a feature are left out.  The regression is that of
     ``calibration.fit_feature_calibrator``.  ``rows`` are passed over twice."""
     spark = ship(rows.sparkSession)
@@ -121,9 +122,11 @@ def calibration_seeds(rows: DataFrame, conf: str, correct: str, features: list[s
     fine = rows.where(" and ".join([f"`{k}` is not null" for k in [*wanted, model, group]]))
     counts = persist(training_counts(fine, conf, correct, features, model, group, seeds, share), "counts")
     n_seeds, d, levels = len(seeds), len(features) + 1, {features.index(f) + 1: v for f, v in (discount_at or {}).items()}
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), F.col(f"n{i}").alias("n"), F.col(f"y{i}").alias("n_correct")) for i in range(n_seeds)])).alias("s")
-    by = counts.select("model", "_conf", each).select("model", "_conf", "s.*").where("n > 0").groupBy("model", "seed", "_conf").agg(F.sum("n").alias("n"), F.sum("n_correct").alias("n_correct"))
-    temperature = {(r.model, r.seed): r.temperature for r in calibration.temperatures(persist(by, "by"), ["model", "seed"], "_conf").collect()}
+    temperature = {}
+    if by_temperature:
+        each = F.explode(F.array(*[F.struct(F.lit(i).alias("seed"), F.col(f"n{i}").alias("n"), F.col(f"y{i}").alias("n_correct")) for i in range(n_seeds)])).alias("s")
+        by = counts.select("model", "_conf", each).select("model", "_conf", "s.*").where("n > 0").groupBy("model", "seed", "_conf").agg(F.sum("n").alias("n"), F.sum("n_correct").alias("n_correct"))
+        temperature = {(r.model, r.seed): r.temperature for r in calibration.temperatures(persist(by, "by"), ["model", "seed"], "_conf").collect()}
 
     def moments(_, __, x, ___, ____, _____, n, ______):
         return np.concatenate([[n.sum()], n @ x])
@@ -180,8 +183,8 @@ def calibration_seeds(rows: DataFrame, conf: str, correct: str, features: list[s
     out = []
     for (name, k), v in sorted(_vector_pass(counts, d, n_seeds, errors).items()):
         row = [name, int(seeds[k]), int(v[0]), int(v[1])]
-        for part in v[2 : 2 + 9 * bins].reshape(3, 3, bins):
-            row.append(float(np.abs(part[1] - part[2]).sum() / v[1]) if v[1] else None)
+        for part, asked in zip(v[2 : 2 + 9 * bins].reshape(3, 3, bins), (True, by_temperature, True), strict=True):
+            row.append(float(np.abs(part[1] - part[2]).sum() / v[1]) if asked and v[1] else None)
         row.append(temperature.get((name, k)))
         row += [float(t / n) if n else None for n, t in v[2 + 9 * bins :].reshape(-1, 2)]
         out.append(row)

@@ -4,7 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from gaugeworks import schema as S
 from gaugeworks.operators import calibration, seeds
+from gaugeworks.plans import views
+from gaugeworks.plans.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
 
 
 def test_all_models_and_seeds_equal_one_by_one(spark):
@@ -55,3 +60,29 @@ def test_passes_go_over_counts_of_equal_rows(spark, monkeypatch):
     assert r.n_train + r.n_test == len(rows) and passed[0].count() == 6
     want = calibration.grouped_split(df, "clip_id", 0.5, 4).where("in_train").groupBy("conf", "room").agg(F.count("*").alias("n"), F.sum("y").alias("y"))
     assert {(c.conf, c.room): (c.n, c.y) for c in want.collect()} == {(c._conf, c._f0): (c.n0, c.y0) for c in passed[0].collect()}
+
+
+def one_model(rows, group, conf, correct, features, share, seed):
+    """Errors of held-out rows before and after, of one model alone."""
+    split = calibration.grouped_split(rows, group, share, seed)
+    _, apply = calibration.fit_feature_calibrator(split.where("in_train"), conf, correct, features)
+    held = apply(split.where("not in_train")).withColumn("k", F.lit(1)).cache()
+    return [calibration.expected_calibration_error(calibration.reliability(held, ["k"], c, correct), ["k"]).first().ece for c in (conf, "p")]
+
+
+def test_every_model_gets_its_feature_calibration(spark):
+    """Only arm_a was calibrated before."""
+    m = views.measurements(spark, SF).where("mean_conf is not null").withColumn("good", (F.col("wer") < S.WER_HI).cast("int")).cache()
+    got = {r.model: [r.ece_before, r.ece_after] for r in QUERIES["feature_calibration"](spark, SF).collect()}
+    assert set(got) == {r.model for r in m.select("model").distinct().collect()} == {"arm_a", "arm_n", "arm_r"}
+    for name, errors in got.items():
+        want = one_model(m.where(F.col("model") == name), "condition_name", "mean_conf", "good", ["rt60", "snr_db", "mic_rolloff"], 0.7, 1)
+        assert errors == pytest.approx(want, abs=1e-6)
+
+
+def test_no_temperature_is_sought_unasked(spark):
+    """Two groups, so that training sees one room and the held-out rows are in the other."""
+    df = spark.createDataFrame([("m", f"g{k % 2}", 0.7 if k % 2 else 0.2, (k * k % 89 + 5) / 100, int(k * 7 % 11 < 4)) for k in range(300)], "model string, g string, room double, conf double, y int")
+    r = seeds.calibration_seeds(df, "conf", "y", ["room"], group="g", seeds=(1,), by_temperature=False).first()
+    assert [r.ece_raw, r.ece_feature] == pytest.approx(one_model(df, "g", "conf", "y", ["room"], 0.5, 1), abs=1e-6)
+    assert (r.temperature, r.ece_temperature, r.n_train, r.n_test) == (None, None, 150, 150)
